@@ -7,23 +7,59 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import simhash, substring_dedup
-from .common import table
+from . import language_id, packing, quality_classifier, quality_rules, simhash, substring_dedup
+from .common import fold_of, materialize, table
+
+#: Names of the public vocabulary files; see ``tokenizer_path``.
+WORD_BPE, BYTE_BPE = "word_bpe_49k.json", "byte_bpe_multi_50k.tiktoken"
+
+
+def tokenizer_path(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
 
 
 def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, fold = table(spark, sf_dir, "documents").select("doc_id", "text"), fold_of(F.col("doc_id"), 3)
+    weights = quality_classifier.train(docs.where(fold != 1), table(spark, sf_dir, "labels").where(fold != 1))
+    scored = quality_classifier.score(docs, weights)
+    return scored.select("doc_id", (fold == 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, fold = table(spark, sf_dir, "documents").select("doc_id", "lang", "text"), fold_of(F.col("doc_id"), 4)
+    model = language_id.train(docs.where(fold != 2))
+    return language_id.identify(docs.select("doc_id", "text"), model).select("doc_id", (fold == 2).alias("held_out"), "lang_pred", "score")
+
+
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = substring_dedup.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    kept = F.regexp_replace(F.regexp_replace("kept_text", r"[\x20\x09-\x0D]+", " "), "^ | $", "")
+    kept = F.trim(F.regexp_replace("kept_text", r"[\x20\x09-\x0D]+", " "))
     return out.select("doc_id", "n_words", "n_removed", F.sha2(kept.cast("binary"), 256).alias("kept_sha256"))
 
 
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stats = materialize(quality_rules.with_stats(table(spark, sf_dir, "documents").select("doc_id", "lang", "text"), keep_text=False), "rule-stats")
+    cutoffs = quality_rules.calibrate(stats, table(spark, sf_dir, "labels"))
+    return quality_rules.verdict(stats, cutoffs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path(WORD_BPE))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
+    "op2_quality_classifier": op2_quality_classifier,
+    "op4_language_id": op4_language_id,
     "op7_substring_dedup": op7_substring_dedup,
+    "op9_quality_rules": op9_quality_rules,
+    "op10_best_fit_packing": op10_best_fit_packing,
 }
 
 ORACLE_SQL: dict[str, str] = {}
