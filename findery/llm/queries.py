@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, packing, quality_classifier, quality_rules, simhash, substring_dedup
+from . import embedding_dedup, language_id, packing, quality_classifier, quality_rules, simhash, substring_dedup, url_filters, warc
 from .common import fold_of, materialize, table
 
 #: Names of the public vocabulary files; see ``tokenizer_path``.
@@ -31,12 +31,89 @@ def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (fold == 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def _day(text, days: int):
+    """A date in 2024 from the first eight hex digits of the md5 of ``text``."""
+    number = F.conv(F.substring(F.md5(text.cast("binary")), 1, 8), 16, 10).cast("long")
+    return F.date_add(F.lit("2024-01-01").cast("date"), (number % days).cast("int"))
+
+
+def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page as a capture with a fetch date, against a list with three dated entries for each host and language section.
+
+    The tables hold no dates and no list, so both are derived from md5 sums.
+    """
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    captures = pages.withColumn("fetched_at", _day(F.concat(F.lit("fetch:"), F.col("page_id").cast("string")), 366))
+    host, section = url_filters.host_of(F.col("url")), F.split(url_filters.path_of(F.col("url")), "/")[1]
+    wide = F.regexp_replace(host, r"^[^.]+\.", "")
+    listed = pages.select(F.explode(F.array(F.struct(F.lit("domain").alias("kind"), host.alias("key")), F.struct(F.lit("domain").alias("kind"), wide.alias("key")), F.struct(F.lit("prefix").alias("kind"), F.concat(host, F.lit("/"), section).alias("key")))).alias("x")).select("x.kind", "x.key").where("key is not null").distinct()
+    dated = listed.select("kind", "key", F.explode(F.array(*(F.lit(k) for k in range(3)))).alias("k"))
+    name = F.concat_ws(":", "kind", "key", "k")
+    action = F.element_at(F.array(*(F.lit(a) for a in url_filters.ACTIONS)), (F.conv(F.substring(F.md5(name.cast("binary")), 9, 6), 16, 10).cast("long") % 3 + 1).cast("int"))
+    entries = dated.select("kind", "key", action.alias("action"), _day(name, 366).alias("listed_at"))
+    return url_filters.evaluate(captures, entries).select("page_id", "fetched_at", "host", "verdict", "matched_kind", "matched_key", "active_from")
+
+
+OP3_SQL = r"""
+WITH p AS (
+  SELECT page_id, url,
+    DATE '2024-01-01' + CAST(('0x' || substr(md5('fetch:' || CAST(page_id AS VARCHAR)), 1, 8))::UBIGINT % 366 AS INTEGER) AS fetched_at,
+    nullif(regexp_replace(lower(regexp_replace(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1), '^.*@|:[0-9]*$', '')), '\.$', ''), '') AS host,
+    regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1) AS path
+  FROM pages),
+listed AS (
+  SELECT DISTINCT kind, key FROM (
+    SELECT 'domain' AS kind, host AS key FROM p
+    UNION ALL SELECT 'domain', regexp_replace(host, '^[^.]+\.', '') FROM p
+    UNION ALL SELECT 'prefix', host || '/' || split_part(CASE WHEN path = '' THEN '/' ELSE path END, '/', 2) FROM p) WHERE key IS NOT NULL),
+dated AS (SELECT kind, key, k, kind || ':' || key || ':' || CAST(k AS VARCHAR) AS name FROM listed CROSS JOIN (VALUES (0), (1), (2)) AS t(k)),
+entries AS (
+  SELECT kind, lower(key) AS key,
+    list_extract(['allow', 'block', 'drop'], CAST(('0x' || substr(md5(name), 9, 6))::UBIGINT % 3 + 1 AS INTEGER)) AS action,
+    DATE '2024-01-01' + CAST(('0x' || substr(md5(name), 1, 8))::UBIGINT % 366 AS INTEGER) AS listed_at
+  FROM dated),
+one AS (
+  SELECT kind, key, listed_at, arg_max(action, CASE action WHEN 'block' THEN 2 WHEN 'allow' THEN 1 ELSE 0 END) AS action
+  FROM entries GROUP BY ALL),
+spans AS (SELECT kind, key, action, listed_at AS valid_from, lead(listed_at) OVER (PARTITION BY kind, key ORDER BY listed_at) AS valid_to FROM one),
+hits AS (
+  SELECT p.page_id, s.action, s.kind, s.key, s.valid_from,
+    row_number() OVER (PARTITION BY p.page_id ORDER BY s.kind DESC, length(s.key) DESC) AS place
+  FROM p JOIN spans s ON p.fetched_at >= s.valid_from AND (s.valid_to IS NULL OR p.fetched_at < s.valid_to) AND s.action <> 'drop'
+    AND CASE WHEN s.kind = 'domain' THEN s.key = p.host OR s.key = regexp_replace(p.host, '^[^.]+\.', '') OR (ends_with(p.host, '.' || s.key) AND contains(s.key, '.'))
+      ELSE s.key = lower(p.host || '/' || split_part(p.path, '/', 2)) END)
+SELECT p.page_id, p.fetched_at, p.host, coalesce(h.action, 'allow') AS verdict, h.kind AS matched_kind, h.key AS matched_key, h.valid_from AS active_from
+FROM p LEFT JOIN hits h ON p.page_id = h.page_id AND h.place = 1
+"""
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, fold = table(spark, sf_dir, "documents").select("doc_id", "lang", "text"), fold_of(F.col("doc_id"), 4)
     model = language_id.train(docs.where(fold != 2))
     return language_id.identify(docs.select("doc_id", "text"), model).select("doc_id", (fold == 2).alias("held_out"), "lang_pred", "score")
 
 
+def op5_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicate_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    read = warc.read_back(spark, table(spark, sf_dir, "pages"))
+    size = F.coalesce(F.length("payload").cast("long"), F.col("size"))
+    digest = F.coalesce(F.sha2("payload", 256), F.col("digest"))
+    return read.select("page_id", size.alias("payload_bytes"), digest.alias("payload_digest"), "record_type", "refers_to")
+
+
+OP6_SQL = """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
+d AS (SELECT page_id, octet_length(b) AS payload_bytes, sha256(b) AS payload_digest FROM p),
+f AS (SELECT payload_digest, min(page_id) AS first FROM d WHERE payload_bytes >= 100 GROUP BY payload_digest)
+SELECT d.page_id, d.payload_bytes, d.payload_digest, CASE WHEN d.page_id > f.first THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN d.page_id > f.first THEN f.first END AS refers_to
+FROM d LEFT JOIN f USING (payload_digest)
+"""
+
+
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = substring_dedup.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
     kept = F.trim(F.regexp_replace("kept_text", r"[\x20\x09-\x0D]+", " "))
@@ -56,10 +133,13 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
     "op2_quality_classifier": op2_quality_classifier,
+    "op3_url_filters": op3_url_filters,
     "op4_language_id": op4_language_id,
+    "op5_embedding_near_dedup": op5_embedding_near_dedup,
+    "op6_warc": op6_warc,
     "op7_substring_dedup": op7_substring_dedup,
     "op9_quality_rules": op9_quality_rules,
     "op10_best_fit_packing": op10_best_fit_packing,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op3_url_filters": OP3_SQL, "op6_warc": OP6_SQL}
