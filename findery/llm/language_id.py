@@ -104,15 +104,19 @@ def train(docs: DataFrame, max_rows: int = MAX_ROWS, landmarks: int = LANDMARKS)
 
 
 def fit(langs: list[str], of: list[str], bits: list[bytes], landmarks: int) -> Model:
-    marks = np.unpackbits(np.frombuffer(b"".join(bits), np.uint8).reshape(len(bits), -1), axis=1)
-    root = np.sqrt(np.maximum(marks.sum(1, dtype=np.int64), 1))
-    marked = marks[:landmarks]
-    used = np.flatnonzero(marked.any(0))
-    slot_of = np.full(1 << SLOT_BITS, -1)
+    """Solve for the weights; the first ``landmarks`` rows are the landmarks. Bitmaps are unpacked a few at a time."""
+
+    def marks(at: int, to: int) -> np.ndarray:
+        return np.unpackbits(np.frombuffer(b"".join(bits[at:to]), np.uint8).reshape(-1, (1 << SLOT_BITS) // 8), axis=1)
+
+    root = np.sqrt([max(1, int.from_bytes(b).bit_count()) for b in bits])
+    first = marks(0, landmarks)
+    used = np.flatnonzero(first.any(0))
+    slot_of = np.full(1 << SLOT_BITS, -1, np.int32)
     slot_of[used] = np.arange(len(used))
-    base = (marked[:, used] / root[: len(marked), None]).astype(np.float32)
-    k_nm = np.concatenate([(marks[a : a + 256][:, used].astype(np.float32) / root[a : a + 256, None]) @ base.T for a in range(0, len(marks), 256)]).astype(np.float64)
-    value, vector = np.linalg.eigh(k_nm[: len(marked)])
+    base = (first[:, used] / root[: len(first), None]).astype(np.float32)
+    k_nm = np.concatenate([(marks(a, a + 64)[:, used].astype(np.float32) / root[a : a + 64, None]) @ base.T for a in range(0, len(bits), 64)]).astype(np.float64)
+    value, vector = np.linalg.eigh(k_nm[: len(first)])
     good = value > 1e-6 * value.max()
     to_features = vector[:, good] / np.sqrt(value[good])
     phi = k_nm @ to_features
