@@ -4,7 +4,369 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from findery.functions import text as T
+from findery.operators import extract, facets, postings, records, rerank, search
+from findery.operators import feedback as fb
+from findery.plans.corpora import PART_CTE, PART_RULES, RANKING, feedback, page_paths, part_files, part_records, table, text_files, tokens_sql
+from findery.streaming.ingest import feedback_precision
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Register a query under its function's name."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+# ---- parsing and records ---------------------------------------------------------------------------
+
+FIELDS = "project_name, doc_type, department, equipment_tag, year"
+
+
+@query(f"WITH {PART_CTE} SELECT doc_id, file_path, file_name, file_ext, {FIELDS}, array_to_string(keywords, ' ') AS keywords, status AS extraction_status FROM rec")
+def parse_part_corpus(spark, sf_dir):
+    made = records.to_records(part_files(spark, sf_dir), PART_RULES, "")
+    return made.select("doc_id", "file_path", "file_name", "file_ext", *FIELDS.split(", "), F.array_join("keywords", " ").alias("keywords"), "extraction_status")
+
+
+@query("SELECT substr(sha1(concat_ws('/', lang, source, 'doc_' || CAST(doc_id AS VARCHAR) || '.txt')), 1, 12) AS doc_id, concat_ws('/', lang, source, 'doc_' || CAST(doc_id AS VARCHAR) || '.txt') AS file_path FROM documents")
+def doc_id_sha1(spark, sf_dir):
+    return text_files(spark, sf_dir).select(T.doc_id(F.col("file_path")).alias("doc_id"), "file_path")
+
+
+@query(r"""WITH p AS (SELECT page_id, regexp_replace(regexp_replace(url, '^[a-z]+://', ''), '[?#].*$', '') AS f FROM pages)
+SELECT page_id, split_part(f, '/', 1) AS folder, list_extract(string_split(f, '/'), -1) AS file_name, lower(CASE WHEN list_extract(string_split(f, '/'), -1) LIKE '_%.%_' THEN nullif(regexp_extract(list_extract(string_split(f, '/'), -1), '\.[^.]+$'), '') END) AS ext FROM p""")
+def path_parts(spark, sf_dir):
+    path = F.col("file_path")
+    return page_paths(spark, sf_dir).select("page_id", T.top_folder(path).alias("folder"), T.file_name(path).alias("file_name"), F.nullif(T.file_ext(path), F.lit("")).alias("ext"))
+
+
+@query(f"WITH {PART_CTE} SELECT doc_id, project_name IS NULL OR doc_type IS NULL AS needs_fallback FROM rec")
+def needs_fallback_flags(spark, sf_dir):
+    return part_records(spark, sf_dir).select("doc_id", records.needs_fallback().alias("needs_fallback"))
+
+
+@query(f"WITH {PART_CTE} SELECT CASE WHEN file_ext = '.pdf' THEN 'pdf' WHEN file_ext = '.jpg' THEN 'image' ELSE 'other' END AS kind, count(*) AS documents FROM rec GROUP BY 1")
+def ext_dispatch(spark, sf_dir):
+    ext = F.col("file_ext")
+    kind = F.when(ext.isin(".pdf"), "pdf").when(ext.isin(".jpg", ".jpeg", ".png", ".tif", ".tiff"), "image").otherwise("other")
+    return part_records(spark, sf_dir).groupBy(kind.alias("kind")).agg(F.count("*").alias("documents"))
+
+
+_GAP = f"""WITH {PART_CTE},
+t AS (SELECT r.doc_id, r.project_name, r.doc_type, r.year, r.keywords, CASE WHEN r.status = 'pending_deep_scan' THEN 'Brand_' || CAST(p_partkey % 20 + 1 AS VARCHAR) || ' promo scan ' || CAST(p_partkey % 7 AS VARCHAR) || 'x 1987' END AS extra, p_partkey FROM rec r),
+k AS (SELECT *, list_filter({tokens_sql("coalesce(extra, '')")}, lambda x: NOT list_contains(keywords, x)) AS fresh FROM t)
+SELECT doc_id, coalesce(project_name, CASE WHEN extra IS NOT NULL THEN 'Brand ' || CAST(p_partkey % 20 + 1 AS VARCHAR) END) AS project_name,
+  coalesce(doc_type, CASE WHEN extra IS NOT NULL THEN 'PROMO' END) AS doc_type, coalesce(year, CASE WHEN extra IS NOT NULL THEN 1987 END) AS year,
+  array_to_string(list_concat(keywords, list_filter(fresh, lambda x, i: list_position(fresh, x) = i)), ' ') AS keywords,
+  CASE WHEN extra IS NULL THEN 'filename' ELSE 'filename+pdf_text' END AS source_of_metadata FROM k"""
+
+
+@query(_GAP)
+def gap_fill_merge(spark, sf_dir):
+    files = part_files(spark, sf_dir)
+    made = records.to_records(files, PART_RULES, "").join(files.select("file_path", "p_partkey"), "file_path")
+    key = F.col("p_partkey")
+    extra = F.concat(F.lit("Brand_"), (key % 20 + 1).cast("string"), F.lit(" promo scan "), (key % 7).cast("string"), F.lit("x 1987"))
+    made = made.withColumn("extra", F.when(F.col("extraction_status") == "pending_deep_scan", extra)).withColumn("src", F.lit("pdf_text"))
+    out = records.fill_gaps(made, "extra", "src", PART_RULES)
+    return out.select("doc_id", "project_name", "doc_type", "year", F.array_join("keywords", " ").alias("keywords"), "source_of_metadata")
+
+
+# ---- incremental index -----------------------------------------------------------------------------
+
+
+def _snapshots(spark, sf_dir):
+    """Orders as files: the manifest lacks every tenth, and every seventh has grown since."""
+    o, key = table(spark, sf_dir, "orders"), F.col("o_orderkey")
+    path = F.concat_ws("/", "o_orderpriority", F.concat(F.lit("order_"), key.cast("string"), F.lit(".pdf")))
+    files = o.select(path.alias("file_path"), F.unix_timestamp("o_orderdate").cast("double").alias("mtime"), F.floor("o_totalprice").cast("long").alias("size"))
+    known = o.where(key % 10 != 0).select(path.alias("file_path"), F.unix_timestamp("o_orderdate").cast("double").alias("mtime"), (F.floor("o_totalprice") - F.when(key % 7 == 0, 1).otherwise(0)).cast("long").alias("size"), T.doc_id(path).alias("doc_id"))
+    return files, known
+
+
+_CHANGED = "SELECT o_orderpriority || '/order_' || CAST(o_orderkey AS VARCHAR) || '.pdf' AS file_path, o_orderkey % 10 = 0 OR o_orderkey % 7 = 0 AS changed FROM orders"
+
+
+@query(_CHANGED)
+def change_detection(spark, sf_dir):
+    return records.changed_files(*_snapshots(spark, sf_dir)).select("file_path", "changed")
+
+
+@query(f"SELECT count(*) AS total_files, count(*) FILTER (changed) AS processed, count(*) FILTER (NOT changed) AS skipped_unchanged FROM ({_CHANGED})")
+def index_run_summary(spark, sf_dir):
+    return records.run_summary(records.changed_files(*_snapshots(spark, sf_dir)))
+
+
+@query("SELECT o_orderpriority || '/order_' || CAST(o_orderkey AS VARCHAR) || '.pdf' AS file_path, CAST(floor(o_totalprice) AS BIGINT) AS size, CASE WHEN o_orderkey % 10 = 0 OR o_orderkey % 7 = 0 THEN 'fresh' ELSE 'old' END AS origin FROM orders")
+def incremental_upsert(spark, sf_dir):
+    files, known = _snapshots(spark, sf_dir)
+    fresh = records.changed_files(files, known).where("changed").select("file_path", "size", F.lit("fresh").alias("origin"))
+    return records.upsert(known.select("file_path", "size", F.lit("old").alias("origin")), fresh, "file_path")
+
+
+@query("SELECT strftime(date_trunc('day', ts), '%Y-%m-%dT%H:%M:%S') AS timestamp, count(*) AS total_files FROM events GROUP BY 1 ORDER BY 1 DESC LIMIT 20")
+def recent_runs(spark, sf_dir):
+    runs = table(spark, sf_dir, "events").groupBy(F.date_format(F.date_trunc("day", "ts"), "yyyy-MM-dd'T'HH:mm:ss").alias("timestamp")).agg(F.count("*").alias("total_files"))
+    return facets.recent_runs(runs)
+
+
+@query("SELECT p_brand AS name, count(*) AS folders FROM (SELECT DISTINCT p_brand, p_type FROM part) GROUP BY 1")
+def suggest_projects(spark, sf_dir):
+    """Folder names at one depth with their counts, as candidates for project rules."""
+    dirs = table(spark, sf_dir, "part").select(F.concat_ws("/", "p_type", "p_brand").alias("dir_path")).distinct()
+    return records.folder_names(dirs, depth=2)
+
+
+@query("SELECT event_id, lower(n) IN ('desktop.ini', 'thumbs.db') OR starts_with(n, '~$') OR starts_with(n, '.') AS junk FROM (SELECT event_id, list_extract(['desktop.ini', 'Thumbs.db', '~$report.docx', '.DS_Store', 'plan.pdf', 'x.desktop.ini'], CAST(event_id % 6 + 1 AS INTEGER)) AS n FROM events)")
+def junk_files(spark, sf_dir):
+    names = F.array(*(F.lit(n) for n in ("desktop.ini", "Thumbs.db", "~$report.docx", ".DS_Store", "plan.pdf", "x.desktop.ini")))
+    e = table(spark, sf_dir, "events")
+    return e.select("event_id", T.is_junk(F.element_at(names, (F.col("event_id") % 6 + 1).cast("int"))).alias("junk"))
+
+
+# ---- postings and facets ---------------------------------------------------------------------------
+
+_FIELDS_SQL = " UNION ALL ".join(f"SELECT doc_id, '{f}' AS field, lower(trim(CAST({f} AS VARCHAR))) AS value FROM rec" for f in FIELDS.split(", "))
+_KW_SQL = "SELECT token, doc_id, min(pos) - 1 AS pos FROM (SELECT doc_id, unnest(keywords) AS token, generate_subscripts(keywords, 1) AS pos FROM rec) GROUP BY ALL"
+
+
+@query(f"WITH {PART_CTE} SELECT DISTINCT field, value, doc_id FROM ({_FIELDS_SQL}) WHERE value IS NOT NULL")
+def field_postings(spark, sf_dir):
+    return postings.field_postings(part_records(spark, sf_dir))
+
+
+@query(f"WITH {PART_CTE} {_KW_SQL}")
+def keyword_postings(spark, sf_dir):
+    return postings.keyword_postings(part_records(spark, sf_dir))
+
+
+@query(f"WITH {PART_CTE} SELECT token, string_agg(doc_id, ' ' ORDER BY doc_id) AS doc_ids FROM ({_KW_SQL}) GROUP BY token")
+def compact_postings(spark, sf_dir):
+    kw = postings.keyword_postings(part_records(spark, sf_dir))
+    return postings.compact(kw, "token").select("token", F.array_join("doc_ids", " ").alias("doc_ids"))
+
+
+@query(f"WITH {PART_CTE} SELECT token, count(*) AS documents FROM ({_KW_SQL}) GROUP BY token")
+def vocabulary_df(spark, sf_dir):
+    return postings.vocabulary(postings.keyword_postings(part_records(spark, sf_dir)))
+
+
+@query(f"SELECT token, count(DISTINCT doc_id) AS documents FROM (SELECT doc_id, unnest({tokens_sql('translate_ascii')}) AS token FROM (SELECT doc_id, regexp_replace(text, '[^\\x00-\\x7F]', ' ', 'g') AS translate_ascii FROM documents)) GROUP BY token")
+def text_vocabulary(spark, sf_dir):
+    """Document frequency of every token of every whole text."""
+    words = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.array_distinct(T.tokens(F.col("text")))).alias("token"))
+    return words.groupBy("token").agg(F.count("*").alias("documents"))
+
+
+@query(f"WITH {PART_CTE} SELECT count(*) AS documents FROM rec")
+def indexed_documents(spark, sf_dir):
+    r = part_records(spark, sf_dir)
+    return postings.indexed_ids(postings.field_postings(r), postings.keyword_postings(r)).agg(F.count("*").alias("documents"))
+
+
+@query(f"WITH {PART_CTE} SELECT CASE WHEN file_ext = '' THEN '(no extension)' ELSE file_ext END AS file_ext, count(*) AS documents FROM rec GROUP BY 1")
+def facet_extension(spark, sf_dir):
+    return facets.extensions(part_records(spark, sf_dir))
+
+
+@query(f"WITH {PART_CTE} SELECT split_part(file_path, '/', 1) AS folder, count(*) AS documents FROM rec GROUP BY 1")
+def facet_folder(spark, sf_dir):
+    return facets.folders(part_records(spark, sf_dir))
+
+
+@query(f"WITH {PART_CTE} SELECT count(*) FILTER (extraction_status = 'pending_deep_scan') AS pending FROM rec")
+def pending_count(spark, sf_dir):
+    return facets.pending(part_records(spark, sf_dir))
+
+
+# ---- search ----------------------------------------------------------------------------------------
+
+LOOSE_SQL = """({a} = {b} OR (NOT regexp_full_match({a}, '[0-9]+') AND NOT regexp_full_match({b}, '[0-9]+') AND (contains({a}, {b}) OR contains({b}, {a})
+  OR (least(length({a}), length({b})) >= 4 AND abs(length({a}) - length({b})) <= 1 AND levenshtein({a}, {b}) <= 1))))"""
+
+
+def _search_cte(asked: list[tuple[int, str]], scope: str = "true") -> str:
+    """CTEs down to ``scored``: a plain product of queries and records, scored in the row."""
+    from findery.plans.corpora import meta_sql
+
+    values = ", ".join(f"({k}, '{t}')" for k, t in asked)
+    loose = LOOSE_SQL.format(a="k", b="r")
+    part = {f: f"CASE WHEN lower(q.{f}) = lower(r.{f}) THEN 'exact' WHEN contains(lower(q.{f}), lower(r.{f})) OR contains(lower(r.{f}), lower(q.{f})) THEN 'partial' END AS m_{f}" for f in ("equipment_tag", "project_name", "doc_type", "department")}
+    weights = {"equipment_tag": 40, "project_name": 25, "doc_type": 15, "department": 10}
+    order = ("project_name", "doc_type", "department", "equipment_tag")
+    points = " + ".join(f"CASE m_{f} WHEN 'exact' THEN {weights[f]}::DOUBLE WHEN 'partial' THEN {weights[f]} * 0.6::DOUBLE ELSE 0::DOUBLE END" for f in order)
+    said = ", ".join(f"CASE m_{f} WHEN 'exact' THEN '{f.replace('_', ' ')} matches ''' || {f} || '''' WHEN 'partial' THEN '{f.replace('_', ' ')} partially matches ''' || {f} || '''' END" for f in order)
+    return f"""{PART_CTE},
+asked AS (SELECT * FROM (VALUES {values}) AS v(query_id, raw_query)),
+q AS (SELECT query_id, raw_query, {meta_sql('raw_query')} FROM asked),
+pairs AS (
+  SELECT q.query_id, r.doc_id, r.file_path, r.file_ext, r.indexed_at, r.extraction_status, r.equipment_tag, r.project_name, r.doc_type, r.department, r.year, {", ".join(part.values())},
+    coalesce(q.year = r.year, false) AS m_year,
+    list_filter(q.keywords, lambda k: list_contains(r.keywords, k)) AS ex,
+    list_filter(list_transform(list_filter(q.keywords, lambda k: NOT list_contains(r.keywords, k)), lambda k: k || '~' || list_extract(list_filter(r.keywords, lambda r: {loose}), 1)), lambda x: x IS NOT NULL) AS lo
+  FROM q CROSS JOIN rec r),
+marked AS (SELECT *, m_year OR coalesce(m_equipment_tag = 'exact' OR m_project_name = 'exact' OR m_doc_type = 'exact' OR m_department = 'exact', false)
+  OR coalesce(m_equipment_tag = 'exact', false) OR coalesce(m_project_name = 'exact', false) OR coalesce(m_doc_type = 'exact', false) OR coalesce(m_department = 'exact', false) OR len(ex) > 0 OR len(lo) > 0 AS cand FROM pairs),
+picked AS (SELECT *, bool_or(cand) OVER (PARTITION BY query_id) AS any_cand FROM marked),
+scored AS (
+  SELECT *, ({points} + CASE WHEN m_year THEN 5::DOUBLE ELSE 0::DOUBLE END + least(len(ex), 5) * 3::DOUBLE + least(len(lo), 5) * 3::DOUBLE * 0.6::DOUBLE) * CASE WHEN extraction_status = 'needs_review' THEN 0.85::DOUBLE ELSE 1::DOUBLE END AS score,
+    coalesce(nullif(concat_ws('; ', {said}, CASE WHEN m_year THEN 'year matches ''' || CAST(year AS VARCHAR) || '''' END,
+      CASE WHEN len(ex) > 0 THEN 'matched keywords: ' || array_to_string(ex, ', ') END, CASE WHEN len(lo) > 0 THEN 'loosely matched keywords: ' || array_to_string(lo, ', ') END,
+      CASE WHEN extraction_status = 'needs_review' THEN '(metadata from low-confidence extraction — flagged for review)' END), ''), 'weak overall keyword overlap only') AS justification
+  FROM picked WHERE (cand OR NOT any_cand) AND {scope}),
+ranked AS (SELECT *, row_number() OVER w AS rank, count(*) OVER (PARTITION BY query_id) AS candidate_count, lead(score) OVER w AS nxt FROM scored WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, file_path, doc_id)),
+judged AS (SELECT *, bool_or(rank = 1 AND (score < 20 OR coalesce(score - nxt < 5, false))) OVER (PARTITION BY query_id) AS ambiguous FROM ranked)"""
+
+
+def _search_sql(asked, top, scope="true", order="rank"):
+    return f"WITH {_search_cte(asked, scope)} SELECT query_id, rank, row_number() OVER (PARTITION BY query_id ORDER BY {order}) AS display_rank, doc_id, file_path, round(score, 6) AS score, justification, candidate_count, ambiguous FROM judged WHERE rank <= {top}"
+
+
+def queries_frame(spark, asked):
+    return spark.createDataFrame(asked, "query_id int, raw_query string")
+
+
+def run_search(spark, sf_dir, asked, **kw):
+    index = search.Index.build(part_records(spark, sf_dir))
+    out = search.search(queries_frame(spark, asked), index, PART_RULES, RANKING, **kw)
+    return out.select("query_id", "rank", "display_rank", "doc_id", "file_path", F.round("score", 6).alias("score"), "justification", "candidate_count", "ambiguous")
+
+
+BATCH = [(k, t) for k, t in enumerate((
+    "brand 7 economy ring 1988", "P-0042", "widget small brand_3", "red gizmos promo", "1975", "bolt bolt bolt plate", "brand 13 standard", "mechanical gear 2000", "anvil",
+    "hot rod P-0123 1961 large", "gizmo wigdet", "annvil plat", "zzzz qqqq", "economy economy", "brand 21 medium", "new bolts", "electrical", "cold plate 1999 brand 12",
+))]
+_SCOPED = {"extensions": [".pdf", search.NO_EXTENSION], "folders": ["brand_1", "Brand_2"]}
+_EXT, _FOLDER = "file_ext IN ('.pdf', '')", "(starts_with(lower(split_part(file_path, '/', 1)), 'brand_1') OR starts_with(lower(split_part(file_path, '/', 1)), 'brand_2'))"
+SEARCHES = {
+    "search_tag": ([(1, "drawing of P-0117")], {"top": 3}, {}),
+    "search_fielded": ([(1, "brand 7 economy ring 1988")], {"top": 10}, {}),
+    "search_year_only": ([(1, "1977")], {"top": 25}, {}),
+    "search_keyword": ([(1, "red widget plate")], {"top": 25}, {}),
+    "search_fuzzy": ([(1, "wigets anvill gizmo")], {"top": 25}, {}),
+    "search_fallback": ([(1, "zzzz qqqq")], {"top": 10}, {}),
+    "search_ext_filter": ([(1, "red ring brand 4")], {"top": 25, "extensions": _SCOPED["extensions"]}, {"scope": _EXT}),
+    "search_folder_filter": ([(1, "red ring")], {"top": 25, "folders": _SCOPED["folders"]}, {"scope": _FOLDER}),
+    "search_combined_filter": ([(1, "red ring 1966")], {"top": 25, **_SCOPED}, {"scope": f"{_EXT} AND {_FOLDER}"}),
+    "search_sort_newest": ([(1, "blue bolt promo")], {"top": 25, "sort_by": "newest"}, {"order": "indexed_at DESC, rank"}),
+    "search_sort_file_type": ([(1, "blue bolt promo")], {"top": 25, "sort_by": "file_type"}, {"order": "file_ext, score DESC, file_path, rank"}),
+    "search_batch": (BATCH, {"top": 5}, {}),
+}
+for _name, (_asked, _kw, _sql) in SEARCHES.items():
+    QUERIES[_name] = lambda spark, sf_dir, a=_asked, k=_kw: run_search(spark, sf_dir, a, **k)
+    ORACLE_SQL[_name] = _search_sql(_asked, _kw["top"], **_sql)
+
+
+@query(f"WITH {_search_cte(BATCH)} SELECT query_id, bool_or(ambiguous) AS ambiguous, max(candidate_count) AS candidate_count FROM judged GROUP BY query_id")
+def ambiguity_flags(spark, sf_dir):
+    out = run_search(spark, sf_dir, BATCH, top=1)
+    return search.envelope(out, queries_frame(spark, BATCH)).select("query_id", "ambiguous", "candidate_count")
+
+
+@query(f"WITH {_search_cte(BATCH)} SELECT query_id, rank, justification FROM judged WHERE rank <= 10")
+def justifications(spark, sf_dir):
+    return run_search(spark, sf_dir, BATCH, top=10).select("query_id", "rank", "justification")
+
+
+@query(f"WITH {PART_CTE}, v AS (SELECT DISTINCT unnest(keywords) AS token FROM rec), w AS (SELECT DISTINCT unnest(string_split(lower(p_name) || ' ' || 'rings brand1 economi smal 1977 widgett ri', ' ')) AS q_token FROM part) SELECT q_token, token FROM w JOIN v ON {LOOSE_SQL.format(a='q_token', b='token')}")
+def loose_vocab_pairs(spark, sf_dir):
+    vocab = postings.keyword_postings(part_records(spark, sf_dir))
+    asked = table(spark, sf_dir, "part").select(F.explode(F.split(F.concat(F.lower("p_name"), F.lit(" rings brand1 economi smal 1977 widgett ri")), " ")).alias("q_token"))
+    return search.loose_pairs(asked, vocab)
+
+
+@query(ORACLE_SQL["loose_vocab_pairs"])
+def loose_vocab_pairs_blocked(spark, sf_dir):
+    """The same pairs through block keys instead of a scan of the vocabulary per query token."""
+    vocab = postings.keyword_postings(part_records(spark, sf_dir))
+    asked = table(spark, sf_dir, "part").select(F.explode(F.split(F.concat(F.lower("p_name"), F.lit(" rings brand1 economi smal 1977 widgett ri")), " ")).alias("q_token"))
+    return search.loose_pairs(asked, vocab, broadcast_up_to=0)
+
+
+@query()
+def rerank_fake(spark, sf_dir):
+    """Results with a backend that turns the order around."""
+    asked = queries_frame(spark, BATCH)
+    out = run_search(spark, sf_dir, BATCH, top=10)
+    backend = rerank.ReplyBackend(lambda prompt: str(list(range(prompt.count("\n") - 1, -1, -1))))
+    return rerank.rerank(out, asked, backend)
+
+
+# ---- feedback --------------------------------------------------------------------------------------
+
+_STATS = f"""WITH {PART_CTE},
+f AS (SELECT 'P-' || lpad(CAST(user_id % 10000 AS VARCHAR), 4, '0') AS query, r.*, event_type = 'purchase' AS correct FROM events e JOIN rec r ON e.user_id = r.p_partkey WHERE event_type <> 'error'),
+m AS (SELECT correct, unnest([CASE WHEN equipment_tag = query THEN 'equipment_tag' END, CASE WHEN year = TRY_CAST(nullif(regexp_extract(query, '\\b(19|20)\\d{{2}}\\b'), '') AS INTEGER) THEN 'year' END,
+  CASE WHEN list_contains(keywords, lower(substr(query, 3))) THEN 'keyword' END]) AS field_name FROM f),
+n AS (SELECT * FROM (VALUES ('equipment_tag', 40::DOUBLE), ('project_name', 25::DOUBLE), ('doc_type', 15::DOUBLE), ('department', 10::DOUBLE), ('year', 5::DOUBLE), ('keyword', 3::DOUBLE)) AS t(field_name, current_weight)),
+s AS (SELECT n.field_name, n.current_weight, count(*) FILTER (m.correct) AS correct, count(*) FILTER (NOT m.correct) AS incorrect FROM n LEFT JOIN m ON n.field_name = m.field_name GROUP BY ALL),
+st AS (SELECT *, correct + incorrect AS samples, CASE WHEN correct + incorrect > 0 THEN correct / (correct + incorrect)::DOUBLE END AS precision FROM s)"""
+
+
+@query(f"{_STATS} SELECT field_name, current_weight, correct, incorrect, samples, round(precision, 6) AS precision FROM st")
+def feedback_field_stats(spark, sf_dir):
+    return fb.field_stats(feedback(spark, sf_dir), part_records(spark, sf_dir), PART_RULES, RANKING).withColumn("precision", F.round("precision", 6))
+
+
+@query(f"{_STATS} SELECT field_name, samples, CASE WHEN samples < 5 THEN NULL WHEN precision >= 0.85 THEN round(current_weight * 1.2, 1) WHEN precision <= 0.55 THEN round(current_weight * 0.8, 1) ELSE current_weight END AS suggested_weight FROM st")
+def weight_suggestions(spark, sf_dir):
+    stats = fb.field_stats(feedback(spark, sf_dir), part_records(spark, sf_dir), PART_RULES, RANKING)
+    return fb.suggestions(stats).select("field_name", "samples", "suggested_weight")
+
+
+@query("SELECT count(*) FILTER (event_type = 'error' OR p_partkey IS NULL) AS unattributed FROM events LEFT JOIN part ON user_id = p_partkey")
+def unattributed_feedback(spark, sf_dir):
+    return fb.unattributed(feedback(spark, sf_dir))
+
+
+@query("SELECT date_trunc('hour', ts) AS window_start, count(*) AS entries, count(*) FILTER (event_type = 'purchase') AS correct, round(count(*) FILTER (event_type = 'purchase') / count(*)::DOUBLE, 6) AS precision FROM events JOIN part ON user_id = p_partkey WHERE event_type <> 'error' GROUP BY 1")
+def feedback_by_hour(spark, sf_dir):
+    return feedback_precision(feedback(spark, sf_dir)).withColumn("precision", F.round("precision", 6))
+
+
+# ---- deep scan -------------------------------------------------------------------------------------
+
+
+class _TableReader:
+    """Stands in for files: the text layer of a path is made from its name; every fifth cannot be opened."""
+
+    def text_layer(self, path, max_pages):
+        number = int(path.split("_P-")[1][:4])
+        return None if number % 5 == 0 else f"brand {number % 20 + 1} promo sheet {number}" if number % 5 < 3 else "short"
+
+    def images(self, path, ext, config):
+        number = int(path.split("_P-")[1][:4])
+        return None if number % 5 == 0 else [number]
+
+
+class _NumberOcr:
+    def recognize(self, images):
+        n = images[0]
+        return extract.Recognized(f"BRAND {n % 20 + 1} LARGE scan", extract.mean_confidence([-1, 40 + n % 50, 60]))
+
+
+@query()
+def deep_scan_status(spark, sf_dir):
+    """Status after a deep scan of every pending record with stand-in readers."""
+    made = records.to_records(part_files(spark, sf_dir), PART_RULES, "")
+    found = extract.extract(extract.pending(made), _TableReader(), _NumberOcr(), extract.Extraction())
+    done = extract.merge(made, found, PART_RULES)
+    return done.groupBy("extraction_status", "source_of_metadata").agg(F.count("*").alias("documents"))
+
+
+@query(f"WITH {PART_CTE} SELECT project_name, count(*) AS documents, row_number() OVER (ORDER BY count(*) DESC, project_name) AS place FROM rec WHERE project_name IS NOT NULL GROUP BY project_name")
+def project_ranking(spark, sf_dir):
+    counts = part_records(spark, sf_dir).where("project_name is not null").groupBy("project_name").agg(F.count("*").alias("documents"))
+    return counts.withColumn("place", F.row_number().over(Window.orderBy(F.desc("documents"), "project_name")))
