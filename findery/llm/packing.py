@@ -11,9 +11,13 @@ look up every piece by its rank among those of its length.
 
 from __future__ import annotations
 
+import json
+import re
 import zlib
 from bisect import bisect_left, insort
+from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -27,8 +31,8 @@ CAPACITY = 2048
 GROUPS, MAX_COLUMNS = 48, 400
 #: Shares of the capacity above which a length is large; each gives a plan and the shortest is taken.
 LARGE = (1 / 4, 2 / 5, 1 / 2)
-#: White-space separated strings whose ids a worker remembers.
-MEMO_WORDS = 300_000
+#: White-space separated strings, and pre-tokens, whose ids a worker remembers.
+MEMO_WORDS = 600_000
 #: Pieces that share a rank counter, about.
 RANK_ROWS = 50_000
 
@@ -40,38 +44,72 @@ class WordIds:
     """Ids of white-space separated strings, as little-endian unsigned 32-bit numbers.
 
     The tokenizer's own splitting never joins characters across white space, so a text's ids are those of
-    its strings in turn; each distinct string is encoded once per worker.
+    its strings in turn. Strings of ASCII signs and composed Latin letters are cut into pre-tokens here, by
+    the tokenizer's rules for just those characters, and each distinct pre-token is merged once; any other
+    string goes through the whole tokenizer. A worker remembers both from task to task.
     """
 
+    #: Characters for which the rules below are complete, and the pre-tokens among them.
+    PLAIN = re.compile("[!-~ß-öø-ÿ]+")
+    SPLIT = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
+
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.whole = Tokenizer.from_file(path)
+        self.whole.encode_special_tokens = True
+        bare = json.loads(self.whole.to_str())
+        steps = {"NFC", "Replace", "Lowercase"}, {"Split", "ByteLevel"}
+        held = {x["type"] for x in (bare["normalizer"] or {}).get("normalizers", [])}, {x["type"] for x in (bare["pre_tokenizer"] or {}).get("pretokenizers", [])}
+        if held != steps or bare["model"].get("end_of_word_suffix") != "</w>":
+            raise ValueError("the tokenizer does not split and normalise as the word-level one does")
+        bare |= {"normalizer": None, "added_tokens": [], "pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}}
+        self.merger = Tokenizer.from_str(json.dumps(bare))
         self.known: dict[bytes, bytes] = {}
+        self.merged: dict[str, bytes] = {}
+
+    @staticmethod
+    def _encode(tokenizer, parts: list[str]) -> Iterator[tuple[str, bytes]]:
+        for at in range(0, len(parts), 8192):
+            some = parts[at : at + 8192]
+            got = tokenizer.encode(some, is_pretokenized=True, add_special_tokens=False)
+            ends = np.searchsorted(np.array([-1 if x is None else x for x in got.word_ids]), np.arange(len(some) + 1)).tolist()
+            raw = np.array(got.ids, "<u4").tobytes()
+            yield from zip(some, (raw[4 * a : 4 * b] for a, b in zip(ends[:-1], ends[1:], strict=True)), strict=True)
 
     def of(self, texts: list[bytes | None]) -> list[bytes]:
         split = [(t or b"").translate(LOWER_ASCII).split() for t in texts]
-        known = self.known
+        known, merged = self.known, self.merged
         if len(known) > MEMO_WORDS:
             known.clear()
-        new = list({w for words in split for w in words if w not in known})
-        for at in range(0, len(new), 8192):
-            part = new[at : at + 8192]
-            got = self.tokenizer.encode([w.decode() for w in part], is_pretokenized=True, add_special_tokens=False)
-            ids = np.array(got.ids, "<u4")
-            ends = np.searchsorted(np.array([-1 if x is None else x for x in got.word_ids]), np.arange(len(part) + 1))
-            raw = ids.tobytes()
-            known.update(zip(part, (raw[4 * a : 4 * b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)), strict=True))
+        if len(merged) > MEMO_WORDS:
+            merged.clear()
+        cut, other = {}, []
+        for w in {w for words in split for w in words if w not in known}:
+            plain = w.decode().lower()
+            if self.PLAIN.fullmatch(plain):
+                cut[w] = self.SPLIT.findall(plain)
+            else:
+                other.append(w)
+        merged.update(self._encode(self.merger, list({p for ps in cut.values() for p in ps if p not in merged})))
+        for w, ps in cut.items():
+            known[w] = merged[ps[0]] if len(ps) == 1 else b"".join(map(merged.__getitem__, ps))
+        known.update((w.encode(), ids) for w, ids in self._encode(self.whole, [w.decode() for w in other]))
         return [b"".join(map(known.__getitem__, words)) for words in split]
 
 
+@cache
+def word_ids(path: str) -> WordIds:
+    """One per worker and vocabulary file."""
+    return WordIds(path)
+
+
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = 0) -> DataFrame:
     """``(doc_id, piece, start, length, ids_crc32)``: a document's ids and ``end_id``, cut where longer than ``capacity``."""
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches):
-        words = WordIds(tokenizer)
+        words = word_ids(tokenizer)
         for part in slices(batches):
             out = [[], [], [], [], []]
             for doc, ids in zip(part.column(0).to_pylist(), words.of(utf8(part, "text")), strict=True):
