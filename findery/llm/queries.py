@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embedding_dedup, language_id, packing, quality_classifier, quality_rules, simhash, substring_dedup, url_filters, warc
+from . import byte_bpe, embedding_dedup, language_id, packing, quality_classifier, quality_rules, simhash, substring_dedup, url_filters, warc
 from .common import fold_of, materialize, table
 
 #: Names of the public vocabulary files; see ``tokenizer_path``.
@@ -120,6 +120,14 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2(kept.cast("binary"), 256).alias("kept_sha256"))
 
 
+def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    coder = byte_bpe.Coder(byte_bpe.read_ranks(tokenizer_path(BYTE_BPE)), public_tokenizers.PATTERN)
+    out = byte_bpe.encode_texts(table(spark, sf_dir, "documents").select("doc_id", "text"), coder)
+    return out.select("doc_id", "n_tokens", F.sha2(F.col("ids").cast("binary"), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     stats = materialize(quality_rules.with_stats(table(spark, sf_dir, "documents").select("doc_id", "lang", "text"), keep_text=False), "rule-stats")
     cutoffs = quality_rules.calibrate(stats, table(spark, sf_dir, "labels"))
@@ -138,6 +146,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_embedding_near_dedup": op5_embedding_near_dedup,
     "op6_warc": op6_warc,
     "op7_substring_dedup": op7_substring_dedup,
+    "op8_byte_bpe": op8_byte_bpe,
     "op9_quality_rules": op9_quality_rules,
     "op10_best_fit_packing": op10_best_fit_packing,
 }
