@@ -242,7 +242,10 @@ def remove_repeats(docs: DataFrame, size: int = SIZE, gram: int = GRAM) -> DataF
         raise ValueError("gram must be between 1 and size")
     added = ["n_words", "n_removed", "removed", "kept_text"]
     rest = [c for c in docs.columns if c not in (*added, "doc_id", "text")]
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *rest)
+    # without needless casts both joins below read the texts alike, so they share one exchange
+    kinds = dict(docs.dtypes)
+    keys = [c if kinds[c] == kind else F.col(c).cast(kind).alias(c) for c, kind in (("doc_id", "bigint"), ("text", "string"))]
+    docs = docs.select(*keys, *rest)
     known = docs.where("doc_id is not null")
     places = _repeats(known.select("doc_id", "text", *rest), _shared_minimizers(docs, size, gram), size, gram)
     joined = known.join(places.hint("shuffle_hash"), "doc_id", "left").unionByName(docs.where("doc_id is null").withColumn("places", F.lit(None).cast("array<bigint>")))
