@@ -93,3 +93,32 @@ def test_feedback_windows(spark):
     rows = spark.sql("select timestamp'2024-01-01 00:10:00' ts, 'd' chosen_doc_id, true correct union all select timestamp'2024-01-01 00:50:00', 'd', false union all select timestamp'2024-01-01 00:50:00', '', true")
     got = feedback_precision(rows).collect()
     assert [(r.entries, r.correct, r.precision) for r in got] == [(2, 1, 0.5)]
+
+
+def test_command_line(spark, folder, capsys):
+    from findery import cli
+
+    base = ["--index-dir", f"{folder}/ci", "--log-dir", f"{folder}/cl"]
+    assert cli.main([*base, "search", "memo"]) == 1
+    assert cli.main([*base, "index", "--corpus-root", f"{folder}/corpus"]) == 0
+    assert "5 files, 5 processed, 0 unchanged, 5 pending" in capsys.readouterr().out
+    assert cli.main([*base, "search", "memo 2020"]) == 0 and "1. A/memo_2020.pdf" in capsys.readouterr().out
+    assert cli.main([*base, "suggest-projects", "--corpus-root", f"{folder}/corpus"]) == 0
+    assert '"A" = ["A"]' in capsys.readouterr().out
+    assert cli.project_rule("Big Plant") == '"Big Plant" = ["Big\\\\s*Plant"]'
+    for command in ("review-queue", "facets", "suggest-tuning"):
+        assert cli.main([*base, command]) == 0
+    assert "[ranking_weights]" in capsys.readouterr().out
+
+
+def test_deep_scan_publishes(spark, folder):
+    from test_search import Ocr, Reader
+
+    from findery import cli
+
+    store = Store(spark, f"{folder}/ds")
+    files = spark.createDataFrame([("Unsorted/old_backup.pdf", 1.0, 1), ("Unsorted/blank.jpg", 1.0, 1)], "file_path string, mtime double, size long")
+    index_files(store, files, "r", Config(), "t1")
+    assert cli.deep_scan(store, f"{folder}/dl", Reader(), Ocr(), Config(), "t2") == {"filled": 1, "review": 1}
+    assert {r.extraction_status for r in store.records().collect()} == {"ok", "needs_review"}
+    assert logs.review_queue(spark, f"{folder}/dl/review_queue").count() == 1
