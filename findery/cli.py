@@ -8,11 +8,10 @@ import re
 from datetime import datetime, timezone
 
 from pyspark.sql import SparkSession
-from pyspark.sql import functions as F
 
 from findery import schema
 from findery.config import load_config
-from findery.operators import extract, facets, feedback, records, search
+from findery.operators import facets, feedback, records, search
 from findery.sources import corpus, logs
 from findery.sources.store import Store, index_files
 
@@ -49,19 +48,6 @@ def project_rule(name: str) -> str:
     return f'"{name}" = ["{re.escape(name).replace(chr(92) + " ", chr(92) + "s*").replace(chr(92), chr(92) * 2)}"]'
 
 
-def deep_scan(store: Store, log_dir: str, reader: extract.Reader, ocr: extract.OcrBackend, config, now: str) -> dict[str, int]:
-    """Scan every pending record, publish the merged records as a new version, and log; counts by status."""
-    was, old = store.current(), store.records()
-    found = extract.extract(extract.pending(old), reader, ocr, config.extraction).persist()
-    try:
-        store.publish(extract.merge(old, found, config.rules), store.manifest(), was.corpus_root, now)
-        logs.append(extract.extraction_log(found, now), f"{log_dir}/extraction")
-        logs.append(extract.review_entries(found, now), f"{log_dir}/review_queue")
-        return {r.s: r["count"] for r in found.groupBy(F.when(F.col("reason").isNull(), "filled").otherwise("review").alias("s")).count().collect()}
-    finally:
-        found.unpersist()
-
-
 def main(argv: list[str] | None = None) -> int:
     args = parser().parse_args(argv)
     spark = SparkSession.builder.appName("findery").getOrCreate()

@@ -14,6 +14,12 @@ from findery.schema import RECORD_FIELDS
 HIGH, LOW, STEP, MIN_SAMPLES = 0.85, 0.55, 0.2, 5
 
 
+def entries(envelopes: DataFrame, verdicts: DataFrame, timestamp: str) -> DataFrame:
+    """Log rows for searches: ``envelopes`` as ``search.envelope`` gives them, ``verdicts`` (``query_id, chosen_doc_id, correct``)."""
+    joined = envelopes.join(verdicts, "query_id")
+    return joined.select(F.lit(timestamp).alias("timestamp"), F.col("raw_query").alias("query"), "top_doc_ids", "scores", "ambiguous", "used_llm_rerank", "chosen_doc_id", "correct")
+
+
 def row_hits(asked: Column, held: Column) -> tuple[Column, Column]:
     """Exact and loose hits of one query's tokens on one document's tokens, within a row."""
     exact = F.filter(asked, lambda k: F.array_contains(held, k))

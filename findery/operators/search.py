@@ -216,6 +216,17 @@ def envelope(results: DataFrame, queries: DataFrame, used_rerank: bool = False)
     return joined.select("query_id", "raw_query", F.coalesce("r.doc_id", none.cast("array<string>")).alias("top_doc_ids"), F.coalesce("r.score", none.cast("array<double>")).alias("scores"), F.coalesce("ambiguous", F.lit(True)).alias("ambiguous"), F.coalesce("candidate_count", F.lit(0)).alias("candidate_count"), F.lit(used_rerank).alias("used_llm_rerank"))
 
 
+def loose_documents(tokens: DataFrame, keywords: DataFrame) -> DataFrame:
+    """``(q_token, doc_id, token)``: documents whose tokens match ``tokens`` (``q_token``) loosely but not exactly."""
+    pairs = loose_pairs(tokens, keywords).where("q_token <> token")
+    return pairs.join(keywords, "token").select("q_token", "doc_id", "token")
+
+
+def results_view(results: DataFrame, direct_open: Sequence[str]) -> DataFrame:
+    """What a result list shows, with ``direct_open`` for files that a browser may be handed."""
+    return results.select("query_id", "display_rank", "doc_id", "file_path", "score", "justification", F.col("file_ext").isin(*direct_open).alias("direct_open"), "indexed_at")
+
+
 def batches(results: DataFrame, visible: int, size: int = DEFAULT_TOP) -> DataFrame:
     """``results`` with ``batch``: 0 upward for rows beyond the ``visible`` first, null for those."""
     beyond = F.col("display_rank") - 1 - visible

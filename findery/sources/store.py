@@ -24,6 +24,7 @@ POINTER = "version int, corpus_root string, built_at string"
 class Store:
     spark: SparkSession
     path: str
+    _held: tuple[int, Index] | None = None
 
     def _pointer(self) -> DataFrame | None:
         try:
@@ -62,6 +63,18 @@ class Store:
         fields = self._table("postings_field", "field string, value string, doc_id string")
         return Index(self.records(), fields, self._table("postings_kw", "token string, doc_id string, pos int"))
 
+    def cached_index(self) -> Index | None:
+        """The published version's index, kept in memory until another version is published."""
+        now = self.current()
+        if self._held is not None and (now is None or self._held[0] != now.version):
+            for df in (self._held[1].records, self._held[1].fields, self._held[1].keywords):
+                df.unpersist()
+            self._held = None
+        if now is not None and self._held is None:
+            found = self.index()
+            self._held = (now.version, Index(found.records.cache(), found.fields.cache(), found.keywords.cache()))
+        return None if self._held is None else self._held[1]
+
     def publish(self, rows: DataFrame, manifest: DataFrame, corpus_root: str, built_at: str) -> int:
         """Write records, manifest and postings as a new version and make it current.
 

@@ -111,14 +111,68 @@ def test_command_line(spark, folder, capsys):
     assert "[ranking_weights]" in capsys.readouterr().out
 
 
-def test_deep_scan_publishes(spark, folder):
+def test_deep_scan_in_chunks(spark, folder):
     from test_search import Ocr, Reader
 
-    from findery import cli
+    from findery import jobs
 
     store = Store(spark, f"{folder}/ds")
     files = spark.createDataFrame([("Unsorted/old_backup.pdf", 1.0, 1), ("Unsorted/blank.jpg", 1.0, 1)], "file_path string, mtime double, size long")
     index_files(store, files, "r", Config(), "t1")
-    assert cli.deep_scan(store, f"{folder}/dl", Reader(), Ocr(), Config(), "t2") == {"filled": 1, "review": 1}
+    seen = []
+    stop = lambda: len(seen) == 1
+    run = lambda **kw: jobs.deep_scan(store, f"{folder}/dl", Reader(), Ocr(), Config(), "t2", chunk=1, progress=seen.append, **kw)
+    assert sum(run(should_stop=stop).values()) == 1
+    seen.append(0)
+    assert sum(run().values()) == 1 and run() == {}
     assert {r.extraction_status for r in store.records().collect()} == {"ok", "needs_review"}
     assert logs.review_queue(spark, f"{folder}/dl/review_queue").count() == 1
+
+
+def test_service(spark, folder):
+    import json
+    import threading
+    import urllib.error
+    import urllib.request
+
+    from findery.serve import Service, serve
+
+    service = Service(spark, Store(spark, f"{folder}/si"), f"{folder}/sl", f"{folder}/corpus")
+    server = serve(service, 0)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+
+    def ask(path, body=None):
+        data = None if body is None else json.dumps(body).encode()
+        try:
+            with urllib.request.urlopen(urllib.request.Request(f"http://127.0.0.1:{server.server_port}{path}", data)) as r:
+                return r.status, json.load(r)
+        except urllib.error.HTTPError as e:
+            return e.code, json.load(e)
+
+    try:
+        assert ask("/healthz") == (200, {"status": "ok"}) and ask("/nowhere")[0] == 404
+        assert ask("/search", {"query": "memo"})[0] == 409 and ask("/search", {"query": " "}) == (200, {"results": []})
+        assert ask("/index", {})[0] == 202
+        service.jobs.wait(120)
+        assert service.jobs.error is None and service.jobs.result["processed"] == 5
+        status, found = ask("/search", {"query": "memo 2020", "top_n": 1})
+        assert status == 200 and found["results"][0]["file_path"] == "A/memo_2020.pdf" and found["results"][0]["direct_open"]
+        assert ask("/feedback", {"query": "memo"})[0] == 400
+        assert ask("/feedback", {"query": "memo", "correct": True, "chosen_doc_id": found["top_doc_ids"][0]})[0] == 200
+        assert logs.feedback(spark, f"{folder}/sl/feedback").count() == 1
+        assert ask("/facets")[1]["pending"] == 5 and len(ask("/runs")[1]) == 1 and ask("/review-queue")[1] == []
+        assert not ask("/index/progress")[1]["running"] and ask("/index/cancel", {})[0] == 200
+    finally:
+        server.shutdown()
+        server.server_close()
+
+
+def test_loose_documents_and_entries(spark):
+    from findery.operators import search
+
+    kw = spark.createDataFrame([("compressor", "d1", 0), ("compressorstation", "d2", 0), ("pump", "d3", 0)], "token string, doc_id string, pos int")
+    got = search.loose_documents(spark.createDataFrame([("compressor",)], "q_token string"), kw).collect()
+    assert [(r.doc_id, r.token) for r in got] == [("d2", "compressorstation")]
+    env = spark.createDataFrame([(1, "q", ["d1"], [1.0], False, 3, False)], "query_id int, raw_query string, top_doc_ids array<string>, scores array<double>, ambiguous boolean, candidate_count long, used_llm_rerank boolean")
+    row = fb.entries(env, spark.createDataFrame([(1, "d1", True)], "query_id int, chosen_doc_id string, correct boolean"), "t").first()
+    assert (row.query, row.chosen_doc_id, row.correct) == ("q", "d1", True)
