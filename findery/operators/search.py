@@ -195,10 +195,12 @@ def search(queries: DataFrame, index: Index, rules: Rules, ranking: Ranking, top
     """
     parsed = parse_queries(queries, rules)
     records = index.records.where(in_scope(extensions, folders)).select("doc_id", "file_path", "file_ext", "indexed_at", *RECORD_FIELDS, "year", "extraction_status")
-    rows = score_candidates(parsed, candidates(parsed, index), records, ranking)
+    found = candidates(parsed, index)
+    rows = score_candidates(parsed, found, records, ranking)
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "file_path", "doc_id")
     ranked = rows.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= max(2, top))
-    counts = rows.groupBy("query_id").agg(F.count("*").alias("candidate_count"))
+    # counted apart from ranking, so that ranking needs no more than the best rows of each task
+    counts = found.join(records.select("doc_id"), "doc_id").groupBy("query_id").agg(F.count("*").alias("candidate_count"))
     second = F.lead("score").over(best)
     weak = F.when(F.col("rank") == 1, (F.col("score") < ranking.weak_below) | F.coalesce(F.col("score") - second < ranking.close_within, F.lit(False)))
     ranked = ranked.withColumn("_weak", weak)
