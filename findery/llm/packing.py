@@ -34,7 +34,7 @@ LARGE = (1 / 4, 2 / 5, 1 / 2)
 #: White-space separated strings, and pre-tokens, whose ids a worker remembers.
 MEMO_WORDS = 600_000
 #: Pieces that share a rank counter, about.
-RANK_ROWS = 50_000
+RANK_ROWS = 1000
 
 
 # ---- tokens ----------------------------------------------------------------------------------------
