@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 from .common import hash_order, slices
 
 SLOT_BITS, MAX_GRAM = 18, 4
-#: Most rows that are learnt from in all, landmarks among them in all, and languages.
-MAX_ROWS, LANDMARKS, MAX_LANGS, MIN_ROWS = 1600, 96, 100, 5
+#: Rows that are learnt from and landmarks among them; each language has ``LANG_ROWS`` rows (or all it has) and a landmark at least.
+MAX_ROWS, LANDMARKS, LANG_ROWS = 1600, 96, 5
 RIDGE, SHARPNESS = 1e-2, 6.0
 BLOCK = 1 << 20
 
@@ -74,16 +74,16 @@ class Model:
 def train(docs: DataFrame, max_rows: int = MAX_ROWS, landmarks: int = LANDMARKS) -> Model:
     """Learn from the rows of ``docs`` (``doc_id, text, lang``) whose text and lang are not null.
 
-    Rows come in a fixed hash order, equally many per language, ``max_rows`` in all at most; each reaches the
-    driver as a bitmap of fixed size. Of more than ``MAX_LANGS`` languages the most frequent are learnt,
-    and none with under ``MIN_ROWS`` rows. Without any, every text is ``und``.
+    Rows come in a fixed hash order, equally many per language, ``max_rows`` in all or ``LANG_ROWS`` for each
+    language; each reaches the driver as a bitmap of fixed size. Every language is learnt, so rows, landmarks
+    and the model grow with their number. Without any, every text is ``und``.
     """
     usable = docs.where("text is not null and lang is not null")
-    counts = usable.groupBy("lang").count().where(F.col("count") >= MIN_ROWS).orderBy(F.desc("count"), "lang").limit(MAX_LANGS).collect()
+    counts = usable.groupBy("lang").count().collect()
     if not counts:
         return Model([], np.full(1 << SLOT_BITS, -1), np.zeros((0, 0), np.float32))
     langs = sorted(r.lang for r in counts)
-    each = max(MIN_ROWS, max_rows // len(langs))
+    each = max(LANG_ROWS, max_rows // len(langs))
     share = F.create_map(*(x for r in counts for x in (F.lit(r.lang), F.lit(min(1.0, (2 * each + 50) / r["count"])))))
     order = hash_order(F.col("doc_id"))
     drawn = usable.where((F.pmod(order, F.lit(1 << 30)) / float(1 << 30)) < share[F.col("lang")])
@@ -100,7 +100,7 @@ def train(docs: DataFrame, max_rows: int = MAX_ROWS, landmarks: int = LANDMARKS)
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(bits, pa.binary())], ["lang", "rank", "bits"])
 
     rows = sorted(ranked.select("lang", "rank", "text").mapInArrow(bitmaps, "lang string, rank int, bits binary").collect(), key=lambda r: (r["rank"], r.lang))
-    return fit(langs, [r.lang for r in rows], [r.bits for r in rows], landmarks)
+    return fit(langs, [r.lang for r in rows], [r.bits for r in rows], max(landmarks, len(langs)))
 
 
 def fit(langs: list[str], of: list[str], bits: list[bytes], landmarks: int) -> Model:
@@ -114,7 +114,7 @@ def fit(langs: list[str], of: list[str], bits: list[bytes], landmarks: int) -> M
     used = np.flatnonzero(first.any(0))
     slot_of = np.full(1 << SLOT_BITS, -1, np.int32)
     slot_of[used] = np.arange(len(used))
-    base = (first[:, used] / root[: len(first), None]).astype(np.float32)
+    base = first[:, used] * (1 / root[: len(first), None]).astype(np.float32)
     k_nm = np.concatenate([(marks(a, a + 64)[:, used].astype(np.float32) / root[a : a + 64, None]) @ base.T for a in range(0, len(bits), 64)]).astype(np.float64)
     value, vector = np.linalg.eigh(k_nm[: len(first)])
     good = value > 1e-6 * value.max()
@@ -125,6 +125,16 @@ def fit(langs: list[str], of: list[str], bits: list[bytes], landmarks: int) -> M
     return Model(langs, slot_of, (base.T @ (to_features @ solved).astype(np.float32)).astype(np.float32))
 
 
+def with_letters(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose ``text`` has a letter."""
+
+    def run(batches):
+        for part in slices(batches, 128):
+            yield part.filter(pa.array([bool(t) and has_letter(t) for t in part.column(part.schema.get_field_index("text")).to_pylist()], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def identify(docs: DataFrame, model: Model) -> DataFrame:
     """``docs`` with ``lang_pred`` and ``score``.
 
