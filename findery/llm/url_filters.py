@@ -28,28 +28,36 @@ def path_of(url: Column) -> Column:
     return F.when(path == "", "/").otherwise(path)
 
 
+def entry_key(key: Column) -> Column:
+    """``key`` as candidates spell it: lower case, no slash at the end but that of ``host/``."""
+    return F.regexp_replace(F.lower(key), "^([^/]+/.*[^/])/+$|^([^/]+/)/+$", "$1$2")
+
+
 def intervals(entries: DataFrame) -> DataFrame:
     """``(kind, key, action, valid_from, valid_to)`` from dated entries ``(kind, key, action, listed_at)``.
 
     An entry holds from its date until the key's next one; ``drop`` ends an entry without a new one. Of
     entries with one key and date, ``block`` outranks ``allow`` and that ``drop``; repeated ones count once.
-    Entries with a null column or an unknown kind or action are ignored.
+    Entries with a null column or an unknown kind or action are ignored; keys that spell one prefix are one.
     """
     sound = entries.where(F.col("kind").isin(*KINDS) & F.col("action").isin(*ACTIONS) & F.col("key").isNotNull() & F.col("listed_at").isNotNull())
     rank = F.when(F.col("action") == "block", 2).when(F.col("action") == "allow", 1).otherwise(0)
-    one = sound.groupBy("kind", F.lower("key").alias("key"), "listed_at").agg(F.max_by("action", rank).alias("action"))
+    one = sound.groupBy("kind", entry_key(F.col("key")).alias("key"), "listed_at").agg(F.max_by("action", rank).alias("action"))
     after = F.lead("listed_at").over(Window.partitionBy("kind", "key").orderBy("listed_at"))
     return one.withColumn("valid_to", after).where("action <> 'drop'").select("kind", "key", "action", F.col("listed_at").alias("valid_from"), "valid_to")
 
 
 def candidate_keys(host: Column, path: Column) -> Column:
-    """Array of ``(kind, key, depth)``: host suffixes of two labels or more, and path prefixes by segment."""
+    """Array of ``(kind, key, depth)``: host suffixes, and path prefixes by segment.
+
+    A suffix of one label counts for hosts of one or two labels only. An url whose first segment is empty
+    has the prefix ``host/`` and no other; no other url has it.
+    """
     labels = F.split(host, r"\.")
     n = F.size(labels)
-    suffixes = F.transform(F.when(n >= 2, F.sequence(F.lit(2), n)).otherwise(F.array().cast("array<int>")), lambda k: F.struct(F.lit("domain").alias("kind"), F.array_join(F.slice(labels, n - k + 1, k), ".").alias("key"), k.alias("depth")))
-    parts = F.filter(F.split(path, "/"), lambda x: x != "")
-    m = F.size(parts)
-    prefixes = F.transform(F.when(m >= 1, F.sequence(F.lit(1), m)).otherwise(F.array().cast("array<int>")), lambda k: F.struct(F.lit("prefix").alias("kind"), F.lower(F.concat(host, F.lit("/"), F.array_join(F.slice(parts, F.lit(1), k), "/"))).alias("key"), (k + 1000).alias("depth")))
+    suffixes = F.transform(F.sequence(F.when(n <= 2, 1).otherwise(2), n), lambda k: F.struct(F.lit("domain").alias("kind"), F.array_join(F.slice(labels, n - k + 1, k), ".").alias("key"), k.alias("depth")))
+    parts = F.when(F.split(path, "/")[1] == "", F.array(F.lit(""))).otherwise(F.filter(F.split(path, "/"), lambda x: x != ""))
+    prefixes = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.struct(F.lit("prefix").alias("kind"), F.lower(F.concat(host, F.lit("/"), F.array_join(F.slice(parts, F.lit(1), k), "/"))).alias("key"), (k + 1000).alias("depth")))
     return F.when(host.isNotNull(), F.concat(suffixes, prefixes))
 
 
