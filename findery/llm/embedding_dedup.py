@@ -2,9 +2,11 @@
 
 Unit vectors go to the nearest of a few coarse lists; what is left after the list's centroid is coded per
 subspace. A query visits every list whose border with its own list it could reach by ``REACH`` standard
-deviations of a shift of the linking distance in a random direction, sums table look-ups per coded vector,
+deviations of a shift of the linking distance across that border, sums table look-ups per coded vector,
 and keeps those whose coded distance is within the linking distance plus the vector's own coding error,
-which loses no true link inside a visited list. Exact cosines in double precision then decide.
+which loses no true link inside a visited list. How shifts spread over directions is measured on the sample
+(residuals, and links in it) and never taken to be less than even; a link crosses no border farther than the
+linking distance, so that is the widest probe, and vectors of few effective dimensions get it. Exact cosines in double precision then decide.
 
 Centroids and codebooks are fitted on a bounded sample; every vector is indexed. Tasks hold one chunk of a
 list at a time, count links per query and pass on a spanning forest, so no pairs are ever written.
@@ -25,6 +27,8 @@ from .graph import connected_components
 
 #: Vectors that centroids and codebooks are fitted on at most; lists; subspaces and codes in each.
 SAMPLE, MAX_LISTS, SUBSPACES, CODES = 16_000, 1024, 8, 64
+#: Fewest sampled links that their spread is taken from; fewest vectors, with fewer the probes are the widest.
+LEAST_LINKS, LEAST_VECTORS = 50, 1000
 #: Reach of the probes, in standard deviations.
 REACH = 3.0
 #: Coded vectors in one group, queries that meet them in one group, and queries compared at a time.
@@ -55,18 +59,22 @@ class Index:
     centroids: np.ndarray
     books: list[np.ndarray]
     cuts: list[int]
+    #: For each pair of lists, the share of a shift's square that lies across their border.
+    across: np.ndarray
 
     @classmethod
-    def fit(cls, units: np.ndarray) -> Index:
+    def fit(cls, units: np.ndarray, radius: float) -> Index:
         dim = units.shape[1]
         centroids = kmeans(units, int(min(MAX_LISTS, max(4, math.sqrt(len(units)) / 2))))
-        left = units - centroids[nearest(units, centroids)[0]]
+        of = nearest(units, centroids)[0]
+        left = units - centroids[of]
+        across = _across(centroids, [left, _shifts(units, of, radius)]) if len(units) >= LEAST_VECTORS else np.ones((len(centroids),) * 2)
         cuts = np.linspace(0, dim, min(SUBSPACES, dim) + 1).astype(int).tolist()
-        return cls(centroids, [kmeans(left[:, a:b], CODES) for a, b in zip(cuts, cuts[1:], strict=False)], cuts)
+        return cls(centroids, [kmeans(left[:, a:b], CODES) for a, b in zip(cuts, cuts[1:], strict=False)], cuts, across)
 
     @classmethod
     def trivial(cls, dim: int) -> Index:
-        return cls(np.zeros((1, dim)), [np.zeros((1, dim))], [0, dim])
+        return cls(np.zeros((1, dim)), [np.zeros((1, dim))], [0, dim], np.zeros((1, 1)))
 
     def encode(self, units: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """List, codes and coding error of each row."""
@@ -88,7 +96,7 @@ class Index:
             between = apart[i] if apart is not None else np.sqrt(np.maximum(((self.centroids - self.centroids[i]) ** 2).sum(1), 1e-24))
             gap = (row - row[i]) / (2 * between)
             gap[i] = 0
-            out.append(np.flatnonzero(gap <= REACH * radius / math.sqrt(units.shape[1])))
+            out.append(np.flatnonzero(gap <= radius * np.minimum(1, REACH * np.sqrt(self.across[i])) + 1e-9))
         return out
 
     def distances(self, units: np.ndarray, which: int, codes: np.ndarray) -> np.ndarray:
@@ -102,6 +110,37 @@ class Index:
         return out
 
 
+def _shifts(units: np.ndarray, of: np.ndarray, radius: float) -> np.ndarray:
+    """Shifts from vectors to their nearest others within ``radius``, over all lists; ``of`` orders the comparisons."""
+    order = np.argsort(of, kind="stable")
+    starts = order[np.linspace(0, len(order) - 1, min(len(order), 2048)).astype(int)]
+    out = []
+    for at in range(0, len(starts), BLOCK):
+        rows = starts[at : at + BLOCK]
+        cosine = units[rows] @ units.T
+        cosine[np.arange(len(rows)), rows] = -1
+        best = cosine.argmax(1)
+        near = cosine.max(1) >= 1 - radius * radius / 2
+        out.append(units[best[near]] - units[rows[near]])
+    return np.concatenate(out)
+
+
+def _across(centroids: np.ndarray, shifts: list[np.ndarray]) -> np.ndarray:
+    """The largest mean share, over the kinds of shifts, of a shift's square along the line between two centroids; even spread at least."""
+    share = np.full((len(centroids),) * 2, 1 / centroids.shape[1])
+    for x in shifts:
+        length = np.sqrt((x * x).sum(1))
+        x = x[length > 1e-9] / length[length > 1e-9, None]
+        if len(x) < LEAST_LINKS:
+            continue
+        spread = x.T @ x / len(x)
+        turned = centroids @ spread
+        own = (turned * centroids).sum(1)
+        apart = np.maximum((centroids * centroids).sum(1)[:, None] + (centroids * centroids).sum(1)[None] - 2 * centroids @ centroids.T, 1e-24)
+        share = np.maximum(share, np.clip((own[:, None] + own[None] - 2 * turned @ centroids.T) / apart, 0, 1))
+    return share
+
+
 def _unit(raw: np.ndarray) -> np.ndarray:
     x = raw.astype(np.float64)
     x = x / np.abs(x).max(1, keepdims=True)
@@ -140,7 +179,7 @@ def near_duplicate_vectors(rows: DataFrame, min_cosine: float = 0.93, id_col: st
     src = src.withColumn("cid", F.when(F.coalesce(sound, F.lit(False)), F.xxhash64("label", "v")))
     grouped = src.where("cid is not null").groupBy("cid").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n"), F.first("label").alias("label"), F.first("v").alias("v"))
     classes = materialize(grouped.withColumn("dim", F.size("v")), "vectors")
-    indexes = _fit(classes)
+    indexes = _fit(classes, radius)
     found = materialize(_search(classes, indexes, radius, min_cosine), "links")
     links = found.where("cid is not null").groupBy("cid").agg(F.sum("links").alias("links"))
     parts = connected_components(found.where("u is not null").select("u", "v")).withColumnRenamed("node", "rep")
@@ -150,14 +189,14 @@ def near_duplicate_vectors(rows: DataFrame, min_cosine: float = 0.93, id_col: st
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
 
 
-def _fit(classes: DataFrame, sample: int = SAMPLE) -> dict[int, Index]:
+def _fit(classes: DataFrame, radius: float, sample: int = SAMPLE) -> dict[int, Index]:
     n = classes.count()
     order = hash_order(F.col("cid"))
     drawn = classes.where(F.pmod(order, F.lit(1 << 30)) < (1 << 30) * min(1.0, 1.2 * sample / max(n, 1))).orderBy(order, "cid").limit(sample).select("dim", "v").collect()
     by: dict[int, list] = {}
     for r in drawn:
         by.setdefault(r.dim, []).append(r.v)
-    return {dim: Index.fit(_unit(np.array(vs, np.float32))) for dim, vs in by.items()}
+    return {dim: Index.fit(_unit(np.array(vs, np.float32)), radius) for dim, vs in by.items()}
 
 
 def _search(classes: DataFrame, indexes: dict[int, Index], radius: float, min_cosine: float) -> DataFrame:
