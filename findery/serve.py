@@ -41,7 +41,8 @@ class Service:
         return 200, {k: [list(r) for r in v.collect()] for k, v in rows.items()} | {"pending": facets.pending(records).first().pending}
 
     def review_queue(self, _):
-        return 200, [r.asDict() for r in logs.review_queue(self.spark, f"{self.log_dir}/review_queue").orderBy("timestamp").limit(1000).collect()]
+        """All entries, the oldest first."""
+        return 200, [r.asDict() for r in logs.review_queue(self.spark, f"{self.log_dir}/review_queue").orderBy("timestamp").toLocalIterator()]
 
     def runs(self, _):
         return 200, [r.asDict() for r in facets.recent_runs(logs.index_runs(self.spark, f"{self.log_dir}/index_runs")).collect()]
