@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import argparse
+import importlib
 import os
 import re
 from datetime import datetime, timezone
@@ -11,6 +12,7 @@ from pyspark.sql import SparkSession
 
 from findery import schema
 from findery.config import load_config
+from findery.jobs import deep_scan
 from findery.operators import facets, feedback, records, search
 from findery.sources import corpus, logs
 from findery.sources.store import Store, index_files
@@ -26,6 +28,11 @@ def parser() -> argparse.ArgumentParser:
     a.add_argument("--corpus-root", required=True)
     a.add_argument("--rebuild", action="store_true")
     a.add_argument("--drop-deleted", action="store_true")
+    a = sub.add_parser("deep-scan", help="read pending documents; no reader or OCR backend is shipped")
+    a.add_argument("--reader", required=True, help="module:name, called with the corpus root for a Reader")
+    a.add_argument("--ocr", required=True, help="module:name, called for an OcrBackend")
+    a.add_argument("--corpus-root", help="instead of the root that was indexed")
+    a.add_argument("--chunk", type=int, help="records after which the results are published")
     a = sub.add_parser("search")
     a.add_argument("query")
     a.add_argument("--top", type=int, default=3)
@@ -48,6 +55,12 @@ def project_rule(name: str) -> str:
     return f'"{name}" = ["{re.escape(name).replace(chr(92) + " ", chr(92) + "s*").replace(chr(92), chr(92) * 2)}"]'
 
 
+def backend(name: str, *args: str):
+    """What ``module:name`` makes of the arguments."""
+    module, _, attribute = name.partition(":")
+    return getattr(importlib.import_module(module), attribute)(*args)
+
+
 def main(argv: list[str] | None = None) -> int:
     args = parser().parse_args(argv)
     spark = SparkSession.builder.appName("findery").getOrCreate()
@@ -59,6 +72,13 @@ def main(argv: list[str] | None = None) -> int:
         logs.append(row, f"{args.log_dir}/index_runs")
         r = row.first()
         print(f"{r.total_files} files, {r.processed} processed, {r.skipped_unchanged} unchanged, {facets.pending(store.records()).first().pending} pending")
+    elif args.command == "deep-scan":
+        if (current := store.current()) is None:
+            print("Nothing is indexed yet; run index first.")
+            return 1
+        reader = backend(args.reader, os.path.abspath(args.corpus_root) if args.corpus_root else current.corpus_root)
+        counts = deep_scan(store, args.log_dir, reader, backend(args.ocr), config, datetime.now(timezone.utc).isoformat(), args.chunk)
+        print(f"{counts.get('filled', 0)} filled, {counts.get('review', 0)} to review")
     elif args.command == "search":
         if (index := store.index()) is None:
             print("Nothing is indexed yet; run index first.")
