@@ -9,6 +9,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.functions import arrow_udf
 
 #: Rows that one Python step takes from an Arrow batch at a time; bounds the objects alive at once.
 SLICE_ROWS = 512
@@ -71,6 +72,87 @@ def arrow_pass(df: DataFrame, step: Callable[[pa.RecordBatch], pa.RecordBatch |
     return df.mapInArrow(run, schema)
 
 
+def text_column(step: Callable[[list[bytes | None]], pa.Array], kind: str) -> Callable[[Column], Column]:
+    """A column of ``kind`` from whole texts, as UTF-8 bytes in slices of bounded length.
+
+    Only the text goes to Python and only the result comes back; the rest of the row waits in the JVM. It is
+    marked as not deterministic, so that no plan evaluates it twice.
+    """
+
+    @arrow_udf(kind)
+    def run(texts: pa.Array) -> pa.Array:
+        raw = texts.cast(pa.binary())
+        parts = [step(raw.slice(at, SLICE_ROWS).to_pylist()) for at in range(0, max(1, len(raw)), SLICE_ROWS)]
+        return pa.concat_arrays(parts) if len(parts) > 1 else parts[0]
+
+    found = run.asNondeterministic()
+    return lambda text: found(text.cast("string"))
+
+
+class Memo(dict):
+    """``make(key)`` for every key asked for, remembered until the keys take about ``MEMO_BYTES``."""
+
+    #: Bytes of an entry besides its key's and value's own length, and bytes that all may take.
+    ENTRY_BYTES, MEMO_BYTES = 180, 64 << 20
+
+    def __init__(self, make: Callable | None):
+        super().__init__()
+        self.make, self.taken = make, 0
+
+    def __missing__(self, key):
+        if self.make is None:
+            raise KeyError(key)
+        self.forget()
+        value = self.make(key)
+        self.put(key, value)
+        return value
+
+    def put(self, key, value) -> None:
+        self.taken += self.ENTRY_BYTES + len(key) + (len(value) if isinstance(value, (bytes, str)) else 0)
+        self[key] = value
+
+    def forget(self) -> None:
+        """Be empty again beyond the limit."""
+        if self.taken > self.MEMO_BYTES:
+            self.clear()
+            self.taken = 0
+
+
+_held: dict[object, object] = {}
+
+
+def held(name: object, make: Callable[[], object]):
+    """What ``make`` gave for ``name`` in this worker. A worker outlives its stage, so it holds one such thing at a time."""
+    if name not in _held:
+        _held.clear()
+        _held[name] = make()
+    return _held[name]
+
+
+def columns_of(df: DataFrame, *without: str) -> list[Column]:
+    """The columns of ``df`` whose names are not in ``without``, whatever signs the names hold."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns if c not in without]
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, with underscores in front until ``df`` has no such column."""
+    known = {c.lower() for c in df.columns}
+    while name.lower() in known:
+        name = "_" + name
+    return name
+
+
+def without_copies(docs: DataFrame, of: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """The rows of ``docs`` but those whose id never is its own component in ``of`` (``doc_id, component_id``).
+
+    Rows with a null id stay. The ids that go are usually few, so Spark may find them small enough to broadcast.
+    """
+    own = F.bool_or(F.col("doc_id") == F.col("component_id"))
+    gone = of.where("doc_id is not null").groupBy(F.col("doc_id").alias("_gone")).agg(own.alias("own")).where("not own").select("_gone")
+    named = docs.where(docs[id_col].isNotNull())
+    return named.join(gone, named[id_col] == gone["_gone"], "left_anti").unionByName(docs.where(docs[id_col].isNull()))
+
+
 def hash_order(*cols: Column) -> Column:
     """A fixed pseudo-random order of rows, the same on every run and cluster."""
     return F.xxhash64(F.lit("findery"), *cols)

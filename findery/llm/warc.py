@@ -102,16 +102,19 @@ def write(pages: DataFrame, folder: str | None = None) -> Archive:
     """Write a record per row of ``pages`` (``page_id, url, html``) below ``folder``, and the index.
 
     Null html is an empty payload. Of equal payloads of ``MIN_REVISIT_BYTES`` or more, rows with the
-    smallest page_id are responses and the others revisits of it; rows with a null id are responses. Files
-    have names of their own per attempt, so a lost or repeated task leaves at most files nobody refers to.
+    smallest page_id are responses and the others revisits of it; rows with a null id are responses. A repeated
+    id is settled for each of its payloads apart. An empty table gives an empty archive; other columns are
+    ignored, whatever their names. Files have names of their own per attempt, so a lost or repeated task
+    leaves at most files nobody refers to.
     """
     spark = pages.sparkSession
     folder = folder or scratch_path(spark, "warc")
     src = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary").alias("payload"))
-    sizes = src.select("page_id", F.length("payload").alias("size"), F.sha2("payload", 256).alias("digest")).where(f"size >= {MIN_REVISIT_BYTES} and page_id is not null")
+    src = src.withColumn("digest", F.sha2("payload", 256))
+    sizes = src.select("page_id", F.length("payload").alias("size"), "digest").where(f"size >= {MIN_REVISIT_BYTES} and page_id is not null")
     firsts = sizes.groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.max("page_id").alias("last")).where("refers_to < last")
-    revisits = sizes.join(firsts, "digest").where("page_id > refers_to").select("page_id", F.col("digest").alias("same"), "refers_to").distinct()
-    joined = src.join(revisits, "page_id", "left").select("page_id", "url", "payload", F.sha2("payload", 256).alias("digest"), "same", "refers_to")
+    revisits = sizes.join(firsts, "digest").where("page_id > refers_to").select("page_id", "digest", "refers_to").distinct()
+    joined = src.join(revisits, ["page_id", "digest"], "left").select("page_id", "url", "payload", "digest", "refers_to")
 
     def run(batches):
         fs, root = _filesystem(folder)
@@ -119,8 +122,8 @@ def write(pages: DataFrame, folder: str | None = None) -> Archive:
         out, name, at = None, "", 0
         for part in slices(batches, 256):
             rows = []
-            for page, url, payload, digest, same, refers in zip(*(c.to_pylist() for c in part.columns), strict=True):
-                raw = zlib_member(record(page, url, payload, len(payload), digest, refers if same == digest else None))
+            for page, url, payload, digest, refers in zip(*(c.to_pylist() for c in part.columns), strict=True):
+                raw = zlib_member(record(page, url, payload, len(payload), digest, refers))
                 if out is None or at + len(raw) > FILE_BYTES:
                     if out is not None:
                         out.close()
@@ -176,7 +179,7 @@ def _index(captures: DataFrame, folder: str) -> DataFrame:
 
     page = F.when(F.col("page_id").isNull(), "").otherwise(F.lpad((F.col("page_id").cast("decimal(20,0)") + F.lit(str(1 << 63)).cast("decimal(20,0)")).cast("string"), 20, "0"))
     key = F.concat_ws(" ", "key", page, "file", F.format_string("%012d", "offset"))
-    line = F.concat_ws("\t", key, F.to_json(F.struct("page_id", "file", "offset", "length")))
+    line = F.concat_ws("\t", key, F.to_json(F.struct("page_id", "url", "file", "offset", "length")))
     sorted_ = captures.select(key.alias("position"), line.alias("line")).repartitionByRange("position").sortWithinPartitions("position").select("line")
     return materialize(sorted_.mapInArrow(run, "first string, file string, offset long, length long, lines int"), "directory")
 
@@ -186,7 +189,7 @@ def lookup(archive: Archive, wanted: DataFrame) -> DataFrame:
 
     A query's position is searched in the directory (at most ``MAX_BLOCKS`` keys), queries meet at their
     block, and each block is read once per group of queries by its byte range. An unknown url or page gives
-    no row; a page captured more than once gives a row per capture.
+    no row; a page captured more than once from one url gives a row per capture, repeated queries give no more.
     """
     rows = sorted(archive.directory.select("first", "file", "offset", "length").collect(), key=lambda r: r["first"].encode())
     if not rows:
@@ -223,7 +226,9 @@ def lookup(archive: Archive, wanted: DataFrame) -> DataFrame:
                     keys, block = [x.partition(b"\t")[0] for x in lines], k
                 at = bisect_left(keys, lo)
                 while at < len(keys) and keys[at].startswith(lo):
-                    out.append(json.loads(lines[at].partition(b"\t")[2]) | {"url": url})
+                    capture = json.loads(lines[at].partition(b"\t")[2])
+                    if capture.setdefault("url") == url:  # urls that differ may have one key
+                        out.append(capture)
                     at += 1
             if out:
                 yield pa.RecordBatch.from_pylist(out, schema=pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("file", pa.string()), ("offset", pa.int64()), ("length", pa.int64())]))
@@ -257,6 +262,9 @@ def read_records(archive: Archive, places: DataFrame) -> DataFrame:
 
 
 def read_back(spark: SparkSession, pages: DataFrame, folder: str | None = None) -> DataFrame:
-    """Write ``pages``, look every page up in the index and read its record: one row per row of ``pages``."""
+    """Write ``pages``, look every page up in the index and read its record: one row per row of ``pages``.
+
+    Repeated rows, repeated ids with other urls or payloads, and null ids, urls and html all come back.
+    """
     archive = write(pages, folder)
     return read_records(archive, lookup(archive, pages.select("page_id", "url")))

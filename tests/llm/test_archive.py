@@ -1,20 +1,12 @@
-"""WARC round trips, URL filters, and the pipeline against its parts."""
+"""WARC round trips and URL filters."""
 
 import datetime as dt
-import sys
-import zlib
-from pathlib import Path
+import hashlib
+import random
 
-import duckdb
-import numpy as np
 import pytest
 
-import corpus_pipeline
-from findery.llm import language_id, queries, url_filters, warc
-
-sys.path.insert(0, str(Path(__file__).parent))
-from test_dedup import components, slow_fingerprint, words_of  # noqa: E402
-from test_text import slow_stats  # noqa: E402
+from findery.llm import url_filters, warc
 
 PAGES = [
     (1, "http://www.A.org:80/x?y#z", "p" * 200), (2, "https://a.org/x", "p" * 200), (3, None, None), (4, "not a url", ""), (5, "http://[bad", "short"),
@@ -68,75 +60,21 @@ def test_url_filters(spark):
     assert "Python" not in plan and "Arrow" not in plan
 
 
-@pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
-def test_against_sql(spark, name):
-    sf = "/root/testdata/sf0.001"
-    con = duckdb.connect()
-    con.execute(f"CREATE VIEW pages AS SELECT * FROM read_parquet('{sf}/pages.parquet')")
-    cur = con.execute(queries.ORACLE_SQL[name])
-    cols = sorted(d[0] for d in cur.description)
-    at = [[d[0] for d in cur.description].index(c) for c in cols]
-    got = queries.QUERIES[name](spark, sf)
-    assert sorted(tuple(str(r[c]) for c in cols) for r in got.collect()) == sorted(tuple(str(r[k]) for k in at) for r in cur.fetchall())
-
-
-def brute_pipeline(rows, labelled, model):
-    """The five stages in plain Python over ``(doc_id, text)``: after each, id to text; at last the pieces."""
-    tokenizers = pytest.importorskip("tokenizers")
-    assert len(labelled) < 500  # too few to certify a cutoff, so only the base rules decide
-    kept = {}
-    for i, t in rows:
-        n, _, _, _, repeated = slow_stats(t)
-        if n >= 50 and 100 * repeated <= 50 * n:
-            kept[i] = t
-    best, score = model.scores(list(kept.values()))
-    spoken = {i: t for (i, t), b, s in zip(kept.items(), best, score, strict=True) if b >= 0 and s >= 0.5}
-    fps = {i: slow_fingerprint(t) for i, t in spoken.items()}
-    near = components(list(fps), [(a, b) for a in fps for b in fps if a < b and (fps[a] ^ fps[b]).bit_count() <= 3])
-    single = {i: t for i, t in spoken.items() if near[i] == i}
+def test_repeated_ids_with_other_payloads(spark):
+    rnd = random.Random(4)
+    payloads = ["a" * 200, "b" * 200, "é" * 60, "c" * 99, "d" * 100, "", None]
+    urls = ["http://a.org/x", "https://a.org/x", "http://b.org/", None, "", "junk"]
+    rows = [(rnd.choice([1, 2, 9, 9, 9, 20, 21, None]), rnd.choice(urls), rnd.choice(payloads)) for _ in range(150)]
+    rows += [(1, "http://a.org/x", "a" * 200), (2, "http://a.org/x", "b" * 200), (9, "http://a.org/x", "a" * 200), (9, "http://a.org/x", "b" * 200)]
+    pages = spark.createDataFrame([(*r, 5, "x") for r in rows], "page_id long, url string, html string, size int, digest string").repartition(5)
     first = {}
-    for i in sorted(single):
-        w = words_of(single[i])
-        for k in range(len(w) - 49):
-            first.setdefault(tuple(w[k : k + 50]), i)
-    left = {}
-    for i, t in single.items():
-        w = words_of(t)
-        gone = [False] * len(w)
-        for k in range(len(w) - 49):
-            if first[tuple(w[k : k + 50])] < i:
-                gone[k : k + 50] = [True] * 50
-        left[i] = " ".join(x for x, g in zip(w, gone, strict=True) if not g) if any(gone) else t
-    whole = tokenizers.Tokenizer.from_file(queries.tokenizer_path(queries.WORD_BPE))
-    out = []
-    for i, t in left.items():
-        ids = np.array([*whole.encode(t, add_special_tokens=False).ids, 0], "<u4")
-        out += [(i, k, at, len(ids[at : at + 2048]), zlib.crc32(ids[at : at + 2048].tobytes())) for k, at in enumerate(range(0, len(ids), 2048))]
-    return kept, spoken, single, left, out
-
-
-def test_pipeline(spark, tmp_path):
-    pytest.importorskip("public_tokenizers")
-    sf = "/root/testdata/sf0.001"
-    docs = spark.read.parquet(f"{sf}/documents.parquet")
-    rows = [(r.doc_id, r.text) for r in docs.collect()]
-    labelled = spark.read.parquet(f"{sf}/labels.parquet").collect()
-    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
-        before, docs = docs, stage(spark, docs, sf)
-        docs.write.parquet(f"{tmp_path}/{k}")
-        docs = spark.read.parquet(f"{tmp_path}/{k}")
-        if k < 4:
-            assert docs.columns == before.columns
-        if k == 0:
-            model = language_id.train(docs)
-    want = brute_pipeline(rows, labelled, model)
-    for k in range(4):
-        assert {r.doc_id: r.text for r in spark.read.parquet(f"{tmp_path}/{k}").collect()} == want[k]
-    cols = ["doc_id", "piece", "start", "length", "ids_crc32"]
-    assert sorted(map(tuple, docs.select(cols).collect())) == sorted(want[4])
-    assert sorted(map(tuple, corpus_pipeline.run(spark, sf).select(cols).collect())) == sorted(want[4])
-    fill = {}
-    for r in docs.collect():
-        fill.setdefault(r.sequence_id, []).append((r.offset, r.length))
-    for parts in fill.values():
-        assert sum(n for _, n in parts) <= 2048 and all(o == sum(n for p, n in parts if p < o) for o, _ in parts)
+    for i, _, h in rows:
+        if i is not None and h is not None and len(h.encode()) >= 100:
+            first[h] = min(i, first.get(h, i))
+    want = []
+    for i, _, h in rows:
+        refers = first[h] if i is not None and h in first and first[h] < i else None
+        raw = (h or "").encode()
+        want.append((i, len(raw), hashlib.sha256(raw).hexdigest(), "response" if refers is None else "revisit", refers))
+    got = [(r.page_id, r.size, r.digest, r.record_type, r.refers_to) for r in warc.read_back(spark, pages).collect()]
+    assert sorted(map(str, got)) == sorted(map(str, want))
