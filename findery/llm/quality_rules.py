@@ -1,44 +1,51 @@
 """Quality rules whose cutoffs are certified on labelled holdouts.
 
-Each rule rejects a text whose statistic exceeds a cutoff. For every stratum (language) and rule, the
-cutoffs of a fixed grid are tried from the loosest on: a cutoff is certified while the exact binomial
-test rejects "its false rejection rate is over the rule's share of the limit". The level is divided by
-the number of strata and rules (Bonferroni); the fixed order along the grid needs no further correction.
-So with probability ``1 - delta`` at least, no stratum loses more than ``alpha`` of its good documents to
-these rules. Among certified cutoffs the one that rejects fewest good holdouts while catching nearly all
-the bad ones that any certified cutoff catches is taken. A stratum with too few labels gets no cutoff.
+Each rule rejects a text whose statistic exceeds a cutoff. For every stratum (language) one path of joint
+cutoffs is laid out by the bad documents and a fixed fifth of the good ones: at each step a rule may reject what
+is so many times commoner among the bad ones, and the factor falls from step to step. The other good documents
+certify the path: a step holds while the exact binomial test rejects "all rules together reject more than
+``alpha`` of the good documents", at a level divided by the number of strata (Bonferroni); the fixed order
+along the path needs no further correction. So with probability ``1 - delta`` at least, no stratum loses more
+than ``alpha`` of its good documents to these rules. Of the certified steps the first one that catches nearly
+all the bad ones that the last catches is taken. A stratum with too few labels gets no cutoff.
 """
 
 from __future__ import annotations
 
 import math
+import re
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, utf8
+from .common import columns_of, text_column, unused
 
 SPACES, SYMBOLS = b"\x20\x09\x0a\x0b\x0c\x0d", b"#*$%&|<>"
 STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_marks")
-#: Rule name to the expression of its statistic; larger is worse.
+#: Rule name to the two counts whose ratio is its statistic; larger is worse.
 RULES = {
-    "symbols": "n_symbols / greatest(word_chars, 1)",
-    "dup_lines": "n_dup_lines / greatest(n_lines, 1)",
-    "repeats": "n_repeat_words / greatest(n_words, 1)",
-    "marks": "n_marks / greatest(n_words, 1)",
+    "symbols": ("n_symbols", "word_chars"),
+    "dup_lines": ("n_dup_lines", "n_lines"),
+    "repeats": ("n_repeat_words", "n_words"),
+    "marks": ("n_marks", "n_words"),
 }
 #: Cutoffs that each rule may take, from the loosest: equal steps of the square root.
 GRID = tuple(round((k / 64) ** 2, 6) for k in range(63, 0, -1))
+#: At each step of a path, how many times commoner rejection must be among the bad documents.
+LIFTS = tuple(round(64 ** (1 - t / 60), 6) for t in range(1, 61))
+STEPS = len(LIFTS)
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 
+MARKS = re.compile(rb"[!?]{2}")
+
 
 def text_stats(text: bytes | None) -> tuple[int, ...]:
     """The counts named in ``STATS``; all 0 for null and empty texts.
 
-    ``n_lines`` counts lines with a word, ``n_marks`` the words that end in ``!!`` or worse.
+    ``n_lines`` counts lines with a word, ``n_marks`` the words with two exclamation or question marks in a row.
     """
     text = text or b""
     words = text.split()
@@ -47,14 +54,10 @@ def text_stats(text: bytes | None) -> tuple[int, ...]:
     chars = len(solid) - int(((np.frombuffer(solid, np.uint8) & 0xC0) == 0x80).sum()) if not solid.isascii() else len(solid)
     symbols = len(solid) - len(solid.translate(None, SYMBOLS))
     lines = [x for x in text.split(b"\n") if x and not x.isspace()]
-    marks = sum(map(_shouts, words)) if b"!!" in text else 0
+    marks = sum(1 for w in words if MARKS.search(w)) if MARKS.search(text) else 0
     return n, chars, symbols, len(lines) - len(set(lines)), _repeat_words(words), len(lines), marks
 
 
-def _shouts(word: bytes) -> bool:
-    return word.endswith(b"!!")
-
-
 def _repeat_words(words: list[bytes], size: int = 3) -> int:
     """Words covered by ``size``-word windows that occur twice or more, first occurrences included."""
     n = len(words)
@@ -81,21 +84,30 @@ def _repeat_words(words: list[bytes], size: int = 3) -> int:
     return int(covered.sum())
 
 
-def with_stats(docs: DataFrame, keep_text: bool = True) -> DataFrame:
-    """``docs`` with the columns of ``STATS`` (longs) and ``base_failed``; columns of those names are replaced."""
-    own = [c for c in docs.columns if c not in STATS and c not in ("base_failed", "text")]
-    src = docs.select(*own, F.col("text").cast("string").alias("text"))
-    out = own + ["text"] * keep_text
+def stats_of(text: Column) -> Column:
+    """A struct of the counts in ``STATS``."""
+
+    def step(texts: list[bytes | None]) -> pa.Array:
+        rows = np.array([text_stats(t) for t in texts], np.int64).reshape(-1, len(STATS))
+        return pa.StructArray.from_arrays([pa.array(c) for c in rows.T.copy()], STATS)
 
-    def run(batches):
-        for part in slices(batches):
-            rows = np.array([text_stats(t) for t in utf8(part, "text")], np.int64).reshape(-1, len(STATS))
-            cols = part.columns if keep_text else part.columns[:-1]
-            yield pa.RecordBatch.from_arrays([*cols, *(pa.array(c) for c in rows.T.copy())], [*out, *STATS])
+    return text_column(step, "struct<" + ", ".join(f"{s}: long" for s in STATS) + ">")(text)
+
+
+def failed(n_words: Column, n_repeat_words: Column) -> Column:
+    """The base rules: too few words, or too many of them in repeated windows."""
+    return (n_words < MIN_WORDS) | (100 * n_repeat_words > MAX_REPEAT_PERCENT * n_words)
+
+
+def with_stats(docs: DataFrame, keep_text: bool = True) -> DataFrame:
+    """``docs`` with the columns of ``STATS`` (longs) and ``base_failed``; columns of those names are replaced.
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in src.select(out).schema)
-    got = src.mapInArrow(run, ", ".join([fields, *(f"{s} long" for s in STATS)]))
-    return got.withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words")))
+    Null and empty texts have counts of 0 and fail the base rules; repeated rows and null ids are rows like others.
+    """
+    name = unused(docs, "_stats")
+    own = columns_of(docs, *STATS, "base_failed", *(() if keep_text else ("text",)))
+    got = docs.select(*own, stats_of(F.col("text")).alias(name)).select(*own, *(F.col(f"{name}.{s}").alias(s) for s in STATS))
+    return got.withColumn("base_failed", failed(F.col("n_words"), F.col("n_repeat_words")))
 
 
 def binomial_tail(k: int, n: int, p: float) -> float:
@@ -114,61 +126,108 @@ class Limits:
 
     alpha: float = 0.02
     delta: float = 0.05
-    #: Share of the bad documents that the strictest certified cutoff catches, to be caught at least.
+    #: Share of the bad documents that the last certified step catches, to be caught at least.
     catch: float = 0.98
 
 
-def stratum():
-    return F.coalesce(F.col("lang").cast("string"), F.lit("und"))
+def _ratio(rule: str, of=F.col) -> Column:
+    count, base = RULES[rule]
+    return of(count) / F.greatest(of(base), F.lit(1))
 
 
-def _steps(stat):
+def _passed(stat: Column, cutoffs: Column) -> Column:
     """How many of the cutoffs, counted from the loosest, leave a text with this statistic alone."""
-    return F.size(F.filter(F.array(*(F.lit(float(c)) for c in GRID)), lambda c: stat <= c))
+    return F.size(F.filter(cutoffs, lambda c: stat <= c))
+
+
+def stratum_of(lang: Column) -> Column:
+    return F.coalesce(lang.cast("string"), F.lit("und"))
+
+
+def design_fold(doc_id: Column) -> Column:
+    """True for the fixed fifth of the good documents that helps to lay out the path."""
+    return F.conv(F.substring(F.md5(doc_id.cast("string").cast("binary")), 1, 8), 16, 10).cast("long") % 5 == 0
 
 
 def calibrate(stats: DataFrame, labels: DataFrame, limits: Limits = Limits()) -> dict[str, dict[str, float]]:
-    """Stratum to rule to cutoff.
+    """Stratum to rule to cutoff, from ``stats`` (as ``with_stats`` gives them, with ``doc_id`` and ``lang``).
 
-    ``labels`` has ``doc_id`` and ``quality``; ids that are null or labelled both ways are ignored, and
-    so are documents that already fail the base rules. Only counts per stratum, rule and grid step reach
-    the driver, and only for strata with enough good labels to certify anything.
+    ``labels`` has ``doc_id`` and ``quality``; ids that are null or labelled both ways are ignored, and so are
+    documents that already fail the base rules. A repeated id counts once for each of its rows. Without labels
+    there are no cutoffs. Only counts per stratum, rule and cutoff reach the driver, and only for strata with
+    enough good labels to certify anything.
     """
+    spark = stats.sparkSession
     said = labels.where("doc_id is not null and quality in (0, 1)").groupBy("doc_id").agg(F.min("quality").alias("q"), F.max("quality").alias("q2")).where("q = q2")
-    held = stats.where("not base_failed").join(said.select("doc_id", "q"), "doc_id").select(stratum().alias("stratum"), "q", *(F.expr(f"{e}").alias(r) for r, e in RULES.items()))
-    long = held.select("stratum", "q", F.explode(F.array(*(F.struct(F.lit(r).alias("rule"), _steps(F.col(r)).alias("steps")) for r in RULES))).alias("x"))
-    counts = long.groupBy("stratum", "x.rule", "x.steps", "q").count()
-    share, least = limits.alpha / len(RULES), 1
-    while (1 - share) ** least > limits.delta / len(RULES):
-        least += 1
-    enough = held.where("q = 1").groupBy("stratum").count().where(F.col("count") >= least).select("stratum")
-    rows = counts.join(F.broadcast(enough), "stratum").collect()
-    strata = sorted({r.stratum for r in rows})
-    level = limits.delta / (max(1, len(strata)) * len(RULES))
-    found: dict[str, dict[str, float]] = {s: {} for s in strata}
-    for s in strata:
-        for rule in RULES:
-            hit = {q: np.zeros(len(GRID) + 1, np.int64) for q in (0, 1)}
-            for r in rows:
-                if r.stratum == s and r.rule == rule:
-                    hit[r.q][r.steps] += r["count"]
-            n = int(hit[1].sum())
-            rejected = {q: np.cumsum(hit[q])[:-1] for q in (0, 1)}  # by each cutoff
-            certified = 0
-            while certified < len(GRID) and binomial_tail(int(rejected[1][certified]), n, share) <= level:
-                certified += 1
-            if not certified or not (most := rejected[0][certified - 1]):
-                continue
-            at = int(np.argmax(rejected[0][:certified] >= limits.catch * most))
-            found[s][rule] = GRID[at]
-    return found
+    role = F.when(F.col("q") == 0, "bad").when(design_fold(F.col("doc_id")), "design").otherwise("good")
+    rows = stats.where("not base_failed").select("doc_id", stratum_of(F.col("lang")).alias("stratum"), *(_ratio(r).alias(r) for r in RULES))
+    held = rows.join(said.select("doc_id", "q"), "doc_id").select("stratum", role.alias("role"), *RULES)
+    least = math.ceil(math.log(limits.delta) / math.log1p(-limits.alpha))
+    enough = held.where("role = 'good'").groupBy("stratum").count().where(F.col("count") >= least).select("stratum")
+    grid = F.array(*(F.lit(c) for c in GRID))
+    each = F.explode(F.array(*(F.struct(F.lit(r).alias("rule"), _passed(F.col(r), grid).alias("passed")) for r in RULES)))
+    counts = held.where("role <> 'good'").join(enough, "stratum").select("stratum", "role", each.alias("x")).groupBy("stratum", "role", "x.rule", "x.passed").count()
+    hits: dict[str, dict[tuple[str, str], np.ndarray]] = {}
+    for r in counts.collect():
+        hits.setdefault(r.stratum, {}).setdefault((r.role, r.rule), np.zeros(len(GRID) + 1, np.int64))[r.passed] += r["count"]
+    paths = {s: lay_out(h, limits) for s, h in hits.items()}
+    if not paths:
+        return {}
+    table = spark.createDataFrame([(s, *p.values()) for s, p in sorted(paths.items())], "stratum string, " + ", ".join(f"p_{r} array<double>" for r in RULES))
+    step = F.least(*(_passed(F.col(r), F.col(f"p_{r}")) for r in RULES))
+    joint = held.where("role <> 'design'").join(table, "stratum").select("stratum", "role", step.alias("step")).groupBy("stratum", "role", "step").count()
+    found = {s: {role: np.zeros(STEPS + 1, np.int64) for role in ("good", "bad")} for s in paths}
+    for r in joint.collect():
+        found[r.stratum][r.role][r.step] += r["count"]
+    return {s: {r: path[at] for r, path in paths[s].items() if path[at] < math.inf} for s, h in found.items() if (at := choose(h["good"], h["bad"], limits, len(paths))) is not None}
+
+
+def lay_out(hits: dict[tuple[str, str], np.ndarray], limits: Limits) -> dict[str, list[float]]:
+    """Rule to its cutoff at every step (infinite: none), from counts of documents by how many cutoffs they pass.
+
+    Of the cutoffs that the step allows, the loosest is taken that catches nearly all that the strictest does.
+    """
+    out = {}
+    none = np.zeros(len(GRID) + 1, np.int64)
+    for rule in RULES:
+        bad, plain = (hits.get((role, rule), none) for role in ("bad", "design"))
+        plain = (np.cumsum(plain)[:-1] + 1) / (plain.sum() + 1)
+        bad = np.cumsum(bad)[:-1] / max(1, bad.sum())
+        out[rule] = []
+        for lift in LIFTS:
+            fit = bad[(bad >= lift * plain)]
+            out[rule].append(GRID[int(np.argmax(bad >= limits.catch * fit.max()))] if len(fit) and fit.max() else math.inf)
+    return out
+
+
+def choose(good: np.ndarray, bad: np.ndarray, limits: Limits, strata: int) -> int | None:
+    """The step to take, from counts of documents by how many steps they pass; None if the first cannot be certified."""
+    rejected, caught = np.cumsum(good)[:-1], np.cumsum(bad)[:-1]
+    certified = 0
+    while certified < STEPS and binomial_tail(int(rejected[certified]), int(good.sum()), limits.alpha) <= limits.delta / strata:
+        certified += 1
+    return int(np.argmax(caught[:certified] >= limits.catch * caught[certified - 1])) if certified else None
+
+
+def passes(docs: DataFrame, cutoffs: dict[str, dict[str, float]], of, lang: Column, name: str) -> DataFrame:
+    """``docs`` with boolean ``name``: no base rule and no cutoff of the row's stratum rejects it; ``of`` gives a count's column."""
+    spark, s = docs.sparkSession, unused(docs, "_stratum")
+    table = spark.createDataFrame([(k, *(float(c.get(r, math.inf)) for r in RULES)) for k, c in sorted(cutoffs.items())], f"{s} string, " + ", ".join(f"{s}_{r} double" for r in RULES))
+    over = F.lit(False)
+    for r in RULES:
+        over = over | F.coalesce(_ratio(r, of) > F.col(f"{s}_{r}"), F.lit(False))
+    own = columns_of(docs)
+    # without a hint: the optimiser broadcasts the table only if its size allows it
+    return docs.withColumn(s, stratum_of(lang)).join(table, s, "left").select(*own, (~failed(of("n_words"), of("n_repeat_words")) & ~over).alias(name))
 
 
 def verdict(stats: DataFrame, cutoffs: dict[str, dict[str, float]]) -> DataFrame:
-    """``stats`` with ``kept``: false if ``base_failed`` or a rule's cutoff for the row's stratum is exceeded."""
-    over = F.lit(False)
-    for rule, expr in RULES.items():
-        by = [x for s, c in cutoffs.items() if rule in c for x in (F.lit(s), F.lit(float(c[rule])))]
-        if by:
-            over = over | (F.expr(expr) > F.coalesce(F.create_map(*by)[stratum()], F.lit(float("inf"))))
-    return stats.withColumn("kept", ~F.col("base_failed") & ~over)
+    """``stats`` with ``kept``: false if ``base_failed`` or a rule's cutoff for the row's stratum is exceeded; a column of that name is replaced."""
+    return passes(stats.drop("kept"), cutoffs, F.col, F.col("lang"), "kept")
+
+
+def keep(docs: DataFrame, cutoffs: dict[str, dict[str, float]]) -> DataFrame:
+    """The rows of ``docs`` (``text, lang``, ...) that ``verdict`` keeps, with their own columns, whatever their names."""
+    name, mark = unused(docs, "_stats"), unused(docs, "_kept")
+    measured = docs.withColumn(name, stats_of(F.col("text")))
+    return passes(measured, cutoffs, lambda c: F.col(f"{name}.{c}"), F.col("lang"), mark).where(F.col(mark)).select(*columns_of(docs))
