@@ -8,8 +8,9 @@ which loses no true link inside a visited list. How shifts spread over direction
 (residuals, and links in it) and never taken to be less than even; a link crosses no border farther than the
 linking distance, so that is the widest probe, and vectors of few effective dimensions get it. Exact cosines in double precision then decide.
 
-Centroids and codebooks are fitted on a bounded sample; every vector is indexed. Tasks hold one chunk of a
-list at a time, count links per query and pass on a spanning forest, so no pairs are ever written.
+There are about half as many lists as the root of the number of vectors; a bounded sample fits them and the
+codebooks, and every vector is indexed. Tasks hold one chunk of a list at a time, count links per query and
+pass on a spanning forest, so no pairs are ever written.
 """
 
 from __future__ import annotations
@@ -25,8 +26,10 @@ from pyspark.sql import functions as F
 from .common import hash_order, materialize, slices
 from .graph import connected_components
 
-#: Vectors that centroids and codebooks are fitted on at most; lists; subspaces and codes in each.
-SAMPLE, MAX_LISTS, SUBSPACES, CODES = 16_000, 1024, 8, 64
+#: Vectors that centroids and codebooks are fitted on, or this many for each list; most lists; subspaces and codes in each.
+SAMPLE, LIST_SAMPLE, MAX_LISTS, SUBSPACES, CODES = 16_000, 16, 8192, 8, 64
+#: Sampled vectors that codebooks and the spread of links are taken from at most.
+SPREAD_SAMPLE = 16_000
 #: Fewest sampled links that their spread is taken from; fewest vectors, with fewer the probes are the widest.
 LEAST_LINKS, LEAST_VECTORS = 50, 1000
 #: Reach of the probes, in standard deviations.
@@ -35,11 +38,15 @@ REACH = 3.0
 CHUNK, QUERY_CHUNK, BLOCK = 4096, 65_536, 256
 
 
+def number_of_lists(vectors: int) -> int:
+    return int(min(MAX_LISTS, max(4, math.sqrt(vectors) / 2)))
+
+
 def kmeans(x: np.ndarray, k: int, rounds: int = 10) -> np.ndarray:
     """Lloyd's centroids from evenly spaced first rows; an empty cluster keeps its centroid."""
     c = x[np.linspace(0, len(x) - 1, min(k, len(x))).astype(int)].copy()
     for _ in range(rounds):
-        of = nearest(x, c)[0]
+        of = np.concatenate([nearest(x[at : at + 4096], c)[0] for at in range(0, len(x), 4096)])
         sums, sizes = np.zeros_like(c), np.bincount(of, minlength=len(c))
         np.add.at(sums, of, x)
         c[sizes > 0] = sums[sizes > 0] / sizes[sizes > 0, None]
@@ -59,22 +66,23 @@ class Index:
     centroids: np.ndarray
     books: list[np.ndarray]
     cuts: list[int]
-    #: For each pair of lists, the share of a shift's square that lies across their border.
-    across: np.ndarray
+    #: For each kind of shift, the mean of its outer product with itself at unit length; None: nothing is known.
+    spreads: list[np.ndarray] | None
 
     @classmethod
-    def fit(cls, units: np.ndarray, radius: float) -> Index:
+    def fit(cls, units: np.ndarray, radius: float, lists: int | None = None) -> Index:
         dim = units.shape[1]
-        centroids = kmeans(units, int(min(MAX_LISTS, max(4, math.sqrt(len(units)) / 2))))
-        of = nearest(units, centroids)[0]
-        left = units - centroids[of]
-        across = _across(centroids, [left, _shifts(units, of, radius)]) if len(units) >= LEAST_VECTORS else np.ones((len(centroids),) * 2)
+        centroids = kmeans(units, lists or number_of_lists(len(units)))
+        some = units[:SPREAD_SAMPLE]
+        of = nearest(some, centroids)[0]
+        left = some - centroids[of]
+        spreads = _spreads([left, _shifts(some, of, radius)]) if len(some) >= LEAST_VECTORS else None
         cuts = np.linspace(0, dim, min(SUBSPACES, dim) + 1).astype(int).tolist()
-        return cls(centroids, [kmeans(left[:, a:b], CODES) for a, b in zip(cuts, cuts[1:], strict=False)], cuts, across)
+        return cls(centroids, [kmeans(left[:, a:b], CODES) for a, b in zip(cuts, cuts[1:], strict=False)], cuts, spreads)
 
     @classmethod
     def trivial(cls, dim: int) -> Index:
-        return cls(np.zeros((1, dim)), [np.zeros((1, dim))], [0, dim], np.zeros((1, 1)))
+        return cls(np.zeros((1, dim)), [np.zeros((1, dim))], [0, dim], None)
 
     def encode(self, units: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """List, codes and coding error of each row."""
@@ -90,15 +98,28 @@ class Index:
     def probes(self, units: np.ndarray, radius: float) -> list[np.ndarray]:
         """Lists to visit per row, its own among them."""
         of, d = nearest(units, self.centroids)
-        apart = np.sqrt(np.maximum(((self.centroids[:, None] - self.centroids[None]) ** 2).sum(-1), 1e-24)) if len(self.centroids) <= 128 else None
+        known: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         out = []
         for i, row in zip(of.tolist(), d, strict=True):
-            between = apart[i] if apart is not None else np.sqrt(np.maximum(((self.centroids - self.centroids[i]) ** 2).sum(1), 1e-24))
-            gap = (row - row[i]) / (2 * between)
+            if i not in known:
+                known[i] = self._borders(i)
+            apart, across = known[i]
+            gap = (row - row[i]) / (2 * apart)
             gap[i] = 0
-            out.append(np.flatnonzero(gap <= radius * np.minimum(1, REACH * np.sqrt(self.across[i])) + 1e-9))
+            out.append(np.flatnonzero(gap <= radius * np.minimum(1, REACH * np.sqrt(across)) + 1e-9))
         return out
 
+    def _borders(self, i: int) -> tuple[np.ndarray, np.ndarray]:
+        """For each list its centroid's distance from that of list ``i``, and the largest mean share, over the kinds of shifts, of a shift's square along the line between them; even spread at least."""
+        line = self.centroids - self.centroids[i]
+        apart = np.maximum((line * line).sum(1), 1e-24)
+        if self.spreads is None:
+            return np.sqrt(apart), np.ones(len(line))
+        share = np.full(len(line), 1 / line.shape[1])
+        for spread in self.spreads:
+            share = np.maximum(share, np.clip(((line @ spread) * line).sum(1) / apart, 0, 1))
+        return np.sqrt(apart), share
+
     def distances(self, units: np.ndarray, which: int, codes: np.ndarray) -> np.ndarray:
         """Squared distances of queries to coded vectors of list ``which``, by table look-up."""
         left = units - self.centroids[which]
@@ -125,20 +146,14 @@ def _shifts(units: np.ndarray, of: np.ndarray, radius: float) -> np.ndarray:
     return np.concatenate(out)
 
 
-def _across(centroids: np.ndarray, shifts: list[np.ndarray]) -> np.ndarray:
-    """The largest mean share, over the kinds of shifts, of a shift's square along the line between two centroids; even spread at least."""
-    share = np.full((len(centroids),) * 2, 1 / centroids.shape[1])
+def _spreads(shifts: list[np.ndarray]) -> list[np.ndarray]:
+    out = []
     for x in shifts:
         length = np.sqrt((x * x).sum(1))
         x = x[length > 1e-9] / length[length > 1e-9, None]
-        if len(x) < LEAST_LINKS:
-            continue
-        spread = x.T @ x / len(x)
-        turned = centroids @ spread
-        own = (turned * centroids).sum(1)
-        apart = np.maximum((centroids * centroids).sum(1)[:, None] + (centroids * centroids).sum(1)[None] - 2 * centroids @ centroids.T, 1e-24)
-        share = np.maximum(share, np.clip((own[:, None] + own[None] - 2 * turned @ centroids.T) / apart, 0, 1))
-    return share
+        if len(x) >= LEAST_LINKS:
+            out.append(x.T @ x / len(x))
+    return out
 
 
 def _unit(raw: np.ndarray) -> np.ndarray:
@@ -167,39 +182,53 @@ def near_duplicate_vectors(rows: DataFrame, min_cosine: float = 0.93, id_col: st
 
     Nothing links with a null label, nor with a vector that is null, empty, zero or holds a null or
     non-finite component, nor do vectors of unequal dimension, nor rows with a null id (component null,
-    not kept). Equal vectors are one class with its number of rows, so copies cost nothing. Rows that
-    repeat an id are vectors of their own that share a component. An empty table gives an empty result.
+    not kept). Equal vectors of a label (told by 128 bits of two hashes) are one class with its number of rows,
+    so copies cost nothing. Rows that repeat an id are vectors of their own that share a component, the least
+    one that any of them has. Arrays of floats are compared as they are, all others as doubles. An empty table
+    gives an empty result; other columns are ignored, whatever their names.
     """
     if not 0 < min_cosine <= 1:
         raise ValueError("min_cosine must be in (0, 1]")
     radius = math.sqrt(2 - 2 * min_cosine)
     v = F.col("v")
-    src = rows.select(F.col(id_col).cast("long").alias("vec_id"), F.col(label_col).alias("label"), F.col(vector_col).cast("array<float>").alias("v"))
+    exact = "float" if dict(rows.dtypes)[vector_col] == "array<float>" else "double"
+    src = rows.select(F.col(id_col).cast("long").alias("vec_id"), F.col(label_col).alias("label"), F.col(vector_col).cast(f"array<{exact}>").alias("v"))
     sound = F.col("vec_id").isNotNull() & F.col("label").isNotNull() & (F.size(v) > 0) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
-    src = src.withColumn("cid", F.when(F.coalesce(sound, F.lit(False)), F.xxhash64("label", "v")))
-    grouped = src.where("cid is not null").groupBy("cid").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n"), F.first("label").alias("label"), F.first("v").alias("v"))
-    classes = materialize(grouped.withColumn("dim", F.size("v")), "vectors")
-    indexes = _fit(classes, radius)
-    found = materialize(_search(classes, indexes, radius, min_cosine), "links")
+    sound = F.coalesce(sound, F.lit(False))
+    src = src.select("*", *(F.when(sound, F.xxhash64(F.lit(k), "label", "v")).alias(f"h{k}") for k in range(2)))
+    grouped = src.where("h0 is not null").groupBy("h0", "h1").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n"), F.first("label").alias("label"), F.first("v").alias("v"))
+    classes = materialize(grouped.select("*", F.size("v").alias("dim"), F.monotonically_increasing_id().alias("cid")), "vectors")
+    indexes = _fit(classes, radius, exact)
+    found = materialize(_search(classes, indexes, radius, min_cosine, exact), "links")
     links = found.where("cid is not null").groupBy("cid").agg(F.sum("links").alias("links"))
     parts = connected_components(found.where("u is not null").select("u", "v")).withColumnRenamed("node", "rep")
-    of = classes.select("cid", "rep", "n").join(links, "cid", "left").join(parts, "rep", "left")
-    of = of.select("cid", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
-    out = src.select("vec_id", "cid").join(of, "cid", "left").select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
-    return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
+    of = classes.select("h0", "h1", "cid", "rep", "n").join(links, "cid", "left").join(parts, "rep", "left")
+    of = of.select("h0", "h1", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
+    out = src.where("h0 is not null").select("vec_id", "h0", "h1").join(of, ["h0", "h1"]).select("vec_id", "n_links", "component_id")
+    alone = src.where("h0 is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    return out.unionByName(alone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
 
 
-def _fit(classes: DataFrame, radius: float, sample: int = SAMPLE) -> dict[int, Index]:
+def _fit(classes: DataFrame, radius: float, kind: str) -> dict[int, Index]:
+    """An index per dimension; vectors of a dimension that the sample does not hold share one list."""
     n = classes.count()
-    order = hash_order(F.col("cid"))
-    drawn = classes.where(F.pmod(order, F.lit(1 << 30)) < (1 << 30) * min(1.0, 1.2 * sample / max(n, 1))).orderBy(order, "cid").limit(sample).select("dim", "v").collect()
-    by: dict[int, list] = {}
-    for r in drawn:
-        by.setdefault(r.dim, []).append(r.v)
-    return {dim: Index.fit(_unit(np.array(vs, np.float32)), radius) for dim, vs in by.items()}
+    lists = number_of_lists(n)
+    sample = max(SAMPLE, LIST_SAMPLE * lists)
+    order = hash_order(F.col("h0"), F.col("h1"))
+    drawn = classes.where(F.pmod(order, F.lit(1 << 30)) < (1 << 30) * min(1.0, 1.2 * sample / max(n, 1))).orderBy(order, "rep").limit(sample).select("dim", "v")
+
+    def pack(batches):
+        for part in slices(batches, 1024):
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([np.array(v, kind).tobytes() for v in part.column(1).to_pylist()], pa.binary())], ["dim", "raw"])
+
+    by: dict[int, list[bytes]] = {}
+    for r in drawn.mapInArrow(pack, "dim int, raw binary").collect():
+        by.setdefault(r.dim, []).append(r.raw)
+    share = {dim: max(4, lists * len(vs) // max(1, sum(map(len, by.values())))) for dim, vs in by.items()}
+    return {dim: Index.fit(_unit(np.frombuffer(b"".join(vs), kind).reshape(-1, dim)), radius, share[dim]) for dim, vs in by.items()}
 
 
-def _search(classes: DataFrame, indexes: dict[int, Index], radius: float, min_cosine: float) -> DataFrame:
+def _search(classes: DataFrame, indexes: dict[int, Index], radius: float, min_cosine: float, kind: str) -> DataFrame:
     shared = classes.sparkSession.sparkContext.broadcast(indexes)
 
     def index(dim: int) -> Index:
@@ -213,7 +242,7 @@ def _search(classes: DataFrame, indexes: dict[int, Index], radius: float, min_co
             starts = np.concatenate(([0], np.cumsum(dims)))
             for dim in np.unique(dims).tolist():
                 at = np.flatnonzero(dims == dim)
-                raw = flat[starts[at][:, None] + np.arange(dim)].astype(np.float32)
+                raw = flat[starts[at][:, None] + np.arange(dim)].astype(kind)
                 units, idx = _unit(raw), index(dim)
                 of, codes, error = idx.encode(units)
                 probes = idx.probes(units, radius)
@@ -248,11 +277,11 @@ def _search(classes: DataFrame, indexes: dict[int, Index], radius: float, min_co
                 part = batch.slice(lo, hi - lo)
                 db = int((~part.column(1).to_numpy(zero_copy_only=False)).sum())  # coded rows come first
                 if db:
-                    held.append(_rows(part.slice(0, db)))
+                    held.append(_rows(part.slice(0, db), kind))
                 if db < hi - lo and held:
                     if len(held) > 1:
                         held = [{k: np.concatenate([h[k] for h in held]) if isinstance(held[0][k], np.ndarray) else held[0][k] for k in held[0]}]
-                    queries = _rows(part.slice(db))
+                    queries = _rows(part.slice(db), kind)
                     for at in range(0, len(queries["cid"]), BLOCK):
                         if (out := _compare(index(queries["dim"]), {k: x[at : at + BLOCK] if isinstance(x, np.ndarray) else x for k, x in queries.items()}, held[0], radius, min_cosine)) is not None:
                             yield out
@@ -260,10 +289,10 @@ def _search(classes: DataFrame, indexes: dict[int, Index], radius: float, min_co
     return dealt.mapInArrow(search, "cid long, links long, u long, v long")
 
 
-def _rows(part: pa.RecordBatch) -> dict:
+def _rows(part: pa.RecordBatch, kind: str) -> dict:
     dim = part.column(5)[0].as_py()
     n = part.num_rows
-    raw = np.frombuffer(b"".join(part.column(7).to_pylist()), np.float32).reshape(n, dim)
+    raw = np.frombuffer(b"".join(part.column(7).to_pylist()), kind).reshape(n, dim)
     code = b"".join(part.column(8).to_pylist())
     return {"cid": part.column(2).to_numpy(), "rep": part.column(3).to_numpy(), "n": part.column(4).to_numpy(), "units": _unit(raw), "code": np.frombuffer(code, np.uint8).reshape(n, -1), "error": part.column(9).to_numpy(), "dim": dim, "list": part.column(6)[0].as_py()}
 
@@ -273,8 +302,7 @@ def _compare(index: Index, q: dict, db: dict, radius: float, min_cosine: float)
     i, j = np.nonzero(near <= (radius + db["error"] + 1e-3)[None] ** 2)
     i, j = (x[q["cid"][i] != db["cid"][j]] for x in (i, j))
     cosine = np.concatenate([np.einsum("ij,ij->i", q["units"][i[at : at + 65536]], db["units"][j[at : at + 65536]]) for at in range(0, len(i), 65536)] or [np.empty(0)])
-    # unit vectors carry a few rounding steps; a link exactly at the threshold counts
-    linked = cosine >= min_cosine - 1e-12
+    linked = cosine >= min_cosine
     i, j = i[linked], j[linked]
     if not len(i):
         return None
