@@ -2,7 +2,9 @@
 
 Fingerprints that differ in at most 3 of 64 bits agree on at least 2 of 5 blocks. Every distinct
 fingerprint is filed under its 10 pairs of blocks (about 26 bits each), rows that share a key are
-compared, and each group of comparisons passes on a spanning forest of its links, never all pairs.
+compared, and each group of comparisons passes on a spanning forest of its links, never all pairs. A key that
+very many share is split the same way once more: its other 38 bits differ in at most 3 as well, so close rows
+agree on 2 of 5 parts of them.
 """
 
 from __future__ import annotations
@@ -15,13 +17,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER_ASCII, arrow_pass, materialize, slices, utf8
+from .common import LOWER_ASCII, arrow_pass, materialize, slices, utf8, without_copies
 from .graph import connected_components
 
 #: Bits of the five blocks, from the lowest.
 BLOCKS = (13, 13, 13, 13, 12)
 #: Rows of one key that are compared in one group; more are dealt to pairs of chunks.
 CHUNK = 1024
+#: Chunks of one key beyond which its rows are filed again under further bits, ten keys for each row.
+MOST_CHUNKS = 10
 SEED = 42
 
 
@@ -60,13 +64,29 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return arrow_pass(pair, step, "doc_id long, fp long")
 
 
+_STARTS = np.concatenate(([0], np.cumsum(BLOCKS))).tolist()
+_PAIRS = list(combinations(range(5), 2))
+
+
 def _block_keys(fp):
-    starts = np.concatenate(([0], np.cumsum(BLOCKS))).tolist()
-    cut = [F.shiftrightunsigned(fp, starts[i]).bitwiseAND(F.lit((1 << BLOCKS[i]) - 1)) for i in range(5)]
-    pairs = [F.shiftleft(F.lit(k).cast("long"), 32) + F.shiftleft(cut[i], 13) + cut[j] for k, (i, j) in enumerate(combinations(range(5), 2))]
+    cut = [F.shiftrightunsigned(fp, _STARTS[i]).bitwiseAND(F.lit((1 << BLOCKS[i]) - 1)) for i in range(5)]
+    pairs = [F.shiftleft(F.lit(k).cast("long"), 32) + F.shiftleft(cut[i], 13) + cut[j] for k, (i, j) in enumerate(_PAIRS)]
     return F.explode(F.array(*pairs))
 
 
+def _rest_masks(pair: tuple[int, int]) -> list[int]:
+    """Masks, as signed longs, of the 10 pairs of fifths of the bits outside a pair of blocks."""
+    bits = [b for i in range(5) if i not in pair for b in range(_STARTS[i], _STARTS[i + 1])]
+    fifths = [sum(1 << b for b in bits[k::5]) for k in range(5)]
+    return [int(np.uint64(fifths[i] | fifths[j]).view(np.int64)) for i, j in _PAIRS]
+
+
+def _finer_keys(fp, key):
+    """Hashes of the key with each pair of fifths of the other bits."""
+    masks = F.element_at(F.array(*(F.array(*(F.lit(m).cast("long") for m in _rest_masks(p))) for p in _PAIRS)), (F.shiftright(key, 32) + 1).cast("int"))
+    return F.explode(F.transform(masks, lambda m, k: F.xxhash64(key, k, fp.bitwiseAND(m))))
+
+
 def forest(n: int, a: np.ndarray, b: np.ndarray, parent: np.ndarray) -> list[int]:
     """Join the ends of each edge in ``parent``; the positions of the edges that joined two trees."""
     kept = []
@@ -83,6 +103,10 @@ def forest(n: int, a: np.ndarray, b: np.ndarray, parent: np.ndarray) -> list[int
     return kept
 
 
+def _chunks_of(count: str):
+    return F.ceil(F.col(count) / CHUNK).cast("int").alias("chunks")
+
+
 def _link_sorted(key: np.ndarray, fp: np.ndarray, rep: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
     """Spanning forest of the links between rows of equal key; rows are sorted by key."""
     n, d = len(key), 1
@@ -113,17 +137,21 @@ def links(classes: DataFrame, most: int = 3) -> DataFrame:
 
     ``classes`` has one row ``(fp, rep)`` per distinct fingerprint. A key with over ``CHUNK`` rows is
     dealt to chunks by hash, and every pair of chunks becomes a group of its own, so no task's memory
-    grows with a hot key.
+    grows with a hot key; with over ``MOST_CHUNKS`` chunks it is filed under finer keys first.
     """
     if most > 3:
         raise ValueError("the block pairs cover distances up to 3")
     filed = classes.where("rep is not null").select("fp", "rep", _block_keys(F.col("fp")).alias("key"))
-    hot = filed.groupBy("key").count().where(F.col("count") > CHUNK).select("key", F.ceil(F.col("count") / CHUNK).cast("int").alias("chunks"))
+    sizes = filed.groupBy("key").count().where(F.col("count") > CHUNK).select("key", _chunks_of("count"))
+    sized = filed.join(sizes, "key", "left")
+    finer = sized.where(F.col("chunks") > MOST_CHUNKS).select("fp", "rep", _finer_keys(F.col("fp"), F.col("key")).alias("key"))
+    again = finer.groupBy("key").count().where("count > 1").select("key", _chunks_of("count"))
+    every = sized.where(F.coalesce(F.col("chunks") <= MOST_CHUNKS, F.lit(True))).unionByName(finer.join(again, "key"))
     own = F.pmod(F.xxhash64("fp"), F.col("chunks")).cast("int")
     other = F.sequence(F.lit(0), F.col("chunks") - 1)
     pairs = F.transform(other, lambda j: F.struct(F.least(own, j).alias("i"), F.greatest(own, j).alias("j")))
     none = F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j")))
-    dealt = filed.join(hot, "key", "left").select("fp", "rep", "key", F.explode(F.when(F.col("chunks").isNull(), none).otherwise(pairs)).alias("p"))
+    dealt = every.select("fp", "rep", "key", F.explode(F.when(F.col("chunks").isNull(), none).otherwise(pairs)).alias("p"))
     dealt = dealt.select(F.xxhash64("key", "p.i", "p.j").alias("group"), "fp", "rep").repartition("group").sortWithinPartitions("group")
 
     def run(batches):
@@ -161,5 +189,4 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
 
     Rows with a null id stay. Of rows that repeat the kept id, all stay.
     """
-    kept = near_duplicates(docs, id_col).where("doc_id = component_id").select(F.col("doc_id").alias("_kept_id")).distinct()
-    return docs.join(kept, docs[id_col] == kept["_kept_id"], "left").where(F.col("_kept_id").isNotNull() | docs[id_col].isNull()).drop("_kept_id")
+    return without_copies(docs, near_duplicates(docs, id_col), id_col)
