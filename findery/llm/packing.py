@@ -13,28 +13,26 @@ from __future__ import annotations
 
 import json
 import re
+import warnings
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import LOWER_ASCII, materialize, slices, utf8
+from .common import LOWER_ASCII, Memo, held, materialize, slices, utf8
 
 CAPACITY = 2048
 #: Groups of large lengths, and columns tried at most.
 GROUPS, MAX_COLUMNS = 48, 400
 #: Shares of the capacity above which a length is large; each gives a plan and the shortest is taken.
 LARGE = (1 / 4, 2 / 5, 1 / 2)
-#: White-space separated strings, and pre-tokens, whose ids a worker remembers.
-MEMO_WORDS = 600_000
-#: Pieces that share a rank counter, about.
-RANK_ROWS = 1000
+#: Pieces of one length that share a rank counter, about.
+RANK_ROWS = 100_000
 
 
 # ---- tokens ----------------------------------------------------------------------------------------
@@ -65,8 +63,7 @@ class WordIds:
             raise ValueError("the tokenizer does not split and normalise as the word-level one does")
         bare |= {"normalizer": None, "added_tokens": [], "pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}}
         self.merger = Tokenizer.from_str(json.dumps(bare))
-        self.known: dict[bytes, bytes] = {}
-        self.merged: dict[str, bytes] = {}
+        self.known, self.merged = Memo(None), Memo(None)
 
     @staticmethod
     def _encode(tokenizer, parts: list[str]) -> Iterator[tuple[str, bytes]]:
@@ -80,10 +77,8 @@ class WordIds:
     def of(self, texts: list[bytes | None]) -> list[bytes]:
         split = [(t or b"").translate(LOWER_ASCII).split() for t in texts]
         known, merged = self.known, self.merged
-        if len(known) > MEMO_WORDS:
-            known.clear()
-        if len(merged) > MEMO_WORDS:
-            merged.clear()
+        known.forget()
+        merged.forget()
         cut, other = {}, []
         for w in {w for words in split for w in words if w not in known}:
             plain = w.decode().lower()
@@ -91,25 +86,21 @@ class WordIds:
                 cut[w] = self.SPLIT.findall(plain)
             else:
                 other.append(w)
-        merged.update(self._encode(self.merger, list({p for ps in cut.values() for p in ps if p not in merged})))
+        for p, ids in self._encode(self.merger, list({p for ps in cut.values() for p in ps if p not in merged})):
+            merged.put(p, ids)
         for w, ps in cut.items():
-            known[w] = merged[ps[0]] if len(ps) == 1 else b"".join(map(merged.__getitem__, ps))
-        known.update((w.encode(), ids) for w, ids in self._encode(self.whole, [w.decode() for w in other]))
+            known.put(w, merged[ps[0]] if len(ps) == 1 else b"".join(map(merged.__getitem__, ps)))
+        for w, ids in self._encode(self.whole, [w.decode() for w in other]):
+            known.put(w.encode(), ids)
         return [b"".join(map(known.__getitem__, words)) for words in split]
 
 
-@cache
-def word_ids(path: str) -> WordIds:
-    """One per worker and vocabulary file."""
-    return WordIds(path)
-
-
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = 0) -> DataFrame:
     """``(doc_id, piece, start, length, ids_crc32)``: a document's ids and ``end_id``, cut where longer than ``capacity``."""
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches):
-        words = word_ids(tokenizer)
+        words = held(("word ids", tokenizer), lambda: WordIds(tokenizer))
         for part in slices(batches):
             out = [[], [], [], [], []]
             for doc, ids in zip(part.column(0).to_pylist(), words.of(utf8(part, "text")), strict=True):
@@ -141,6 +132,8 @@ def configurations(sizes: list[int], demand: list[int], capacity: int, columns:
         ratio = np.full(len(s), np.inf)
         np.divide(np.maximum(amounts, 0), step, out=ratio, where=step > 1e-9)
         basis[:, int(ratio.argmin())] = new
+    else:
+        warnings.warn(f"{columns} configurations were tried; the plan stands, but more might shorten it", stacklevel=2)
     amounts = np.linalg.solve(basis, d)
     return [(basis[:, k].round().astype(int), float(a)) for k, a in enumerate(amounts) if a > 1e-9]
 
@@ -289,13 +282,13 @@ def pack(found: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """``found`` (rows of ``pieces``) with ``sequence_id`` and ``offset``.
 
     A piece's rank among those of its length is its row number in a hash bucket plus the sizes of the buckets
-    before, so no length, however common, meets in one task.
+    before; a length has as many buckets as its pieces need, so no length, however common, meets in one task.
     """
     found = materialize(found, "pieces")
     histogram = {r.length: r["count"] for r in found.groupBy("length").count().collect()}
     runs = sorted(plan(histogram, capacity).runs)
-    buckets = max(1, sum(histogram.values()) // RANK_ROWS)
-    dealt = found.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(buckets)))
+    buckets = F.array(*(F.lit(1 + histogram.get(length, 0) // RANK_ROWS) for length in range(capacity + 1)))
+    dealt = found.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece"), F.get(buckets, F.col("length").cast("int"))))
     sizes = dealt.groupBy("length", "bucket").count()
     before = sizes.select("length", "bucket", (F.sum("count").over(Window.partitionBy("length").orderBy("bucket")) - F.col("count")).alias("before"))
     own = F.row_number().over(Window.partitionBy("length", "bucket").orderBy("doc_id", "piece", "start", "ids_crc32"))
