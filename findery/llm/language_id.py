@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import hash_order, slices
+from .common import columns_of, hash_order, slices, text_column, unused
 
 SLOT_BITS, MAX_GRAM = 18, 4
 #: Rows that are learnt from and landmarks among them; each language has ``LANG_ROWS`` rows (or all it has) and a landmark at least.
@@ -125,31 +125,40 @@ def fit(langs: list[str], of: list[str], bits: list[bytes], landmarks: int) -> M
     return Model(langs, slot_of, (base.T @ (to_features @ solved).astype(np.float32)).astype(np.float32))
 
 
-def with_letters(docs: DataFrame) -> DataFrame:
+def keep_letters(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose ``text`` has a letter."""
+    mark = unused(docs, "_letters")
+    lettered = text_column(lambda texts: pa.array([bool(t) and has_letter(t.decode()) for t in texts], pa.bool_()), "boolean")
+    return docs.withColumn(mark, lettered(F.col("text"))).where(F.col(mark)).select(*columns_of(docs))
 
-    def run(batches):
-        for part in slices(batches, 128):
-            yield part.filter(pa.array([bool(t) and has_letter(t) for t in part.column(part.schema.get_field_index("text")).to_pylist()], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+def found_in(docs: DataFrame, model: Model):
+    """A struct column ``(lang_pred, score)`` of ``text``."""
+    names = np.array([*model.langs, "und"], object)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def step(texts: list[bytes | None]) -> pa.Array:
+        parts = [shared.value.scores([None if t is None else t.decode() for t in texts[at : at + 128]]) for at in range(0, max(1, len(texts)), 128)]
+        best, score = (np.concatenate(x) for x in zip(*parts, strict=True))
+        return pa.StructArray.from_arrays([pa.array(names[best], pa.string()), pa.array(score)], ["lang_pred", "score"])
+
+    return text_column(step, "struct<lang_pred: string, score: double>")(F.col("text"))
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
     """``docs`` with ``lang_pred`` and ``score``.
 
-    Null texts and texts without a letter are ``und`` with score 0. Columns of those names are replaced.
+    Null texts and texts without a letter are ``und`` with score 0, and so is every text if the model knows no
+    language. Columns of those names are replaced; repeated rows and null ids are rows like others. An empty
+    table gives an empty result.
     """
-    own = [c for c in docs.columns if c not in ("lang_pred", "score", "text")]
-    src = docs.select(*own, F.col("text").cast("string").alias("text"))
-    names = np.array([*model.langs, "und"], object)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    name = unused(docs, "_found")
+    own = columns_of(docs, "lang_pred", "score")
+    return docs.select(*own, found_in(docs, model).alias(name)).select(*own, f"{name}.lang_pred", f"{name}.score")
 
-    def run(batches):
-        known = shared.value
-        for part in slices(batches, 128):
-            best, score = known.scores(part.column(part.num_columns - 1).to_pylist())
-            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(names[best], pa.string()), pa.array(score)], [*part.schema.names, "lang_pred", "score"])
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema)
-    return src.mapInArrow(run, f"{fields}, lang_pred string, score double")
+def keep_identified(docs: DataFrame, model: Model, least: float) -> DataFrame:
+    """The rows of ``docs`` whose language is found with a score of ``least`` or more, with their own columns, whatever their names."""
+    name = unused(docs, "_found")
+    found = docs.withColumn(name, found_in(docs, model))
+    return found.where((F.col(f"{name}.lang_pred") != "und") & (F.col(f"{name}.score") >= least)).select(*columns_of(docs))

@@ -17,13 +17,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import hash_order, materialize, slices
+from .common import Memo, columns_of, hash_order, held, materialize, slices, text_column
 
 BITS = 20
 #: Most labelled rows that are learnt from, and passes over them.
 MAX_ROWS, EPOCHS = 8000, 4
 ALPHA, BETA, L1, L2 = 4.0, 1.0, 0.002, 0.001
-MEMO_WORDS = 1 << 19
 
 #: Code of any 4-gram of one token.
 STUCK = xxhash.xxh64_intdigest(b"\x00stuck")
@@ -31,21 +30,15 @@ STUCK = xxhash.xxh64_intdigest(b"\x00stuck")
 TOKEN = re.compile(r"[^\W_]+|(?:[^\w\s]|_)+")
 
 
-class _Codes(dict):
-    def __missing__(self, token: str) -> int:
-        if len(self) >= MEMO_WORDS:
-            self.clear()
-        value = self[token] = xxhash.xxh64_intdigest(token.encode("utf-8", "surrogatepass"))
-        return value
-
-
-_codes = _Codes()
+def _code(token: str) -> int:
+    return xxhash.xxh64_intdigest(token.encode("utf-8", "surrogatepass"))
 
 
 def features(text: str | None) -> np.ndarray:
     """Sorted distinct slots of the word 1- and 2-grams of ``text``."""
     tokens = TOKEN.findall(text or "")
-    one = np.fromiter(map(_codes.__getitem__, tokens), np.uint64, len(tokens))
+    codes = held("token codes", lambda: Memo(_code))
+    one = np.fromiter(map(codes.__getitem__, tokens), np.uint64, len(tokens))
     two = (one[:-1] * np.uint64(0x9E3779B97F4A7C15) + one[1:]) * np.uint64(0xC2B2AE3D27D4EB4F)
     same = one[1:] == one[:-1]
     stuck = np.full(int((same[2:] & same[1:-1] & same[:-2]).any()), STUCK, np.uint64)
@@ -102,20 +95,20 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> np.nd
 
 
 def score(docs: DataFrame, weights: np.ndarray) -> DataFrame:
-    """``docs`` with ``score`` in 0 to 1, higher where label 1 is likelier; null and empty texts get the bias alone."""
-    own = [c for c in docs.columns if c not in ("score", "text")]
-    src = docs.select(*own, F.col("text").cast("string").alias("text"))
+    """``docs`` with ``score`` in 0 to 1, higher where label 1 is likelier; null and empty texts get the bias alone.
+
+    A column of that name is replaced; repeated rows and null ids are rows like others. An empty table gives an
+    empty result.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(weights.astype(np.float32))
 
-    def run(batches):
+    def step(texts: list[bytes | None]) -> pa.Array:
         w = shared.value
-        for part in slices(batches):
-            found = [features(t) for t in part.column(part.num_columns - 1).to_pylist()]
-            size = np.array([len(f) for f in found])
-            ends = np.cumsum(size)
-            sums = np.concatenate(([0.0], np.cumsum(w[np.concatenate(found)], dtype=np.float64)))
-            margin = (sums[ends] - sums[ends - size]) / np.sqrt(np.maximum(size, 1)) + float(w[-1])
-            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(1 / (1 + np.exp(-np.clip(margin, -35, 35))))], [*part.schema.names, "score"])
-
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema)
-    return src.mapInArrow(run, f"{fields}, score double")
+        found = [features(None if t is None else t.decode()) for t in texts]
+        size = np.array([len(f) for f in found], np.int64)
+        ends = np.cumsum(size)
+        sums = np.concatenate(([0.0], np.cumsum(w[np.concatenate(found or [np.empty(0, np.int32)])], dtype=np.float64)))
+        margin = (sums[ends] - sums[ends - size]) / np.sqrt(np.maximum(size, 1)) + float(w[-1])
+        return pa.array(1 / (1 + np.exp(-np.clip(margin, -35, 35))))
+
+    return docs.select(*columns_of(docs, "score"), text_column(step, "double")(F.col("text")).alias("score"))
