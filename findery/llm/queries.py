@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -97,6 +98,18 @@ def op5_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_duplicate_vectors(table(spark, sf_dir, "embeddings"))
 
 
+OP5_SQL = """
+WITH RECURSIVE e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+s AS (SELECT * FROM e WHERE label IS NOT NULL AND len(v) > 0 AND len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(v, lambda x: x <> 0)) > 0),
+links AS MATERIALIZED (SELECT a.vec_id AS a, b.vec_id AS b FROM s a JOIN s b ON a.label = b.label AND len(a.v) = len(b.v) AND a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.v, b.v) >= 0.93),
+reach AS (SELECT vec_id AS a, vec_id AS b FROM e UNION SELECT reach.a, links.b FROM reach JOIN links ON links.a = reach.b),
+n AS (SELECT a, count(*) AS n FROM links GROUP BY a),
+c AS (SELECT a, min(b) AS component_id FROM reach GROUP BY a)
+SELECT e.vec_id, coalesce(n.n, 0) AS n_links, c.component_id, e.vec_id = c.component_id AS kept
+FROM e JOIN c ON c.a = e.vec_id LEFT JOIN n ON n.a = e.vec_id
+"""
+
+
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     read = warc.read_back(spark, table(spark, sf_dir, "pages"))
     size = F.coalesce(F.length("payload").cast("long"), F.col("size"))
@@ -120,6 +133,20 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2(kept.cast("binary"), 256).alias("kept_sha256"))
 
 
+OP7_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+h AS (
+  SELECT doc_id, unnest(generate_series(1, len(w) - 49)) AS pos,
+    unnest(list_transform(generate_series(1, len(w) - 49), lambda i: md5(array_to_string(list_slice(w, i, i + 49), ' ')))) AS h
+  FROM d WHERE len(w) >= 50),
+gone AS (SELECT DISTINCT doc_id, unnest(generate_series(pos, pos + 49)) AS pos FROM (SELECT doc_id, pos, min(doc_id) OVER (PARTITION BY h) AS first FROM h) WHERE doc_id > first),
+word AS (SELECT doc_id, unnest(generate_series(1, len(w))) AS pos, unnest(w) AS w FROM d),
+left_over AS (SELECT doc_id, string_agg(w, ' ' ORDER BY pos) AS t, count(*) AS n FROM word ANTI JOIN gone USING (doc_id, pos) GROUP BY doc_id)
+SELECT d.doc_id, len(d.w) AS n_words, len(d.w) - coalesce(l.n, 0) AS n_removed, sha256(coalesce(l.t, '')) AS kept_sha256
+FROM d LEFT JOIN left_over l ON l.doc_id = d.doc_id
+"""
+
+
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -134,6 +161,57 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.verdict(stats, cutoffs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def _op9_sql() -> str:
+    """The counts, the path of joint cutoffs and the binomial tests in SQL, for ids that occur once."""
+    rules, limits = quality_rules.RULES, quality_rules.Limits()
+    steps, lifts = quality_rules.STEPS, ", ".join(f"{x}::DOUBLE" for x in quality_rules.LIFTS)
+    grid = ", ".join(f"{c}::DOUBLE" for c in quality_rules.GRID)
+    ratios = " UNION ALL ".join(f"SELECT doc_id, stratum, role, '{r}' AS rule, {a} / greatest({b}, 1)::DOUBLE AS x FROM held" for r, (a, b) in rules.items())
+    return rf"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, coalesce(lang, 'und') AS stratum, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+    list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM documents),
+g AS (SELECT doc_id, unnest(generate_series(1, len(w) - 2)) AS pos, unnest(list_transform(generate_series(1, len(w) - 2), lambda i: array_to_string(list_slice(w, i, i + 2), ' '))) AS g FROM w WHERE len(w) > 2),
+twice AS (SELECT doc_id, pos, count(*) OVER (PARTITION BY doc_id, g) AS n FROM g),
+covered AS (SELECT doc_id, count(*) AS n FROM (SELECT DISTINCT doc_id, unnest([pos, pos + 1, pos + 2]) AS pos FROM twice WHERE n > 1) GROUP BY doc_id),
+s AS (
+  SELECT w.doc_id, stratum, len(w.w) AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g')) AS word_chars, length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols,
+    len(l) - len(list_distinct(l)) AS n_dup_lines, coalesce(c.n, 0) AS n_repeat_words, len(l) AS n_lines, len(list_filter(w.w, lambda x: regexp_matches(x, '[!?][!?]'))) AS n_marks
+  FROM w LEFT JOIN covered c ON c.doc_id = w.doc_id),
+b AS (SELECT *, n_words < {quality_rules.MIN_WORDS} OR 100 * n_repeat_words > {quality_rules.MAX_REPEAT_PERCENT} * n_words AS base_failed FROM s),
+said AS (SELECT doc_id, min(quality) AS q FROM labels WHERE quality IN (0, 1) GROUP BY doc_id HAVING min(quality) = max(quality)),
+held AS (
+  SELECT b.*, CASE WHEN q = 0 THEN 'bad' WHEN ('0x' || substr(md5(CAST(b.doc_id AS VARCHAR)), 1, 8))::UBIGINT % 5 = 0 THEN 'design' ELSE 'good' END AS role
+  FROM b JOIN said ON said.doc_id = b.doc_id WHERE NOT base_failed),
+enough AS (SELECT stratum FROM held WHERE role = 'good' GROUP BY stratum HAVING count(*) >= {math.ceil(math.log(limits.delta) / math.log1p(-limits.alpha))}),
+x AS (SELECT r.* FROM ({ratios}) r SEMI JOIN enough USING (stratum)),
+cut AS (SELECT unnest(generate_series(1, {len(quality_rules.GRID)})) AS k, unnest([{grid}]) AS c),
+share AS (
+  SELECT stratum, rule, k, any_value(c) AS c, (count(*) FILTER (role = 'design' AND x > c) + 1) / (count(*) FILTER (role = 'design') + 1)::DOUBLE AS plain,
+    count(*) FILTER (role = 'bad' AND x > c) / greatest(count(*) FILTER (role = 'bad'), 1)::DOUBLE AS bad
+  FROM x CROSS JOIN cut GROUP BY stratum, rule, k),
+t AS (SELECT unnest(generate_series(1, {steps})) AS t, unnest([{lifts}]) AS lift),
+fit AS (SELECT stratum, rule, t, max(bad) FILTER (bad >= lift * plain AND bad > 0) AS most FROM share CROSS JOIN t GROUP BY stratum, rule, t),
+path AS (
+  SELECT f.stratum, f.rule, t, coalesce(max(c) FILTER (bad >= {limits.catch}::DOUBLE * most), 'inf'::DOUBLE) AS cutoff
+  FROM share s JOIN fit f ON f.stratum = s.stratum AND f.rule = s.rule GROUP BY f.stratum, f.rule, t),
+first AS (SELECT doc_id, x.stratum, role, coalesce(min(t) FILTER (x > cutoff), {steps + 1}) AS first FROM x JOIN path p ON p.stratum = x.stratum AND p.rule = x.rule WHERE role <> 'design' GROUP BY ALL),
+hit AS (SELECT stratum, t, count(*) FILTER (role = 'good') AS n, count(*) FILTER (role = 'good' AND first <= t) AS k, count(*) FILTER (role = 'bad' AND first <= t) AS caught FROM first CROSS JOIN t GROUP BY stratum, t),
+tail AS (
+  SELECT stratum, t, caught, k >= n AS all_of, list_sum(list_transform(generate_series(0, k), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({limits.alpha}::DOUBLE) + (n - i) * ln(1 - {limits.alpha}::DOUBLE)))) AS p FROM hit),
+failed AS (SELECT stratum, min(t) AS t FROM tail WHERE all_of OR p > {limits.delta}::DOUBLE / (SELECT count(DISTINCT stratum) FROM path) GROUP BY stratum),
+certified AS (SELECT tail.stratum, tail.t, caught, max(caught) OVER (PARTITION BY tail.stratum) AS most FROM tail LEFT JOIN failed f ON f.stratum = tail.stratum WHERE f.t IS NULL OR tail.t < f.t),
+chosen AS (SELECT stratum, min(t) AS t FROM certified WHERE caught >= {limits.catch}::DOUBLE * most GROUP BY stratum),
+final AS (SELECT p.stratum, p.rule, p.cutoff FROM path p JOIN chosen ON chosen.stratum = p.stratum AND chosen.t = p.t),
+over AS (SELECT DISTINCT r.doc_id FROM ({ratios.replace(", role,", ", 0 AS role,").replace("FROM held", "FROM b")}) r JOIN final f ON f.stratum = r.stratum AND f.rule = r.rule WHERE r.x > f.cutoff)
+SELECT b.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND over.doc_id IS NULL AS kept
+FROM b LEFT JOIN over ON over.doc_id = b.doc_id
+"""
+
+
+OP9_SQL = _op9_sql()
+
+
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path(WORD_BPE))
 
@@ -151,4 +229,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_best_fit_packing": op10_best_fit_packing,
 }
 
-ORACLE_SQL: dict[str, str] = {"op3_url_filters": OP3_SQL, "op6_warc": OP6_SQL}
+ORACLE_SQL: dict[str, str] = {"op3_url_filters": OP3_SQL, "op5_embedding_near_dedup": OP5_SQL, "op6_warc": OP6_SQL, "op7_substring_dedup": OP7_SQL, "op9_quality_rules": OP9_SQL}

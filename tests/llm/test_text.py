@@ -3,6 +3,7 @@
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -107,6 +108,22 @@ def test_bpe_matches_the_library(spark):
     assert byte_bpe.encode_texts(df.limit(0), coder).count() == 0
 
 
+def test_long_words_fold_fast():
+    P = public()
+    tiktoken = pytest.importorskip("tiktoken")
+    ranks = byte_bpe.read_ranks(tokenizer_path(BYTE_BPE))
+    own = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    rnd = random.Random(9)
+    words = ["-" * 1_000_000, "a" * 1_000_000, "".join(rnd.choices("etaoinshrdlué", k=100_000)), "x" * byte_bpe.LONG_WORD, "ab" * 200, " " * 3001]
+    start = time.time()
+    for word in words:
+        assert byte_bpe.fold_bytes(word.encode(), ranks) == own.encode_single_piece(word.encode())
+    assert time.time() - start < 60
+    for _ in range(300):
+        word = "".join(rnd.choices("ab-é", k=rnd.randint(100, 300))).encode()
+        assert byte_bpe.fold_bytes(word, ranks) == own.encode_single_piece(word)
+
+
 def slow_stats(text):
     text = text or ""
     words = re.findall(r"[^\x20\x09-\x0D]+", text)
@@ -138,17 +155,32 @@ def test_certified_rules(spark):
     for k in range(4000):
         bad = k % 4 == 0
         words = [f"w{rnd.randrange(5000)}" + ("&&&" if bad else "") for _ in range(60)]
-        rows.append((k, " ".join(words), "en" if k % 8 else "xx"))
+        rows.append((k, " ".join(words), "en" if k % 16 else None))
         labels.append((k, int(not bad)))
     labels += [(0, 1), (None, 1), (5, None)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    docs = spark.createDataFrame([(*r, "x", 5) for r in rows], "doc_id long, text string, lang string, base_failed string, n_lines int")
     stats = quality_rules.with_stats(docs, keep_text=False)
     cutoffs = quality_rules.calibrate(stats, spark.createDataFrame(labels, "doc_id long, quality int"))
-    assert set(cutoffs) == {"en"} and cutoffs["en"]["symbols"] > 0
+    assert set(cutoffs) == {"en"} and set(cutoffs["en"]) == {"symbols"} and cutoffs["en"]["symbols"] > 0.1
     got = {r.doc_id: r.kept for r in quality_rules.verdict(stats, cutoffs).collect()}
-    assert all(got[k] for k in range(4000) if k % 4) and not any(got[k] for k in range(4, 4000, 8))
+    assert all(got[k] for k in range(4000) if k % 4 or not k % 16) and not any(got[k] for k in range(4, 4000, 4) if k % 16)
+    kept = quality_rules.keep(docs, cutoffs)
+    assert kept.columns == docs.columns and {(r.doc_id, r.base_failed, r.n_lines) for r in kept.collect()} == {(k, "x", 5) for k, v in got.items() if v}
     assert quality_rules.calibrate(stats, spark.createDataFrame([], "doc_id long, quality int")) == {}
     assert quality_rules.verdict(quality_rules.with_stats(docs.limit(0)), {}).count() == 0
+    assert quality_rules.keep(docs.limit(0), cutoffs).count() == 0
+
+
+def test_false_rejection_holds_on_fresh_labels():
+    """Over many draws a certified step rejects more than alpha of the good documents no more often than delta."""
+    rng, limits = np.random.default_rng(1), quality_rules.Limits()
+    true = np.linspace(0, 0.06, quality_rules.STEPS + 1)[1:]  # share of the good ones that each step rejects
+    over = 0
+    for _ in range(400):
+        first = np.searchsorted(true, rng.random(600))
+        at = quality_rules.choose(np.bincount(first, minlength=quality_rules.STEPS + 1), np.arange(quality_rules.STEPS + 1), limits, 1)
+        over += at is not None and true[at] > limits.alpha
+    assert over <= 0.05 * 400 * 1.5
 
 
 def tables(spark):
