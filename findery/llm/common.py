@@ -13,6 +13,11 @@ from pyspark.sql.functions import arrow_udf
 
 #: Rows that one Python step takes from an Arrow batch at a time; bounds the objects alive at once.
 SLICE_ROWS = 512
+#: Bytes of an Arrow batch on its way to Python, in sessions that set no limit of their own.
+BATCH_BYTES = 4 << 20
+#: Rows of up to three longs that are broadcast at most: some 50 MB.
+BROADCAST_ROWS = 2_000_000
+_BATCH_KEY = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 #: ASCII upper-case letters to lower case, everything else unchanged.
 LOWER_ASCII = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -38,10 +43,17 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/findery-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
 
+def small_batches(spark: SparkSession | None) -> None:
+    """Let whole texts go to Python a few megabytes at a time, unless the session has a limit of its own."""
+    if spark is not None and _BATCH_KEY not in spark.conf.getAll:
+        spark.conf.set(_BATCH_KEY, str(BATCH_BYTES))
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: lineage ends here, and a lost executor loses nothing."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
+    small_batches(spark)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -50,7 +62,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _lean() -> None:
+    """Have this worker give memory back that Arrow has freed."""
+    if pa.default_memory_pool().backend_name != "system":
+        pa.set_memory_pool(pa.system_memory_pool())
+
+
 def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
+    """Slices of bounded length, in a worker."""
+    _lean()
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
@@ -81,10 +101,12 @@ def text_column(step: Callable[[list[bytes | None]], pa.Array], kind: str) -> Ca
 
     @arrow_udf(kind)
     def run(texts: pa.Array) -> pa.Array:
+        _lean()
         raw = texts.cast(pa.binary())
         parts = [step(raw.slice(at, SLICE_ROWS).to_pylist()) for at in range(0, max(1, len(raw)), SLICE_ROWS)]
         return pa.concat_arrays(parts) if len(parts) > 1 else parts[0]
 
+    small_batches(SparkSession.getActiveSession())
     found = run.asNondeterministic()
     return lambda text: found(text.cast("string"))
 
@@ -93,7 +115,7 @@ class Memo(dict):
     """``make(key)`` for every key asked for, remembered until the keys take about ``MEMO_BYTES``."""
 
     #: Bytes of an entry besides its key's and value's own length, and bytes that all may take.
-    ENTRY_BYTES, MEMO_BYTES = 180, 64 << 20
+    ENTRY_BYTES, MEMO_BYTES = 180, 24 << 20
 
     def __init__(self, make: Callable | None):
         super().__init__()
@@ -142,13 +164,20 @@ def unused(df: DataFrame, name: str) -> str:
     return name
 
 
+def broadcast_if_small(df: DataFrame, name: str, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """``df``, written once and counted: with a broadcast hint up to ``rows`` rows of a few numbers, and without one beyond."""
+    held = materialize(df, name)
+    return F.broadcast(held) if held.count() <= rows else held
+
+
 def without_copies(docs: DataFrame, of: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """The rows of ``docs`` but those whose id never is its own component in ``of`` (``doc_id, component_id``).
 
-    Rows with a null id stay. The ids that go are usually few, so Spark may find them small enough to broadcast.
+    Rows with a null id stay. As long as few ids go, no text is shuffled for it.
     """
     own = F.bool_or(F.col("doc_id") == F.col("component_id"))
     gone = of.where("doc_id is not null").groupBy(F.col("doc_id").alias("_gone")).agg(own.alias("own")).where("not own").select("_gone")
+    gone = broadcast_if_small(gone, "copies")
     named = docs.where(docs[id_col].isNotNull())
     return named.join(gone, named[id_col] == gone["_gone"], "left_anti").unionByName(docs.where(docs[id_col].isNull()))
 

@@ -22,7 +22,9 @@ SLOT_BITS, MAX_GRAM = 18, 4
 #: Rows that are learnt from and landmarks among them; each language has ``LANG_ROWS`` rows (or all it has) and a landmark at least.
 MAX_ROWS, LANDMARKS, LANG_ROWS = 1600, 96, 5
 RIDGE, SHARPNESS = 1e-2, 6.0
-BLOCK = 1 << 20
+BLOCK = 1 << 18
+#: Texts that are scored in one matrix product.
+SCORED_ROWS = 48
 
 _U = np.uint64
 
@@ -138,7 +140,7 @@ def found_in(docs: DataFrame, model: Model):
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def step(texts: list[bytes | None]) -> pa.Array:
-        parts = [shared.value.scores([None if t is None else t.decode() for t in texts[at : at + 128]]) for at in range(0, max(1, len(texts)), 128)]
+        parts = [shared.value.scores([None if t is None else t.decode() for t in texts[at : at + SCORED_ROWS]]) for at in range(0, max(1, len(texts)), SCORED_ROWS)]
         best, score = (np.concatenate(x) for x in zip(*parts, strict=True))
         return pa.StructArray.from_arrays([pa.array(names[best], pa.string()), pa.array(score)], ["lang_pred", "score"])
 

@@ -38,6 +38,8 @@ GRID = tuple(round((k / 64) ** 2, 6) for k in range(63, 0, -1))
 LIFTS = tuple(round(64 ** (1 - t / 60), 6) for t in range(1, 61))
 STEPS = len(LIFTS)
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
+#: Strata whose cutoffs become a literal; more are joined as a table.
+LITERAL_STRATA = 1000
 
 MARKS = re.compile(rb"[!?]{2}")
 
@@ -163,25 +165,37 @@ def calibrate(stats: DataFrame, labels: DataFrame, limits: Limits = Limits()) ->
     rows = stats.where("not base_failed").select("doc_id", stratum_of(F.col("lang")).alias("stratum"), *(_ratio(r).alias(r) for r in RULES))
     held = rows.join(said.select("doc_id", "q"), "doc_id").select("stratum", role.alias("role"), *RULES)
     least = math.ceil(math.log(limits.delta) / math.log1p(-limits.alpha))
-    enough = held.where("role = 'good'").groupBy("stratum").count().where(F.col("count") >= least).select("stratum")
+    strata = sorted(r.stratum for r in held.where("role = 'good'").groupBy("stratum").count().where(F.col("count") >= least).collect())
+    if not strata:
+        return {}
     grid = F.array(*(F.lit(c) for c in GRID))
     each = F.explode(F.array(*(F.struct(F.lit(r).alias("rule"), _passed(F.col(r), grid).alias("passed")) for r in RULES)))
-    counts = held.where("role <> 'good'").join(enough, "stratum").select("stratum", "role", each.alias("x")).groupBy("stratum", "role", "x.rule", "x.passed").count()
-    hits: dict[str, dict[tuple[str, str], np.ndarray]] = {}
+    counts = _with_table(held.where("role <> 'good'"), {s: [] for s in strata}, "").select("stratum", "role", each.alias("x")).groupBy("stratum", "role", "x.rule", "x.passed").count()
+    hits: dict[str, dict[tuple[str, str], np.ndarray]] = {s: {} for s in strata}
     for r in counts.collect():
-        hits.setdefault(r.stratum, {}).setdefault((r.role, r.rule), np.zeros(len(GRID) + 1, np.int64))[r.passed] += r["count"]
+        hits[r.stratum].setdefault((r.role, r.rule), np.zeros(len(GRID) + 1, np.int64))[r.passed] += r["count"]
     paths = {s: lay_out(h, limits) for s, h in hits.items()}
-    if not paths:
-        return {}
-    table = spark.createDataFrame([(s, *p.values()) for s, p in sorted(paths.items())], "stratum string, " + ", ".join(f"p_{r} array<double>" for r in RULES))
-    step = F.least(*(_passed(F.col(r), F.col(f"p_{r}")) for r in RULES))
-    joint = held.where("role <> 'design'").join(table, "stratum").select("stratum", "role", step.alias("step")).groupBy("stratum", "role", "step").count()
+    laid = _with_table(held.where("role <> 'design'"), {s: list(p.values()) for s, p in paths.items()}, "array<double>")
+    step = F.least(*(_passed(F.col(r), F.col(f"_{k}")) for k, r in enumerate(RULES)))
+    joint = laid.select("stratum", "role", step.alias("step")).groupBy("stratum", "role", "step").count()
     found = {s: {role: np.zeros(STEPS + 1, np.int64) for role in ("good", "bad")} for s in paths}
     for r in joint.collect():
         found[r.stratum][r.role][r.step] += r["count"]
     return {s: {r: path[at] for r, path in paths[s].items() if path[at] < math.inf} for s, h in found.items() if (at := choose(h["good"], h["bad"], limits, len(paths))) is not None}
 
 
+def _with_table(rows: DataFrame, table: dict[str, list], kind: str) -> DataFrame:
+    """``rows`` of the strata in ``table`` with its values as ``_0``, ``_1``...: from literals, or by a join if there are very many strata."""
+    names = [f"_{k}" for k in range(len(next(iter(table.values()))))]
+    if len(table) > LITERAL_STRATA:
+        held = rows.sparkSession.createDataFrame([(s, *v) for s, v in sorted(table.items())], ", ".join(["stratum string", *(f"{n} {kind}" for n in names)]))
+        return rows.join(held, "stratum")
+    stratum = F.col("stratum")
+    literal = lambda v: F.array(*map(F.lit, v)) if isinstance(v, list) else F.lit(v)
+    maps = {n: F.create_map(*(x for s, v in sorted(table.items()) for x in (F.lit(s), literal(v[k]))))[stratum] for k, n in enumerate(names)}
+    return rows.where(stratum.isin(*table)).withColumns(maps) if maps else rows.where(stratum.isin(*table))
+
+
 def lay_out(hits: dict[tuple[str, str], np.ndarray], limits: Limits) -> dict[str, list[float]]:
     """Rule to its cutoff at every step (infinite: none), from counts of documents by how many cutoffs they pass.
 
@@ -211,14 +225,19 @@ def choose(good: np.ndarray, bad: np.ndarray, limits: Limits, strata: int) -> in
 
 def passes(docs: DataFrame, cutoffs: dict[str, dict[str, float]], of, lang: Column, name: str) -> DataFrame:
     """``docs`` with boolean ``name``: no base rule and no cutoff of the row's stratum rejects it; ``of`` gives a count's column."""
-    spark, s = docs.sparkSession, unused(docs, "_stratum")
-    table = spark.createDataFrame([(k, *(float(c.get(r, math.inf)) for r in RULES)) for k, c in sorted(cutoffs.items())], f"{s} string, " + ", ".join(f"{s}_{r} double" for r in RULES))
-    over = F.lit(False)
-    for r in RULES:
-        over = over | F.coalesce(_ratio(r, of) > F.col(f"{s}_{r}"), F.lit(False))
-    own = columns_of(docs)
-    # without a hint: the optimiser broadcasts the table only if its size allows it
-    return docs.withColumn(s, stratum_of(lang)).join(table, s, "left").select(*own, (~failed(of("n_words"), of("n_repeat_words")) & ~over).alias(name))
+    own, over = columns_of(docs), F.lit(False)
+    if len(cutoffs) <= LITERAL_STRATA:
+        for r in RULES:
+            if known := [x for s, c in sorted(cutoffs.items()) if r in c for x in (F.lit(s), F.lit(float(c[r])))]:
+                over = over | F.coalesce(_ratio(r, of) > F.create_map(*known)[stratum_of(lang)], F.lit(False))
+    else:
+        s = unused(docs, "_stratum")
+        rows = [(k, *(float(c.get(r, math.inf)) for r in RULES)) for k, c in sorted(cutoffs.items())]
+        table = docs.sparkSession.createDataFrame(rows, f"{s} string, " + ", ".join(f"{s}_{r} double" for r in RULES))
+        docs = docs.withColumn(s, stratum_of(lang)).join(table, s, "left")
+        for r in RULES:
+            over = over | F.coalesce(_ratio(r, of) > F.col(f"{s}_{r}"), F.lit(False))
+    return docs.select(*own, (~failed(of("n_words"), of("n_repeat_words")) & ~over).alias(name))
 
 
 def verdict(stats: DataFrame, cutoffs: dict[str, dict[str, float]]) -> DataFrame:

@@ -3,11 +3,12 @@
 Every window of ``size`` consecutive words gets a Rabin-Karp hash. Shuffling all of them would move
 several times the input, so windows are first grouped by a minimizer (the least hash of the ``GRAM``-word
 pieces inside the window, which equal windows share): a window whose minimizer is found in one document
-only cannot repeat elsewhere, and only the others are counted. Both counts run over sorted runs that
-are read as a stream, and rows that a task can settle from what it has seen itself are dealt at random,
-so a passage that a third of all documents share costs one row per chunk and key, not one task.
+only cannot repeat elsewhere, and only the others are counted. Both counts are Spark windows over rows dealt
+by hash; rows that a task has settled from what it has seen itself are dealt at random, and of a window that
+a text repeats one place is sent, so a passage that a third of all documents share costs one row per chunk
+and key, not one task.
 
-Equality is decided by 64-bit hashes; among n counted windows a false match is expected n*n/2^65 times.
+Equality is decided by 96 bits of two hashes; among n counted windows a false match is expected n*n/2^97 times.
 """
 
 from __future__ import annotations
@@ -18,32 +19,22 @@ from functools import cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.functions import arrow_udf
 
-from .common import slices, utf8
+from .common import SLICE_ROWS, Memo, columns_of, held, slices, unused, utf8
 
 SIZE, GRAM = 50, 12
 #: Rows that a task settles together before it sends them on.
 COMBINE_ROWS = 1 << 18
-#: Words whose hashes a worker remembers.
-MEMO_WORDS = 1 << 19
+#: Bit of a place whose window the text repeats farther on; above it lies the text's tag.
+ECHO = 1 << 31
 
 _BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 _U = np.uint64
 
 
-class _WordHashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= MEMO_WORDS:
-            self.clear()
-        value = self[word] = xxhash.xxh64_intdigest(word)
-        return value
-
-
-_hashes = _WordHashes()
-
-
 def _mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> _U(30))) * _U(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> _U(27))) * _U(0x94D049BB133111EB)
@@ -71,12 +62,18 @@ def _rolling(h: np.ndarray, size: int, base: int) -> np.ndarray:
 
 
 def word_hashes(words: list[bytes]) -> np.ndarray:
-    return np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
+    known = held("word hashes", lambda: Memo(xxhash.xxh64_intdigest))
+    return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
 
 
 def window_hashes(h: np.ndarray, size: int) -> np.ndarray:
-    a, b = (_rolling(h, size, x) for x in _BASES)
-    return _mix(a) ^ _mix(b + _U(_BASES[0]))
+    return _two_hashes(h, size)[0]
+
+
+def _two_hashes(h: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """64 and 32 bits per window, from two Rabin-Karp hashes."""
+    a, b = (_mix(_rolling(h, size, x) + _U(c)) for x, c in zip(_BASES, (0, _BASES[0]), strict=True))
+    return a ^ b, ((a * _U(_BASES[1]) + b) >> _U(32)).astype(np.uint32).view(np.int32)
 
 
 def minimizers(h: np.ndarray, size: int, gram: int) -> np.ndarray:
@@ -89,14 +86,16 @@ def minimizers(h: np.ndarray, size: int, gram: int) -> np.ndarray:
     return least
 
 
-def _runs(key: np.ndarray, doc: np.ndarray, before: tuple | None) -> tuple[np.ndarray, tuple]:
-    """First document of each row's run of equal keys; rows are sorted by (key, doc)."""
-    start = np.empty(len(key), bool)
-    start[0] = before is None or before[0] != key[0]
-    start[1:] = key[1:] != key[:-1]
-    at = np.maximum.accumulate(np.where(start, np.arange(len(key)), -1))
-    first = np.where(at >= 0, doc[at], before[1] if before else 0)
-    return first, (key[-1], first[-1])
+def _firsts(same: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """First document of each row's run; ``same`` tells which rows go on with the run of the row before."""
+    return doc[np.maximum.accumulate(np.where(same, 0, np.arange(len(doc))))]
+
+
+def _as_before(*cols: np.ndarray) -> np.ndarray:
+    """Which rows equal the row before in all columns."""
+    same = np.zeros(len(cols[0]), bool)
+    same[1:] = np.logical_and.reduce([c[1:] == c[:-1] for c in cols])
+    return same
 
 
 def _chunks(rows: Iterator[tuple[np.ndarray, ...]]) -> Iterator[list[np.ndarray]]:
@@ -117,10 +116,6 @@ def _batches(names: list[str], cols: list[np.ndarray], rows: int = 1 << 16) -> I
         yield pa.RecordBatch.from_arrays([pa.array(c[at : at + rows]) for c in cols], names)
 
 
-def _sort(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return np.lexsort((b, a))
-
-
 def _shared_minimizers(docs: DataFrame, size: int, gram: int) -> DataFrame:
     """``(doc_id, mins)``: of each document the minimizers that another document has as well."""
 
@@ -134,86 +129,61 @@ def _shared_minimizers(docs: DataFrame, size: int, gram: int) -> DataFrame:
                         yield m, np.full(len(m), doc, np.int64)
 
         for m, d in _chunks(rows()):
-            order = _sort(m, d)
-            m, d = m[order], d[order]
-            first, _ = _runs(m, d, None)
+            order = np.lexsort((d, m))
+            m, d = m[order].view(np.int64), d[order]
+            same = _as_before(m)
+            first = _firsts(same, d)
             known = d > first
-            # the run's first document stays behind as its witness unless the run is shared already
+            # the run's first document stays behind as its witness, and counts itself once another one follows
             shared = known.copy()
-            shared[:-1] |= known[1:] & (m[1:] == m[:-1])
+            shared[:-1] |= known[1:] & same[1:]
             witness = shared & (d == first)
-            yield from _batches(["m", "doc", "known"], [x.view(np.int64) if x.dtype == np.uint64 else x for x in (np.concatenate((m, m[witness])), np.concatenate((d, d[witness])), np.concatenate((shared, np.zeros(witness.sum(), bool))))])
-
-    def settle(batches):
-        before, carried, told = None, None, False
-        for batch in slices(batches, 1 << 16):
-            m, d, known = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
-            out = [(m[known], d[known])]
-            m, d = m[~known], d[~known]
-            if len(m):
-                if before is not None and m[0] != before[0]:
-                    before, told = None, False
-                first, after = _runs(m, d, before)
-                more = d > first
-                if before is not None and not told and more[m == before[0]].any():
-                    out.append(carried)
-                hit = more.copy()
-                last_run = m == m[-1]
-                # the first document's rows count once a larger one follows in the run
-                follows = np.zeros(len(m), bool)
-                ends = np.flatnonzero(np.append(m[1:] != m[:-1], True))
-                run = np.searchsorted(ends, np.arange(len(m)))
-                follows[:] = more[ends][run]
-                hit |= follows
-                told = bool(more[-1]) or (told and before is not None and m[-1] == before[0])
-                if before is None or m[-1] != before[0]:
-                    carried = (m[last_run][:1], d[last_run][:1])
-                before = after
-                out.append((m[hit], d[hit]))
-            cols = [np.concatenate(c) for c in zip(*out, strict=True)]
-            if len(cols[0]):
-                yield from _batches(["m", "doc"], cols)
-
-    found = docs.where("doc_id is not null").select("doc_id", "text").mapInArrow(emit, "m long, doc long, known boolean")
-    dealt = found.repartition(F.when(F.col("known"), F.xxhash64("m", "doc")).otherwise(F.col("m"))).sortWithinPartitions("m", "doc")
-    return dealt.mapInArrow(settle, "m long, doc long").groupBy(F.col("doc").alias("doc_id")).agg(F.collect_set("m").alias("mins"))
+            yield from _batches(["m", "doc", "known"], [np.concatenate((m, m[witness])), np.concatenate((d, d[witness])), np.concatenate((shared, np.zeros(witness.sum(), bool)))])
+
+    found = docs.select("doc_id", "text").mapInArrow(emit, "m long, doc long, known boolean")
+    dealt = found.withColumn("key", F.when(F.col("known"), F.xxhash64("m", "doc")).otherwise(F.col("m")))
+    among = Window.partitionBy("key", "known")
+    spread = dealt.select("m", "doc", "known", F.min("doc").over(among).alias("lo"), F.max("doc").over(among).alias("hi"))
+    return spread.where("known or lo < hi").groupBy(F.col("doc").alias("doc_id")).agg(F.collect_set("m").alias("mins"))
 
 
 def _repeats(docs: DataFrame, mins: DataFrame, size: int, gram: int) -> DataFrame:
-    """``(doc_id, places)``: starts of windows that an earlier document has too, tagged with 31 bits of the text's hash."""
+    """``(doc_id, places)``: starts of windows that an earlier document has too, tagged with 31 bits of the text's hash.
+
+    Of places whose windows are equal one stands for all, with the bit ``ECHO``.
+    """
+    at_mins = len(docs.columns)
 
     def emit(batches):
         def rows():
             for part in slices(batches):
-                for doc, text, own in zip(part.column(0).to_pylist(), utf8(part, "text"), part.column(2).to_pylist(), strict=True):
+                for doc, text, own in zip(part.column(0).to_pylist(), utf8(part, "text"), part.column(at_mins).to_pylist(), strict=True):
                     words = (text or b"").split()
                     if len(words) < size:
                         continue
                     h = word_hashes(words)
                     at = np.flatnonzero(np.isin(minimizers(h, size, gram).view(np.int64), np.array(own, np.int64)))
-                    yield window_hashes(h, size)[at], np.full(len(at), doc, np.int64), at + text_tag(text)
-
-        for w, d, p in _chunks(rows()):
-            order = _sort(w, d)
-            w, d, p = w[order], d[order], p[order]
-            first, _ = _runs(w, d, None)
-            yield from _batches(["w", "doc", "place", "known"], [w.view(np.int64), d, p, d > first])
-
-    def settle(batches):
-        before = None
-        for batch in slices(batches, 1 << 16):
-            w, d, p, known = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
-            gone = known.copy()
-            open_ = np.flatnonzero(~known)
-            if len(open_):
-                first, before = _runs(w[open_], d[open_], before)
-                gone[open_] = d[open_] > first
-            yield from _batches(["doc", "place"], [d[gone], p[gone]])
-
-    held = docs.join(mins.hint("shuffle_hash"), "doc_id").select("doc_id", "text", "mins")
-    found = held.mapInArrow(emit, "w long, doc long, place long, known boolean")
-    dealt = found.repartition(F.when(F.col("known"), F.xxhash64("doc", "place")).otherwise(F.col("w"))).sortWithinPartitions("w", "doc")
-    return dealt.mapInArrow(settle, "doc long, place long").groupBy(F.col("doc").alias("doc_id")).agg(F.collect_list("place").alias("places"))
+                    w, x = _two_hashes(h, size)
+                    yield w[at], x[at], np.full(len(at), doc, np.int64), at + text_tag(text)
+
+        for w, x, d, p in _chunks(rows()):
+            order = np.lexsort((d, w))
+            w, x, d, p = w[order].view(np.int64), x[order], d[order], p[order]
+            same = _as_before(w, x)
+            known = d > _firsts(same, d)
+            again = _as_before(w, x, d, p >> 32)
+            p[:-1] |= np.where(again[1:], ECHO, 0)
+            yield from _batches(["w", "x", "doc", "place", "known"], [c[~again] for c in (w, x, d, p, known)])
+
+    # all columns go to Python, so that this join reads the texts through the same exchange as the last one
+    name = unused(docs, "mins")
+    joined = docs.join(mins.withColumnRenamed("mins", name), "doc_id").select(*columns_of(docs), name)
+    found = joined.toDF("doc_id", "text", *(f"c{k}" for k in range(2, at_mins)), "mins")
+    found = found.mapInArrow(emit, "w long, x int, doc long, place long, known boolean")
+    dealt = found.withColumn("key", F.when(F.col("known"), F.xxhash64("doc", "place")).otherwise(F.col("w")))
+    earlier = Window.partitionBy("key", "x", "known").orderBy("doc").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    judged = dealt.select("doc", "place", "known", F.first("doc").over(earlier).alias("first"))
+    return judged.where("known or doc > first").groupBy(F.col("doc").alias("doc_id")).agg(F.collect_list("place").alias("places"))
 
 
 def text_tag(text: bytes) -> int:
@@ -229,6 +199,63 @@ def intervals(starts: np.ndarray, size: int) -> list[tuple[int, int]]:
     return [(int(x[0]), int(x[-1]) + size) for x in np.split(s, cut)]
 
 
+def _starts(words: list[bytes], places: np.ndarray, size: int) -> np.ndarray:
+    """Window starts from the places of one text, with all that echo them."""
+    starts = places & (ECHO - 1)
+    if not len(echoed := starts[(places & ECHO) != 0]):
+        return starts
+    w, x = _two_hashes(word_hashes(words), size)
+    wanted = set(zip(w[echoed].tolist(), x[echoed].tolist(), strict=True))
+    maybe = np.flatnonzero(np.isin(w, w[echoed]))
+    return np.concatenate((starts, maybe[[k in wanted for k in zip(w[maybe].tolist(), x[maybe].tolist(), strict=True)]]))
+
+
+def _cut(text: Column, places: Column, size: int) -> Column:
+    """``(n_words, removed, kept)`` of a text without the windows at ``places``; kept is null if nothing goes."""
+    spans_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+
+    def step(texts: list[bytes | None], places: pa.Array) -> pa.Array:
+        counts, removed, left = [], [], []
+        for text, place in zip(texts, places.to_pylist(), strict=True):
+            words, spans = (text or b"").split(), []
+            if place and text:
+                p, tag = np.array(place, np.int64), text_tag(text)
+                own = p[(p >= tag) & (p < tag + (1 << 32))] - tag
+                spans = intervals(_starts(words, own, size), size) if len(own) else []
+            kept, at = [], 0
+            for a, b in spans:
+                kept += words[at:a]
+                at = b
+            counts.append(len(words))
+            removed.append([{"start": a, "end": b} for a, b in spans])
+            left.append(b" ".join(kept + words[at:]).decode() if spans else None)
+        return pa.StructArray.from_arrays([pa.array(counts, pa.int64()), pa.array(removed, spans_type), pa.array(left, pa.string())], ["n_words", "removed", "kept"])
+
+    @arrow_udf("struct<n_words: long, removed: array<struct<start: long, end: long>>, kept: string>")
+    def cut(texts: pa.Array, places: pa.Array) -> pa.Array:
+        raw = texts.cast(pa.binary())
+        return pa.concat_arrays([step(raw.slice(at, SLICE_ROWS).to_pylist(), places.slice(at, SLICE_ROWS)) for at in range(0, max(1, len(raw)), SLICE_ROWS)])
+
+    return cut.asNondeterministic()(text, places)
+
+
+def cut_repeats(docs: DataFrame, name: str, size: int = SIZE, gram: int = GRAM) -> DataFrame:
+    """``docs`` with a struct ``(n_words, removed, kept)`` as column ``name``; kept is null where no word goes."""
+    if not 0 < gram <= size:
+        raise ValueError("gram must be between 1 and size")
+    kinds = dict(docs.dtypes)
+    # without needless casts both joins read the texts alike, so they share one exchange
+    keys = [c if kinds[c] == kind else F.col(c).cast(kind).alias(c) for c, kind in (("doc_id", "bigint"), ("text", "string"))]
+    src = docs.select(*keys, *columns_of(docs, "doc_id", "text"))
+    places = unused(docs, "places")
+    known = src.where("doc_id is not null")
+    found = _repeats(known, _shared_minimizers(known, size, gram), size, gram).withColumnRenamed("places", places)
+    # rows without an id take nothing and stay where they are
+    rest = src.where("doc_id is null").withColumn(places, F.lit(None).cast("array<bigint>"))
+    joined = known.join(found, "doc_id", "left").unionByName(rest)
+    return joined.select(*columns_of(src), _cut(F.col("text"), F.col(places), size).alias(name))
+
+
 def remove_repeats(docs: DataFrame, size: int = SIZE, gram: int = GRAM) -> DataFrame:
     """``docs`` with ``n_words``, ``n_removed``, ``removed`` (maximal word intervals) and ``kept_text``.
 
@@ -236,39 +263,25 @@ def remove_repeats(docs: DataFrame, size: int = SIZE, gram: int = GRAM) -> DataF
     covers it whose word sequence also starts in a document with a smaller ``doc_id``; windows are judged
     on the input. ``kept_text`` joins the kept words with one space, or is the text itself if nothing goes.
     Null and empty texts have no words. Rows with a null id, and rows with equal ids among themselves,
-    take nothing from each other. Columns of ``docs`` with the name of a result are replaced.
+    take nothing from each other. Columns of ``docs`` with the name of a result are replaced. An empty table
+    gives an empty result.
     """
-    if not 0 < gram <= size:
-        raise ValueError("gram must be between 1 and size")
-    added = ["n_words", "n_removed", "removed", "kept_text"]
-    rest = [c for c in docs.columns if c not in (*added, "doc_id", "text")]
-    # without needless casts both joins below read the texts alike, so they share one exchange
-    kinds = dict(docs.dtypes)
-    keys = [c if kinds[c] == kind else F.col(c).cast(kind).alias(c) for c, kind in (("doc_id", "bigint"), ("text", "string"))]
-    docs = docs.select(*keys, *rest)
-    known = docs.where("doc_id is not null")
-    places = _repeats(known.select("doc_id", "text", *rest), _shared_minimizers(docs, size, gram), size, gram)
-    joined = known.join(places.hint("shuffle_hash"), "doc_id", "left").unionByName(docs.where("doc_id is null").withColumn("places", F.lit(None).cast("array<bigint>")))
-
-    def cut(batches):
-        for part in slices(batches):
-            out = [[], [], [], []]
-            for text, place in zip(utf8(part, "text"), part.column(part.num_columns - 1).to_pylist(), strict=True):
-                words, spans = (text or b"").split(), []
-                if place and text:
-                    p = np.array(place, np.int64)
-                    tag = text_tag(text)
-                    spans = intervals(p[(p >= tag) & (p < tag + (1 << 32))] - tag, size)
-                kept, at = [], 0
-                for a, b in spans:
-                    kept += words[at:a]
-                    at = b
-                gone = sum(b - a for a, b in spans)
-                new = [len(words), gone, [{"start": a, "end": b} for a, b in spans], (b" ".join(kept + words[at:]) if gone else text or b"").decode()]
-                for o, x in zip(out, new, strict=True):
-                    o.append(x)
-            kinds = [pa.int64(), pa.int64(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])), pa.string()]
-            yield pa.RecordBatch.from_arrays([*part.columns[:-1], *(pa.array(o, k) for o, k in zip(out, kinds, strict=True))], [*part.schema.names[:-1], *added])
-
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return joined.mapInArrow(cut, f"{fields}, n_words long, n_removed long, removed array<struct<start: long, end: long>>, kept_text string")
+    own = docs.select(*columns_of(docs, "n_words", "n_removed", "removed", "kept_text"))
+    name = unused(own, "_cut")
+    out = cut_repeats(own, name, size, gram)
+    gone = F.aggregate(F.col(f"{name}.removed"), F.lit(0).cast("long"), lambda n, x: n + x.end - x.start)
+    return out.select(*(c for c in out.columns if c != name), f"{name}.n_words", gone.alias("n_removed"), f"{name}.removed", F.coalesce(f"{name}.kept", "text", F.lit("")).alias("kept_text"))
+
+
+def without_repeats(docs: DataFrame, length: str = "n_chars") -> DataFrame:
+    """``docs`` with what ``remove_repeats`` keeps as ``text``, and its length where it has changed as column ``length``, if there is one.
+
+    All other columns stay as they are, whatever their names.
+    """
+    name = unused(docs, "_cut")
+    out = cut_repeats(docs, name)
+    kept = F.col(f"{name}.kept")
+    new = {"text": F.coalesce(kept, "text").alias("text")}
+    if length in docs.columns:
+        new[length] = F.when(kept.isNotNull(), F.length(kept).cast(docs.schema[length].dataType)).otherwise(F.col(length)).alias(length)
+    return out.select(*(new.get(c, k) for c, k in zip(docs.columns, columns_of(docs), strict=True)))
