@@ -13,35 +13,40 @@ from pyspark.sql import functions as F
 
 from findery.config import Config
 from findery.operators import extract
+from findery.schema import MANIFEST
 from findery.sources import logs
 from findery.sources.store import Store
 
 
-def deep_scan(store: Store, log_dir: str, reader: extract.Reader, ocr: extract.OcrBackend, config: Config, now: str, chunk: int | None = None, should_stop: Callable[[], bool] = lambda: False, progress: Callable[[int], None] = lambda done: None) -> dict[str, int]:
-    """Scan pending records and publish the merged records; counts by outcome.
+def deep_scan(store: Store, log_dir: str, reader: extract.Reader, ocr: extract.OcrBackend, config: Config, now: str, chunk: int | None = None, should_stop: Callable[[], bool] = lambda: False, progress: Callable[[int, int], None] = lambda done, total: None) -> dict[str, int]:
+    """Scan pending records and publish them merged; counts by outcome.
 
     With ``chunk``, that many records make a version of their own, so a scan that is stopped or fails goes
-    on where it was: what is pending is the state.
+    on where it was: what is pending is the state. What was read is written below the store first, so a lost
+    executor has no document read twice, and log, records and counts agree.
     """
     counts: Counter[str] = Counter()
+    total = extract.pending(store.records()).count()
+    progress(0, total)
     while not should_stop():
-        old = store.records()
-        todo = extract.pending(old)
+        was = store.snapshot()
+        todo = extract.pending(was.records())
         if chunk is not None:
             todo = todo.orderBy("doc_id").limit(chunk)
-        found = extract.extract(todo, reader, ocr, config.extraction).persist()
-        try:
-            outcome = F.when(F.col("reason").isNull(), "filled").otherwise("review").alias("s")
-            seen = {r.s: r["count"] for r in found.groupBy(outcome).count().collect()}
-            if not seen:
-                break
-            counts.update(seen)
-            store.publish(extract.merge(old, found, config.rules), store.manifest(), store.current().corpus_root, now)
-            logs.append(extract.extraction_log(found, now), f"{log_dir}/extraction")
-            logs.append(extract.review_entries(found, now), f"{log_dir}/review_queue")
-        finally:
-            found.unpersist()
-        progress(counts.total())
+        at = f"{store.path}/scans/{uuid.uuid4().hex}"
+        extract.extract(todo, reader, ocr, config.extraction).write.parquet(at)
+        found = store.spark.read.parquet(at)
+        outcome = F.when(F.col("reason").isNull(), "filled").otherwise("review").alias("s")
+        seen = {r.s: r["count"] for r in found.groupBy(outcome).count().collect()}
+        if not seen:
+            break
+        counts.update(seen)
+        scanned = was.records().join(found.select("doc_id"), "doc_id", "left_semi")
+        same = was.manifest().join(found.select("doc_id"), "doc_id", "left_semi").select(*store.spark.createDataFrame([], MANIFEST).columns)
+        store.publish(was, extract.merge(scanned, found, config.rules), same, was.corpus_root, now)
+        logs.append(extract.extraction_log(found, now), f"{log_dir}/extraction")
+        logs.append(extract.review_entries(found, now), f"{log_dir}/review_queue")
+        progress(counts.total(), total)
     return dict(counts)
 
 
@@ -49,12 +54,17 @@ class Busy(RuntimeError):
     """A job is running already."""
 
 
+class Cancelled(RuntimeError):
+    """The job was asked to stop."""
+
+
 class Jobs:
     """One background job at a time; its Spark jobs carry a tag by which they are followed and cancelled."""
 
     def __init__(self, spark: SparkSession):
         self.spark, self._lock, self._thread = spark, threading.Lock(), None
-        self._tag, self.error, self.result, self.cancelled = "", None, None, threading.Event()
+        self._tag, self.phase, self.done, self.total = "", "", 0, 0
+        self.error, self.result, self.cancelled = None, None, threading.Event()
 
     def running(self) -> bool:
         return self._thread is not None and self._thread.is_alive()
@@ -63,7 +73,8 @@ class Jobs:
         with self._lock:
             if self.running():
                 raise Busy
-            self._tag, self.error, self.result = f"findery-{uuid.uuid4().hex}", None, None
+            self._tag, self.phase, self.done, self.total = f"findery-{uuid.uuid4().hex}", "", 0, 0
+            self.error, self.result = None, None
             self.cancelled.clear()
 
             def run():
@@ -71,22 +82,43 @@ class Jobs:
                 try:
                     self.result = work()
                 except Exception as e:  # reported by progress()
-                    self.error = str(e)
+                    self.error = None if self.cancelled.is_set() else str(e)
 
             self._thread = InheritableThread(target=run, daemon=True)
             self._thread.start()
 
-    def cancel(self) -> None:
+    def enter(self, phase: str) -> None:
+        """Note a phase of the work; stops the job here if that was asked for."""
+        if self.cancelled.is_set():
+            raise Cancelled
+        self.phase = phase
+
+    def count(self, done: int, total: int) -> None:
+        self.done, self.total = done, total
+
+    def cancel(self) -> bool:
+        """Ask the job to stop; false if none is running."""
+        if not self.running():
+            return False
         self.cancelled.set()
-        if self._tag:
-            self.spark.sparkContext.cancelJobsWithTag(self._tag)
+        self.spark.sparkContext.cancelJobsWithTag(self._tag)
+        return True
 
     def wait(self, seconds: float | None = None) -> None:
         if self._thread is not None:
             self._thread.join(seconds)
 
-    def progress(self) -> dict:
-        """Tasks done and in all over the stages that are active, and how the job stands."""
+    def _tasks(self) -> tuple[int, int]:
+        """Tasks done and in all over the active stages of this job."""
+        if not self.running():
+            return 0, 0
         tracker = self.spark.sparkContext.statusTracker()
-        stages = [s for s in map(tracker.getStageInfo, tracker.getActiveStageIds()) if s]
-        return {"running": self.running(), "done": sum(s.numCompletedTasks for s in stages), "total": sum(s.numTasks for s in stages), "cancelled": self.cancelled.is_set(), "error": self.error}
+        jobs = map(tracker.getJobInfo, self.spark.sparkContext._jsc.sc().statusTracker().getJobIdsForTag(self._tag))
+        active = set(tracker.getActiveStageIds())
+        stages = [s for j in jobs if j for k in j.stageIds if k in active and (s := tracker.getStageInfo(k))]
+        return sum(s.numCompletedTasks for s in stages), sum(s.numTasks for s in stages)
+
+    def progress(self) -> dict:
+        """The phase, what is done of it in documents (deep scans) and in Spark tasks, and how the job stands."""
+        tasks, of = self._tasks()
+        return {"running": self.running(), "phase": self.phase, "done": self.done, "total": self.total, "tasks_done": tasks, "tasks": of, "cancelled": self.cancelled.is_set(), "error": self.error, "summary": self.result}

@@ -1,12 +1,16 @@
-"""The index on disk: versioned Parquet tables and a pointer row that publishes a version.
+"""The index on disk: a base and a few additions to it, and a pointer row that publishes a version.
 
-A version is written next to the one in use and becomes current by appending its number to the pointer
-table, so no table is overwritten while it is read and a failed run leaves the last version current.
+A run writes only the records that it makes, with their manifest rows and postings, as a part of its own, and then
+appends a pointer row that lists the parts of the new version. A document's newest part holds, so nothing that
+is read is ever overwritten, a failed run leaves the last version current, and a run that changes one percent
+writes one percent. Once parts are many or large they are written anew as one base; ``vacuum`` deletes what no
+version needs any more. Of two runs that follow the same version one is refused.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import uuid
+from dataclasses import dataclass, field, replace
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -17,14 +21,74 @@ from findery.config import Config
 from findery.operators import postings, records
 from findery.operators.search import Index
 
-POINTER = "version int, corpus_root string, built_at string"
+POINTER = "version int, corpus_root string, built_at string, parts array<string>, rows array<long>"
+#: Parts of a version at most, and share of the base that additions may reach.
+MAX_PARTS, MAX_SHARE = 8, 0.25
+TABLES = {
+    "records": schema.RECORDS,
+    "manifest": schema.MANIFEST,
+    "postings_field": "field string, value string, doc_id string",
+    "postings_kw": "token string, doc_id string, pos int",
+}
+
+
+class Conflict(RuntimeError):
+    """Another run has published the successor of the version that this one began with."""
+
+
+@dataclass(frozen=True)
+class Snapshot:
+    """One version; every table read from it belongs to it, whatever is published meanwhile."""
+
+    spark: SparkSession
+    path: str
+    version: int = 0
+    corpus_root: str | None = None
+    built_at: str | None = None
+    parts: tuple[str, ...] = ()
+    rows: tuple[int, ...] = ()
+
+    def _part(self, part: str, name: str, ddl: str) -> DataFrame:
+        return self.spark.read.schema(ddl).parquet(f"{self.path}/{part}/{name}")
+
+    def table(self, name: str) -> DataFrame:
+        """Rows of each document from the newest part that names it."""
+        ddl = TABLES[name]
+        if len(self.parts) < 2:
+            return self._part(self.parts[0], name, ddl) if self.parts else self.spark.createDataFrame([], ddl)
+        every = changed = None
+        for k, part in enumerate(self.parts):
+            rows = self._part(part, name, ddl).withColumn("_part", F.lit(k))
+            every = rows if every is None else every.unionByName(rows)
+            if k:
+                ids = self._part(part, "changed", "doc_id string").withColumn("_newest", F.lit(k))
+                changed = ids if changed is None else changed.unionByName(ids)
+        newest = changed.groupBy("doc_id").agg(F.max("_newest").alias("_newest"))
+        kept = every.join(newest, "doc_id", "left").where("_newest is null or _newest = _part")
+        return kept.select(*self.spark.createDataFrame([], ddl).columns)
+
+    def records(self) -> DataFrame:
+        return self.table("records")
+
+    def manifest(self) -> DataFrame:
+        return self.table("manifest")
+
+    def record(self, doc_id: str):
+        """One record; ``KeyError`` if there is none."""
+        found = self.records().where(F.col("doc_id") == doc_id).first()
+        if found is None:
+            raise KeyError(doc_id)
+        return found
+
+    def index(self) -> Index:
+        return Index(self.records(), self.table("postings_field"), self.table("postings_kw"))
 
 
 @dataclass
 class Store:
     spark: SparkSession
     path: str
-    _held: tuple[int, Index] | None = None
+    _held: tuple[int, Index] | None = field(default=None, repr=False)
 
     def _pointer(self) -> DataFrame | None:
         try:
@@ -34,82 +98,122 @@ class Store:
                 raise
             return None
 
-    def current(self):
-        """The published version's row, or None."""
+    def snapshot(self) -> Snapshot:
+        """The published version, or an empty one (version 0) before the first run."""
         found = self._pointer()
-        return None if found is None else found.orderBy(F.desc("version")).first()
+        row = None if found is None else found.orderBy(F.desc("version")).first()
+        return Snapshot(self.spark, self.path) if row is None else Snapshot(self.spark, self.path, row.version, row.corpus_root, row.built_at, tuple(row.parts), tuple(row.rows))
 
-    def _table(self, name: str, ddl: str) -> DataFrame:
-        now = self.current()
-        return self.spark.createDataFrame([], ddl) if now is None else self.spark.read.schema(ddl).parquet(f"{self.path}/v{now.version}/{name}")
+    def current(self) -> Snapshot | None:
+        """The published version, or None before the first run."""
+        found = self.snapshot()
+        return found if found.version else None
 
     def records(self) -> DataFrame:
-        return self._table("records", schema.RECORDS)
+        return self.snapshot().records()
 
     def manifest(self) -> DataFrame:
-        return self._table("manifest", schema.MANIFEST)
+        return self.snapshot().manifest()
 
     def record(self, doc_id: str):
-        """One record; ``KeyError`` if there is none."""
-        found = self.records().where(F.col("doc_id") == doc_id).first()
-        if found is None:
-            raise KeyError(doc_id)
-        return found
+        return self.snapshot().record(doc_id)
 
     def index(self) -> Index | None:
         """Records and postings of the published version, or None before the first run."""
-        if self.current() is None:
-            return None
-        fields = self._table("postings_field", "field string, value string, doc_id string")
-        return Index(self.records(), fields, self._table("postings_kw", "token string, doc_id string, pos int"))
+        found = self.current()
+        return None if found is None else found.index()
 
     def cached_index(self) -> Index | None:
         """The published version's index, kept in memory until another version is published."""
         now = self.current()
         if self._held is not None and (now is None or self._held[0] != now.version):
-            for df in (self._held[1].records, self._held[1].fields, self._held[1].keywords):
-                df.unpersist()
+            self._held[1].unpersist()
             self._held = None
         if now is not None and self._held is None:
-            found = self.index()
-            self._held = (now.version, Index(found.records.cache(), found.fields.cache(), found.keywords.cache()))
+            self._held = (now.version, now.index().cache())
         return None if self._held is None else self._held[1]
 
-    def publish(self, rows: DataFrame, manifest: DataFrame, corpus_root: str, built_at: str) -> int:
-        """Write records, manifest and postings as a new version and make it current.
+    # ---- writing ----
 
-        Postings are sorted by their keys, so look-ups skip row groups by their statistics.
-        """
-        now = self.current()
-        version = 1 if now is None else now.version + 1
-        at = f"{self.path}/v{version}"
-        rows.write.parquet(f"{at}/records", mode="overwrite")
+    def _fs(self):
+        jvm = self.spark._jvm
+        root = jvm.org.apache.hadoop.fs.Path(self.path)
+        return root.getFileSystem(self.spark._jsc.hadoopConfiguration()), jvm.org.apache.hadoop.fs.Path
+
+    def _write_part(self, rows: DataFrame, manifest: DataFrame, gone: DataFrame | None) -> tuple[str, int]:
+        """A part's folder and number of records. Postings are sorted by their keys, so look-ups skip row groups by their statistics."""
+        part = f"part-{uuid.uuid4().hex}"
+        at = f"{self.path}/{part}"
+        rows.write.parquet(f"{at}/records")
         kept = self.spark.read.schema(schema.RECORDS).parquet(f"{at}/records")
-        manifest.write.parquet(f"{at}/manifest", mode="overwrite")
-        postings.field_postings(kept).repartitionByRange("field", "value").sortWithinPartitions("field", "value").write.parquet(f"{at}/postings_field", mode="overwrite")
-        postings.keyword_postings(kept).repartitionByRange("token").sortWithinPartitions("token").write.parquet(f"{at}/postings_kw", mode="overwrite")
-        self.spark.createDataFrame([(version, corpus_root, built_at)], POINTER).coalesce(1).write.mode("append").parquet(f"{self.path}/pointer")
-        return version
+        manifest.write.parquet(f"{at}/manifest")
+        ids = kept.select("doc_id")
+        (ids if gone is None else ids.unionByName(gone.select("doc_id"))).distinct().write.parquet(f"{at}/changed")
+        postings.field_postings(kept).repartitionByRange("field", "value").sortWithinPartitions("field", "value").write.parquet(f"{at}/postings_field")
+        postings.keyword_postings(kept).repartitionByRange("token").sortWithinPartitions("token").write.parquet(f"{at}/postings_kw")
+        return part, kept.count()
+
+    def _point(self, after: Snapshot, now: Snapshot) -> Snapshot:
+        fs, path = self._fs()
+        claim = path(f"{self.path}/claims/after-{after.version}")
+        if not fs.createNewFile(claim):
+            raise Conflict(f"version {after.version} has a successor already; if the run that claimed {claim} died, delete that file")
+        row = (now.version, now.corpus_root, now.built_at, list(now.parts), list(now.rows))
+        self.spark.createDataFrame([row], POINTER).coalesce(1).write.mode("append").parquet(f"{self.path}/pointer")
+        return now
+
+    def publish(self, after: Snapshot, rows: DataFrame, manifest: DataFrame, corpus_root: str, built_at: str, gone: DataFrame | None = None, anew: bool = False) -> Snapshot:
+        """A version that follows ``after``: ``rows`` and ``manifest`` replace what it has of the same documents, and ``gone`` (``doc_id``) leave.
+
+        With ``anew`` nothing of ``after`` stays. The version is current once this returns.
+        """
+        part, n = self._write_part(rows, manifest, gone)
+        was = replace(after, parts=(), rows=()) if anew else after
+        now = replace(was, version=after.version + 1, corpus_root=corpus_root, built_at=built_at, parts=(*was.parts, part), rows=(*was.rows, n))
+        self._point(after, now)
+        if len(now.parts) > MAX_PARTS or (len(now.parts) > 1 and sum(now.rows[1:]) > MAX_SHARE * now.rows[0]):
+            part, n = self._write_part(now.records(), now.manifest(), None)
+            now = self._point(now, replace(now, version=now.version + 1, parts=(part,), rows=(n,)))
+        return now
+
+    def vacuum(self, keep: int = 1) -> int:
+        """Delete the parts that none of the last ``keep`` versions has, and leftovers of scans; the number of folders deleted.
+
+        No run may be under way, nor a reader of an older version.
+        """
+        pointer = self._pointer()
+        needed = set() if pointer is None else {p for r in pointer.orderBy(F.desc("version")).limit(keep).collect() for p in r.parts}
+        fs, path = self._fs()
+        names = [s.getPath().getName() for s in fs.listStatus(path(self.path))]
+        old = [x for x in names if (x.startswith("part-") and x not in needed) or x == "scans"]
+        return sum(bool(fs.delete(path(f"{self.path}/{x}"), True)) for x in old)
 
 
-def index_files(store: Store, files: DataFrame, corpus_root: str, config: Config, now: str, rebuild: bool = False, drop_deleted: bool = False) -> DataFrame:
+def index_files(store: Store, files: DataFrame, corpus_root: str, config: Config, now: str, rebuild: bool = False, drop_deleted: bool = False, phase=lambda name: None) -> DataFrame:
     """Bring the index up to date with ``files`` (``file_path, mtime, size``); one row of counters, as in the run log.
 
     Files that the manifest has with the same mtime and size are skipped; another root starts from nothing.
     Records of files that are gone stay unless ``drop_deleted``. A run that finds nothing new publishes nothing.
+    ``phase`` is told when scanning, indexing and building begin, and may raise to stop the run.
     """
-    spark, was = store.spark, store.current()
-    moved = was is not None and was.corpus_root != corpus_root
-    manifest = spark.createDataFrame([], schema.MANIFEST) if rebuild or moved else store.manifest()
-    old = spark.createDataFrame([], schema.RECORDS) if moved else store.records()
+    spark, was = store.spark, store.snapshot()
+    moved = was.version > 0 and was.corpus_root != corpus_root
+    manifest = spark.createDataFrame([], schema.MANIFEST) if rebuild or moved else was.manifest()
+    phase("scanning")
     marked = records.changed_files(files, manifest).persist()
     try:
         row = records.run_summary(marked).first()
-        if row.processed or drop_deleted or was is None or moved:
-            fresh = records.to_records(marked.where("changed"), config.rules, now)
-            seen = marked.select("file_path", "mtime", "size", records.T.doc_id(F.col("file_path")).alias("doc_id"))
-            kept = old.join(files, "file_path", "left_semi") if drop_deleted else old
-            store.publish(records.upsert(kept, fresh, "doc_id"), records.upsert(manifest.join(files, "file_path", "left_semi") if drop_deleted else manifest, seen, "file_path"), corpus_root, now)
+        phase("indexing")
+        gone = None
+        if drop_deleted and not moved:
+            gone = was.manifest().join(marked, "file_path", "left_anti").select("doc_id")
+            gone = None if gone.isEmpty() else gone
+        if row.processed or gone is not None or not was.version or moved:
+            new = marked.where("changed")
+            fresh = records.to_records(new, config.rules, now)
+            seen = new.select("file_path", "mtime", "size", records.T.doc_id(F.col("file_path")).alias("doc_id"))
+            phase("building")
+            store.publish(was, fresh, seen, corpus_root, now, gone, anew=moved)
         return spark.createDataFrame([(now, corpus_root, row.total_files, row.processed, row.skipped_unchanged, moved)], schema.INDEX_RUNS)
     finally:
         marked.unpersist()
