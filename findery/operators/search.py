@@ -1,4 +1,4 @@
-"""Free-text search, for one query or many, as one plan.
+"""Free-text search, for many queries as one plan, or for one with its tokens and fields as literals.
 
 Queries are parsed with the rules that made the records, meet postings in equi-joins, and only the
 candidates found there are joined with records and scored. Loose matches are found on distinct tokens
@@ -8,20 +8,23 @@ against the distinct vocabulary, never against documents.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Row, Window
 from pyspark.sql import functions as F
 
 from findery.config import PARTIAL_FACTOR, REVIEW_FACTOR, Ranking, Rules
 from findery.functions import text as T
 from findery.operators import postings
-from findery.schema import RECORD_FIELDS, STATUS_REVIEW
+from findery.operators.rerank import POOL, Backend, NoBackend, rerank
+from findery.schema import INDEXED_FIELDS, QUERIES, RECORD_FIELDS, STATUS_REVIEW
 
 SORTS = ("relevance", "newest", "file_type")
 DEFAULT_TOP, MAX_TOP = 25, 200
 #: Distinct query tokens up to which the vocabulary is scanned against a broadcast copy of them.
-BROADCAST_TOKENS = 10_000
+BROADCAST_TOKENS = 300
+#: For one query: matching vocabulary tokens that become a literal at most, and candidates that are broadcast at most.
+LITERAL_TOKENS, BROADCAST_CANDIDATES = 2000, 1_000_000
 WEAK_MATCH = "weak overall keyword overlap only"
 REVIEW_NOTE = "(metadata from low-confidence extraction — flagged for review)"
 NO_EXTENSION = "(no extension)"
@@ -29,65 +32,85 @@ NO_EXTENSION = "(no extension)"
 
 @dataclass(frozen=True)
 class Index:
-    """Records with their postings (``field, value, doc_id`` and ``token, doc_id, pos``)."""
+    """Records with their postings (``field, value, doc_id`` and ``token, doc_id, pos``) and the distinct tokens (``token``)."""
 
     records: DataFrame
     fields: DataFrame
     keywords: DataFrame
+    vocabulary: DataFrame | None = None
 
     @classmethod
     def build(cls, records: DataFrame) -> Index:
         return cls(records, postings.field_postings(records), postings.keyword_postings(records))
 
+    @property
+    def tokens(self) -> DataFrame:
+        return self.keywords.select("token").distinct() if self.vocabulary is None else self.vocabulary
+
+    def cache(self) -> Index:
+        """The same, kept in memory, with the distinct tokens."""
+        keywords = self.keywords.cache()
+        return Index(self.records.cache(), self.fields.cache(), keywords, keywords.select("token").distinct().cache())
+
+    def unpersist(self) -> None:
+        for df in (self.records, self.fields, self.keywords, self.tokens):
+            df.unpersist()
+
 
 def parse_queries(queries: DataFrame, rules: Rules) -> DataFrame:
     """``queries`` (``query_id, raw_query``) with the fields that the rules find."""
     return queries.select("query_id", "raw_query", *(c.alias(k) for k, c in T.metadata(F.col("raw_query"), rules).items()))
 
 
-def loose_pairs(tokens: DataFrame, vocab: DataFrame, broadcast_up_to: int = BROADCAST_TOKENS) -> DataFrame:
-    """Distinct ``(q_token, token)`` where the tokens are equal or match loosely.
+def _grams(token: str) -> Column:
+    """The distinct runs of two and of three characters of a column."""
+    x, n = F.col(token), F.length(token)
 
-    Few query tokens are broadcast and the vocabulary is scanned once. More are matched by blocks: equal
-    tokens, a token's leading two or three characters among the other's character runs, and tokens with
-    one character left out; each block is verified with the full predicate.
-    """
-    q, v = tokens.select("q_token").distinct(), vocab.select("token").distinct()
-    match = T.loose(F.col("q_token"), F.col("token"))
-    few = q.limit(broadcast_up_to + 1).count()
-    if few <= broadcast_up_to:
-        return v.join(F.broadcast(q), match).select("q_token", "token")
+    def of(size: int) -> Column:
+        starts = F.when(n >= size, F.sequence(F.lit(1), n - size + 1)).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda i: F.substring(x, i, F.lit(size)))
 
-    def lead(c: str) -> Column:
-        return F.substring(c, 1, 3)
+    return F.array_distinct(F.concat(of(2), of(3)))
 
-    def runs(c: str) -> Column:
-        x, n = F.col(c), F.length(c)
 
-        def of(size: int) -> Column:
-            starts = F.when(n >= size, F.sequence(F.lit(1), n - size + 1)).otherwise(F.array().cast("array<int>"))
-            return F.transform(starts, lambda i: F.substring(x, i, F.lit(size)))
+def _shorter(token: str) -> Column:
+    """A column with each of its characters left out, and as it is; shorter tokens have only themselves."""
+    x, n = F.col(token), F.length(token)
+    cut = F.transform(F.sequence(F.lit(1), n), lambda i: F.concat(F.substring(x, F.lit(1), i - 1), F.substring(x, i + 1, n)))
+    return F.array_distinct(F.when(n >= 4, F.concat(cut, F.array(x))).otherwise(F.array(x)))
 
-        return F.explode(F.array_distinct(F.concat(of(2), of(3))))
 
-    def shorter(c: str) -> Column:
-        x, n = F.col(c), F.length(c)
-        cut = F.transform(F.sequence(F.lit(1), n), lambda i: F.concat(F.substring(x, F.lit(1), i - 1), F.substring(x, i + 1, n)))
-        return F.explode(F.array_distinct(F.when(n >= 4, F.concat(cut, F.array(x))).otherwise(F.array(x))))
+def loose_pairs(tokens: DataFrame, vocab: DataFrame, broadcast_up_to: int = BROADCAST_TOKENS) -> DataFrame:
+    """Distinct ``(q_token, token)`` where the tokens, of two characters or more as ``T.tokens`` makes them, are equal or match loosely.
 
-    blocks = [(lead("q_token"), runs("token")), (runs("q_token"), lead("token")), (shorter("q_token"), shorter("token"))]
-    found = [q.select("q_token", a.alias("b")).join(v.select("token", b.alias("b")), "b").where(match).select("q_token", "token") for a, b in blocks]
+    A few query tokens (counted first) are broadcast and the vocabulary is scanned once. More are matched by
+    blocks and verified: a token that holds another holds its rarest run of characters, rare by the number of
+    vocabulary tokens that have it; tokens one edit apart agree once a character is left out of each.
+    """
+    q, v = tokens.select("q_token").distinct(), vocab.select("token").distinct()
+    match = T.loose(F.col("q_token"), F.col("token"))
+    if q.limit(broadcast_up_to + 1).count() <= broadcast_up_to:
+        return v.join(F.broadcast(q), match).select("q_token", "token")
+    v_grams = v.select("token", F.explode(_grams("token")).alias("b"))
+    q_grams = q.select("q_token", F.explode(_grams("q_token")).alias("b"))
+    often = v_grams.groupBy("b").agg(F.count("*").alias("n"))
+    rarest = F.min_by("b", F.struct("n", -F.length("b"), "b")).alias("b")
+    # a run that no vocabulary token has belongs to no pair
+    q_key = q_grams.join(often, "b", "left").groupBy("q_token").agg(F.min_by("b", F.struct(F.coalesce("n", F.lit(0)), -F.length("b"), "b")).alias("b"))
+    v_key = v_grams.join(often, "b").groupBy("token").agg(rarest)
+    blocks = [(q_key, v_grams), (q_grams, v_key), (q.select("q_token", F.explode(_shorter("q_token")).alias("b")), v.select("token", F.explode(_shorter("token")).alias("b")))]
+    found = [a.join(b, "b").where(match).select("q_token", "token") for a, b in blocks]
     return found[0].union(found[1]).union(found[2]).distinct()
 
 
-def keyword_hits(parsed: DataFrame, keywords: DataFrame) -> DataFrame:
+def keyword_hits(parsed: DataFrame, keywords: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """``(query_id, doc_id, exact_hits, loose_hits)``: per document the query's tokens found, in query order.
 
     A repeated query token counts each time. A token that the document holds is exact; otherwise the
     document's first loosely matching token stands for it, as ``query~document``.
     """
     asked = parsed.select("query_id", F.posexplode("keywords").alias("qpos", "q_token"))
-    pairs = loose_pairs(asked, keywords)
+    pairs = loose_pairs(asked, vocabulary)
     hits = asked.join(pairs, "q_token").join(keywords, "token")
     own = F.col("token") == F.col("q_token")
     per = hits.groupBy("query_id", "doc_id", "qpos", "q_token").agg(F.max(own).alias("exact"), F.min_by("token", "pos").alias("first"))
@@ -98,19 +121,13 @@ def keyword_hits(parsed: DataFrame, keywords: DataFrame) -> DataFrame:
 
 
 def candidates(parsed: DataFrame, index: Index) -> DataFrame:
-    """``(query_id, doc_id, exact_hits, loose_hits)`` of documents that share a field value or a token with the query.
-
-    A query without any gets every indexed document.
-    """
+    """``(query_id, doc_id, exact_hits, loose_hits)`` of documents that share a field value or a token with the query."""
     none = F.array().cast("array<string>")
     by_field = postings.fields_of(parsed, "query_id").join(index.fields, ["field", "value"]).select("query_id", "doc_id").distinct()
-    by_token = keyword_hits(parsed, index.keywords)
+    by_token = keyword_hits(parsed, index.keywords, index.tokens)
     found = by_token.unionByName(by_field.select("query_id", "doc_id", none.alias("exact_hits"), none.alias("loose_hits")))
-    found = found.groupBy("query_id", "doc_id").agg(F.max_by("exact_hits", F.size("exact_hits") + F.size("loose_hits")).alias("exact_hits"), F.max_by("loose_hits", F.size("exact_hits") + F.size("loose_hits")).alias("loose_hits"))
-    missed = parsed.select("query_id").join(found.select("query_id").distinct(), "query_id", "left_anti")
-    # the fallback: such a query is answered from the whole index by definition
-    every = missed.join(postings.indexed_ids(index.fields, index.keywords)).select("query_id", "doc_id", none.alias("exact_hits"), none.alias("loose_hits"))
-    return found.unionByName(every)
+    hits = F.size("exact_hits") + F.size("loose_hits")
+    return found.groupBy("query_id", "doc_id").agg(F.max_by("exact_hits", hits).alias("exact_hits"), F.max_by("loose_hits", hits).alias("loose_hits"))
 
 
 def field_match(query: Column, record: Column) -> Column:
@@ -151,11 +168,39 @@ def scored(pairs: DataFrame, ranking: Ranking) -> DataFrame:
     })
 
 
+_ASKED = (*RECORD_FIELDS, "year")
+
+
 def score_candidates(parsed: DataFrame, found: DataFrame, records: DataFrame, ranking: Ranking) -> DataFrame:
-    asked = parsed.select("query_id", *(F.col(f).alias(f"q_{f}") for f in (*RECORD_FIELDS, "year")))
+    asked = parsed.select("query_id", *(F.col(f).alias(f"q_{f}") for f in _ASKED))
     return scored(found.join(records, "doc_id").join(asked, "query_id"), ranking)
 
 
+def is_indexed() -> Column:
+    """Records with at least one posting."""
+    held = F.exists("keywords", lambda k: T.normalize(k).isNotNull())
+    for f in INDEXED_FIELDS:
+        held = held | (F.col(f) != 0 if f == "year" else T.normalize(F.col(f)).isNotNull())
+    return F.coalesce(held, F.lit(False))
+
+
+def best_of_all(missed: DataFrame, records: DataFrame, ranking: Ranking, most: int) -> DataFrame:
+    """The ``most`` best of all indexed ``records`` for queries without any candidate, and their number as ``candidate_count``.
+
+    Such queries differ in their fields alone, so each distinct set of fields is scored once, in the scan of the
+    records; each task sends on no more than the best rows of each set.
+    """
+    none = F.array().cast("array<string>")
+    same = F.to_json(F.struct(*(F.col(f"q_{f}") for f in _ASKED))).alias("_fields")
+    asked = missed.select("query_id", *(F.col(f).alias(f"q_{f}") for f in _ASKED)).select("*", same)
+    every = records.where(is_indexed())
+    pairs = every.join(asked.drop("query_id").distinct()).withColumns({"exact_hits": none, "loose_hits": none})
+    best = Window.partitionBy("_fields").orderBy(F.desc("score"), "file_path", "doc_id")
+    ranked = scored(pairs, ranking).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= most)
+    counted = every.agg(F.count("*").alias("candidate_count"))
+    return ranked.join(asked.select("query_id", "_fields"), "_fields").join(counted)
+
+
 def in_scope(extensions: Sequence[str] | None = None, folders: Sequence[str] | None = None) -> Column:
     """Rows with one of the extensions (null: any) and a top folder that starts with one of ``folders`` (null: any).
 
@@ -185,37 +230,159 @@ def clamp_sort(raw: object) -> str:
     return raw if raw in SORTS else SORTS[0]
 
 
-def search(queries: DataFrame, index: Index, rules: Rules, ranking: Ranking, top: int = 3, sort_by: str = "relevance", extensions: Sequence[str] | None = None, folders: Sequence[str] | None = None) -> DataFrame:
+_SHOWN = ("query_id", "rank", "display_rank", "doc_id", "file_path", "file_ext", "indexed_at", "score", "matched_fields", "justification", "candidate_count", "ambiguous", "reranked")
+_SCANNED = ("doc_id", "file_path", "file_ext", "indexed_at", *RECORD_FIELDS, "year", "extraction_status")
+
+
+def search(queries: DataFrame, index: Index, rules: Rules, ranking: Ranking, top: int = 3, sort_by: str = "relevance", extensions: Sequence[str] | None = None, folders: Sequence[str] | None = None, backend: Backend | None = None) -> DataFrame:
     """Best ``top`` records per query.
 
     ``query_id, rank, display_rank, doc_id, file_path, file_ext, indexed_at, score, matched_fields,
-    justification, candidate_count, ambiguous``. ``rank`` is by score and path; ``display_rank`` is the
+    justification, candidate_count, ambiguous, reranked``. ``rank`` is by score and path; ``display_rank`` is the
     order that ``sort_by`` asks for among the rows returned. Filters come before scoring, but whether a query
-    has candidates at all is decided before filters.
+    has candidates at all is decided before filters; a query without any is answered from the whole index.
+    A ``backend`` that is enabled ranks the first ``POOL`` records of each ambiguous query anew.
     """
+    backend = backend or NoBackend()
+    most = max(2, top, POOL if backend.enabled() else 0)
     parsed = parse_queries(queries, rules)
-    records = index.records.where(in_scope(extensions, folders)).select("doc_id", "file_path", "file_ext", "indexed_at", *RECORD_FIELDS, "year", "extraction_status")
+    records = index.records.where(in_scope(extensions, folders)).select(*_SCANNED, "keywords")
     found = candidates(parsed, index)
-    rows = score_candidates(parsed, found, records, ranking)
+    rows = score_candidates(parsed, found, records.drop("keywords"), ranking)
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "file_path", "doc_id")
-    ranked = rows.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= max(2, top))
     # counted apart from ranking, so that ranking needs no more than the best rows of each task
     counts = found.join(records.select("doc_id"), "doc_id").groupBy("query_id").agg(F.count("*").alias("candidate_count"))
+    ranked = rows.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= most).join(counts, "query_id")
+    missed = parsed.join(found.select("query_id").distinct(), "query_id", "left_anti")
+    kept = ["query_id", *_SCANNED, "score", "matched_fields", "justification", "rank", "candidate_count"]
+    ranked = ranked.select(kept).unionByName(best_of_all(missed, records, ranking, most).select(kept))
     second = F.lead("score").over(best)
     weak = F.when(F.col("rank") == 1, (F.col("score") < ranking.weak_below) | F.coalesce(F.col("score") - second < ranking.close_within, F.lit(False)))
-    ranked = ranked.withColumn("_weak", weak)
-    ranked = ranked.withColumn("ambiguous", F.max("_weak").over(Window.partitionBy("query_id"))).where(F.col("rank") <= top)
+    ranked = ranked.withColumn("_weak", weak).withColumn("ambiguous", F.max("_weak").over(Window.partitionBy("query_id")))
+    return _shown(rerank(ranked, queries, backend), top, sort_by)
+
+
+def _shown(ranked: DataFrame, top: int, sort_by: str) -> DataFrame:
     orders = {"relevance": ["rank"], "newest": [F.desc("indexed_at"), "rank"], "file_type": ["file_ext", F.desc("score"), "file_path", "rank"]}
-    shown = ranked.withColumn("display_rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*orders[clamp_sort(sort_by)])))
-    return shown.join(counts, "query_id").select("query_id", "rank", "display_rank", "doc_id", "file_path", "file_ext", "indexed_at", "score", "matched_fields", "justification", "candidate_count", "ambiguous")
+    shown = ranked.where(F.col("rank") <= top)
+    return shown.withColumn("display_rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*orders[clamp_sort(sort_by)]))).select(*_SHOWN)
+
+
+@dataclass(frozen=True)
+class Answer:
+    """The rows shown for one query, in order, and what is known of all of them."""
+
+    query: str
+    rows: list[dict] = field(default_factory=list)
+    ambiguous: bool = True
+    candidate_count: int = 0
+    reranked: bool = False
+
+    def payload(self) -> dict:
+        """As it is given out in JSON."""
+        keys = ("doc_id", "file_path", "score", "justification")
+        return {"query": self.query, "ambiguous": self.ambiguous, "used_llm_rerank": self.reranked, "candidate_count": self.candidate_count, "results": [{k: r[k] for k in keys} for r in self.rows]}
+
+
+def search_one(text: str, index: Index, rules: Rules, ranking: Ranking, top: int = 3, sort_by: str = "relevance", extensions: Sequence[str] | None = None, folders: Sequence[str] | None = None, backend: Backend | None = None) -> Answer:
+    """What ``search`` gives for one query, at less fixed cost.
+
+    The query's fields and the vocabulary tokens that match its own become literals, so filters on them reach the
+    sorted postings, and scoring is no more than what these literals leave of it. A query that matches very many
+    tokens goes the way of many queries.
+    """
+    spark, backend = index.records.sparkSession, backend or NoBackend()
+    asked = parse_queries(spark.createDataFrame([(1, text)], QUERIES), rules).first()
+    known = list(dict.fromkeys(asked.keywords))
+    most = max(2, top, POOL if backend.enabled() else 0)
+    matched: dict[str, list[str]] = {q: [] for q in known}
+    if known:
+        token = F.col("token")
+        near = F.array_compact(F.array(*(F.when(T.loose(F.lit(q), token), F.lit(q)) for q in known)))
+        hits = index.tokens.select("token", near.alias("q")).where(F.size("q") > 0).limit(LITERAL_TOKENS + 1).collect()
+        if len(hits) > LITERAL_TOKENS:
+            found = [r.asDict(recursive=True) for r in search(spark.createDataFrame([(1, text)], QUERIES), index, rules, ranking, top, sort_by, extensions, folders, backend).orderBy("display_rank").collect()]
+            return Answer(text, found, found[0]["ambiguous"], found[0]["candidate_count"], found[0]["reranked"]) if found else Answer(text)
+        for r in hits:
+            for q in r.q:
+                matched[q].append(r.token)
+    records = index.records.where(in_scope(extensions, folders))
+    found = _candidates_of(asked, matched, index)
+    with_hits = found.persist() if found is not None else None
+    try:
+        if with_hits is not None and (n := with_hits.count()):
+            side = F.broadcast(with_hits) if n <= BROADCAST_CANDIDATES else with_hits
+            pairs = records.select(*_SCANNED).join(side, "doc_id")
+        else:
+            none = F.array().cast("array<string>")
+            pairs = records.where(is_indexed()).select(*_SCANNED, none.alias("exact_hits"), none.alias("loose_hits"))
+        pairs = pairs.withColumns({f"q_{f}": F.lit(asked[f]).cast("int" if f == "year" else "string") for f in _ASKED})
+        seen = Observation()
+        best = scored(pairs, ranking).select(*_SCANNED, "score", "matched_fields", "justification").observe(seen, F.count(F.lit(1)).alias("n"))
+        rows = best.orderBy(F.desc("score"), "file_path", "doc_id").limit(most).collect()
+    finally:
+        if with_hits is not None:
+            with_hits.unpersist()
+    return _answer(text, rows, seen.get["n"], ranking, top, sort_by, backend)
+
+
+def _candidates_of(asked: Row, matched: dict[str, list[str]], index: Index) -> DataFrame | None:
+    """``(doc_id, exact_hits, loose_hits)`` of the documents that share a value or a token with one query; None if none can."""
+    entry, parts = "struct<pos: int, token: string>", []
+    wanted = sorted({t for ts in matched.values() for t in ts})
+    if wanted:
+        parts.append(index.keywords.where(F.col("token").isin(*wanted)).select("doc_id", F.struct("pos", "token").cast(entry).alias("e")))
+    values = {f: str(asked[f]).strip().lower() for f in INDEXED_FIELDS if asked[f] not in (None, 0)}
+    same = [(F.col("field") == f) & (F.col("value") == v) for f, v in values.items() if v]
+    if same:
+        either = same[0]
+        for c in same[1:]:
+            either = either | c
+        parts.append(index.fields.where(either).select("doc_id", F.lit(None).cast(entry).alias("e")))
+    if not parts:
+        return None
+    rows = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    held = rows.groupBy("doc_id").agg(F.collect_list("e").alias("e"))
+    exact, almost = [], []
+    for q in asked.keywords:
+        own = F.array_contains("e.token", q)
+        exact.append(F.when(own, F.lit(q)))
+        if others := [t for t in matched[q] if t != q]:
+            first = _first_of(others)
+            almost.append(F.when(~own & first.isNotNull(), F.concat(F.lit(f"{q}~"), first.token)))
+    none = F.array().cast("array<string>")
+    return held.select("doc_id", *((F.array_compact(F.array(*c)) if c else none).alias(n) for n, c in (("exact_hits", exact), ("loose_hits", almost))))
+
+
+def _first_of(tokens: list[str]) -> Column:
+    """The entry of ``e`` with one of the tokens that comes first in its document."""
+    return F.array_min(F.filter("e", lambda x: x.token.isin(*tokens)))
+
+
+def _answer(text: str, rows: list[Row], count: int, ranking: Ranking, top: int, sort_by: str, backend: Backend) -> Answer:
+    found = [r.asDict(recursive=True) for r in rows]
+    close = len(found) > 1 and found[0]["score"] - found[1]["score"] < ranking.close_within
+    ambiguous = not found or found[0]["score"] < ranking.weak_below or close
+    reranked = bool(ambiguous and found and backend.enabled())
+    if reranked:
+        pool = found[:POOL]
+        found = [pool[k] for k in backend.order(text, pool)]
+    found = [{"query_id": 1, "rank": k, **r, "candidate_count": count, "ambiguous": ambiguous, "reranked": reranked} for k, r in enumerate(found[:top], 1)]
+    keys = {"relevance": lambda r: r["rank"], "file_type": lambda r: (r["file_ext"], -r["score"], r["file_path"], r["rank"])}
+    order = clamp_sort(sort_by)
+    if order == "newest":
+        found = sorted(found, key=lambda r: r["indexed_at"], reverse=True)
+    else:
+        found = sorted(found, key=keys[order])
+    return Answer(text, [{**r, "display_rank": k} for k, r in enumerate(found, 1)], ambiguous, count, reranked)
 
 
-def envelope(results: DataFrame, queries: DataFrame, used_rerank: bool = False) -> DataFrame:
+def envelope(results: DataFrame, queries: DataFrame) -> DataFrame:
     """One row per query: ``top_doc_ids, scores, ambiguous, candidate_count``; a query without results is ambiguous."""
-    rows = results.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "doc_id", "score"))).alias("r"), F.max("ambiguous").alias("ambiguous"), F.max("candidate_count").alias("candidate_count"))
+    rows = results.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "doc_id", "score"))).alias("r"), F.max("ambiguous").alias("ambiguous"), F.max("candidate_count").alias("candidate_count"), F.max("reranked").alias("reranked"))
     none = F.array()
     joined = queries.join(rows, "query_id", "left")
-    return joined.select("query_id", "raw_query", F.coalesce("r.doc_id", none.cast("array<string>")).alias("top_doc_ids"), F.coalesce("r.score", none.cast("array<double>")).alias("scores"), F.coalesce("ambiguous", F.lit(True)).alias("ambiguous"), F.coalesce("candidate_count", F.lit(0)).alias("candidate_count"), F.lit(used_rerank).alias("used_llm_rerank"))
+    return joined.select("query_id", "raw_query", F.coalesce("r.doc_id", none.cast("array<string>")).alias("top_doc_ids"), F.coalesce("r.score", none.cast("array<double>")).alias("scores"), F.coalesce("ambiguous", F.lit(True)).alias("ambiguous"), F.coalesce("candidate_count", F.lit(0)).alias("candidate_count"), F.coalesce("reranked", F.lit(False)).alias("used_llm_rerank"))
 
 
 def loose_documents(tokens: DataFrame, keywords: DataFrame) -> DataFrame:
@@ -225,8 +392,8 @@ def loose_documents(tokens: DataFrame, keywords: DataFrame) -> DataFrame:
 
 
 def results_view(results: DataFrame, direct_open: Sequence[str]) -> DataFrame:
-    """What a result list shows, with ``direct_open`` for files that a browser may be handed."""
-    return results.select("query_id", "display_rank", "doc_id", "file_path", "score", "justification", F.col("file_ext").isin(*direct_open).alias("direct_open"), "indexed_at")
+    """What a result list shows, with ``direct_open`` for files that a browser may be handed, and the minute of indexing."""
+    return results.select("query_id", "display_rank", "doc_id", "file_path", "score", "justification", F.col("file_ext").isin(*direct_open).alias("direct_open"), T.local_minute(F.col("indexed_at")).alias("indexed_at"))
 
 
 def batches(results: DataFrame, visible: int, size: int = DEFAULT_TOP) -> DataFrame:
@@ -236,7 +403,7 @@ def batches(results: DataFrame, visible: int, size: int = DEFAULT_TOP) -> DataFr
 
 
 def as_text(results: DataFrame) -> DataFrame:
-    """Two lines of text per result."""
+    """Two lines of text per result; scores are rounded half up, as they read in decimals."""
     line = F.format_string("%d. %s  (score: %.1f)", "display_rank", "file_path", "score")
     return results.select("query_id", "display_rank", line.alias("line"), F.concat(F.lit("   why: "), "justification").alias("why"))
 
