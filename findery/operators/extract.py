@@ -6,7 +6,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 from typing import Protocol
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from findery.config import Extraction, Rules
@@ -43,15 +43,20 @@ def pixel_scale(width: float, height: float, config: Extraction) -> float:
     return min(config.ocr_dpi / 72, config.max_side_px / max(width, height))
 
 
-def _extract(path: str, ext: str, reader: Reader, ocr: OcrBackend, config: Extraction) -> tuple:
+def kind_of(ext: Column, config: Extraction) -> Column:
+    """How a file with this suffix is read: ``pdf``, ``image`` or ``other``."""
+    return F.when(ext.isin(*config.pdf_extensions), "pdf").when(ext.isin(*config.image_extensions), "image").otherwise("other")
+
+
+def _extract(path: str, ext: str, kind: str, reader: Reader, ocr: OcrBackend, config: Extraction) -> tuple:
     """``(text, source, confidence, reason)`` of one document."""
     try:
-        if ext in config.pdf_extensions:
+        if kind == "pdf":
             text = reader.text_layer(path, config.max_pages)
             if text is not None and len(text.strip()) >= config.min_text_chars:
                 return text.strip(), "pdf_text", None, None
             missing = "unreadable_pdf"
-        elif ext in config.image_extensions:
+        elif kind == "image":
             missing = "unreadable_image"
         else:
             return None, None, None, "unsupported_extension_for_deep_scan"
@@ -69,13 +74,13 @@ def extract(pending: DataFrame, reader: Reader, ocr: OcrBackend, config: Extract
 
     def run(frames):
         for frame in frames:
-            rows = [_extract(p, e, reader, ocr, config) for p, e in zip(frame.file_path, frame.file_ext, strict=True)]
+            rows = [_extract(p, e, k, reader, ocr, config) for p, e, k in zip(frame.file_path, frame.file_ext, frame.kind, strict=True)]
             out = frame[["doc_id", "file_path"]].copy()
             for k, name in enumerate(("text", "source", "confidence", "reason")):
                 out[name] = [r[k] for r in rows]
             yield out
 
-    src = pending.select("doc_id", "file_path", "file_ext")
+    src = pending.select("doc_id", "file_path", "file_ext", kind_of(F.col("file_ext"), config).alias("kind"))
     dealt = src.repartition(config.workers) if config.workers else src
     return dealt.mapInPandas(run, "doc_id string, file_path string, text string, source string, confidence double, reason string")
 
