@@ -1,20 +1,23 @@
-"""Command line: index, deep-scan, search, review-queue, suggest-tuning, suggest-projects."""
+"""Command line: index, deep-scan, search, serve, review-queue, facets, suggest-tuning, suggest-projects, vacuum."""
 
 from __future__ import annotations
 
 import argparse
 import importlib
+import json
 import os
 import re
+import sys
+from dataclasses import replace
 from datetime import datetime, timezone
 
 from pyspark.sql import SparkSession
 
 from findery import schema
-from findery.config import load_config
+from findery.config import Config, load_config
 from findery.jobs import deep_scan
-from findery.operators import facets, feedback, records, search
-from findery.sources import corpus, logs
+from findery.operators import facets, feedback, records, rerank, search
+from findery.sources import corpus, documents, logs
 from findery.sources.store import Store, index_files
 
 
@@ -28,11 +31,14 @@ def parser() -> argparse.ArgumentParser:
     a.add_argument("--corpus-root", required=True)
     a.add_argument("--rebuild", action="store_true")
     a.add_argument("--drop-deleted", action="store_true")
-    a = sub.add_parser("deep-scan", help="read pending documents; no reader or OCR backend is shipped")
-    a.add_argument("--reader", required=True, help="module:name, called with the corpus root for a Reader")
-    a.add_argument("--ocr", required=True, help="module:name, called for an OcrBackend")
-    a.add_argument("--corpus-root", help="instead of the root that was indexed")
-    a.add_argument("--chunk", type=int, help="records after which the results are published")
+    a.add_argument("--deep-scan", action="store_true", help="read the documents that names do not identify, right after")
+    scan = sub.add_parser("deep-scan", help="read pending documents; stops and goes on between chunks")
+    for a in (a, scan):
+        a.add_argument("--reader", help="module:name, called with the corpus root for a Reader (a folder of PDF files and images)")
+        a.add_argument("--ocr", help="module:name, called for an OcrBackend (the command tesseract)")
+        a.add_argument("--workers", type=int, help="tasks that read documents")
+        a.add_argument("--chunk", type=int, help="records after which the results are published")
+    scan.add_argument("--corpus-root", help="instead of the root that was indexed")
     a = sub.add_parser("search")
     a.add_argument("query")
     a.add_argument("--top", type=int, default=3)
@@ -40,6 +46,11 @@ def parser() -> argparse.ArgumentParser:
     a.add_argument("--ext", action="append")
     a.add_argument("--folder", action="append")
     a.add_argument("--json", action="store_true")
+    a.add_argument("--interactive", action="store_true", help="ask which result was right, and log the answer")
+    a = sub.add_parser("serve")
+    a.add_argument("--corpus-root", help="instead of the root that was indexed")
+    a.add_argument("--port", type=int, default=8765)
+    sub.add_parser("vacuum", help="delete what the current version of the index does not need")
     sub.add_parser("review-queue")
     sub.add_parser("facets")
     a = sub.add_parser("suggest-tuning")
@@ -61,37 +72,81 @@ def backend(name: str, *args: str):
     return getattr(importlib.import_module(module), attribute)(*args)
 
 
+def now() -> str:
+    return datetime.now(timezone.utc).isoformat()
+
+
+def scan(args: argparse.Namespace, store: Store, config: Config, root: str) -> None:
+    """Read what is pending below ``root`` and say how it went."""
+    if args.workers is not None:
+        config = replace(config, extraction=replace(config.extraction, workers=args.workers))
+    reader = backend(args.reader, root) if args.reader else documents.FolderReader(root)
+    ocr = backend(args.ocr) if args.ocr else documents.ocr_backend()
+    tell = lambda done, total: print(f"\r  {done}/{total}", end="", file=sys.stderr)
+    counts = deep_scan(store, args.log_dir, reader, ocr, config, now(), args.chunk, progress=tell)
+    print(file=sys.stderr)
+    print(f"{counts.get('filled', 0)} filled, {counts.get('review', 0)} to review")
+
+
+def ask(found: search.Answer, log_dir: str, spark: SparkSession) -> None:
+    """Ask which result was right, and log the answer as feedback."""
+    shown = [str(k) for k in range(1, len(found.rows) + 1)]
+    while (answer := input("Which one is right? (number, or n for none) ").strip().lower()) not in (*shown, "n"):
+        pass
+    chosen = None if answer == "n" else found.rows[int(answer) - 1]["doc_id"]
+    row = (now(), found.query, [r["doc_id"] for r in found.rows], [r["score"] for r in found.rows], found.ambiguous, found.reranked, chosen, chosen is not None)
+    logs.append(spark.createDataFrame([row], schema.FEEDBACK), f"{log_dir}/feedback")
+    print("Thanks, it is logged.")
+
+
 def main(argv: list[str] | None = None) -> int:
     args = parser().parse_args(argv)
     spark = SparkSession.builder.appName("findery").getOrCreate()
     config, store = load_config(args.config), Store(spark, args.index_dir)
     if args.command == "index":
         root = os.path.abspath(args.corpus_root)
-        now = datetime.now(timezone.utc).isoformat()
-        row = index_files(store, corpus.read_files(spark, root), root, config, now, args.rebuild, args.drop_deleted)
+        row = index_files(store, corpus.read_files(spark, root), root, config, now(), args.rebuild, args.drop_deleted, phase=lambda name: print(f"  {name}", file=sys.stderr))
         logs.append(row, f"{args.log_dir}/index_runs")
-        r = row.first()
-        print(f"{r.total_files} files, {r.processed} processed, {r.skipped_unchanged} unchanged, {facets.pending(store.records()).first().pending} pending")
+        r, waiting = row.first(), facets.pending(store.records()).first().pending
+        print(f"{r.total_files} files, {r.processed} processed, {r.skipped_unchanged} unchanged, {waiting} pending")
+        if args.deep_scan and waiting:
+            scan(args, store, config, root)
     elif args.command == "deep-scan":
         if (current := store.current()) is None:
             print("Nothing is indexed yet; run index first.")
             return 1
-        reader = backend(args.reader, os.path.abspath(args.corpus_root) if args.corpus_root else current.corpus_root)
-        counts = deep_scan(store, args.log_dir, reader, backend(args.ocr), config, datetime.now(timezone.utc).isoformat(), args.chunk)
-        print(f"{counts.get('filled', 0)} filled, {counts.get('review', 0)} to review")
+        scan(args, store, config, os.path.abspath(args.corpus_root) if args.corpus_root else current.corpus_root)
     elif args.command == "search":
         if (index := store.index()) is None:
             print("Nothing is indexed yet; run index first.")
             return 1
-        asked = spark.createDataFrame([(1, args.query)], schema.QUERIES)
-        out = search.search(asked, index, config.rules, config.ranking, search.clamp_top(args.top), args.sort, args.ext, args.folder).orderBy("display_rank")
-        lines = [r.payload for r in search.as_json(out).collect()] if args.json else [x for r in search.as_text(out).collect() for x in (r.line, r.why)]
-        print("\n".join(lines) or "No results.")
+        found = search.search_one(args.query, index, config.rules, config.ranking, search.clamp_top(args.top), args.sort, args.ext, args.folder, rerank.backend_for(config.rerank))
+        if args.json:
+            print(json.dumps(found.payload(), ensure_ascii=False, indent=2))
+            return 0
+        for r in found.rows:
+            print(f"{r['display_rank']}. {r['file_path']}  (score: {r['score']:.1f})\n   why: {r['justification']}")
+        print("Ambiguous." if found.ambiguous and found.rows else "" if found.rows else "No results.")
+        if args.interactive and found.rows:
+            ask(found, args.log_dir, spark)
+    elif args.command == "serve":
+        from findery.serve import Service, serve
+
+        server = serve(Service(spark, store, args.log_dir, args.corpus_root, config), args.port)
+        print(f"Serving at http://127.0.0.1:{server.server_port}", flush=True)
+        try:
+            server.serve_forever()
+        except KeyboardInterrupt:
+            pass
+        finally:
+            server.server_close()
+    elif args.command == "vacuum":
+        print(f"{store.vacuum()} folders deleted")
     elif args.command == "review-queue":
         for r in logs.review_queue(spark, f"{args.log_dir}/review_queue").toLocalIterator():
             print(f"{r.file_path}: {r.reason} ({'n/a' if r.confidence is None else format(r.confidence, '.2f')})")
     elif args.command == "facets":
-        for r in facets.extensions(store.records()).collect():
+        for r in facets.extensions(store.records()).toLocalIterator():
             print(f"{r.file_ext}\t{r.documents}")
     elif args.command == "suggest-tuning":
         entries = logs.feedback(spark, f"{args.log_dir}/feedback")
