@@ -76,37 +76,35 @@ class Config:
     rerank: Rerank = field(default_factory=Rerank)
 
 
+def _floats(table: dict) -> dict[str, float]:
+    return {k: float(v) for k, v in table.items()}
+
+
+#: Part of the configuration, field, TOML section, key in it (None: the whole section), and what is made of the value.
+_KEYS = (
+    *(("rules", f, f"{f}_patterns", None, dict) for f in ("doc_type", "project_name", "department")),
+    ("rules", "tag", "equipment_tag_pattern", "regex", str),
+    ("rules", "year", "year_pattern", "regex", str),
+    ("ranking", "weights", "ranking_weights", None, _floats),
+    ("ranking", "weak_below", "ranking", "ambiguous_absolute_threshold", float),
+    ("ranking", "close_within", "ranking", "ambiguous_margin", float),
+    ("ranking", "max_keyword_hits", "ranking", "max_keyword_hits", int),
+    ("extraction", "max_pages", "extraction", "max_fallback_pages", int),
+    ("extraction", "max_side_px", "extraction", "ocr_max_side_px", int),
+    ("extraction", "workers", "extraction", "deep_scan_workers", int),
+    ("extraction", "min_confidence", "extraction", "ocr_confidence_threshold", float),
+    *(("extraction", f, "extraction", f, int) for f in ("min_text_chars", "ocr_dpi")),
+    *(("extraction", f, "extraction", f, tuple) for f in ("pdf_extensions", "image_extensions", "direct_open_extensions")),
+    *(("rerank", f, "llm", f, str) for f in ("api_key", "base_url", "model")),
+)
+
+
 def load_config(path: str | None = None) -> Config:
     """Read a TOML file; sections and keys that it leaves out keep their defaults."""
-    if path is None:
-        return Config()
-    raw = tomllib.loads(Path(path).read_text(encoding="utf-8"))
-    ranking, extraction, llm = raw.get("ranking", {}), raw.get("extraction", {}), raw.get("llm", {})
-    was, rank = Extraction(), Ranking()
-    return Config(
-        Rules(
-            raw.get("doc_type_patterns", DOC_TYPES),
-            raw.get("project_name_patterns", PROJECTS),
-            raw.get("department_patterns", DEPARTMENTS),
-            raw.get("equipment_tag_pattern", {}).get("regex", TAG_PATTERN),
-            raw.get("year_pattern", {}).get("regex", YEAR_PATTERN),
-        ),
-        Ranking(
-            {k: float(v) for k, v in raw.get("ranking_weights", WEIGHTS).items()},
-            float(ranking.get("ambiguous_absolute_threshold", rank.weak_below)),
-            float(ranking.get("ambiguous_margin", rank.close_within)),
-            int(ranking.get("max_keyword_hits", rank.max_keyword_hits)),
-        ),
-        Extraction(
-            extraction.get("min_text_chars", was.min_text_chars),
-            extraction.get("ocr_dpi", was.ocr_dpi),
-            extraction.get("max_fallback_pages", was.max_pages),
-            extraction.get("ocr_max_side_px", was.max_side_px),
-            extraction.get("deep_scan_workers", was.workers),
-            extraction.get("ocr_confidence_threshold", was.min_confidence),
-            tuple(extraction.get("pdf_extensions", was.pdf_extensions)),
-            tuple(extraction.get("image_extensions", was.image_extensions)),
-            tuple(extraction.get("direct_open_extensions", was.direct_open_extensions)),
-        ),
-        Rerank(llm.get("api_key", ""), llm.get("base_url", ""), llm.get("model", "")),
-    )
+    given: dict[str, dict] = {"rules": {}, "ranking": {}, "extraction": {}, "rerank": {}}
+    raw = {} if path is None else tomllib.loads(Path(path).read_text(encoding="utf-8"))
+    for part, name, section, key, cast in _KEYS:
+        value = raw.get(section) if key is None else raw.get(section, {}).get(key)
+        if value is not None:
+            given[part][name] = cast(value)
+    return Config(Rules(**given["rules"]), Ranking(**given["ranking"]), Extraction(**given["extraction"]), Rerank(**given["rerank"]))

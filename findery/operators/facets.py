@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from findery.functions import text as T
@@ -22,6 +22,17 @@ def folders(records: DataFrame) -> DataFrame:
     return records.where(F.size(T.parts(path)) >= 2).groupBy(T.top_folder(path).alias("folder")).agg(F.count("*").alias("documents")).orderBy(F.desc("documents"), "folder")
 
 
+def values(records: DataFrame, field: str) -> DataFrame:
+    """``(field, documents, place)`` of a field's values, the most frequent first; ties in order of value."""
+    counts = records.where(F.col(field).isNotNull()).groupBy(field).agg(F.count("*").alias("documents"))
+    return counts.withColumn("place", F.row_number().over(Window.orderBy(F.desc("documents"), field)))
+
+
+def page(facet: DataFrame, offset: int = 0, limit: int = 1000) -> DataFrame:
+    """Some rows of a sorted facet, so that no long list has to reach the driver at once."""
+    return facet.offset(max(0, offset)).limit(max(1, min(limit, 1000)))
+
+
 def pending(records: DataFrame) -> DataFrame:
     return records.agg(F.count_if(F.col("extraction_status") == STATUS_PENDING).alias("pending"))
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from findery.config import Ranking, Rules
 from findery.functions import text as T
-from findery.operators.search import scored
+from findery.operators.search import field_match
 from findery.schema import RECORD_FIELDS
 
 # Fixed values of the suggestion bands.
@@ -36,19 +36,33 @@ def unattributed(feedback: DataFrame) -> DataFrame:
     return feedback.agg(F.count_if(F.coalesce(F.col("chosen_doc_id") == "", F.lit(True))).alias("unattributed"))
 
 
+def matches(pairs: DataFrame) -> DataFrame:
+    """``pairs`` of a query (``q_*``) and a record with ``_fields``: the weights that their match would count under.
+
+    Only what counts is computed, not the scores and texts of a search result.
+    """
+    named = [F.when(field_match(F.col(f"q_{f}"), F.col(f)).isNotNull(), f) for f in RECORD_FIELDS]
+    named.append(F.when((F.col("q_year") == F.col("year")) & (F.col("year") != 0), "year"))
+    named += [F.when(F.col(c) > 0, "keyword") for c in ("_exact", "_loose")]
+    return pairs.withColumn("_fields", F.array_compact(F.array(*named)))
+
+
 def field_stats(feedback: DataFrame, records: DataFrame, rules: Rules, ranking: Ranking) -> DataFrame:
     """``(field_name, correct, incorrect, samples, precision)`` per weight, zero rows included.
 
-    Each entry's query is parsed and its chosen record scored anew; a record with exact and loose keyword
-    hits counts twice under ``keyword``. Entries whose record is gone are left out.
+    Each query is parsed, and scored against the record chosen, once for all entries that agree on both; a
+    record with exact and loose keyword hits counts twice under ``keyword``. Entries whose record is gone are
+    left out.
     """
+    right = F.coalesce("correct", F.lit(False))
+    entries = attributable(feedback).groupBy("query", F.col("chosen_doc_id").alias("doc_id")).agg(F.count_if(right).alias("correct"), F.count_if(~right).alias("incorrect"))
     meta = T.metadata(F.col("query"), rules)
-    asked = attributable(feedback).select(F.col("chosen_doc_id").alias("doc_id"), F.coalesce("correct", F.lit(False)).alias("correct"), *(c.alias(f"q_{k}") for k, c in meta.items()))
+    asked = entries.select("doc_id", "correct", "incorrect", *(c.alias(f"q_{k}") for k, c in meta.items()))
     pairs = asked.join(records.select("doc_id", *RECORD_FIELDS, "year", "keywords", "extraction_status"), "doc_id")
     exact, almost = row_hits(F.col("q_keywords"), F.col("keywords"))
-    fields = scored(pairs.withColumns({"exact_hits": exact, "loose_hits": almost}), ranking).select("correct", F.explode("matched_fields.field").alias("f"))
-    name = F.when(F.col("f") == "keywords", "keyword").otherwise(F.col("f"))
-    counted = fields.groupBy(name.alias("field_name")).agg(F.count_if("correct").alias("correct"), F.count_if(~F.col("correct")).alias("incorrect"))
+    kinds = matches(pairs.withColumns({"_exact": F.size(exact), "_loose": F.size(almost)}))
+    fields = kinds.select("correct", "incorrect", F.explode("_fields").alias("field_name"))
+    counted = fields.groupBy("field_name").agg(F.sum("correct").alias("correct"), F.sum("incorrect").alias("incorrect"))
     names = feedback.sparkSession.createDataFrame([(k, float(v)) for k, v in ranking.weights.items()], "field_name string, current_weight double")
     out = names.join(counted, "field_name", "left").na.fill(0, ["correct", "incorrect"])
     total = F.col("correct") + F.col("incorrect")

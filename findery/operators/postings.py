@@ -36,6 +36,8 @@ def indexed_ids(fields: DataFrame, keywords: DataFrame) -> DataFrame:
     return fields.select("doc_id").union(keywords.select("doc_id")).distinct()
 
 
-def compact(postings: DataFrame, *keys: str) -> DataFrame:
-    """One row per key with its sorted ``doc_ids``."""
-    return postings.groupBy(*keys).agg(F.array_sort(F.collect_set("doc_id")).alias("doc_ids"))
+def compact(postings: DataFrame, *keys: str, size: int = 10_000) -> DataFrame:
+    """Rows ``(*keys, chunk, doc_ids)`` with sorted ids, about ``size`` in a chunk: a key of any frequency fits in memory."""
+    chunks = postings.groupBy(*keys).agg(F.ceil(F.count("*") / size).alias("_chunks"))
+    dealt = postings.join(chunks, list(keys)).withColumn("chunk", F.pmod(F.xxhash64("doc_id"), F.col("_chunks")).cast("int"))
+    return dealt.groupBy(*keys, "chunk").agg(F.array_sort(F.collect_set("doc_id")).alias("doc_ids"))

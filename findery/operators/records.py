@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from findery.config import Rules
 from findery.functions import text as T
-from findery.schema import RECORD_FIELDS, STATUS_OK, STATUS_PENDING
+from findery.schema import RECORD_FIELDS, RECORDS, STATUS_OK, STATUS_PENDING
 
 
 def needs_fallback() -> Column:
@@ -37,13 +37,14 @@ def fill_gaps(records: DataFrame, text: str, source: str, rules: Rules) -> DataF
 
     Rows whose ``text`` is null stay as they are.
     """
-    found = T.metadata(F.col(text), rules)
-    has = F.col(text).isNotNull()
-    new = F.array_distinct(F.filter(found["keywords"], lambda k: ~F.array_contains("keywords", k)))
-    changed = {f: F.when(has, F.coalesce(f, found[f])).otherwise(F.col(f)) for f in (*RECORD_FIELDS, "year")}
+    # one column, so that no plan evaluates a rule twice
+    rows = records.withColumn("_found", F.when(F.col(text).isNotNull(), F.struct(*(c.alias(k) for k, c in T.metadata(F.col(text), rules).items()))))
+    has = F.col("_found").isNotNull()
+    new = F.array_distinct(F.filter("_found.keywords", lambda k: ~F.array_contains("keywords", k)))
+    changed = {f: F.coalesce(f, F.col(f"_found.{f}")) for f in (*RECORD_FIELDS, "year")}
     changed["keywords"] = F.when(has, F.concat("keywords", new)).otherwise(F.col("keywords"))
     changed["source_of_metadata"] = F.when(has, F.concat_ws("+", "source_of_metadata", F.col(source))).otherwise(F.col("source_of_metadata"))
-    return records.withColumns(changed)
+    return rows.withColumns(changed).drop("_found")
 
 
 def changed_files(files: DataFrame, manifest: DataFrame) -> DataFrame:
@@ -63,6 +64,16 @@ def run_summary(files: DataFrame) -> DataFrame:
     return files.agg(F.count("*").alias("total_files"), F.count_if("changed").alias("processed"), F.count_if(~F.col("changed")).alias("skipped_unchanged"))
 
 
+def to_json(made: DataFrame) -> DataFrame:
+    """``(doc_id, json)``: every record as a JSON object with all its fields, nulls included."""
+    return made.select("doc_id", F.to_json(F.struct(*made.columns), {"ignoreNullFields": "false"}).alias("json"))
+
+
+def from_json(rows: DataFrame) -> DataFrame:
+    """Records from a column ``json``; an object that is no record gives nulls."""
+    return rows.select(F.from_json("json", RECORDS).alias("r")).select("r.*")
+
+
 def folder_names(dirs: DataFrame, depth: int = 1) -> DataFrame:
     """``(name, folders)``: how often each folder name occurs down to ``depth``; ties in order of name."""
     p = T.parts(F.col("dir_path"))

@@ -2,16 +2,24 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from findery import cli, schema
+from findery.config import Config, load_config
 from findery.functions import text as T
+from findery.jobs import deep_scan
 from findery.operators import extract, facets, postings, records, rerank, search
 from findery.operators import feedback as fb
-from findery.plans.corpora import PART_CTE, PART_RULES, RANKING, feedback, page_paths, part_files, part_records, table, text_files, tokens_sql
-from findery.streaming.ingest import feedback_precision
+from findery.plans.corpora import DEPARTMENTS, INDEXED_AT, PART_CTE, PART_RULES, PROJECT_NUMBERS, RANKING, TYPES, feedback, page_paths, part_files, part_records, table, text_files, tokens_sql
+from findery.sources import corpus, logs
+from findery.sources.store import Store, index_files
+from findery.streaming.ingest import feedback_precision, stream_index
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -59,8 +67,7 @@ def needs_fallback_flags(spark, sf_dir):
 
 @query(f"WITH {PART_CTE} SELECT CASE WHEN file_ext = '.pdf' THEN 'pdf' WHEN file_ext = '.jpg' THEN 'image' ELSE 'other' END AS kind, count(*) AS documents FROM rec GROUP BY 1")
 def ext_dispatch(spark, sf_dir):
-    ext = F.col("file_ext")
-    kind = F.when(ext.isin(".pdf"), "pdf").when(ext.isin(".jpg", ".jpeg", ".png", ".tif", ".tiff"), "image").otherwise("other")
+    kind = extract.kind_of(F.col("file_ext"), extract.Extraction())
     return part_records(spark, sf_dir).groupBy(kind.alias("kind")).agg(F.count("*").alias("documents"))
 
 
@@ -152,10 +159,12 @@ def keyword_postings(spark, sf_dir):
     return postings.keyword_postings(part_records(spark, sf_dir))
 
 
-@query(f"WITH {PART_CTE} SELECT token, string_agg(doc_id, ' ' ORDER BY doc_id) AS doc_ids FROM ({_KW_SQL}) GROUP BY token")
+@query(f"WITH {PART_CTE} SELECT token, ceil(count(*) / 100.0)::BIGINT AS chunks, count(*) AS documents, min(doc_id) AS least, max(doc_id) AS most FROM ({_KW_SQL}) GROUP BY token HAVING count(*) <= 100 OR count(*) > 500")
 def compact_postings(spark, sf_dir):
-    kw = postings.keyword_postings(part_records(spark, sf_dir))
-    return postings.compact(kw, "token").select("token", F.array_join("doc_ids", " ").alias("doc_ids"))
+    """Chunked posting lists, seen through what does not depend on how ids are dealt to chunks."""
+    lists = postings.compact(postings.keyword_postings(part_records(spark, sf_dir)), "token", size=100)
+    per = lists.groupBy("token").agg(F.count("*").alias("chunks"), F.sum(F.size("doc_ids")).alias("documents"), F.min(F.get("doc_ids", 0)).alias("least"), F.max(F.element_at("doc_ids", -1)).alias("most"))
+    return per.where("documents <= 100 or documents > 500")
 
 
 @query(f"WITH {PART_CTE} SELECT token, count(*) AS documents FROM ({_KW_SQL}) GROUP BY token")
@@ -271,8 +280,9 @@ for _name, (_asked, _kw, _sql) in SEARCHES.items():
 
 @query(f"WITH {_search_cte(BATCH)} SELECT query_id, bool_or(ambiguous) AS ambiguous, max(candidate_count) AS candidate_count FROM judged GROUP BY query_id")
 def ambiguity_flags(spark, sf_dir):
-    out = run_search(spark, sf_dir, BATCH, top=1)
-    return search.envelope(out, queries_frame(spark, BATCH)).select("query_id", "ambiguous", "candidate_count")
+    asked = queries_frame(spark, BATCH)
+    out = search.search(asked, search.Index.build(part_records(spark, sf_dir)), PART_RULES, RANKING, top=1)
+    return search.envelope(out, asked).select("query_id", "ambiguous", "candidate_count")
 
 
 @query(f"WITH {_search_cte(BATCH)} SELECT query_id, rank, justification FROM judged WHERE rank <= 10")
@@ -295,13 +305,94 @@ def loose_vocab_pairs_blocked(spark, sf_dir):
     return search.loose_pairs(asked, vocab, broadcast_up_to=0)
 
 
-@query()
+_LOOSE = ["anvill", "wigets", "bolt", "1977", "ri"]
+
+
+@query(f"""WITH {PART_CTE}, k AS ({_KW_SQL}), q AS (SELECT unnest({_LOOSE}) AS q_token)
+SELECT q_token, doc_id, token FROM q JOIN k ON q_token <> token AND {LOOSE_SQL.format(a='q_token', b='token')}""")
+def loose_documents(spark, sf_dir):
+    asked = spark.createDataFrame([(t,) for t in _LOOSE], "q_token string")
+    return search.loose_documents(asked, postings.keyword_postings(part_records(spark, sf_dir)))
+
+
+def turned() -> rerank.Backend:
+    """A backend that turns the order around, and says so in one reply that is no permutation for one query."""
+    return rerank.ReplyBackend(lambda prompt: "[0, 0]" if "annvil" in prompt.split("\n")[0] else str(list(range(prompt.count("\n") - 1, -1, -1))))
+
+
+_TURNED = f"""WITH {_search_cte(BATCH)},
+p AS (SELECT *, ambiguous AND query_id <> 11 AS turned, least(count(*) OVER (PARTITION BY query_id), 10) AS pool FROM judged WHERE rank <= 10),
+r AS (SELECT * REPLACE (CASE WHEN turned THEN pool + 1 - rank ELSE rank END AS rank) FROM p)
+SELECT query_id, rank, doc_id, ambiguous, ambiguous AS reranked, row_number() OVER (PARTITION BY query_id ORDER BY indexed_at DESC, rank) AS display_rank FROM r WHERE rank <= 4"""
+
+
+@query(_TURNED)
 def rerank_fake(spark, sf_dir):
-    """Results with a backend that turns the order around."""
-    asked = queries_frame(spark, BATCH)
-    out = run_search(spark, sf_dir, BATCH, top=10)
-    backend = rerank.ReplyBackend(lambda prompt: str(list(range(prompt.count("\n") - 1, -1, -1))))
-    return rerank.rerank(out, asked, backend)
+    """Ambiguous queries are ranked anew over the first ten, then cut, then sorted for display."""
+    index = search.Index.build(part_records(spark, sf_dir))
+    out = search.search(queries_frame(spark, BATCH), index, PART_RULES, RANKING, top=4, sort_by="newest", backend=turned())
+    return out.select("query_id", "rank", "doc_id", "ambiguous", "reranked", "display_rank")
+
+
+def search_each(spark, sf_dir, asked, **kw):
+    """Each query by itself, as a service answers it."""
+    index = search.Index.build(part_records(spark, sf_dir)).cache()
+    try:
+        return [{**r, "query_id": k} for k, text in asked for r in search.search_one(text, index, PART_RULES, RANKING, **kw).rows]
+    finally:
+        index.unpersist()
+
+
+@query(_TURNED)
+def rerank_single(spark, sf_dir):
+    rows = search_each(spark, sf_dir, BATCH, top=4, sort_by="newest", backend=turned())
+    ddl = "query_id int, rank int, doc_id string, ambiguous boolean, reranked boolean, display_rank int"
+    return spark.createDataFrame([tuple(r[c.split()[0]] for c in ddl.split(", ")) for r in rows], ddl)
+
+
+@query(_search_sql(BATCH, 5, f"{_EXT} AND NOT {_FOLDER}", "file_ext, score DESC, file_path, rank"))
+def search_single(spark, sf_dir):
+    """Queries one by one, their tokens and fields as literals."""
+    folders = [f"brand_{n}" for n in range(3, 10)]
+    rows = search_each(spark, sf_dir, BATCH, top=5, sort_by="file_type", extensions=_SCOPED["extensions"], folders=folders)
+    ddl = "query_id int, rank int, display_rank int, doc_id string, file_path string, score double, justification string, candidate_count long, ambiguous boolean"
+    return spark.createDataFrame([tuple(r[c.split()[0]] for c in ddl.split(", ")) for r in rows], ddl).withColumn("score", F.round("score", 6))
+
+
+@query(f"""WITH {_search_cte(BATCH)}, s AS (SELECT * FROM judged WHERE rank <= 40)
+SELECT query_id, rank AS display_rank, doc_id, file_ext IN ('.pdf', '.jpg', '.jpeg', '.png', '.tif', '.tiff', '.hwpx') AS direct_open, replace(substr(indexed_at, 1, 16), 'T', ' ') AS indexed_at,
+  CASE WHEN rank > 3 THEN (rank - 4) // 25 END AS batch FROM s""")
+def results_view(spark, sf_dir):
+    """What a list shows first, and in which batch the rest would come."""
+    index = search.Index.build(part_records(spark, sf_dir))
+    out = search.search(queries_frame(spark, BATCH), index, PART_RULES, RANKING, top=40)
+    shown = search.results_view(out, Config().extraction.direct_open_extensions)
+    return search.batches(shown, visible=3).select("query_id", "display_rank", "doc_id", "direct_open", "indexed_at", "batch")
+
+
+@query(f"""WITH {_search_cte(BATCH)}
+SELECT query_id, rank AS display_rank, CAST(rank AS VARCHAR) || '. ' || file_path || '  (score: ' || CAST(CAST(round(CAST(score AS DECIMAL(18, 6)), 1) AS DECIMAL(18, 1)) AS VARCHAR) || ')' AS line, '   why: ' || justification AS why FROM judged WHERE rank <= 3""")
+def results_text(spark, sf_dir):
+    index = search.Index.build(part_records(spark, sf_dir))
+    return search.as_text(search.search(queries_frame(spark, BATCH), index, PART_RULES, RANKING, top=3))
+
+
+@query(f"WITH {_search_cte(BATCH)} SELECT query_id, rank, rank AS json_rank, doc_id, file_path, round(score, 6) AS score, justification FROM judged WHERE rank <= 3")
+def results_json(spark, sf_dir):
+    """JSON payloads, parsed again."""
+    index = search.Index.build(part_records(spark, sf_dir))
+    sent = search.as_json(search.search(queries_frame(spark, BATCH), index, PART_RULES, RANKING, top=3))
+    back = sent.withColumn("p", F.from_json("payload", "rank int, doc_id string, file_path string, score double, justification string"))
+    return back.select("query_id", "rank", F.col("p.rank").alias("json_rank"), "p.doc_id", "p.file_path", F.round("p.score", 6).alias("score"), "p.justification")
+
+
+_RAW = ("7", "0", "-3", "900", "x", "", "201", "12.5")
+
+
+@query(f"""WITH r AS (SELECT unnest({list(_RAW)}) AS raw)
+SELECT raw, CASE WHEN regexp_full_match(raw, '-?[0-9]+') THEN greatest(1, least(200, CAST(raw AS INTEGER))) ELSE 25 END AS top, CASE WHEN raw = 'newest' THEN raw ELSE 'relevance' END AS sort FROM r""")
+def clamped_inputs(spark, sf_dir):
+    return spark.createDataFrame([(x, search.clamp_top(x), search.clamp_sort(x)) for x in _RAW], "raw string, top int, sort string")
 
 
 # ---- feedback --------------------------------------------------------------------------------------
@@ -326,6 +417,34 @@ def weight_suggestions(spark, sf_dir):
     return fb.suggestions(stats).select("field_name", "samples", "suggested_weight")
 
 
+@query(rf"""{_STATS}, b AS (SELECT *, CAST(round_even(precision * 100, 0) AS INTEGER) || '% over ' || samples || ' samples' AS said FROM st)
+SELECT field_name, CASE WHEN samples < 5 THEN 'insufficient data (n=' || samples || ' < 5) -- no suggestion' WHEN precision >= 0.85 THEN 'high precision (' || said || ') -- consider increasing'
+  WHEN precision <= 0.55 THEN 'low precision (' || said || ') -- consider decreasing' ELSE 'precision looks reasonable (' || said || ') -- no change suggested' END AS reason FROM b""")
+def weight_reasons(spark, sf_dir):
+    stats = fb.field_stats(feedback(spark, sf_dir), part_records(spark, sf_dir), PART_RULES, RANKING)
+    return fb.suggestions(stats).select("field_name", "reason")
+
+
+@query(f"""{_STATS}, w AS (SELECT field_name, CASE WHEN samples >= 5 AND precision >= 0.85 THEN round(current_weight * 1.2, 1) WHEN samples >= 5 AND precision <= 0.55 THEN round(current_weight * 0.8, 1) ELSE current_weight END AS w FROM st)
+SELECT '[ranking_weights]' AS line UNION ALL SELECT field_name || ' = ' || CAST(w AS VARCHAR) FROM w""")
+def weights_toml(spark, sf_dir):
+    """The lines of the TOML block that is suggested."""
+    stats = fb.field_stats(feedback(spark, sf_dir), part_records(spark, sf_dir), PART_RULES, RANKING)
+    return spark.createDataFrame([(x,) for x in fb.weights_toml(fb.suggestions(stats)).split("\n")], "line string")
+
+
+@query("SELECT CAST(event_id AS VARCHAR) AS query, p_partkey IS NOT NULL AS correct, p_partkey IS NULL AS ambiguous, false AS used_llm_rerank, CASE WHEN p_partkey IS NOT NULL THEN 'd' || user_id END AS chosen_doc_id, len(['d' || user_id]) AS shown FROM events LEFT JOIN part ON user_id = p_partkey")
+def feedback_log(spark, sf_dir):
+    """Entries made from envelopes and verdicts, appended to the log and read again."""
+    made = table(spark, sf_dir, "events").join(table(spark, sf_dir, "part"), F.col("user_id") == F.col("p_partkey"), "left")
+    doc = F.concat(F.lit("d"), F.col("user_id").cast("string"))
+    known = F.col("p_partkey").isNotNull()
+    made = made.select(F.col("event_id").alias("query_id"), F.col("event_id").cast("string").alias("raw_query"), F.array(doc).alias("top_doc_ids"), F.array(F.lit(1.0)).alias("scores"), (~known).alias("ambiguous"), F.lit(False).alias("used_llm_rerank"), F.when(known, doc).alias("chosen_doc_id"), known.alias("correct"))
+    at = scratch(spark, "feedback")
+    logs.append(fb.entries(made.drop("chosen_doc_id", "correct"), made.select("query_id", "chosen_doc_id", "correct"), INDEXED_AT), at)
+    return logs.feedback(spark, at).select("query", "correct", "ambiguous", "used_llm_rerank", "chosen_doc_id", F.size("top_doc_ids").alias("shown"))
+
+
 @query("SELECT count(*) FILTER (event_type = 'error' OR p_partkey IS NULL) AS unattributed FROM events LEFT JOIN part ON user_id = p_partkey")
 def unattributed_feedback(spark, sf_dir):
     return fb.unattributed(feedback(spark, sf_dir))
@@ -357,7 +476,18 @@ class _NumberOcr:
         return extract.Recognized(f"BRAND {n % 20 + 1} LARGE scan", extract.mean_confidence([-1, 40 + n % 50, 60]))
 
 
-@query()
+_SCAN = f"""WITH {PART_CTE},
+t AS (SELECT *, p_partkey % 10000 AS n FROM rec WHERE status = 'pending_deep_scan'),
+x AS (SELECT *, file_ext = '.pdf' AND n % 5 IN (1, 2) AS by_text, file_ext IN ('.pdf', '.jpg') AND n % 5 <> 0 AND NOT (file_ext = '.pdf' AND n % 5 IN (1, 2)) AS by_ocr, (40 + n % 50 + 60) / 2.0::DOUBLE / 100::DOUBLE AS c FROM t),
+scanned AS (
+  SELECT *, CASE WHEN by_text THEN 'pdf_text' WHEN by_ocr THEN 'ocr' END AS source, CASE WHEN by_ocr THEN c WHEN file_ext IN ('.pdf', '.jpg') AND NOT by_text THEN 0.0::DOUBLE END AS confidence,
+    CASE WHEN by_text THEN NULL WHEN by_ocr THEN CASE WHEN c < 0.55::DOUBLE THEN 'low_confidence_ocr' END WHEN file_ext = '.pdf' THEN 'unreadable_pdf' WHEN file_ext = '.jpg' THEN 'unreadable_image' ELSE 'unsupported_extension_for_deep_scan' END AS reason FROM x)"""
+_STATUS = f"""{_SCAN} SELECT CASE WHEN s.doc_id IS NULL THEN r.status WHEN reason IS NULL THEN 'ok' ELSE 'needs_review' END AS extraction_status,
+  CASE WHEN s.doc_id IS NOT NULL AND reason IS NULL THEN 'filename+' || source ELSE 'filename' END AS source_of_metadata, count(*) AS documents
+FROM rec r LEFT JOIN scanned s ON s.doc_id = r.doc_id GROUP BY ALL"""
+
+
+@query(_STATUS)
 def deep_scan_status(spark, sf_dir):
     """Status after a deep scan of every pending record with stand-in readers."""
     made = records.to_records(part_files(spark, sf_dir), PART_RULES, "")
@@ -366,7 +496,170 @@ def deep_scan_status(spark, sf_dir):
     return done.groupBy("extraction_status", "source_of_metadata").agg(F.count("*").alias("documents"))
 
 
+def _scanned_store(spark, sf_dir, chunks: int) -> tuple[Store, str]:
+    """A store of the part files after a deep scan in some chunks, and its logs."""
+    store, log_dir = Store(spark, scratch(spark, "index")), scratch(spark, "logs")
+    config = Config(rules=PART_RULES)
+    files = part_files(spark, sf_dir).select("file_path", F.lit(1.0).alias("mtime"), F.col("p_partkey").alias("size"))
+    logs.append(index_files(store, files, "parts", config, INDEXED_AT), f"{log_dir}/index_runs")
+    each = max(1, -(-facets.pending(store.records()).first().pending // chunks))
+    deep_scan(store, log_dir, _TableReader(), _NumberOcr(), config, INDEXED_AT, each)
+    return store, log_dir
+
+
+@query(_STATUS)
+def deep_scan_resumed(spark, sf_dir):
+    """The same by a scan that publishes every third of the records, read from the store."""
+    store, _ = _scanned_store(spark, sf_dir, 3)
+    return store.records().groupBy("extraction_status", "source_of_metadata").agg(F.count("*").alias("documents"))
+
+
+@query(f"{_SCAN} SELECT file_path, reason, confidence, '{INDEXED_AT}' AS timestamp FROM scanned WHERE reason IS NOT NULL")
+def deep_scan_review(spark, sf_dir):
+    """The review queue as it was logged."""
+    _, log_dir = _scanned_store(spark, sf_dir, 1)
+    return logs.review_queue(spark, f"{log_dir}/review_queue").select("file_path", "reason", "confidence", "timestamp")
+
+
+@query(f"{_SCAN} SELECT file_path, source, confidence, CASE WHEN by_text THEN 'brand ' || CAST(n % 20 + 1 AS VARCHAR) || ' promo sheet ' || CAST(n AS VARCHAR) ELSE 'BRAND ' || CAST(n % 20 + 1 AS VARCHAR) || ' LARGE scan' END AS text FROM scanned WHERE source IS NOT NULL")
+def deep_scan_log(spark, sf_dir):
+    _, log_dir = _scanned_store(spark, sf_dir, 1)
+    return logs.read(spark, f"{log_dir}/extraction", schema.EXTRACTION_LOG).select("file_path", "source", "confidence", "text")
+
+
 @query(f"WITH {PART_CTE} SELECT project_name, count(*) AS documents, row_number() OVER (ORDER BY count(*) DESC, project_name) AS place FROM rec WHERE project_name IS NOT NULL GROUP BY project_name")
 def project_ranking(spark, sf_dir):
-    counts = part_records(spark, sf_dir).where("project_name is not null").groupBy("project_name").agg(F.count("*").alias("documents"))
-    return counts.withColumn("place", F.row_number().over(Window.orderBy(F.desc("documents"), "project_name")))
+    return facets.values(part_records(spark, sf_dir), "project_name")
+
+
+# ---- the index on disk -----------------------------------------------------------------------------
+
+
+def scratch(spark, name: str) -> str:
+    """A fresh folder that the driver and all executors share; only in local mode is it one of this machine."""
+    sc = spark.sparkContext
+    shared = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    if not shared and not sc.master.startswith("local-cluster") and sc.master.startswith("local"):
+        shared = tempfile.mkdtemp(prefix="findery-")
+    if not shared:
+        raise ValueError("spark.checkpoint.dir is not set; a cluster needs a shared folder there")
+    return f"{shared.rstrip('/')}/findery-{name}-{uuid.uuid4().hex}"
+
+
+def _versions(spark, sf_dir) -> Store:
+    """A store that saw all part files, then a fifth of them changed, then a seventh gone."""
+    store, config, key = Store(spark, scratch(spark, "index")), Config(rules=PART_RULES), F.col("p_partkey")
+    files = part_files(spark, sf_dir)
+
+    def run(now, size, keep=None, **kw):
+        seen = files if keep is None else files.where(keep)
+        index_files(store, seen.select("file_path", F.lit(1.0).alias("mtime"), size.cast("long").alias("size")), "parts", config, now, **kw)
+
+    run("t1", key)
+    run("t2", F.when(key % 5 == 0, key + 1).otherwise(key))
+    run("t3", F.when(key % 5 == 0, key + 1).otherwise(key), key % 7 != 0, drop_deleted=True)
+    return store
+
+
+_KEPT = "r.p_partkey % 7 <> 0"
+
+
+@query(f"WITH {PART_CTE} SELECT doc_id, file_path, extraction_status, array_to_string(keywords, ' ') AS keywords, CASE WHEN r.p_partkey % 5 = 0 THEN 't2' ELSE 't1' END AS indexed_at FROM (SELECT * REPLACE (status AS extraction_status) FROM rec) r WHERE {_KEPT}")
+def stored_records(spark, sf_dir):
+    """Records read from a store after a run for all files, one for changed and one for deleted ones."""
+    return _versions(spark, sf_dir).records().select("doc_id", "file_path", "extraction_status", F.array_join("keywords", " ").alias("keywords"), "indexed_at")
+
+
+@query(f"WITH {PART_CTE} SELECT file_path, doc_id, CASE WHEN p_partkey % 5 = 0 THEN p_partkey + 1 ELSE p_partkey END AS size FROM rec r WHERE {_KEPT}")
+def stored_manifest(spark, sf_dir):
+    return _versions(spark, sf_dir).manifest().select("file_path", "doc_id", "size")
+
+
+@query(f"WITH {PART_CTE}, k AS (SELECT * FROM rec r WHERE {_KEPT}) SELECT DISTINCT field, value, doc_id FROM ({_FIELDS_SQL.replace('FROM rec', 'FROM k')}) WHERE value IS NOT NULL UNION ALL SELECT 'token', token, doc_id FROM ({_KW_SQL.replace('FROM rec', 'FROM k')})")
+def stored_postings(spark, sf_dir):
+    index = _versions(spark, sf_dir).index()
+    return index.fields.select("field", "value", "doc_id").unionByName(index.keywords.select(F.lit("token").alias("field"), F.col("token").alias("value"), "doc_id"))
+
+
+@query("SELECT 'parts' AS corpus_root, 't3' AS built_at, 3 AS version, 0 AS left_over")
+def stored_version(spark, sf_dir):
+    """The pointer after three runs, and what deleting old parts leaves of those that no version needs."""
+    store = _versions(spark, sf_dir)
+    now = store.snapshot()
+    while store.vacuum():
+        pass
+    return spark.createDataFrame([(now.corpus_root, now.built_at, store.records().select("indexed_at").distinct().count() + 1, store.vacuum())], "corpus_root string, built_at string, version int, left_over int")
+
+
+@query(f"WITH {PART_CTE} SELECT file_path, project_name, source_of_metadata, schema_version FROM (SELECT *, 'filename' AS source_of_metadata, 1 AS schema_version FROM rec) WHERE p_partkey = (SELECT min(p_partkey) FROM part)")
+def stored_record(spark, sf_dir):
+    """One record by its id."""
+    store, config = Store(spark, scratch(spark, "index")), Config(rules=PART_RULES)
+    files = part_files(spark, sf_dir)
+    index_files(store, files.select("file_path", F.lit(1.0).alias("mtime"), F.lit(1).cast("long").alias("size")), "parts", config, "t1")
+    row = store.record(files.orderBy("p_partkey").select(T.doc_id(F.col("file_path"))).first()[0])
+    return spark.createDataFrame([(row.file_path, row.project_name, row.source_of_metadata, row.schema_version)], "file_path string, project_name string, source_of_metadata string, schema_version int")
+
+
+@query("SELECT o_orderpriority AS timestamp, 'other' AS corpus_root, count(*) AS total_files, count(*) AS processed, 0 AS skipped_unchanged, min(o_orderpriority) OVER () <> o_orderpriority AS corpus_root_changed FROM orders GROUP BY o_orderpriority")
+def stored_runs(spark, sf_dir):
+    """Run logs of an index whose root changes with every run, so that each starts from nothing."""
+    files, _ = _snapshots(spark, sf_dir)
+    store, log_dir, config = Store(spark, scratch(spark, "index")), scratch(spark, "runs"), Config()
+    names = sorted(r[0] for r in table(spark, sf_dir, "orders").select("o_orderpriority").distinct().collect())
+    for name in names:
+        logs.append(index_files(store, files.where(F.col("file_path").startswith(f"{name}/")), name, config, name), log_dir)
+    return logs.index_runs(spark, log_dir).withColumn("corpus_root", F.lit("other"))
+
+
+@query(f"WITH {PART_CTE} SELECT doc_id, file_path, project_name, year, array_to_string(keywords, ' ') AS keywords, extraction_status, indexed_at FROM rec")
+def record_json(spark, sf_dir):
+    """Records as JSON objects, and back."""
+    back = records.from_json(records.to_json(part_records(spark, sf_dir)))
+    return back.select("doc_id", "file_path", "project_name", "year", F.array_join("keywords", " ").alias("keywords"), "extraction_status", "indexed_at")
+
+
+@query("SELECT replace(r_name, ' ', '_') || '/' || n_name || '.txt' AS file_path, CAST(n_nationkey + 1 AS BIGINT) AS size, true AS dated FROM nation JOIN region ON n_regionkey = r_regionkey")
+def walked_files(spark, sf_dir):
+    """A folder per region with a file per nation and junk beside it, walked on the executors."""
+    root = tempfile.mkdtemp(prefix="findery-")
+    rows = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select("r_name", "n_name", "n_nationkey").collect()
+    for r in rows:
+        folder = f"{root}/{r.r_name.replace(' ', '_')}"
+        os.makedirs(folder, exist_ok=True)
+        for name, size in ((f"{r.n_name}.txt", r.n_nationkey + 1), ("Thumbs.db", 1), ("~$open.docx", 1)):
+            with open(f"{folder}/{name}", "wb") as f:
+                f.write(b"x" * size)
+    return corpus.read_files(spark, root).select("file_path", "size", (F.col("mtime") > 0).alias("dated"))
+
+
+@query(f"WITH {PART_CTE} SELECT doc_id, {FIELDS}, status AS extraction_status FROM rec")
+def rules_from_toml(spark, sf_dir):
+    """Records by rules that come from a TOML file."""
+    quoted = lambda ways: "[" + ", ".join(f"'{w}'" for w in ways) + "]"
+    lines = ["[doc_type_patterns]", *(f"'{t}' = {quoted([rf'\b{t.lower()}\b'])}" for t in TYPES), "[project_name_patterns]", *(f"'Brand {n}' = {quoted([rf'\bbrand\s*{n}\b'])}" for n in PROJECT_NUMBERS)]
+    lines += ["[department_patterns]", *(f"'{d}' = {quoted(w)}" for d, w in DEPARTMENTS.items())]
+    with tempfile.NamedTemporaryFile("w", suffix=".toml", delete=False) as f:
+        f.write("\n".join(lines))
+    made = records.to_records(part_files(spark, sf_dir), load_config(f.name).rules, "")
+    return made.select("doc_id", *FIELDS.split(", "), "extraction_status")
+
+
+@query(r"""SELECT '"' || n_name || '" = ["' || replace(replace(n_name, '-', '\\-'), ' ', '\\s*') || '"]' AS line FROM nation""".replace("\\\\", "\\\\"))
+def project_toml(spark, sf_dir):
+    """A rule line for each name, as suggested for projects."""
+    return spark.createDataFrame([(cli.project_rule(r.n_name),) for r in table(spark, sf_dir, "nation").select("n_name").collect()], "line string")
+
+
+@query(f"WITH {PART_CTE} SELECT doc_id, file_path, CASE WHEN p_partkey % 3 = 0 THEN 2 ELSE 1 END AS mtime FROM rec")
+def streamed_index(spark, sf_dir):
+    """A stream of files, a third of which comes again later with another date, upserted into a store."""
+    files, at = part_files(spark, sf_dir), scratch(spark, "drop")
+    rows = files.select("file_path", F.lit(1.0).alias("mtime"), F.col("p_partkey").alias("size"), F.lit("t1").alias("seen_at"))
+    again = files.where("p_partkey % 3 = 0").select("file_path", F.lit(2.0).alias("mtime"), F.col("p_partkey").alias("size"), F.lit("t2").alias("seen_at"))
+    store, checkpoint = Store(spark, scratch(spark, "index")), scratch(spark, "stream")
+    for part in (rows, again):
+        part.write.mode("append").parquet(at)
+        stream = spark.readStream.schema("file_path string, mtime double, size long, seen_at string").parquet(at)
+        stream_index(stream, store, "parts", Config(rules=PART_RULES), checkpoint).awaitTermination()
+    return store.manifest().select("doc_id", "file_path", F.col("mtime").cast("int").alias("mtime"))

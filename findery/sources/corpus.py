@@ -13,39 +13,50 @@ from findery.functions.text import file_name, is_junk
 from findery.schema import FILES
 
 
+#: Partitions that a walk is cut into, if the tree has as many folders.
+WALKS = 64
+
+
 class _Folder(InputPartition):
-    def __init__(self, path: str, deep: bool):
-        self.path, self.deep = path, deep
+    def __init__(self, paths: list[str], deep: bool):
+        self.paths, self.deep = paths, deep
 
 
 class _Walk(DataSourceReader):
-    """One partition for the root's own files and one for each folder below it."""
+    """Folders are listed level by level until there are enough to deal out; those listed are read without what lies below."""
 
-    def __init__(self, root: str, dirs: bool):
-        self.root, self.dirs = root, dirs
+    def __init__(self, root: str, dirs: bool, walks: int):
+        self.root, self.dirs, self.walks = root, dirs, walks
 
     def partitions(self) -> list[InputPartition]:
-        with os.scandir(self.root) as found:
-            below = sorted(e.path for e in found if e.is_dir(follow_symlinks=False))
-        return [_Folder(self.root, False), *(_Folder(p, True) for p in below)]
+        listed, level = [], [self.root]
+        while level and len(level) < self.walks:
+            below = []
+            for path in level:
+                with os.scandir(path) as found:
+                    below += sorted(e.path for e in found if e.is_dir(follow_symlinks=False))
+            listed, level = listed + level, below
+        size = max(1, -(-len(level) // (4 * self.walks)))
+        return [*(_Folder([p], False) for p in listed), *(_Folder(level[k : k + size], True) for k in range(0, len(level), size))]
 
     def read(self, partition: _Folder) -> Iterator[tuple]:
-        for folder, subfolders, names in os.walk(partition.path):
-            rel = os.path.relpath(folder, self.root)
-            if self.dirs:
-                if rel != ".":
-                    yield (rel,)
-            else:
-                for name in names:
-                    path = os.path.join(folder, name)
-                    stat = os.stat(path)
-                    yield (os.path.relpath(path, self.root), stat.st_mtime, stat.st_size)
-            if not partition.deep:
-                subfolders.clear()
+        for top in partition.paths:
+            for folder, subfolders, names in os.walk(top):
+                rel = os.path.relpath(folder, self.root)
+                if self.dirs:
+                    if rel != ".":
+                        yield (rel,)
+                else:
+                    for name in names:
+                        path = os.path.join(folder, name)
+                        stat = os.stat(path)
+                        yield (os.path.relpath(path, self.root), stat.st_mtime, stat.st_size)
+                if not partition.deep:
+                    subfolders.clear()
 
 
 class FolderSource(DataSource):
-    """Options: ``path``, and ``dirs`` = true for folders instead of files."""
+    """Options: ``path``; ``dirs`` = true for folders instead of files; ``walks``, the partitions to aim at."""
 
     @classmethod
     def name(cls) -> str:
@@ -58,13 +69,13 @@ class FolderSource(DataSource):
         return "dir_path string" if self._dirs() else FILES
 
     def reader(self, schema) -> DataSourceReader:
-        return _Walk(self.options["path"], self._dirs())
+        return _Walk(self.options["path"], self._dirs(), int(self.options.get("walks", WALKS)))
 
 
-def read_files(spark: SparkSession, root: str, junk: bool = False) -> DataFrame:
+def read_files(spark: SparkSession, root: str, junk: bool = False, walks: int = WALKS) -> DataFrame:
     """``(file_path, mtime, size)`` of every file below ``root``, empty and hidden folders' ones included, without junk files."""
     spark.dataSource.register(FolderSource)
-    files = spark.read.format("findery_folder").option("path", os.path.abspath(root)).load()
+    files = spark.read.format("findery_folder").option("path", os.path.abspath(root)).option("walks", walks).load()
     return files if junk else files.where(~is_junk(file_name(F.col("file_path"))))
 
 
