@@ -1,10 +1,11 @@
+import json
 import random
 
-from hypothesis import given, settings
+from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from findery.config import Rules, load_config
+from findery.config import Config, Rules, load_config
 from findery.functions import text as T
 from findery.operators import records
 
@@ -67,6 +68,19 @@ def test_gap_fill(spark):
     assert (b.doc_type, b.source_of_metadata, b.keywords) == ("photo", "filename", ["scan", "photo", "unsorted"])
 
 
+def test_record_json(spark):
+    made = records.to_records(spark.createDataFrame([(p,) for p in PATHS], "file_path string"), Rules(), "now")
+    sent = records.to_json(made)
+    first = json.loads(sent.first().json)
+    assert list(first) == made.columns and first["schema_version"] == 1 and "ocr_confidence" in first
+    assert sorted(map(str, records.from_json(sent).collect())) == sorted(map(str, made.collect()))
+
+
+def test_local_minute(spark):
+    df = spark.createDataFrame([("2024-05-06T07:08:09+00:00",), ("2024-05-06T07:08:09+02:00",), ("soon",), (None,)], "t string")
+    assert [r.m for r in df.select(T.local_minute(F.col("t")).alias("m")).collect()] == ["2024-05-06 07:08", "2024-05-06 05:08", None, None]
+
+
 def test_junk_and_empty_config(spark, tmp_path):
     names = {"desktop.ini": True, "THUMBS.DB": True, "~$a.docx": True, ".x": True, "a.pdf": False}
     df = spark.createDataFrame([(n,) for n in names], "n string").select("n", T.is_junk(F.col("n")).alias("j"))
@@ -74,10 +88,12 @@ def test_junk_and_empty_config(spark, tmp_path):
     path = tmp_path / "c.toml"
     path.write_text('[ranking_weights]\nkeyword = 4\n[ranking]\nambiguous_margin = 2\n[project_name_patterns]\n"X" = ["x+"]\n', encoding="utf-8")
     got = load_config(str(path))
+    assert load_config() == Config()
     assert got.ranking.weights == {"keyword": 4.0} and got.ranking.close_within == 2 and got.rules.project_name == {"X": ["x+"]}
 
 
-@settings(max_examples=25, deadline=None)
-@given(a=st.text("abcd", min_size=1, max_size=7), b=st.text("abcd", min_size=1, max_size=7))
-def test_loose_is_symmetric(a, b):
-    assert brute_loose(a, b) == brute_loose(b, a)
+@settings(max_examples=10, deadline=None, suppress_health_check=list(HealthCheck))
+@given(pairs=st.lists(st.tuples(st.text("abcd1", min_size=1, max_size=7), st.text("abcd1", min_size=1, max_size=7)), min_size=1, max_size=30))
+def test_loose_is_symmetric(spark, pairs):
+    df = spark.createDataFrame(pairs, "a string, b string").select("a", "b", T.loose(F.col("a"), F.col("b")).alias("ab"), T.loose(F.col("b"), F.col("a")).alias("ba"))
+    assert all(r.ab == r.ba == brute_loose(r.a, r.b) for r in df.collect())

@@ -1,10 +1,13 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from findery.config import Ranking, Rules
 from findery.operators import extract, records, search
 from findery.operators.extract import Extraction, Recognized, mean_confidence, pixel_scale
-from findery.operators.rerank import NoBackend, ReplyBackend, rerank
+from findery.config import Rerank
+from findery.operators.rerank import NoBackend, ReplyBackend, backend_for
 
 FILES = """RiversidePlant/PID/RiversidePlant_PID_Unit3_2021.pdf
 RiversidePlant/Isometric/HX-203_Isometric_Rev2.pdf
@@ -60,7 +63,7 @@ def test_deep_scan(scanned):
     assert (memo.project_name, memo.doc_type, memo.year, memo.extraction_status, memo.source_of_metadata) == ("Compressor Station", "memo", 2015, "ok", "filename+pdf_text")
     assert (plate.doc_type, plate.year, plate.equipment_tag, plate.ocr_confidence) == ("photo", 2016, "HX-450", 0.9)
     assert (blurry.extraction_status, blurry.source_of_metadata) == ("needs_review", "filename")
-    assert photo.keywords[-6:] == ["riverside", "plant", "electrical", "motorroom", "330"][-6:] or photo.equipment_tag == "P-330"
+    assert photo.keywords == ["photo", "0042", "unsorted", "riverside", "plant", "electrical", "motorroom", "330"] and photo.equipment_tag == "P-330"
     assert [r.reason for r in extract.review_entries(found, "t").collect()] == ["low_confidence_ocr"]
     assert extract.extraction_log(found, "t").count() == 4
 
@@ -109,15 +112,113 @@ def test_empty_index(spark, scanned):
     assert search.search(asked, index, Rules(), Ranking()).count() == 0
 
 
-def test_rerank(spark, scanned):
+class Recorder:
+    """Turns the order around and remembers what it was asked."""
+
+    def __init__(self):
+        self.asked = []
+
+    def enabled(self):
+        return True
+
+    def order(self, query, rows):
+        self.asked.append((query, len(rows)))
+        return list(range(len(rows)))[::-1]
+
+
+def test_rerank_of_ambiguous_queries_only(spark, scanned):
     index = search.Index.build(scanned[2])
-    asked = spark.createDataFrame([(1, "riverside plant")], "query_id int, raw_query string")
-    out = search.search(asked, index, Rules(), Ranking(), top=3).cache()
-    paths = [r.file_path for r in out.orderBy("rank").collect()]
-    for reply, want in (("[2, 0, 1]", [2, 0, 1]), ("not json", [0, 1, 2]), ("[0, 0, 1]", [0, 1, 2])):
-        got = rerank(out, asked, ReplyBackend(lambda _, r=reply: r)).orderBy("rank").collect()
-        assert [r.file_path for r in got] == [paths[k] for k in want]
-    assert rerank(out, asked, NoBackend()) is out
+    asked = spark.createDataFrame([(k, g[0]) for k, g in enumerate(GOLDEN)] + [(20, "riverside plant")], "query_id int, raw_query string")
+    plain = {}
+    for r in search.search(asked, index, Rules(), Ranking(), top=20).collect():
+        plain.setdefault(r.query_id, {})[r["rank"]] = r.doc_id
+    for order in ("relevance", "newest", "file_type"):
+        backend = Recorder()
+        got = {}
+        for r in search.search(asked, index, Rules(), Ranking(), top=2, sort_by=order, backend=backend).collect():
+            got.setdefault(r.query_id, {})[r["rank"]] = r
+        # the pool is all there is up to ten, not the two that are shown
+        assert sorted(backend.asked) == sorted([(GOLDEN[5][0], len(plain[5])), ("riverside plant", len(plain[20]))])
+        for k, rows in got.items():
+            pool = [plain[k][x] for x in sorted(plain[k])][:10]
+            want = pool[::-1] if k in (5, 20) else pool
+            assert [rows[x].doc_id for x in (1, 2)] == want[:2] and all(r.reranked == (k in (5, 20)) for r in rows.values())
+            if order == "file_type":
+                shown = sorted(rows.values(), key=lambda r: r.display_rank)
+                assert [r.file_ext for r in shown] == sorted(r.file_ext for r in shown)
+
+
+def test_one_query_is_answered_as_many_are(spark, scanned):
+    index = search.Index.build(scanned[2]).cache()
+    texts = [g[0] for g in GOLDEN] + ["riverside plant", "zzzz", "compresor memo", "HX-203 HX-203", "", "photo"]
+    asked = spark.createDataFrame(list(enumerate(texts)), "query_id int, raw_query string")
+    ways = [{}, {"top": 7, "sort_by": "newest"}, {"top": 4, "sort_by": "file_type", "extensions": [".pdf"], "folders": ["riverside", "un"]}, {"top": 1, "backend": Recorder()}]
+    for kw in ways:
+        many = {}
+        for r in search.search(asked, index, Rules(), Ranking(), **kw).orderBy("query_id", "display_rank").collect():
+            many.setdefault(r.query_id, []).append(r.asDict(recursive=True))
+        for k, text in enumerate(texts):
+            one = search.search_one(text, index, Rules(), Ranking(), **kw)
+            clean = lambda rows: [{x: round(v, 9) if x == "score" else v for x, v in r.items() if x in search._SHOWN and x != "query_id"} for r in rows]
+            assert clean(one.rows) == clean(many.get(k, []))
+    index.unpersist()
+
+
+def test_a_query_with_very_many_tokens(spark, scanned, monkeypatch):
+    index = search.Index.build(scanned[2])
+    want = search.search_one("riverside pid memo", index, Rules(), Ranking()).rows
+    monkeypatch.setattr(search, "LITERAL_TOKENS", 1)
+    got = search.search_one("riverside pid memo", index, Rules(), Ranking()).rows
+    assert [(r["doc_id"], r["score"]) for r in got] == [(r["doc_id"], r["score"]) for r in want]
+
+
+def test_replies():
+    rows = [{"file_path": p, "score": 1.0, "justification": "j"} for p in "abc"]
+    for reply, want in (("[2, 0, 1]", [2, 0, 1]), ("not json", [0, 1, 2]), ("[0, 0, 1]", [0, 1, 2]), ("[0, 1]", [0, 1, 2]), ('["a"]', [0, 1, 2])):
+        assert ReplyBackend(lambda _, r=reply: r).order("q", rows) == want
+    assert ReplyBackend(lambda _: 1 / 0).order("q", rows[:1]) == [0]
+    assert not backend_for(Rerank()).enabled() and not backend_for(Rerank("key")).enabled() and not NoBackend().enabled()
+
+
+def test_http_backend():
+    import json
+    import threading
+    from http.server import BaseHTTPRequestHandler, HTTPServer
+
+    seen = []
+
+    class Handler(BaseHTTPRequestHandler):
+        def do_POST(self):
+            seen.append((self.path, self.headers["x-api-key"], json.loads(self.rfile.read(int(self.headers["Content-Length"])))))
+            raw = json.dumps({"content": [{"type": "text", "text": "[1, 0]"}]}).encode()
+            self.send_response(200)
+            self.end_headers()
+            self.wfile.write(raw)
+
+        def log_message(self, *_):
+            pass
+
+    server = HTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    try:
+        backend = backend_for(Rerank("key", f"http://127.0.0.1:{server.server_port}/", "some-model"))
+        rows = [{"file_path": p, "score": 1.0, "justification": "j"} for p in "ab"]
+        assert backend.enabled() and backend.order("q", rows) == [1, 0]
+        path, key, body = seen[0]
+        assert (path, key, body["model"]) == ("/v1/messages", "key", "some-model") and "'q'" in body["messages"][0]["content"]
+    finally:
+        server.shutdown()
+        server.server_close()
+    assert backend.order("q", rows) == [0, 1]  # nobody answers
+
+
+def test_loose_pairs_by_blocks(spark):
+    rnd = random.Random(6)
+    words = ["".join(rnd.choices("abcde12", k=rnd.randint(2, 7))) for _ in range(400)] + ["2018", "2019", "bolt", "bolts", "blot", "xbolty", "가나다", "가나다라", "나다"]
+    asked = spark.createDataFrame([(w,) for w in words[::2] + words[-9:]], "q_token string")
+    vocab = spark.createDataFrame([(w,) for w in words], "token string")
+    got = [{tuple(r) for r in search.loose_pairs(asked, vocab, n).collect()} for n in (10_000, 0)]
+    assert got[0] == got[1] and len(got[0]) > 500
 
 
 def test_small_numbers():
