@@ -5,14 +5,17 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
 #: Rows that one Python step takes from an Arrow batch at a time; bounds the objects alive at once.
-SLICE_ROWS = 512
+SLICE_ROWS = 2048
 #: Bytes of an Arrow batch on its way to Python, in sessions that set no limit of their own.
 BATCH_BYTES = 4 << 20
 #: Rows of up to three longs that are broadcast at most: some 50 MB.
@@ -92,8 +95,45 @@ def arrow_pass(df: DataFrame, step: Callable[[pa.RecordBatch], pa.RecordBatch |
     return df.mapInArrow(run, schema)
 
 
-def text_column(step: Callable[[list[bytes | None]], pa.Array], kind: str) -> Callable[[Column], Column]:
-    """A column of ``kind`` from whole texts, as UTF-8 bytes in slices of bounded length.
+@dataclass(frozen=True)
+class Words:
+    """The words of some texts: each distinct one, and the words in order as places among those."""
+
+    distinct: list[bytes]
+    codes: np.ndarray
+    #: The words of text ``k`` are those from ``starts[k]`` to ``starts[k + 1]``.
+    starts: np.ndarray
+
+    def of(self, k: int) -> np.ndarray:
+        return self.codes[self.starts[k] : self.starts[k + 1]]
+
+    def __len__(self) -> int:
+        return len(self.starts) - 1
+
+    def counts(self) -> np.ndarray:
+        return np.diff(self.starts)
+
+    def sums(self, of_word: Callable[[bytes], int]) -> np.ndarray:
+        """Per text the sum of a number that each word has."""
+        each = np.fromiter(map(of_word, self.distinct), np.int64, len(self.distinct))
+        total = np.concatenate(([0], np.cumsum(each[self.codes])))
+        return total[self.starts[1:]] - total[self.starts[:-1]]
+
+
+def split_words(texts: pa.Array, lower: bool = False) -> Words:
+    """Runs of anything but ASCII space characters; none for null. With ``lower``, A-Z become a-z."""
+    texts = pc.fill_null(texts, "")
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts) if lower else texts)
+    flat, sizes = lists.flatten(), pc.list_value_length(lists).to_numpy(zero_copy_only=False)
+    solid = pc.greater(pc.binary_length(flat), 0)
+    before = np.concatenate(([0], np.cumsum(solid.to_numpy(zero_copy_only=False))))
+    coded = flat.filter(solid).dictionary_encode()
+    starts = before[np.concatenate(([0], np.cumsum(sizes, dtype=np.int64)))]
+    return Words(coded.dictionary.cast(pa.binary()).to_pylist(), coded.indices.to_numpy().astype(np.int64), starts)
+
+
+def text_column(step: Callable[[pa.Array], pa.Array], kind: str) -> Callable[[Column], Column]:
+    """A column of ``kind`` from whole texts, in slices of bounded length.
 
     Only the text goes to Python and only the result comes back; the rest of the row waits in the JVM. It is
     marked as not deterministic, so that no plan evaluates it twice.
@@ -102,8 +142,7 @@ def text_column(step: Callable[[list[bytes | None]], pa.Array], kind: str) -> Ca
     @arrow_udf(kind)
     def run(texts: pa.Array) -> pa.Array:
         _lean()
-        raw = texts.cast(pa.binary())
-        parts = [step(raw.slice(at, SLICE_ROWS).to_pylist()) for at in range(0, max(1, len(raw)), SLICE_ROWS)]
+        parts = [step(texts.slice(at, SLICE_ROWS)) for at in range(0, max(1, len(texts)), SLICE_ROWS)]
         return pa.concat_arrays(parts) if len(parts) > 1 else parts[0]
 
     small_batches(SparkSession.getActiveSession())
@@ -112,14 +151,14 @@ def text_column(step: Callable[[list[bytes | None]], pa.Array], kind: str) -> Ca
 
 
 class Memo(dict):
-    """``make(key)`` for every key asked for, remembered until the keys take about ``MEMO_BYTES``."""
+    """``make(key)`` for every key asked for, remembered until all take about ``limit`` bytes."""
 
-    #: Bytes of an entry besides its key's and value's own length, and bytes that all may take.
-    ENTRY_BYTES, MEMO_BYTES = 180, 24 << 20
+    #: Bytes of an entry besides its key's and value's own length.
+    ENTRY_BYTES = 150
 
-    def __init__(self, make: Callable | None):
+    def __init__(self, make: Callable | None, limit: int):
         super().__init__()
-        self.make, self.taken = make, 0
+        self.make, self.limit, self.taken = make, limit, 0
 
     def __missing__(self, key):
         if self.make is None:
@@ -135,7 +174,7 @@ class Memo(dict):
 
     def forget(self) -> None:
         """Be empty again beyond the limit."""
-        if self.taken > self.MEMO_BYTES:
+        if self.taken > self.limit:
             self.clear()
             self.taken = 0
 

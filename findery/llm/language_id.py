@@ -130,7 +130,7 @@ def fit(langs: list[str], of: list[str], bits: list[bytes], landmarks: int) -> M
 def keep_letters(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose ``text`` has a letter."""
     mark = unused(docs, "_letters")
-    lettered = text_column(lambda texts: pa.array([bool(t) and has_letter(t.decode()) for t in texts], pa.bool_()), "boolean")
+    lettered = text_column(lambda texts: pa.array([bool(t) and has_letter(t) for t in texts.to_pylist()], pa.bool_()), "boolean")
     return docs.withColumn(mark, lettered(F.col("text"))).where(F.col(mark)).select(*columns_of(docs))
 
 
@@ -139,8 +139,8 @@ def found_in(docs: DataFrame, model: Model):
     names = np.array([*model.langs, "und"], object)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def step(texts: list[bytes | None]) -> pa.Array:
-        parts = [shared.value.scores([None if t is None else t.decode() for t in texts[at : at + SCORED_ROWS]]) for at in range(0, max(1, len(texts)), SCORED_ROWS)]
+    def step(texts: pa.Array) -> pa.Array:
+        parts = [shared.value.scores(texts.slice(at, SCORED_ROWS).to_pylist()) for at in range(0, max(1, len(texts)), SCORED_ROWS)]
         best, score = (np.concatenate(x) for x in zip(*parts, strict=True))
         return pa.StructArray.from_arrays([pa.array(names[best], pa.string()), pa.array(score)], ["lang_pred", "score"])
 

@@ -22,6 +22,8 @@ from .common import Memo, columns_of, hash_order, held, materialize, slices, tex
 BITS = 20
 #: Most labelled rows that are learnt from, and passes over them.
 MAX_ROWS, EPOCHS = 8000, 4
+#: Bytes of tokens whose codes a worker remembers.
+MEMO_BYTES = 80 << 20
 ALPHA, BETA, L1, L2 = 4.0, 1.0, 0.002, 0.001
 
 #: Code of any 4-gram of one token.
@@ -37,7 +39,7 @@ def _code(token: str) -> int:
 def features(text: str | None) -> np.ndarray:
     """Sorted distinct slots of the word 1- and 2-grams of ``text``."""
     tokens = TOKEN.findall(text or "")
-    codes = held("token codes", lambda: Memo(_code))
+    codes = held("token codes", lambda: Memo(_code, MEMO_BYTES))
     one = np.fromiter(map(codes.__getitem__, tokens), np.uint64, len(tokens))
     two = (one[:-1] * np.uint64(0x9E3779B97F4A7C15) + one[1:]) * np.uint64(0xC2B2AE3D27D4EB4F)
     same = one[1:] == one[:-1]
@@ -102,9 +104,9 @@ def score(docs: DataFrame, weights: np.ndarray) -> DataFrame:
     """
     shared = docs.sparkSession.sparkContext.broadcast(weights.astype(np.float32))
 
-    def step(texts: list[bytes | None]) -> pa.Array:
+    def step(texts: pa.Array) -> pa.Array:
         w = shared.value
-        found = [features(None if t is None else t.decode()) for t in texts]
+        found = [features(t) for t in texts.to_pylist()]
         size = np.array([len(f) for f in found], np.int64)
         ends = np.cumsum(size)
         sums = np.concatenate(([0.0], np.cumsum(w[np.concatenate(found or [np.empty(0, np.int32)])], dtype=np.float64)))

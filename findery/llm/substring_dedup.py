@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from .common import SLICE_ROWS, Memo, columns_of, held, slices, unused, utf8
+from .common import SLICE_ROWS, Words, columns_of, slices, split_words, unused, utf8
 
 SIZE, GRAM = 50, 12
 #: Rows that a task settles together before it sends them on.
@@ -61,9 +61,17 @@ def _rolling(h: np.ndarray, size: int, base: int) -> np.ndarray:
     return (sums[size:] - sums[:-size]) * down[: n - size + 1]
 
 
-def word_hashes(words: list[bytes]) -> np.ndarray:
-    known = held("word hashes", lambda: Memo(xxhash.xxh64_intdigest))
-    return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+def word_hashes(words: Words) -> np.ndarray:
+    """A hash of every word, in order."""
+    return np.fromiter(map(xxhash.xxh64_intdigest, words.distinct), np.uint64, len(words.distinct))[words.codes]
+
+
+def hashes_of(texts: pa.Array, lower: bool = False) -> Iterator[np.ndarray]:
+    """The hashes of each text's words."""
+    words = split_words(texts, lower)
+    h = word_hashes(words)
+    for a, b in zip(words.starts[:-1].tolist(), words.starts[1:].tolist(), strict=True):
+        yield h[a:b]
 
 
 def window_hashes(h: np.ndarray, size: int) -> np.ndarray:
@@ -122,10 +130,9 @@ def _shared_minimizers(docs: DataFrame, size: int, gram: int) -> DataFrame:
     def emit(batches):
         def rows():
             for part in slices(batches):
-                for doc, text in zip(part.column(0).to_pylist(), utf8(part, "text"), strict=True):
-                    words = (text or b"").split()
-                    if len(words) >= size:
-                        m = np.unique(minimizers(word_hashes(words), size, gram))
+                for doc, h in zip(part.column(0).to_pylist(), hashes_of(part.column(1)), strict=True):
+                    if len(h) >= size:
+                        m = np.unique(minimizers(h, size, gram))
                         yield m, np.full(len(m), doc, np.int64)
 
         for m, d in _chunks(rows()):
@@ -157,11 +164,9 @@ def _repeats(docs: DataFrame, mins: DataFrame, size: int, gram: int) -> DataFram
     def emit(batches):
         def rows():
             for part in slices(batches):
-                for doc, text, own in zip(part.column(0).to_pylist(), utf8(part, "text"), part.column(at_mins).to_pylist(), strict=True):
-                    words = (text or b"").split()
-                    if len(words) < size:
+                for doc, text, h, own in zip(part.column(0).to_pylist(), utf8(part, "text"), hashes_of(part.column(1)), part.column(at_mins).to_pylist(), strict=True):
+                    if len(h) < size:
                         continue
-                    h = word_hashes(words)
                     at = np.flatnonzero(np.isin(minimizers(h, size, gram).view(np.int64), np.array(own, np.int64)))
                     w, x = _two_hashes(h, size)
                     yield w[at], x[at], np.full(len(at), doc, np.int64), at + text_tag(text)
@@ -199,12 +204,12 @@ def intervals(starts: np.ndarray, size: int) -> list[tuple[int, int]]:
     return [(int(x[0]), int(x[-1]) + size) for x in np.split(s, cut)]
 
 
-def _starts(words: list[bytes], places: np.ndarray, size: int) -> np.ndarray:
+def _starts(h: np.ndarray, places: np.ndarray, size: int) -> np.ndarray:
     """Window starts from the places of one text, with all that echo them."""
     starts = places & (ECHO - 1)
     if not len(echoed := starts[(places & ECHO) != 0]):
         return starts
-    w, x = _two_hashes(word_hashes(words), size)
+    w, x = _two_hashes(h, size)
     wanted = set(zip(w[echoed].tolist(), x[echoed].tolist(), strict=True))
     maybe = np.flatnonzero(np.isin(w, w[echoed]))
     return np.concatenate((starts, maybe[[k in wanted for k in zip(w[maybe].tolist(), x[maybe].tolist(), strict=True)]]))
@@ -214,27 +219,29 @@ def _cut(text: Column, places: Column, size: int) -> Column:
     """``(n_words, removed, kept)`` of a text without the windows at ``places``; kept is null if nothing goes."""
     spans_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
-    def step(texts: list[bytes | None], places: pa.Array) -> pa.Array:
-        counts, removed, left = [], [], []
-        for text, place in zip(texts, places.to_pylist(), strict=True):
-            words, spans = (text or b"").split(), []
-            if place and text:
+    def step(texts: pa.Array, places: pa.Array) -> pa.Array:
+        words = split_words(texts)
+        h = word_hashes(words)
+        counts, removed, left = words.counts(), [], []
+        for k, place in enumerate(places.to_pylist()):
+            spans, solid = [], None
+            if place:
+                text = texts[k].as_py().encode()
                 p, tag = np.array(place, np.int64), text_tag(text)
-                own = p[(p >= tag) & (p < tag + (1 << 32))] - tag
-                spans = intervals(_starts(words, own, size), size) if len(own) else []
-            kept, at = [], 0
-            for a, b in spans:
-                kept += words[at:a]
-                at = b
-            counts.append(len(words))
+                if len(own := p[(p >= tag) & (p < tag + (1 << 32))] - tag):
+                    spans = intervals(_starts(h[words.starts[k] : words.starts[k + 1]], own, size), size)
+                    solid, kept, at = text.split(), [], 0
+                    for a, b in spans:
+                        kept += solid[at:a]
+                        at = b
+                    solid = b" ".join(kept + solid[at:]).decode()
             removed.append([{"start": a, "end": b} for a, b in spans])
-            left.append(b" ".join(kept + words[at:]).decode() if spans else None)
+            left.append(solid)
         return pa.StructArray.from_arrays([pa.array(counts, pa.int64()), pa.array(removed, spans_type), pa.array(left, pa.string())], ["n_words", "removed", "kept"])
 
     @arrow_udf("struct<n_words: long, removed: array<struct<start: long, end: long>>, kept: string>")
     def cut(texts: pa.Array, places: pa.Array) -> pa.Array:
-        raw = texts.cast(pa.binary())
-        return pa.concat_arrays([step(raw.slice(at, SLICE_ROWS).to_pylist(), places.slice(at, SLICE_ROWS)) for at in range(0, max(1, len(raw)), SLICE_ROWS)])
+        return pa.concat_arrays([step(texts.slice(at, SLICE_ROWS), places.slice(at, SLICE_ROWS)) for at in range(0, max(1, len(texts)), SLICE_ROWS)])
 
     return cut.asNondeterministic()(text, places)
 
