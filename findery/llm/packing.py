@@ -11,28 +11,31 @@ look up every piece by its rank among those of its length.
 
 from __future__ import annotations
 
+import gc
 import json
 import re
 import warnings
 import zlib
 from bisect import bisect_left, insort
-from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import LOWER_ASCII, Memo, held, materialize, slices, utf8
+from .common import Memo, Words, held, materialize, slices, split_words
 
 CAPACITY = 2048
 #: Groups of large lengths, and columns tried at most.
 GROUPS, MAX_COLUMNS = 48, 400
 #: Shares of the capacity above which a length is large; each gives a plan and the shortest is taken.
 LARGE = (1 / 4, 2 / 5, 1 / 2)
+#: Bytes of pre-tokens whose ids a worker remembers.
+MEMO_BYTES = 48 << 20
 #: Pieces of one length that share a rank counter, about.
-RANK_ROWS = 100_000
+RANK_ROWS = 1000
 
 
 # ---- tokens ----------------------------------------------------------------------------------------
@@ -49,6 +52,8 @@ class WordIds:
 
     #: Characters for which the rules below are complete, and the pre-tokens among them.
     PLAIN = re.compile("[!-~ß-öø-ÿ]+")
+    #: A letter and the signs after it that end a string: those are one pre-token, and a space before them changes none.
+    TAIL = r"([a-zß-öø-ÿ])([!-/:-@\[-`{-~]+)([\t-\r ]|$)"
     SPLIT = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
 
     def __init__(self, path: str):
@@ -63,36 +68,48 @@ class WordIds:
             raise ValueError("the tokenizer does not split and normalise as the word-level one does")
         bare |= {"normalizer": None, "added_tokens": [], "pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}}
         self.merger = Tokenizer.from_str(json.dumps(bare))
-        self.known, self.merged = Memo(None), Memo(None)
+        self.known = Memo(None, MEMO_BYTES)
 
-    @staticmethod
-    def _encode(tokenizer, parts: list[str]) -> Iterator[tuple[str, bytes]]:
+    def _encode(self, tokenizer, parts: list[bytes]) -> None:
+        """Remember the ids of ``parts``."""
         for at in range(0, len(parts), 8192):
             some = parts[at : at + 8192]
-            got = tokenizer.encode(some, is_pretokenized=True, add_special_tokens=False)
-            ends = np.searchsorted(np.array([-1 if x is None else x for x in got.word_ids]), np.arange(len(some) + 1)).tolist()
+            got = tokenizer.encode([p.decode() for p in some], is_pretokenized=True, add_special_tokens=False)
+            ends = (4 * np.searchsorted(np.array(got.word_ids, np.int64), np.arange(len(some) + 1))).tolist()
             raw = np.array(got.ids, "<u4").tobytes()
-            yield from zip(some, (raw[4 * a : 4 * b] for a, b in zip(ends[:-1], ends[1:], strict=True)), strict=True)
+            for p, a, b in zip(some, ends[:-1], ends[1:], strict=True):
+                self.known.put(p, raw[a:b])
 
-    def of(self, texts: list[bytes | None]) -> list[bytes]:
-        split = [(t or b"").translate(LOWER_ASCII).split() for t in texts]
-        known, merged = self.known, self.merged
+    def of(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of ``texts``, and where each text's begin, with the end as the last."""
+        words, known = split_words(pc.replace_substring_regex(pc.ascii_lower(texts), self.TAIL, r"\1 \2\3")), self.known
         known.forget()
-        merged.forget()
-        cut, other = {}, []
-        for w in {w for words in split for w in words if w not in known}:
-            plain = w.decode().lower()
-            if self.PLAIN.fullmatch(plain):
-                cut[w] = self.SPLIT.findall(plain)
+        wanted, cut, other = set(), {}, []
+        for k, w in enumerate(words.distinct):
+            if w in known:
+                continue
+            if w.isalpha():
+                wanted.add(w)
+                continue
+            if self.PLAIN.fullmatch(plain := w.decode().lower()):
+                cut[k] = [p.encode() for p in self.SPLIT.findall(plain)]
+                wanted.update(cut[k])
             else:
                 other.append(w)
-        for p, ids in self._encode(self.merger, list({p for ps in cut.values() for p in ps if p not in merged})):
-            merged.put(p, ids)
-        for w, ps in cut.items():
-            known.put(w, merged[ps[0]] if len(ps) == 1 else b"".join(map(merged.__getitem__, ps)))
-        for w, ids in self._encode(self.whole, [w.decode() for w in other]):
-            known.put(w.encode(), ids)
-        return [b"".join(map(known.__getitem__, words)) for words in split]
+        self._encode(self.merger, [p for p in wanted if p not in known])
+        self._encode(self.whole, other)
+        # strings of several pre-tokens are not remembered: there are too many, and their parts are
+        return self._spread(words, [b"".join(map(known.__getitem__, cut[k])) if k in cut else known[w] for k, w in enumerate(words.distinct)])
+
+    @staticmethod
+    def _spread(words: Words, ids: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of every word in order, from those of each distinct one."""
+        size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        flat, first = np.frombuffer(b"".join(ids), "<u4"), np.cumsum(size) - size
+        each = size[words.codes]
+        ends = np.concatenate(([0], np.cumsum(each)))
+        at = np.repeat(first[words.codes] - ends[:-1], each) + np.arange(ends[-1])
+        return flat[at], ends[words.starts]
 
 
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = 0) -> DataFrame:
@@ -103,11 +120,14 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: in
         words = held(("word ids", tokenizer), lambda: WordIds(tokenizer))
         for part in slices(batches):
             out = [[], [], [], [], []]
-            for doc, ids in zip(part.column(0).to_pylist(), words.of(utf8(part, "text")), strict=True):
-                ids += end
-                for k, at in enumerate(range(0, len(ids), 4 * capacity)):
-                    own = ids[at : at + 4 * capacity]
-                    for o, x in zip(out, (doc, k, at // 4, len(own) // 4, zlib.crc32(own)), strict=True):
+            gc.disable()  # nothing here is cyclic, and there is much of it
+            ids, at = words.of(part.column(1))
+            gc.enable()
+            for doc, a, b in zip(part.column(0).to_pylist(), at[:-1].tolist(), at[1:].tolist(), strict=True):
+                raw = ids[a:b].tobytes() + end
+                for k, start in enumerate(range(0, len(raw), 4 * capacity)):
+                    own = raw[start : start + 4 * capacity]
+                    for o, x in zip(out, (doc, k, start // 4, len(own) // 4, zlib.crc32(own)), strict=True):
                         o.append(x)
             yield pa.RecordBatch.from_arrays([pa.array(o, pa.int64()) for o in out], ["doc_id", "piece", "start", "length", "ids_crc32"])
 

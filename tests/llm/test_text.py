@@ -8,11 +8,12 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from findery.llm import byte_bpe, language_id, packing, quality_classifier, quality_rules
-from findery.llm.common import fold_of
+from findery.llm.common import fold_of, split_words
 from findery.llm.queries import BYTE_BPE, WORD_BPE, tokenizer_path
 
 SF = "/root/testdata/sf0.001"
@@ -31,8 +32,20 @@ def test_word_ids_match_the_library():
     ours, rnd = packing.WordIds(tokenizer_path(WORD_BPE)), random.Random(4)
     pool = "abXYéÉßÀÿ'sdtmlve09½ªº µ×.,!-_|<>\"&́ 　你好ΣςİIıﬁ²\x1c\x85~     "
     texts = [x or "" for x in ODD] + ["".join(rnd.choices(pool, k=rnd.randint(0, 15))) for _ in range(3000)]
-    for text, got in zip(texts, ours.of([x.encode() for x in texts]), strict=True):
-        assert np.frombuffer(got, "<u4").tolist() == t.encode(text, add_special_tokens=False).ids
+    ids, at = ours.of(pa.array(texts, pa.string()))
+    for k, text in enumerate(texts):
+        assert ids[at[k] : at[k + 1]].tolist() == t.encode(text, add_special_tokens=False).ids
+
+
+def test_words():
+    rnd = random.Random(2)
+    texts = ODD + ["".join(rnd.choices("abÇ \t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u2003Z", k=rnd.randint(0, 30))) for _ in range(500)]
+    for lower in (False, True):
+        found = split_words(pa.array(["skipped", *texts], pa.string()).slice(1), lower)
+        for k, t in enumerate(texts):
+            want = re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if lower and "A" <= c <= "Z" else c for c in t or ""))
+            assert [found.distinct[c].decode() for c in found.of(k)] == want
+    assert len(split_words(pa.array([], pa.string()))) == 0
 
 
 def check_packing(rows, capacity):
@@ -56,7 +69,7 @@ def test_packing_round_trip(spark):
     ours = packing.WordIds(tokenizer_path(WORD_BPE))
     want = []
     for i, t in rows:
-        ids = ours.of([(t or "").encode()])[0] + bytes(4)
+        ids = ours.of(pa.array([t], pa.string()))[0].tobytes() + bytes(4)
         for k, at in enumerate(range(0, len(ids), 8192)):
             part = ids[at : at + 8192]
             want.append((i, k, at // 4, len(part) // 4, zlib.crc32(part)))
@@ -141,8 +154,8 @@ def slow_stats(text):
 def test_rule_statistics():
     rnd = random.Random(6)
     texts = ODD + ["".join(rnd.choices("ab é#|\n\t ", k=rnd.randint(0, 80))) for _ in range(500)] + ["a b c " * 40]
-    for t in texts:
-        assert quality_rules.text_stats(t.encode() if t is not None else None)[:5] == slow_stats(t)
+    for t, row in zip(texts, quality_rules.text_stats(pa.array(texts, pa.string())).tolist(), strict=True):
+        assert tuple(row[:5]) == slow_stats(t)
 
 
 def test_binomial_tail():
