@@ -8,6 +8,8 @@ which loses no true link inside a visited list. How shifts spread over direction
 (residuals, and links in it) and never taken to be less than even; a link crosses no border farther than the
 linking distance, so that is the widest probe, and vectors of few effective dimensions get it. Exact cosines in double precision then decide.
 
+A pair of lists is searched once, by the queries of the lower one, for the links of both sides.
+
 There are about half as many lists as the root of the number of vectors; a bounded sample fits them and the
 codebooks, and every vector is indexed. Tasks hold one chunk of a list at a time, count links per query and
 pass on a spanning forest, so no pairs are ever written.
@@ -245,26 +247,27 @@ def _search(classes: DataFrame, indexes: dict[int, Index], radius: float, min_co
                 raw = flat[starts[at][:, None] + np.arange(dim)].astype(kind)
                 units, idx = _unit(raw), index(dim)
                 of, codes, error = idx.encode(units)
-                probes = idx.probes(units, radius)
+                probes = [p[p >= k] for p, k in zip(idx.probes(units, radius), of.tolist(), strict=True)]
                 who = np.concatenate((np.arange(len(at)), np.repeat(np.arange(len(at)), [len(p) for p in probes])))
                 lists = np.concatenate((of, *probes))
                 role = np.arange(len(who)) >= len(at)
+                home = lists == of[who]
                 blob = [r.tobytes() for r in raw]
                 code = [c.tobytes() for c in codes]
                 take = pa.array(at[who])
-                cols = [cid.take(take), rep.take(take), n.take(take), label.take(take), pa.array(np.full(len(who), dim, np.int32)), pa.array(lists.astype(np.int32)), pa.array(role), pa.array([blob[k] for k in who], pa.binary()), pa.array([b"" if q else code[k] for k, q in zip(who, role, strict=True)], pa.binary()), pa.array(error[who])]
-                yield pa.RecordBatch.from_arrays(cols, ["cid", "rep", "n", "label", "dim", "list", "query", "raw", "code", "error"])
+                cols = [cid.take(take), rep.take(take), n.take(take), label.take(take), pa.array(np.full(len(who), dim, np.int32)), pa.array(lists.astype(np.int32)), pa.array(role), pa.array([blob[k] for k in who], pa.binary()), pa.array([b"" if q else code[k] for k, q in zip(who, role, strict=True)], pa.binary()), pa.array(error[who]), pa.array(home)]
+                yield pa.RecordBatch.from_arrays(cols, ["cid", "rep", "n", "label", "dim", "list", "query", "raw", "code", "error", "home"])
 
     label_type = classes.schema["label"].dataType.simpleString()
     src = classes.select("cid", "rep", "n", "label", "v", "dim")
-    filed = materialize(src.mapInArrow(file, f"cid long, rep long, n long, label {label_type}, dim int, list int, query boolean, raw binary, code binary, error double"), "lists")
+    filed = materialize(src.mapInArrow(file, f"cid long, rep long, n long, label {label_type}, dim int, list int, query boolean, raw binary, code binary, error double, home boolean"), "lists")
     cell = ["label", "dim", "list"]
     sizes = filed.groupBy(*cell).agg(F.ceil(F.count_if(~F.col("query")) / CHUNK).alias("db"), F.ceil(F.count_if("query") / QUERY_CHUNK).alias("qs")).where("db > 0 and qs > 0")
     own = F.when(F.col("query"), F.pmod("cid", "qs")).otherwise(F.pmod("cid", "db"))
     against = F.explode(F.sequence(F.lit(0), F.when(F.col("query"), F.col("db")).otherwise(F.col("qs")) - 1))
     dealt = filed.join(sizes, cell).withColumn("own", own).withColumn("other", against)
     a, b = F.when(F.col("query"), F.col("other")).otherwise(F.col("own")), F.when(F.col("query"), F.col("own")).otherwise(F.col("other"))
-    dealt = dealt.select(F.xxhash64(*cell, a, b).alias("group"), "query", "cid", "rep", "n", "dim", "list", "raw", "code", "error").repartition("group").sortWithinPartitions("group", "query")
+    dealt = dealt.select(F.xxhash64(*cell, a, b).alias("group"), "query", "cid", "rep", "n", "dim", "list", "raw", "code", "error", "home").repartition("group").sortWithinPartitions("group", "query")
 
     def search(batches):
         group, held = None, []
@@ -294,7 +297,7 @@ def _rows(part: pa.RecordBatch, kind: str) -> dict:
     n = part.num_rows
     raw = np.frombuffer(b"".join(part.column(7).to_pylist()), kind).reshape(n, dim)
     code = b"".join(part.column(8).to_pylist())
-    return {"cid": part.column(2).to_numpy(), "rep": part.column(3).to_numpy(), "n": part.column(4).to_numpy(), "units": _unit(raw), "code": np.frombuffer(code, np.uint8).reshape(n, -1), "error": part.column(9).to_numpy(), "dim": dim, "list": part.column(6)[0].as_py()}
+    return {"cid": part.column(2).to_numpy(), "rep": part.column(3).to_numpy(), "n": part.column(4).to_numpy(), "units": _unit(raw), "code": np.frombuffer(code, np.uint8).reshape(n, -1), "error": part.column(9).to_numpy(), "home": part.column(10).to_numpy(zero_copy_only=False), "dim": dim, "list": part.column(6)[0].as_py()}
 
 
 def _compare(index: Index, q: dict, db: dict, radius: float, min_cosine: float) -> pa.RecordBatch | None:
@@ -306,8 +309,9 @@ def _compare(index: Index, q: dict, db: dict, radius: float, min_cosine: float)
     i, j = i[linked], j[linked]
     if not len(i):
         return None
-    links = np.bincount(i, weights=db["n"][j], minlength=len(q["cid"])).astype(np.int64)
-    hit = np.flatnonzero(links)
+    away = ~q["home"][i]  # within a list every vector is a query itself
+    links = np.concatenate((np.bincount(i, weights=db["n"][j], minlength=len(q["cid"])), np.bincount(j[away], weights=q["n"][i[away]], minlength=len(db["cid"])))).astype(np.int64)
+    cids, hit = np.concatenate((q["cid"], db["cid"])), np.flatnonzero(links)
     u, v = _bipartite(i, j, len(q["cid"]), len(db["cid"]))
     reps = np.concatenate((db["rep"], q["rep"]))
     u, v = reps[u], reps[v]
@@ -315,5 +319,5 @@ def _compare(index: Index, q: dict, db: dict, radius: float, min_cosine: float)
     none = np.zeros(len(hit) + len(u), bool)
     first = none.copy()
     first[: len(hit)] = True
-    cols = [np.concatenate((a, np.zeros(len(u), np.int64))) for a in (q["cid"][hit], links[hit])] + [np.concatenate((np.zeros(len(hit), np.int64), b)) for b in (u, v)]
+    cols = [np.concatenate((a, np.zeros(len(u), np.int64))) for a in (cids[hit], links[hit])] + [np.concatenate((np.zeros(len(hit), np.int64), b)) for b in (u, v)]
     return pa.RecordBatch.from_arrays([pa.array(cols[0], mask=~first), pa.array(cols[1], mask=~first), pa.array(cols[2], mask=first), pa.array(cols[3], mask=first)], ["cid", "links", "u", "v"])
