@@ -17,6 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import shingle_dedup
 from .common import LOWER_ASCII, arrow_pass, materialize, slices, utf8, without_copies
 from .graph import connected_components
 
@@ -184,9 +185,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return fps.join(of, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
+def keep_one(docs: DataFrame, id_col: str = "doc_id", similarity: float | None = None) -> DataFrame:
     """The rows of ``docs`` that stand for their component: one document of each group stays.
 
-    Rows with a null id stay. Of rows that repeat the kept id, all stay.
+    Groups are those of ``near_duplicates``; with ``similarity``, texts whose five-word shingle sets have that
+    Jaccard similarity or more, which fingerprints cannot find (see ``shingle_dedup``). Rows with a null id stay.
+    Of rows that repeat the kept id, all stay.
     """
+    if similarity is not None:
+        return shingle_dedup.keep_one(docs, least=similarity)
     return without_copies(docs, near_duplicates(docs, id_col), id_col)
