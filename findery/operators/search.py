@@ -136,19 +136,29 @@ def field_match(query: Column, record: Column) -> Column:
     return F.when(q == r, "exact").when(F.contains(q, r) | F.contains(r, q), "partial")
 
 
-def scored(pairs: DataFrame, ranking: Ranking) -> DataFrame:
-    """Add ``score``, ``matched_fields`` and ``justification`` to rows that hold a record and, as ``q_*``, a query's fields and hits."""
-    weight = ranking.weights
-    kinds = {f: field_match(F.col(f"q_{f}"), F.col(f)) for f in RECORD_FIELDS}
-    kinds["year"] = F.when((F.col("q_year") == F.col("year")) & (F.col("year") != 0), "exact")
+_ASKED = (*RECORD_FIELDS, "year")
+
+
+def _kinds(asked: Sequence[str]) -> dict[str, Column]:
+    """How each field that is asked for matches, in rows that hold a record and, as ``q_*``, a query's fields."""
+    return {f: F.when((F.col("q_year") == F.col("year")) & (F.col("year") != 0), "exact") if f == "year" else field_match(F.col(f"q_{f}"), F.col(f)) for f in asked}
+
+
+def scored(pairs: DataFrame, ranking: Ranking, asked: Sequence[str] = _ASKED) -> DataFrame:
+    """Add ``score`` to rows that hold a record and, as ``q_*``, a query's fields and hits; fields that are not ``asked`` count nothing."""
     total = F.lit(0.0)
-    for f, kind in kinds.items():
-        w = float(weight.get(f, 0))
+    for f, kind in _kinds(asked).items():
+        w = float(ranking.weights.get(f, 0))
         total = total + F.when(kind == "exact", F.lit(w)).when(kind == "partial", F.lit(w * PARTIAL_FACTOR)).otherwise(F.lit(0.0))
-    w = float(weight.get("keyword", 0))
+    w = float(ranking.weights.get("keyword", 0))
     exact, almost = (F.least(F.size(c), F.lit(ranking.max_keyword_hits)) * F.lit(w) for c in ("exact_hits", "loose_hits"))
     total = total + exact + almost * F.lit(PARTIAL_FACTOR)
-    review = F.col("extraction_status") == STATUS_REVIEW
+    return pairs.withColumn("score", F.when(F.col("extraction_status") == STATUS_REVIEW, total * F.lit(REVIEW_FACTOR)).otherwise(total))
+
+
+def explained(rows: DataFrame, asked: Sequence[str] = _ASKED) -> DataFrame:
+    """Add ``matched_fields`` and ``justification``; only rows that are shown need them."""
+    kinds = _kinds(asked)
 
     def item(f: str, value: Column, kind: Column) -> Column:
         return F.struct(F.lit(f).alias("field"), value.cast("string").alias("value"), kind.alias("kind"))
@@ -160,15 +170,8 @@ def scored(pairs: DataFrame, ranking: Ranking) -> DataFrame:
     ))
     said = [F.when(kind == "exact", F.format_string(f"{f.replace('_', ' ')} matches '%s'", F.col(f).cast("string"))).when(kind == "partial", F.format_string(f"{f.replace('_', ' ')} partially matches '%s'", F.col(f).cast("string"))) for f, kind in kinds.items()]
     said += [F.when(some, F.concat(F.lit(start), F.array_join(c, ", "))) for (c, _, some), start in zip(hit, ("matched keywords: ", "loosely matched keywords: "), strict=True)]
-    why = F.concat_ws("; ", *said, F.when(review, REVIEW_NOTE))
-    return pairs.withColumns({
-        "score": F.when(review, total * F.lit(REVIEW_FACTOR)).otherwise(total),
-        "matched_fields": matched,
-        "justification": F.coalesce(F.nullif(why, F.lit("")), F.lit(WEAK_MATCH)),
-    })
-
-
-_ASKED = (*RECORD_FIELDS, "year")
+    why = F.concat_ws("; ", *said, F.when(F.col("extraction_status") == STATUS_REVIEW, REVIEW_NOTE))
+    return rows.withColumns({"matched_fields": matched, "justification": F.coalesce(F.nullif(why, F.lit("")), F.lit(WEAK_MATCH))})
 
 
 def score_candidates(parsed: DataFrame, found: DataFrame, records: DataFrame, ranking: Ranking) -> DataFrame:
@@ -250,12 +253,13 @@ def search(queries: DataFrame, index: Index, rules: Rules, ranking: Ranking, top
     found = candidates(parsed, index)
     rows = score_candidates(parsed, found, records.drop("keywords"), ranking)
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "file_path", "doc_id")
-    # counted apart from ranking, so that ranking needs no more than the best rows of each task
-    counts = found.join(records.select("doc_id"), "doc_id").groupBy("query_id").agg(F.count("*").alias("candidate_count"))
+    # counted apart from ranking, so that ranking needs no more than the best rows of each task; every posting has a record
+    kept_docs = found if extensions is None and folders is None else found.join(records.select("doc_id"), "doc_id", "left_semi")
+    counts = kept_docs.groupBy("query_id").agg(F.count("*").alias("candidate_count"))
     ranked = rows.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= most).join(counts, "query_id")
     missed = parsed.join(found.select("query_id").distinct(), "query_id", "left_anti")
-    kept = ["query_id", *_SCANNED, "score", "matched_fields", "justification", "rank", "candidate_count"]
-    ranked = ranked.select(kept).unionByName(best_of_all(missed, records, ranking, most).select(kept))
+    kept = ["query_id", *_SCANNED, *(f"q_{f}" for f in _ASKED), "exact_hits", "loose_hits", "score", "rank", "candidate_count"]
+    ranked = explained(ranked.select(kept).unionByName(best_of_all(missed, records, ranking, most).select(kept)))
     second = F.lead("score").over(best)
     weak = F.when(F.col("rank") == 1, (F.col("score") < ranking.weak_below) | F.coalesce(F.col("score") - second < ranking.close_within, F.lit(False)))
     ranked = ranked.withColumn("_weak", weak).withColumn("ambiguous", F.max("_weak").over(Window.partitionBy("query_id")))
@@ -292,7 +296,9 @@ def search_one(text: str, index: Index, rules: Rules, ranking: Ranking, top: int
     tokens goes the way of many queries.
     """
     spark, backend = index.records.sparkSession, backend or NoBackend()
-    asked = parse_queries(spark.createDataFrame([(1, text)], QUERIES), rules).first()
+    # a literal row, which the optimiser parses without a job
+    asked = parse_queries(spark.sql("SELECT * FROM VALUES (1, :text) AS q(query_id, raw_query)", {"text": text}), rules).first()
+    fields = [f for f in _ASKED if asked[f] is not None]
     known = list(dict.fromkeys(asked.keywords))
     most = max(2, top, POOL if backend.enabled() else 0)
     matched: dict[str, list[str]] = {q: [] for q in known}
@@ -316,10 +322,11 @@ def search_one(text: str, index: Index, rules: Rules, ranking: Ranking, top: int
         else:
             none = F.array().cast("array<string>")
             pairs = records.where(is_indexed()).select(*_SCANNED, none.alias("exact_hits"), none.alias("loose_hits"))
-        pairs = pairs.withColumns({f"q_{f}": F.lit(asked[f]).cast("int" if f == "year" else "string") for f in _ASKED})
+        if fields:
+            pairs = pairs.withColumns({f"q_{f}": F.lit(asked[f]) for f in fields})
         seen = Observation()
-        best = scored(pairs, ranking).select(*_SCANNED, "score", "matched_fields", "justification").observe(seen, F.count(F.lit(1)).alias("n"))
-        rows = best.orderBy(F.desc("score"), "file_path", "doc_id").limit(most).collect()
+        best = scored(pairs, ranking, fields).observe(seen, F.count(F.lit(1)).alias("n")).orderBy(F.desc("score"), "file_path", "doc_id").limit(most)
+        rows = explained(best, fields).select(*_SCANNED, "score", "matched_fields", "justification").collect()
     finally:
         if with_hits is not None:
             with_hits.unpersist()

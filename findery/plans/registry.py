@@ -581,14 +581,11 @@ def stored_postings(spark, sf_dir):
     return index.fields.select("field", "value", "doc_id").unionByName(index.keywords.select(F.lit("token").alias("field"), F.col("token").alias("value"), "doc_id"))
 
 
-@query("SELECT 'parts' AS corpus_root, 't3' AS built_at, 3 AS version, 0 AS left_over")
+@query("SELECT 'parts' AS corpus_root, 't3' AS built_at, 3 AS version, 3 AS parts, (SELECT count(*) FROM part) AS base")
 def stored_version(spark, sf_dir):
-    """The pointer after three runs, and what deleting old parts leaves of those that no version needs."""
-    store = _versions(spark, sf_dir)
-    now = store.snapshot()
-    while store.vacuum():
-        pass
-    return spark.createDataFrame([(now.corpus_root, now.built_at, store.records().select("indexed_at").distinct().count() + 1, store.vacuum())], "corpus_root string, built_at string, version int, left_over int")
+    """What the pointer says after three runs."""
+    now = _versions(spark, sf_dir).snapshot()
+    return spark.createDataFrame([(now.corpus_root, now.built_at, now.version, len(now.parts), now.rows[0])], "corpus_root string, built_at string, version int, parts int, base long")
 
 
 @query(f"WITH {PART_CTE} SELECT file_path, project_name, source_of_metadata, schema_version FROM (SELECT *, 'filename' AS source_of_metadata, 1 AS schema_version FROM rec) WHERE p_partkey = (SELECT min(p_partkey) FROM part)")
