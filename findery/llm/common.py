@@ -113,12 +113,6 @@ class Words:
     def counts(self) -> np.ndarray:
         return np.diff(self.starts)
 
-    def sums(self, of_word: Callable[[bytes], int]) -> np.ndarray:
-        """Per text the sum of a number that each word has."""
-        each = np.fromiter(map(of_word, self.distinct), np.int64, len(self.distinct))
-        total = np.concatenate(([0], np.cumsum(each[self.codes])))
-        return total[self.starts[1:]] - total[self.starts[:-1]]
-
 
 def split_words(texts: pa.Array, lower: bool = False) -> Words:
     """Runs of anything but ASCII space characters; none for null. With ``lower``, A-Z become a-z."""

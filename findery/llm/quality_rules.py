@@ -21,9 +21,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import columns_of, split_words, text_column, unused
+from .common import columns_of, text_column, unused
 
-SYMBOLS = b"#*$%&|<>"
+SPACES, SYMBOLS = b"\x20\x09\x0a\x0b\x0c\x0d", b"#*$%&|<>"
 STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_marks")
 #: Rule name to the two counts whose ratio is its statistic; larger is worse.
 RULES = {
@@ -44,41 +44,39 @@ LITERAL_STRATA = 1000
 MARKS = re.compile(rb"[!?]{2}")
 
 
-def text_stats(texts: pa.Array) -> np.ndarray:
-    """A row of the counts named in ``STATS`` per text; all 0 for null and empty texts.
+def text_stats(text: bytes | None) -> tuple[int, ...]:
+    """The counts named in ``STATS``; all 0 for null and empty texts.
 
     ``n_lines`` counts lines with a word, ``n_marks`` the words with two exclamation or question marks in a row.
     """
-    words = split_words(texts)
-    repeats = [_repeat_words(words.of(k), len(words.distinct)) for k in range(len(words))]
-    lines, dups = [], []
-    for t in texts.cast(pa.binary()).to_pylist():
-        solid = [x for x in (t or b"").split(b"\n") if x and not x.isspace()]
-        lines.append(len(solid))
-        dups.append(len(solid) - len(set(solid)))
-    chars = words.sums(lambda w: len(w) if w.isascii() else len(w.decode()))
-    symbols = words.sums(lambda w: 0 if w.isalnum() else len(w) - len(w.translate(None, SYMBOLS)))
-    marks = words.sums(lambda w: MARKS.search(w) is not None)
-    return np.column_stack([words.counts(), chars, symbols, dups, repeats, lines, marks]).astype(np.int64).reshape(-1, len(STATS))
-
-
-def _repeat_words(at: np.ndarray, base: int, size: int = 3) -> int:
-    """Words covered by ``size``-word windows that occur twice or more, first occurrences included; words are numbers below ``base``."""
-    n = len(at)
+    text = text or b""
+    words = text.split()
+    n = len(words)
+    solid = text.translate(None, SPACES)
+    chars = len(solid) - int(((np.frombuffer(solid, np.uint8) & 0xC0) == 0x80).sum()) if not solid.isascii() else len(solid)
+    symbols = len(solid) - len(solid.translate(None, SYMBOLS))
+    lines = [x for x in text.split(b"\n") if x and not x.isspace()]
+    marks = sum(1 for w in words if MARKS.search(w)) if MARKS.search(text) else 0
+    return n, chars, symbols, len(lines) - len(set(lines)), _repeat_words(words), len(lines), marks
+
+
+def _repeat_words(words: list[bytes], size: int = 3) -> int:
+    """Words covered by ``size``-word windows that occur twice or more, first occurrences included."""
+    n = len(words)
     if n <= size:
         return 0
-    if base >= 1 << 21:
-        distinct, at = np.unique(at, return_inverse=True)
-        base = len(distinct)
-    if base < 1 << 21:
+    ids: dict[bytes, int] = {}
+    at = np.fromiter((ids.setdefault(w, len(ids)) for w in words), np.int64, n)
+    if len(ids) == n:
+        return 0
+    if len(ids) < 1 << 20:
+        base = len(ids)
         windows = (at[:-2] * base + at[1:-1]) * base + at[2:]
     else:
-        pairs = np.unique(at[:-2] * base + at[1:-1], return_inverse=True)[1]
-        windows = pairs * base + at[2:]
+        pairs = np.unique(at[:-2] * len(ids) + at[1:-1], return_inverse=True)[1]
+        windows = pairs * len(ids) + at[2:]
     order = np.argsort(windows, kind="stable")
     same = windows[order[1:]] == windows[order[:-1]]
-    if not same.any():
-        return 0
     twice = np.zeros(n - 2, bool)
     twice[order[1:][same]] = True
     twice[order[:-1][same]] = True
@@ -92,7 +90,8 @@ def stats_of(text: Column) -> Column:
     """A struct of the counts in ``STATS``."""
 
     def step(texts: pa.Array) -> pa.Array:
-        return pa.StructArray.from_arrays([pa.array(c) for c in text_stats(texts).T.copy()], STATS)
+        rows = np.array([text_stats(t) for t in texts.cast(pa.binary()).to_pylist()], np.int64).reshape(-1, len(STATS))
+        return pa.StructArray.from_arrays([pa.array(c) for c in rows.T.copy()], STATS)
 
     return text_column(step, "struct<" + ", ".join(f"{s}: long" for s in STATS) + ">")(text)
 

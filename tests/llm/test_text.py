@@ -154,8 +154,8 @@ def slow_stats(text):
 def test_rule_statistics():
     rnd = random.Random(6)
     texts = ODD + ["".join(rnd.choices("ab é#|\n\t ", k=rnd.randint(0, 80))) for _ in range(500)] + ["a b c " * 40]
-    for t, row in zip(texts, quality_rules.text_stats(pa.array(texts, pa.string())).tolist(), strict=True):
-        assert tuple(row[:5]) == slow_stats(t)
+    for t in texts:
+        assert quality_rules.text_stats(t.encode() if t is not None else None)[:5] == slow_stats(t)
 
 
 def test_binomial_tail():
