@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, Observation, Row, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from findery.config import PARTIAL_FACTOR, REVIEW_FACTOR, Ranking, Rules
@@ -316,21 +316,23 @@ def search_one(text: str, index: Index, rules: Rules, ranking: Ranking, top: int
     found = _candidates_of(asked, matched, index)
     with_hits = found.persist() if found is not None else None
     try:
-        if with_hits is not None and (n := with_hits.count()):
+        n = 0 if with_hits is None else with_hits.count()
+        if n:
             side = F.broadcast(with_hits) if n <= BROADCAST_CANDIDATES else with_hits
             pairs = records.select(*_SCANNED).join(side, "doc_id")
         else:
             none = F.array().cast("array<string>")
             pairs = records.where(is_indexed()).select(*_SCANNED, none.alias("exact_hits"), none.alias("loose_hits"))
+        total = n if n and extensions is None and folders is None else pairs.count()
         if fields:
             pairs = pairs.withColumns({f"q_{f}": F.lit(asked[f]) for f in fields})
-        seen = Observation()
-        best = scored(pairs, ranking, fields).observe(seen, F.count(F.lit(1)).alias("n")).orderBy(F.desc("score"), "file_path", "doc_id").limit(most)
-        rows = explained(best, fields).select(*_SCANNED, "score", "matched_fields", "justification").collect()
+        best = scored(pairs, ranking, fields).orderBy(F.desc("score"), "file_path", "doc_id")
+        # between order and limit, so that only the rows taken are explained
+        rows = explained(best, fields).select(*_SCANNED, "score", "matched_fields", "justification").limit(most).collect()
     finally:
         if with_hits is not None:
             with_hits.unpersist()
-    return _answer(text, rows, seen.get["n"], ranking, top, sort_by, backend)
+    return _answer(text, rows, total, ranking, top, sort_by, backend)
 
 
 def _candidates_of(asked: Row, matched: dict[str, list[str]], index: Index) -> DataFrame | None:
