@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, embedding_dedup, language_id, packing, quality_classifier, quality_rules, simhash, substring_dedup, url_filters, warc
+from . import byte_bpe, embedding_dedup, exact_dedup, language_id, late_sessions, packing, quality_classifier, quality_rules, simhash, substring_dedup, url_filters, warc, whitening
 from .common import fold_of, materialize, table
 
 #: Names of the public vocabulary files; see ``tokenizer_path``.
@@ -216,6 +216,66 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path(WORD_BPE))
 
 
+def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = exact_dedup.classes(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
+
+
+OP11_SQL = """
+WITH d AS (SELECT doc_id, sha256(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS text_sha256 FROM documents)
+SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = max(doc_id) OVER w AS kept, text_sha256
+FROM d WINDOW w AS (PARTITION BY text_sha256)
+"""
+
+
+def op12_late_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The turns of conversations as events of users; both the time and the lateness come from crc32 sums."""
+    turns = table(spark, sf_dir, "conversations").where("turn is not null and conv_id is not null")
+    crc = lambda text: F.crc32(text.cast("binary"))
+    conv = F.col("conv_id").cast("string")
+    rows = turns.select("conv_id", "turn", crc(conv).alias("c"), crc(F.concat(conv, F.lit(":"), F.col("turn").cast("string"))).alias("h"))
+    seconds = F.floor(F.col("c") / 2) % 7200 + 300 * F.col("turn") + F.col("h") % 600
+    g = F.floor(F.col("h") / 600)
+    late = F.when(g % 3 == 0, g % 4).otherwise(0)
+    timed = rows.select((2 * F.floor(F.col("conv_id") / 8) + F.col("c") % 2).alias("user"), seconds.alias("seconds"), late.alias("late"), F.col("h").alias("weight"))
+    return late_sessions.versions(timed.withColumn("batch", F.floor(F.col("seconds") / late_sessions.BATCH_SECONDS) + F.col("late")).drop("late"))
+
+
+def _crc32_sql(text: str) -> str:
+    """CRC-32 of an ASCII text, bit by bit: a byte goes in, then eight shifts."""
+    steps = f"flatten(list_transform(string_split({text}, ''), lambda x: [ord(x)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {steps}), lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) ELSE xor(a >> 1, 3988292384::BIGINT * (a & 1)) END), 4294967295::BIGINT)"
+
+
+OP12_SQL = f"""
+WITH c AS (SELECT conv_id, turn, {_crc32_sql("CAST(conv_id AS VARCHAR)")} AS c, {_crc32_sql("CAST(conv_id AS VARCHAR) || ':' || CAST(turn AS VARCHAR)")} AS h FROM conversations WHERE turn IS NOT NULL AND conv_id IS NOT NULL),
+t AS (SELECT CAST(2 * floor(conv_id / 8.0) AS BIGINT) + c % 2 AS u, c // 2 % 7200 + 300 * turn + h % 600 AS s, h // 600 AS g, h FROM c),
+e AS (SELECT u, s, h, CAST(floor(s / 1800.0) AS BIGINT) + CASE WHEN g % 3 = 0 THEN g % 4 ELSE 0 END AS batch FROM t),
+snap AS (SELECT DISTINCT u, batch AS b FROM e),
+r AS (SELECT snap.u, b, s, h, batch, CASE WHEN s - lag(s) OVER (PARTITION BY snap.u, b ORDER BY s) <= 240 THEN 0 ELSE 1 END AS cut FROM snap JOIN e ON e.u = snap.u AND e.batch <= b),
+k AS (SELECT *, sum(cut) OVER (PARTITION BY u, b ORDER BY s) AS k FROM r),
+v AS (SELECT u, b, min(s) AS s0, max(s) AS s1, count(*) AS n_events, count(*) FILTER (batch = b) AS n_new, CAST(sum(h) AS BIGINT) AS h_sum FROM k GROUP BY u, b, k HAVING count(*) FILTER (batch = b) > 0),
+by AS (
+  SELECT v.u, v.b, v.s0, w.b AS rb, w.s0 AS rs FROM v JOIN v w ON w.u = v.u AND w.b > v.b AND w.s0 <= v.s0 AND w.s1 >= v.s1
+  QUALIFY row_number() OVER (PARTITION BY v.u, v.b, v.s0 ORDER BY w.b) = 1),
+n AS (SELECT u, rb, rs, count(*) AS n FROM by GROUP BY ALL)
+SELECT v.u AS user, v.b AS batch, v.s0 AS start_s, v.s1 AS end_s, n_events, n_new, coalesce(n.n, 0) AS n_retracted, h_sum, by.rb AS retracted_batch, by.rs AS retracted_start_s
+FROM v LEFT JOIN by ON by.u = v.u AND by.b = v.b AND by.s0 = v.s0 LEFT JOIN n ON n.u = v.u AND n.rb = v.b AND n.rs = v.s0
+"""
+
+
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    listed, dim = whitening.fit_list(vectors)
+    model, most = whitening.fit(listed, dim), min(4, dim)
+    if model is None:
+        return spark.createDataFrame([], f"vec_id {vectors.schema['vec_id'].dataType.simpleString()}, component int, n long, deviation long, whitened double, explained double, identity_error double")
+    error = whitening.identity_error(listed, model, most)
+    rows = whitening.whiten(vectors, model, most).select("vec_id", "deviation", F.posexplode("whitened").alias("pos", "whitened"))
+    shares = F.array(*(F.lit(None if math.isnan(x) else float(x)).cast("double") for x in model.explained[:most]))
+    return rows.select("vec_id", (F.col("pos") + 1).alias("component"), F.lit(model.n).cast("long").alias("n"), "deviation", "whitened", F.get(shares, F.col("pos")).alias("explained"), F.lit(error).alias("identity_error"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
     "op2_quality_classifier": op2_quality_classifier,
@@ -227,6 +287,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_byte_bpe": op8_byte_bpe,
     "op9_quality_rules": op9_quality_rules,
     "op10_best_fit_packing": op10_best_fit_packing,
+    "op11_exact_dedup": op11_exact_dedup,
+    "op12_late_sessions": op12_late_sessions,
+    "op13_embedding_whitening": op13_embedding_whitening,
 }
 
-ORACLE_SQL: dict[str, str] = {"op3_url_filters": OP3_SQL, "op5_embedding_near_dedup": OP5_SQL, "op6_warc": OP6_SQL, "op7_substring_dedup": OP7_SQL, "op9_quality_rules": OP9_SQL}
+ORACLE_SQL: dict[str, str] = {"op3_url_filters": OP3_SQL, "op5_embedding_near_dedup": OP5_SQL, "op6_warc": OP6_SQL, "op7_substring_dedup": OP7_SQL, "op9_quality_rules": OP9_SQL, "op11_exact_dedup": OP11_SQL, "op12_late_sessions": OP12_SQL}
