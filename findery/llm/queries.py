@@ -255,12 +255,12 @@ snap AS (SELECT DISTINCT u, batch AS b FROM e),
 r AS (SELECT snap.u, b, s, h, batch, CASE WHEN s - lag(s) OVER (PARTITION BY snap.u, b ORDER BY s) <= 240 THEN 0 ELSE 1 END AS cut FROM snap JOIN e ON e.u = snap.u AND e.batch <= b),
 k AS (SELECT *, sum(cut) OVER (PARTITION BY u, b ORDER BY s) AS k FROM r),
 v AS (SELECT u, b, min(s) AS s0, max(s) AS s1, count(*) AS n_events, count(*) FILTER (batch = b) AS n_new, CAST(sum(h) AS BIGINT) AS h_sum FROM k GROUP BY u, b, k HAVING count(*) FILTER (batch = b) > 0),
-by AS (
+link AS (
   SELECT v.u, v.b, v.s0, w.b AS rb, w.s0 AS rs FROM v JOIN v w ON w.u = v.u AND w.b > v.b AND w.s0 <= v.s0 AND w.s1 >= v.s1
   QUALIFY row_number() OVER (PARTITION BY v.u, v.b, v.s0 ORDER BY w.b) = 1),
-n AS (SELECT u, rb, rs, count(*) AS n FROM by GROUP BY ALL)
-SELECT v.u AS user, v.b AS batch, v.s0 AS start_s, v.s1 AS end_s, n_events, n_new, coalesce(n.n, 0) AS n_retracted, h_sum, by.rb AS retracted_batch, by.rs AS retracted_start_s
-FROM v LEFT JOIN by ON by.u = v.u AND by.b = v.b AND by.s0 = v.s0 LEFT JOIN n ON n.u = v.u AND n.rb = v.b AND n.rs = v.s0
+n AS (SELECT u, rb, rs, count(*) AS n FROM link GROUP BY ALL)
+SELECT v.u AS "user", v.b AS batch, v.s0 AS start_s, v.s1 AS end_s, n_events, n_new, coalesce(n.n, 0) AS n_retracted, h_sum, link.rb AS retracted_batch, link.rs AS retracted_start_s
+FROM v LEFT JOIN link ON link.u = v.u AND link.b = v.b AND link.s0 = v.s0 LEFT JOIN n ON n.u = v.u AND n.rb = v.b AND n.rs = v.s0
 """
 
 

@@ -40,7 +40,7 @@ def fold(doc_id, n):
 @pytest.mark.parametrize(("name", "sf"), [*((n, SMALL) for n in sorted(queries.ORACLE_SQL)), ("op9_quality_rules", MIDDLE)])
 def test_against_sql(spark, name, sf):
     con = duckdb.connect()
-    for t in ("pages", "embeddings", "documents", "labels"):
+    for t in ("pages", "embeddings", "documents", "labels", "conversations"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{sf}/{t}.parquet')")
     cur = con.execute(queries.ORACLE_SQL[name])
     cols = sorted(d[0] for d in cur.description)
