@@ -7,7 +7,11 @@ import importlib
 import json
 import os
 import re
+import signal
 import sys
+import threading
+from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import replace
 from datetime import datetime, timezone
 
@@ -15,10 +19,10 @@ from pyspark.sql import SparkSession
 
 from findery import schema
 from findery.config import Config, load_config
-from findery.jobs import deep_scan
+from findery.jobs import deep_scan, index
 from findery.operators import facets, feedback, records, rerank, search
 from findery.sources import corpus, documents, logs
-from findery.sources.store import Store, index_files
+from findery.sources.store import Store
 
 
 def parser() -> argparse.ArgumentParser:
@@ -76,6 +80,19 @@ def now() -> str:
     return datetime.now(timezone.utc).isoformat()
 
 
+@contextmanager
+def interruptible() -> Iterator[threading.Event]:
+    """An event that is set by the first interrupt from the keyboard, so that work can stop at its next step."""
+    asked = threading.Event()
+    in_main = threading.current_thread() is threading.main_thread()
+    before = signal.signal(signal.SIGINT, lambda *_: asked.set()) if in_main else None
+    try:
+        yield asked
+    finally:
+        if in_main:
+            signal.signal(signal.SIGINT, before)
+
+
 def scan(args: argparse.Namespace, store: Store, config: Config, root: str) -> None:
     """Read what is pending below ``root`` and say how it went."""
     if args.workers is not None:
@@ -105,11 +122,14 @@ def main(argv: list[str] | None = None) -> int:
     config, store = load_config(args.config), Store(spark, args.index_dir)
     if args.command == "index":
         root = os.path.abspath(args.corpus_root)
-        row = index_files(store, corpus.read_files(spark, root), root, config, now(), args.rebuild, args.drop_deleted, phase=lambda name: print(f"  {name}", file=sys.stderr))
-        logs.append(row, f"{args.log_dir}/index_runs")
-        r, waiting = row.first(), facets.pending(store.records()).first().pending
+        tell = lambda done, total: print(f"  {done}/{total}", file=sys.stderr)
+        with interruptible() as stopped:
+            r = index(store, args.log_dir, corpus.read_files(spark, root), root, config, now(), rebuild=args.rebuild, drop_deleted=args.drop_deleted, phase=lambda name: print(f"  {name}", file=sys.stderr), progress=tell, should_stop=stopped.is_set)
+        waiting = facets.pending(store.records()).first().pending
+        if r.cancelled:
+            print(f"Stopped: {r.processed} files are kept, the next run goes on with the rest.")
         print(f"{r.total_files} files, {r.processed} processed, {r.skipped_unchanged} unchanged, {waiting} pending")
-        if args.deep_scan and waiting:
+        if args.deep_scan and waiting and not r.cancelled:
             scan(args, store, config, root)
     elif args.command == "deep-scan":
         if (current := store.current()) is None:
@@ -117,10 +137,10 @@ def main(argv: list[str] | None = None) -> int:
             return 1
         scan(args, store, config, os.path.abspath(args.corpus_root) if args.corpus_root else current.corpus_root)
     elif args.command == "search":
-        if (index := store.index()) is None:
+        if (held := store.index()) is None:
             print("Nothing is indexed yet; run index first.")
             return 1
-        found = search.search_one(args.query, index, config.rules, config.ranking, search.clamp_top(args.top), args.sort, args.ext, args.folder, rerank.backend_for(config.rerank))
+        found = search.search_one(args.query, held, config.rules, config.ranking, search.clamp_top(args.top), args.sort, args.ext, args.folder, rerank.backend_for(config.rerank))
         if args.json:
             print(json.dumps(found.payload(), ensure_ascii=False, indent=2))
             return 0

@@ -81,7 +81,8 @@ def extract(pending: DataFrame, reader: Reader, ocr: OcrBackend, config: Extract
             yield out
 
     src = pending.select("doc_id", "file_path", "file_ext", kind_of(F.col("file_ext"), config).alias("kind"))
-    dealt = src.repartition(config.workers) if config.workers else src
+    # a chunk comes out of a limit as one partition, and reading is the slow part
+    dealt = src.repartition(config.workers or src.sparkSession.sparkContext.defaultParallelism)
     return dealt.mapInPandas(run, "doc_id string, file_path string, text string, source string, confidence double, reason string")
 
 

@@ -16,10 +16,10 @@ from pyspark.sql import SparkSession
 
 from findery import schema
 from findery.config import Config
-from findery.jobs import Busy, Jobs, deep_scan
+from findery.jobs import Busy, Jobs, deep_scan, index
 from findery.operators import extract, facets, feedback, rerank, search
 from findery.sources import corpus, documents, logs
-from findery.sources.store import Store, index_files
+from findery.sources.store import Store
 
 #: Records that a deep scan publishes at a time, so that it can be stopped in between.
 SCAN_CHUNK = 500
@@ -118,11 +118,12 @@ class Service:
         text = str(f.get("query", "")).strip()
         if not text:
             return 200, {"results": []}
-        if (index := self.store.cached_index()) is None:
-            return 409, {"error": "nothing is indexed yet"}
         folders = [x for x in f.get("folders") or [] if x.strip()]
         top, order = search.clamp_top(f.get("top_n")), search.clamp_sort(f.get("sort_by"))
-        got = search.search_one(text, index, self.config.rules, self.config.ranking, top, order, f.get("extensions") or None, folders or None, self.backend)
+        with self.store.cached_index() as index:
+            if index is None:
+                return 409, {"error": "nothing is indexed yet"}
+            got = search.search_one(text, index, self.config.rules, self.config.ranking, top, order, f.get("extensions") or None, folders or None, self.backend)
         opened = self.config.extraction.direct_open_extensions
         shown = [{k: r[k] for k in ("display_rank", "doc_id", "file_path", "score", "justification", "indexed_at")} | {"direct_open": r["file_ext"] in opened} for r in got.rows]
         return 200, got.payload() | {"results": shown, "top_doc_ids": [r["doc_id"] for r in got.rows], "scores": [r["score"] for r in got.rows]}
@@ -166,11 +167,10 @@ class Service:
         now = self.store.snapshot()
         return 200, {"corpus_root": self.root or now.corpus_root, "last_indexed": now.built_at, "pending": facets.pending(now.records()).first().pending, "runs": self.runs(f)[1]}
 
-    def _index_work(self, root: str, rebuild: bool, phase: Callable[[str], None] = lambda name: None) -> dict:
-        row = index_files(self.store, corpus.read_files(self.spark, root), root, self.config, _now(), rebuild, phase=phase)
-        logs.append(row, f"{self.log_dir}/index_runs")
+    def _index_work(self, root: str, rebuild: bool, **follow) -> dict:
+        row = index(self.store, self.log_dir, corpus.read_files(self.spark, root), root, self.config, _now(), rebuild=rebuild, **follow)
         self.root = root
-        return row.first().asDict() | {"pending": facets.pending(self.store.records()).first().pending}
+        return row.asDict() | {"pending": facets.pending(self.store.records()).first().pending}
 
     def _root_of(self, f) -> str | None:
         root = os.path.expanduser(str(f.get("corpus_root") or self.root or ""))
@@ -184,7 +184,8 @@ class Service:
     def index(self, f):
         if (root := self._root_of(f)) is None:
             return 400, {"error": "corpus_root is no folder on this machine"}
-        return self._start(self.indexing, lambda: self._index_work(root, bool(f.get("rebuild")), self.indexing.enter))
+        jobs = self.indexing
+        return self._start(jobs, lambda: self._index_work(root, bool(f.get("rebuild")), phase=jobs.enter, progress=jobs.count, should_stop=jobs.cancelled.is_set))
 
     def deep_scan(self, _):
         if (root := self.root or self.store.snapshot().corpus_root) is None:

@@ -5,15 +5,22 @@ appends a pointer row that lists the parts of the new version. A document's newe
 is read is ever overwritten, a failed run leaves the last version current, and a run that changes one percent
 writes one percent. Once parts are many or large they are written anew as one base; ``vacuum`` deletes what no
 version needs any more. Of two runs that follow the same version one is refused.
+
+A run over many files is cut into batches, each of which is published by itself, so a run that is stopped or
+dies keeps what it has done: the manifest of the last version is where the next run goes on. The pointer row says how
+far the run came.
 """
 
 from __future__ import annotations
 
+import threading
+import time
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass, field, replace
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from findery import schema
@@ -21,9 +28,14 @@ from findery.config import Config
 from findery.operators import postings, records
 from findery.operators.search import Index
 
-POINTER = "version int, corpus_root string, built_at string, parts array<string>, rows array<long>"
+RUN = "key: string, started: string, total_files: long, to_do: long, done: long, corpus_root_changed: boolean"
+POINTER = f"version int, corpus_root string, built_at string, parts array<string>, rows array<long>, run struct<{RUN}>, log string"
 #: Parts of a version at most, and share of the base that additions may reach.
 MAX_PARTS, MAX_SHARE = 8, 0.25
+#: Files of a batch at least, and batches of a run at most.
+BATCH_FILES, MAX_BATCHES = 25_000, 64
+#: Seconds after which a claim on a version without a successor counts as left by a run that died.
+CLAIM_SECONDS = 600
 TABLES = {
     "records": schema.RECORDS,
     "manifest": schema.MANIFEST,
@@ -36,6 +48,22 @@ class Conflict(RuntimeError):
     """Another run has published the successor of the version that this one began with."""
 
 
+@dataclass(frozen=True)
+class Run:
+    """An index run: files seen, files that were new or changed, and how many of those are published."""
+
+    key: str
+    started: str
+    total_files: int
+    to_do: int
+    done: int
+    corpus_root_changed: bool
+
+    def summary(self, root: str) -> tuple:
+        """As it is logged."""
+        return (self.started, root, self.total_files, self.done, self.total_files - self.to_do, self.corpus_root_changed, self.done < self.to_do)
+
+
 @dataclass(frozen=True)
 class Snapshot:
     """One version; every table read from it belongs to it, whatever is published meanwhile."""
@@ -47,6 +75,9 @@ class Snapshot:
     built_at: str | None = None
     parts: tuple[str, ...] = ()
     rows: tuple[int, ...] = ()
+    #: The index run that made it, if one did, and the key of the log entries that belong to it.
+    run: Run | None = None
+    log: str | None = None
 
     def _part(self, part: str, name: str, ddl: str) -> DataFrame:
         return self.spark.read.schema(ddl).parquet(f"{self.path}/{part}/{name}")
@@ -84,25 +115,37 @@ class Snapshot:
         return Index(self.records(), self.table("postings_field"), self.table("postings_kw"))
 
 
+@dataclass
+class _Held:
+    """A cached index and the number of its readers."""
+
+    version: int
+    index: Index
+    readers: int = 0
+
+
 @dataclass
 class Store:
     spark: SparkSession
     path: str
-    _held: tuple[int, Index] | None = field(default=None, repr=False)
+    _held: _Held | None = field(default=None, repr=False)
+    _lock: threading.Lock = field(default_factory=threading.Lock, repr=False)
 
     def _pointer(self) -> DataFrame | None:
-        try:
-            return self.spark.read.schema(POINTER).parquet(f"{self.path}/pointer")
-        except AnalysisException as e:
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            return None
+        fs, path = self._fs()
+        at = f"{self.path}/pointer"
+        return self.spark.read.schema(POINTER).parquet(at) if fs.exists(path(at)) else None
 
     def snapshot(self) -> Snapshot:
         """The published version, or an empty one (version 0) before the first run."""
         found = self._pointer()
         row = None if found is None else found.orderBy(F.desc("version")).first()
-        return Snapshot(self.spark, self.path) if row is None else Snapshot(self.spark, self.path, row.version, row.corpus_root, row.built_at, tuple(row.parts), tuple(row.rows))
+        return Snapshot(self.spark, self.path) if row is None else Snapshot(self.spark, self.path, row.version, row.corpus_root, row.built_at, tuple(row.parts), tuple(row.rows), Run(*row.run) if row.run else None, row.log)
+
+    def logged_keys(self, keys: list[str]) -> set[str]:
+        """Those of ``keys`` that belong to a published version."""
+        found = self._pointer() if keys else None
+        return set() if found is None else {r.log for r in found.where(F.col("log").isin(*keys)).select("log").collect()}
 
     def current(self) -> Snapshot | None:
         """The published version, or None before the first run."""
@@ -123,15 +166,30 @@ class Store:
         found = self.current()
         return None if found is None else found.index()
 
-    def cached_index(self) -> Index | None:
-        """The published version's index, kept in memory until another version is published."""
+    @contextmanager
+    def cached_index(self) -> Iterator[Index | None]:
+        """The published version's index, kept in memory until another is published; None before the first run.
+
+        Any number of threads may read at the same time. They share one copy of a version, and a version that has been
+        replaced leaves memory when the last of its readers has ended.
+        """
         now = self.current()
-        if self._held is not None and (now is None or self._held[0] != now.version):
-            self._held[1].unpersist()
-            self._held = None
-        if now is not None and self._held is None:
-            self._held = (now.version, now.index().cache())
-        return None if self._held is None else self._held[1]
+        with self._lock:
+            if now is not None and (self._held is None or self._held.version < now.version):
+                old, self._held = self._held, _Held(now.version, now.index().cache())
+                if old is not None and not old.readers:
+                    old.index.unpersist()
+            mine = self._held
+            if mine is not None:
+                mine.readers += 1
+        try:
+            yield None if mine is None else mine.index
+        finally:
+            if mine is not None:
+                with self._lock:
+                    mine.readers -= 1
+                    if mine is not self._held and not mine.readers:
+                        mine.index.unpersist()
 
     # ---- writing ----
 
@@ -153,27 +211,40 @@ class Store:
         postings.keyword_postings(kept).repartitionByRange("token").sortWithinPartitions("token").write.parquet(f"{at}/postings_kw")
         return part, kept.count()
 
-    def _point(self, after: Snapshot, now: Snapshot) -> Snapshot:
+    def _claim(self, version: int) -> None:
+        """Be the one that writes the successor of ``version``, or raise. Atomic where creating a file is, as on HDFS."""
         fs, path = self._fs()
-        claim = path(f"{self.path}/claims/after-{after.version}")
-        if not fs.createNewFile(claim):
-            raise Conflict(f"version {after.version} has a successor already; if the run that claimed {claim} died, delete that file")
-        row = (now.version, now.corpus_root, now.built_at, list(now.parts), list(now.rows))
+        turn = 0
+        while not fs.createNewFile(path(f"{self.path}/claims/after-{version}-{turn}")):
+            age = time.time() - fs.getFileStatus(path(f"{self.path}/claims/after-{version}-{turn}")).getModificationTime() / 1000
+            if age < CLAIM_SECONDS or self.snapshot().version > version:
+                raise Conflict(f"version {version} has a successor already, or another run is writing it")
+            turn += 1
+
+    def _point(self, after: Snapshot, now: Snapshot) -> Snapshot:
+        self._claim(after.version)
+        run = None if now.run is None else tuple(getattr(now.run, k) for k in Run.__dataclass_fields__)
+        row = (now.version, now.corpus_root, now.built_at, list(now.parts), list(now.rows), run, now.log)
         self.spark.createDataFrame([row], POINTER).coalesce(1).write.mode("append").parquet(f"{self.path}/pointer")
         return now
 
-    def publish(self, after: Snapshot, rows: DataFrame, manifest: DataFrame, corpus_root: str, built_at: str, gone: DataFrame | None = None, anew: bool = False) -> Snapshot:
+    def publish(self, after: Snapshot, rows: DataFrame, manifest: DataFrame, corpus_root: str, built_at: str, gone: DataFrame | None = None, anew: bool = False, run: Run | None = None, log: str | None = None, merge: bool = True) -> Snapshot:
         """A version that follows ``after``: ``rows`` and ``manifest`` replace what it has of the same documents, and ``gone`` (``doc_id``) leave.
 
-        With ``anew`` nothing of ``after`` stays. The version is current once this returns.
+        With ``anew`` nothing of ``after`` stays. The version is current once this returns. Without ``merge`` parts may add
+        up; the last of several versions should merge them.
         """
         part, n = self._write_part(rows, manifest, gone)
         was = replace(after, parts=(), rows=()) if anew else after
-        now = replace(was, version=after.version + 1, corpus_root=corpus_root, built_at=built_at, parts=(*was.parts, part), rows=(*was.rows, n))
+        now = replace(was, version=after.version + 1, corpus_root=corpus_root, built_at=built_at, parts=(*was.parts, part), rows=(*was.rows, n), run=run, log=log)
         self._point(after, now)
+        return self.merged(now) if merge else now
+
+    def merged(self, now: Snapshot) -> Snapshot:
+        """``now`` with its parts written as one base, if they are many or large."""
         if len(now.parts) > MAX_PARTS or (len(now.parts) > 1 and sum(now.rows[1:]) > MAX_SHARE * now.rows[0]):
             part, n = self._write_part(now.records(), now.manifest(), None)
-            now = self._point(now, replace(now, version=now.version + 1, parts=(part,), rows=(n,)))
+            now = self._point(now, replace(now, version=now.version + 1, parts=(part,), rows=(n,), log=None))
         return now
 
     def vacuum(self, keep: int = 1) -> int:
@@ -189,31 +260,72 @@ class Store:
         return sum(bool(fs.delete(path(f"{self.path}/{x}"), True)) for x in old)
 
 
-def index_files(store: Store, files: DataFrame, corpus_root: str, config: Config, now: str, rebuild: bool = False, drop_deleted: bool = False, phase=lambda name: None) -> DataFrame:
-    """Bring the index up to date with ``files`` (``file_path, mtime, size``); one row of counters, as in the run log.
+def _scan(store: Store, marked: DataFrame, least: int, most: int) -> tuple[list[DataFrame], int, int]:
+    """Batches of the changed files of ``marked``, written below the store, with the number of files seen and of those changed.
+
+    One pass compares, counts and writes. Batches are cut by a hash of the path, so no task or sort sees all files.
+    """
+    seen, at = Observation(), f"{store.path}/scans/{uuid.uuid4().hex}"
+    counted = marked.observe(seen, F.count("*").alias("total"), F.count_if("changed").alias("changed"))
+    ddl = "file_path string, mtime double, size long"
+    counted.where("changed").select("file_path", "mtime", "size").write.parquet(f"{at}/all")
+    total, changed = seen.get["total"], seen.get["changed"]
+    new, n = store.spark.read.schema(ddl).parquet(f"{at}/all"), min(most, -(-changed // least))
+    if n < 2:
+        return [new] * n, total, changed
+    dealt = new.withColumn("batch", F.pmod(F.xxhash64("file_path"), F.lit(n)).cast("int"))
+    dealt.repartition("batch", F.pmod(F.xxhash64("file_path", F.lit(1)), F.lit(8))).write.partitionBy("batch").parquet(f"{at}/dealt")
+    parts = store.spark.read.schema(f"{ddl}, batch int").parquet(f"{at}/dealt")
+    return [parts.where(F.col("batch") == k).drop("batch") for k in range(n)], total, changed
+
+
+def index_files(store: Store, files: DataFrame, corpus_root: str, config: Config, now: str, rebuild: bool = False, drop_deleted: bool = False, phase: Callable[[str], None] = lambda name: None, progress: Callable[[int, int], None] = lambda done, total: None, should_stop: Callable[[], bool] = lambda: False, batch: int | None = None) -> DataFrame:
+    """Bring the index up to date with ``files`` (``file_path, mtime, size``); one row of counters, as in the run log, with ``cancelled``.
 
     Files that the manifest has with the same mtime and size are skipped; another root starts from nothing.
     Records of files that are gone stay unless ``drop_deleted``. A run that finds nothing new publishes nothing.
-    ``phase`` is told when scanning, indexing and building begin, and may raise to stop the run.
+    What is new is published in batches of about ``batch`` files. ``should_stop`` is asked before each; batches that are
+    published stay, and the next run skips just their files. A Spark job that is cancelled meanwhile costs its batch only.
+    ``phase`` is told when scanning, indexing and building begin and may raise; ``progress`` hears of files
+    looked at (unchanged ones included) out of all.
     """
-    spark, was = store.spark, store.snapshot()
+    was = store.snapshot()
     moved = was.version > 0 and was.corpus_root != corpus_root
-    manifest = spark.createDataFrame([], schema.MANIFEST) if rebuild or moved else was.manifest()
+    manifest = store.spark.createDataFrame([], schema.MANIFEST) if rebuild or moved else was.manifest()
     phase("scanning")
-    marked = records.changed_files(files, manifest).persist()
+    gone = None
+    if drop_deleted and not moved:
+        files = files.persist()
+        gone = was.manifest().join(files, "file_path", "left_anti").select("doc_id")
+        gone = None if gone.isEmpty() else gone
     try:
-        row = records.run_summary(marked).first()
+        batches, total, changed = _scan(store, records.changed_files(files, manifest), *((batch, max(1, MAX_BATCHES)) if batch else (BATCH_FILES, MAX_BATCHES)))
         phase("indexing")
-        gone = None
-        if drop_deleted and not moved:
-            gone = was.manifest().join(marked, "file_path", "left_anti").select("doc_id")
-            gone = None if gone.isEmpty() else gone
-        if row.processed or gone is not None or not was.version or moved:
-            new = marked.where("changed")
-            fresh = records.to_records(new, config.rules, now)
+        run = Run(uuid.uuid4().hex, now, total, changed, 0, moved)
+        progress(total - changed, total)
+        if not batches and (gone is not None or not was.version or moved):
+            batches = [store.spark.createDataFrame([], schema.FILES)]
+        at, stopped = was, False
+        for k, new in enumerate(batches):
+            stopped = should_stop()
+            if stopped:
+                break
+            fresh = records.to_records(new.select("file_path"), config.rules, now)
             seen = new.select("file_path", "mtime", "size", records.T.doc_id(F.col("file_path")).alias("doc_id"))
+            done = changed if k + 1 == len(batches) else run.done + new.count()
+            try:
+                at = store.publish(at, fresh, seen, corpus_root, now, gone if k == 0 else None, anew=moved and k == 0, run=replace(run, done=done), merge=False)
+            except Exception:
+                if not should_stop():
+                    raise
+                stopped = True  # the jobs of this batch were cancelled, and nothing of it is published
+                break
+            run = replace(run, done=done)
+            progress(total - changed + done, total)
+        if at is not was and not stopped:
             phase("building")
-            store.publish(was, fresh, seen, corpus_root, now, gone, anew=moved)
-        return spark.createDataFrame([(now, corpus_root, row.total_files, row.processed, row.skipped_unchanged, moved)], schema.INDEX_RUNS)
+            store.merged(at)
+        return store.spark.createDataFrame([run.summary(corpus_root)[:-1] + (stopped,)], f"{schema.INDEX_RUNS}, cancelled boolean")
     finally:
-        marked.unpersist()
+        if drop_deleted and not moved:
+            files.unpersist()
