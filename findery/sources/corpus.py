@@ -228,11 +228,16 @@ class FolderSource(D.DataSource):
         return _Changes(self.options["path"], self._walks(), float(self.options.get("settle", SETTLE)))
 
 
-def read_tree(spark: SparkSession, root: str, walks: int = WALKS) -> DataFrame:
-    """The columns ``TREE`` of every file below ``root``, junk included. Filters on them reach the walk."""
+def _registered(spark: SparkSession) -> SparkSession:
+    """The session, once it knows the source and hands filters to it, without which Spark refuses sources that take any."""
     spark.dataSource.register(FolderSource)
     spark.conf.set(_PUSHDOWN, "true")
-    return spark.read.format("findery_folder").option("path", os.path.abspath(root)).option("walks", walks).load()
+    return spark
+
+
+def read_tree(spark: SparkSession, root: str, walks: int = WALKS) -> DataFrame:
+    """The columns ``TREE`` of every file below ``root``, junk included. Filters on them reach the walk."""
+    return _registered(spark).read.format("findery_folder").option("path", os.path.abspath(root)).option("walks", walks).load()
 
 
 def read_files(spark: SparkSession, root: str, junk: bool = False, walks: int = WALKS, extensions: Sequence[str] | None = None, folders: Sequence[str] | None = None, since: float | None = None) -> DataFrame:
@@ -256,15 +261,13 @@ def read_files(spark: SparkSession, root: str, junk: bool = False, walks: int =
 
 def read_folders(spark: SparkSession, root: str) -> DataFrame:
     """``(dir_path)`` of every folder below ``root``."""
-    spark.dataSource.register(FolderSource)
-    return spark.read.format("findery_folder").option("path", os.path.abspath(root)).option("kind", "folders").load()
+    return _registered(spark).read.format("findery_folder").option("path", os.path.abspath(root)).option("kind", "folders").load()
 
 
 def visits(spark: SparkSession, root: str, tests: Sequence[Test], walks: int = WALKS) -> DataFrame:
     """``(dir_path, opened, files)``: the folders that a walk for files which pass ``tests`` meets, and those it leaves closed."""
-    spark.dataSource.register(FolderSource)
     stated = json.dumps([(t.column, t.op, t.wanted) for t in tests])
-    return spark.read.format("findery_folder").option("path", os.path.abspath(root)).option("kind", "visits").option("walks", walks).option("tests", stated).load()
+    return _registered(spark).read.format("findery_folder").option("path", os.path.abspath(root)).option("kind", "visits").option("walks", walks).option("tests", stated).load()
 
 
 def stream_files(spark: SparkSession, root: str, junk: bool = False, walks: int = WALKS, settle: float = SETTLE) -> DataFrame:
@@ -272,6 +275,5 @@ def stream_files(spark: SparkSession, root: str, junk: bool = False, walks: int
 
     A batch holds the changes up to ``settle`` seconds before it began; executors list the folders, the driver only those at the root.
     """
-    spark.dataSource.register(FolderSource)
-    files = spark.readStream.format("findery_folder").option("path", os.path.abspath(root)).option("kind", "changes").option("walks", walks).option("settle", settle).load()
+    files = _registered(spark).readStream.format("findery_folder").option("path", os.path.abspath(root)).option("kind", "changes").option("walks", walks).option("settle", settle).load()
     return (files if junk else files.where(~F.col("junk"))).select("file_path", "mtime", "size", "seen_at")
