@@ -14,7 +14,7 @@ from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass
 from datetime import datetime, timezone
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import datasource as D
 from pyspark.sql import functions as F
 
@@ -235,9 +235,24 @@ def _registered(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def read_tree(spark: SparkSession, root: str, walks: int = WALKS) -> DataFrame:
-    """The columns ``TREE`` of every file below ``root``, junk included. Filters on them reach the walk."""
-    return _registered(spark).read.format("findery_folder").option("path", os.path.abspath(root)).option("walks", walks).load()
+def _sealed(files: DataFrame) -> DataFrame:
+    """The same rows, in columns through which no further filter reaches the source.
+
+    Spark 4.1 makes one reader for all scans of a loaded frame, with the filters of the scan that was planned last, so frames
+    that differ in the filters that reach the walk must not come from one load.
+    """
+    text = lambda c: F.concat(c.cast("string"), F.lit(""))
+    as_it_is = {"string": text, "boolean": lambda c: text(c) == "true", "double": lambda c: c + F.lit(0.0), "bigint": lambda c: c + F.lit(0)}
+    return files.select(*(as_it_is[kind](F.col(name)).alias(name) for name, kind in files.dtypes))
+
+
+def read_tree(spark: SparkSession, root: str, where: Column | str | None = None, walks: int = WALKS) -> DataFrame:
+    """The columns ``TREE`` of every file below ``root`` for which ``where`` holds, junk included.
+
+    Comparisons of ``where`` with constants reach the walk; what is filtered afterwards does not.
+    """
+    files = _registered(spark).read.format("findery_folder").option("path", os.path.abspath(root)).option("walks", walks).load()
+    return _sealed(files if where is None else files.where(where))
 
 
 def read_files(spark: SparkSession, root: str, junk: bool = False, walks: int = WALKS, extensions: Sequence[str] | None = None, folders: Sequence[str] | None = None, since: float | None = None) -> DataFrame:
@@ -246,17 +261,15 @@ def read_files(spark: SparkSession, root: str, junk: bool = False, walks: int =
     With ``extensions`` only of these (the empty one for none), with ``folders`` only of top folders that begin with one of them in
     any case, with ``since`` only those modified then or later. Other folders are not opened.
     """
-    files = read_tree(spark, root, walks)
-    if not junk:
-        files = files.where(~F.col("junk"))
+    keep = F.lit(True) if junk else ~F.col("junk")
     if extensions is not None:
-        files = files.where(F.col("file_ext").isin(*(e.lower() for e in extensions)))
+        keep = keep & F.col("file_ext").isin(*(e.lower() for e in extensions))
     if folders is not None:
         starts = tuple(p for p in (x.strip().lower() for x in folders) if p)
-        files = files.where(F.col("top_folder").isin(*(n for n in os.listdir(root) if starts and n.lower().startswith(starts))))
+        keep = keep & F.col("top_folder").isin(*(n for n in os.listdir(root) if starts and n.lower().startswith(starts)))
     if since is not None:
-        files = files.where(F.col("mtime") >= float(since))
-    return files.select("file_path", "mtime", "size")
+        keep = keep & (F.col("mtime") >= float(since))
+    return read_tree(spark, root, keep, walks).select("file_path", "mtime", "size")
 
 
 def read_folders(spark: SparkSession, root: str) -> DataFrame:

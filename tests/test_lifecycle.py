@@ -136,7 +136,17 @@ def test_filters_reach_the_walk(spark, tmp_path):
     tree = corpus.read_tree(spark, str(tmp_path))
     plain = spark.createDataFrame(tree.collect(), tree.schema)
     for where in ("file_path like 'Riverside/deep/%'", "file_path = 'root.pdf'", "file_path in ('Other/d.pdf', 'Riverside/a.pdf')", "size < 1", "mtime <= 5 and not junk", "junk", "top_folder = 'Other' or junk", "file_ext is null", "file_path like '%d.pdf'", "size > 0 and upper(top_folder) = 'OTHER'"):
-        assert paths(tree.where(where)) == paths(plain.where(where)), where
+        assert paths(corpus.read_tree(spark, str(tmp_path), where)) == paths(tree.where(where)) == paths(plain.where(where)), where
+
+
+def test_filters_of_one_frame_do_not_meet(spark, tmp_path):
+    """Frames made from one read keep apart, in one plan and one after the other."""
+    write(tmp_path, "A/a.pdf", "B/b.docx", "B/.hid")
+    for files in (corpus.read_tree(spark, str(tmp_path)), corpus.read_tree(spark, str(tmp_path), "size >= 1")):
+        a, b = files.where("top_folder = 'A' and mtime > 1 and size < 9"), files.where("file_ext = '.docx' or junk")
+        names = lambda df: sorted(r.file_path for r in df.collect())
+        assert names(a.union(b)) == ["A/a.pdf", "B/.hid", "B/b.docx"]
+        assert names(a) == ["A/a.pdf"] and names(files.where("junk")) == ["B/.hid"] and names(files) == ["A/a.pdf", "B/.hid", "B/b.docx"] and names(a) == ["A/a.pdf"]
 
 
 def test_the_plan_shows_pushed_filters(spark, tmp_path):
