@@ -6,7 +6,6 @@ import argparse
 import importlib
 import json
 import os
-import re
 import signal
 import sys
 import threading
@@ -16,6 +15,7 @@ from dataclasses import replace
 from datetime import datetime, timezone
 
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
 from findery import schema
 from findery.config import Config, load_config
@@ -65,11 +65,6 @@ def parser() -> argparse.ArgumentParser:
     return p
 
 
-def project_rule(name: str) -> str:
-    """A TOML line for a folder name: literal, with any white space between its words."""
-    return f'"{name}" = ["{re.escape(name).replace(chr(92) + " ", chr(92) + "s*").replace(chr(92), chr(92) * 2)}"]'
-
-
 def backend(name: str, *args: str):
     """What ``module:name`` makes of the arguments."""
     module, _, attribute = name.partition(":")
@@ -176,8 +171,9 @@ def main(argv: list[str] | None = None) -> int:
         print(f"{feedback.unattributed(entries).first().unattributed} entries name no document\n")
         print(feedback.weights_toml(suggested))
     else:
-        for r in records.folder_names(corpus.read_folders(spark, args.corpus_root), args.depth).toLocalIterator():
-            print(f"{project_rule(r.name)}  # {r.folders}")
+        names = records.folder_names(corpus.read_folders(spark, args.corpus_root), args.depth)
+        for r in names.select(records.project_rule(F.col("name")).alias("line"), "folders").toLocalIterator():
+            print(f"{r.line}  # {r.folders}")
     return 0
 
 

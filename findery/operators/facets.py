@@ -22,10 +22,14 @@ def folders(records: DataFrame) -> DataFrame:
     return records.where(F.size(T.parts(path)) >= 2).groupBy(T.top_folder(path).alias("folder")).agg(F.count("*").alias("documents")).orderBy(F.desc("documents"), "folder")
 
 
-def values(records: DataFrame, field: str) -> DataFrame:
-    """``(field, documents, place)`` of a field's values, the most frequent first; ties in order of value."""
+def values(records: DataFrame, field: str, offset: int = 0, limit: int = 1000) -> DataFrame:
+    """``(field, documents, place)`` of a field's values, the most frequent first; ties in order of value.
+
+    A page of at most ``limit`` values from place ``offset`` + 1 on; only these meet in one task.
+    """
     counts = records.where(F.col(field).isNotNull()).groupBy(field).agg(F.count("*").alias("documents"))
-    return counts.withColumn("place", F.row_number().over(Window.orderBy(F.desc("documents"), field)))
+    shown = page(counts.orderBy(F.desc("documents"), field), offset, limit)
+    return shown.withColumn("place", F.row_number().over(Window.orderBy(F.desc("documents"), field)) + F.lit(max(0, offset)))
 
 
 def page(facet: DataFrame, offset: int = 0, limit: int = 1000) -> DataFrame:

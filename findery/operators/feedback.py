@@ -47,23 +47,38 @@ def matches(pairs: DataFrame) -> DataFrame:
     return pairs.withColumn("_fields", F.array_compact(F.array(*named)))
 
 
-def field_stats(feedback: DataFrame, records: DataFrame, rules: Rules, ranking: Ranking) -> DataFrame:
-    """``(field_name, correct, incorrect, samples, precision)`` per weight, zero rows included.
+def _judged(feedback: DataFrame) -> DataFrame:
+    """``(query, doc_id, correct, incorrect)``; one row for all entries that agree on both, or in a stream one for each."""
+    right = F.coalesce("correct", F.lit(False))
+    if feedback.isStreaming:
+        return attributable(feedback).select("query", F.col("chosen_doc_id").alias("doc_id"), right.cast("long").alias("correct"), (~right).cast("long").alias("incorrect"))
+    return attributable(feedback).groupBy("query", F.col("chosen_doc_id").alias("doc_id")).agg(F.count_if(right).alias("correct"), F.count_if(~right).alias("incorrect"))
+
+
+def field_counts(feedback: DataFrame, records: DataFrame, rules: Rules) -> DataFrame:
+    """``(field_name, correct, incorrect)`` of weights that count at all; works on streams too, where Spark keeps the sums as state.
 
     Each query is parsed, and scored against the record chosen, once for all entries that agree on both; a
     record with exact and loose keyword hits counts twice under ``keyword``. Entries whose record is gone are
     left out.
     """
-    right = F.coalesce("correct", F.lit(False))
-    entries = attributable(feedback).groupBy("query", F.col("chosen_doc_id").alias("doc_id")).agg(F.count_if(right).alias("correct"), F.count_if(~right).alias("incorrect"))
-    meta = T.metadata(F.col("query"), rules)
+    entries, meta = _judged(feedback), T.metadata(F.col("query"), rules)
     asked = entries.select("doc_id", "correct", "incorrect", *(c.alias(f"q_{k}") for k, c in meta.items()))
     pairs = asked.join(records.select("doc_id", *RECORD_FIELDS, "year", "keywords", "extraction_status"), "doc_id")
     exact, almost = row_hits(F.col("q_keywords"), F.col("keywords"))
     kinds = matches(pairs.withColumns({"_exact": F.size(exact), "_loose": F.size(almost)}))
     fields = kinds.select("correct", "incorrect", F.explode("_fields").alias("field_name"))
-    counted = fields.groupBy("field_name").agg(F.sum("correct").alias("correct"), F.sum("incorrect").alias("incorrect"))
-    names = feedback.sparkSession.createDataFrame([(k, float(v)) for k, v in ranking.weights.items()], "field_name string, current_weight double")
+    return fields.groupBy("field_name").agg(F.sum("correct").alias("correct"), F.sum("incorrect").alias("incorrect"))
+
+
+def field_stats(feedback: DataFrame, records: DataFrame, rules: Rules, ranking: Ranking) -> DataFrame:
+    """``(field_name, correct, incorrect, samples, precision)`` per weight, zero rows included."""
+    return stats_of(field_counts(feedback, records, rules), ranking)
+
+
+def stats_of(counted: DataFrame, ranking: Ranking) -> DataFrame:
+    """What ``field_stats`` gives, from counts."""
+    names = counted.sparkSession.createDataFrame([(k, float(v)) for k, v in ranking.weights.items()], "field_name string, current_weight double")
     out = names.join(counted, "field_name", "left").na.fill(0, ["correct", "incorrect"])
     total = F.col("correct") + F.col("incorrect")
     return out.withColumn("samples", total).withColumn("precision", F.try_divide(F.col("correct"), total))

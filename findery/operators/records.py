@@ -74,6 +74,14 @@ def from_json(rows: DataFrame) -> DataFrame:
     return rows.select(F.from_json("json", RECORDS).alias("r")).select("r.*")
 
 
+def project_rule(name: Column) -> Column:
+    """A TOML line for a folder name: a pattern that takes it literally, with any white space between its words."""
+    # The characters with a meaning in patterns, and how the line is put together.
+    literal = F.regexp_replace(name, r"([()\[\]{}?*+\-|^$\\.&~#])", r"\\$1")
+    quoted = F.replace(literal, F.lit("\\"), F.lit("\\\\"))
+    return F.concat(F.lit('"'), name, F.lit('" = ["'), F.regexp_replace(quoted, " ", r"\\\\s*"), F.lit('"]'))
+
+
 def folder_names(dirs: DataFrame, depth: int = 1) -> DataFrame:
     """``(name, folders)``: how often each folder name occurs down to ``depth``; ties in order of name."""
     p = T.parts(F.col("dir_path"))

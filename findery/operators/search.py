@@ -7,6 +7,7 @@ against the distinct vocabulary, never against documents.
 
 from __future__ import annotations
 
+import threading
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
@@ -103,14 +104,17 @@ def loose_pairs(tokens: DataFrame, vocab: DataFrame, broadcast_up_to: int = BROA
     return found[0].union(found[1]).union(found[2]).distinct()
 
 
-def keyword_hits(parsed: DataFrame, keywords: DataFrame, vocabulary: DataFrame) -> DataFrame:
+def _asked_tokens(parsed: DataFrame) -> DataFrame:
+    return parsed.select("query_id", F.posexplode("keywords").alias("qpos", "q_token"))
+
+
+def keyword_hits(parsed: DataFrame, keywords: DataFrame, pairs: DataFrame) -> DataFrame:
     """``(query_id, doc_id, exact_hits, loose_hits)``: per document the query's tokens found, in query order.
 
-    A repeated query token counts each time. A token that the document holds is exact; otherwise the
-    document's first loosely matching token stands for it, as ``query~document``.
+    ``pairs`` are those of ``loose_pairs``. A repeated query token counts each time. A token that the document holds is
+    exact; otherwise the document's first loosely matching token stands for it, as ``query~document``.
     """
-    asked = parsed.select("query_id", F.posexplode("keywords").alias("qpos", "q_token"))
-    pairs = loose_pairs(asked, vocabulary)
+    asked = _asked_tokens(parsed)
     hits = asked.join(pairs, "q_token").join(keywords, "token")
     own = F.col("token") == F.col("q_token")
     per = hits.groupBy("query_id", "doc_id", "qpos", "q_token").agg(F.max(own).alias("exact"), F.min_by("token", "pos").alias("first"))
@@ -120,14 +124,54 @@ def keyword_hits(parsed: DataFrame, keywords: DataFrame, vocabulary: DataFrame)
     return listed.select("query_id", "doc_id", *(c.alias(n) for n, c in hits_of.items()))
 
 
-def candidates(parsed: DataFrame, index: Index) -> DataFrame:
-    """``(query_id, doc_id, exact_hits, loose_hits)`` of documents that share a field value or a token with the query."""
-    none = F.array().cast("array<string>")
-    by_field = postings.fields_of(parsed, "query_id").join(index.fields, ["field", "value"]).select("query_id", "doc_id").distinct()
-    by_token = keyword_hits(parsed, index.keywords, index.tokens)
-    found = by_token.unionByName(by_field.select("query_id", "doc_id", none.alias("exact_hits"), none.alias("loose_hits")))
-    hits = F.size("exact_hits") + F.size("loose_hits")
-    return found.groupBy("query_id", "doc_id").agg(F.max_by("exact_hits", hits).alias("exact_hits"), F.max_by("loose_hits", hits).alias("loose_hits"))
+#: Query tokens that one number has a bit for.
+WORD_BITS = 62
+
+
+def candidates(parsed: DataFrame, index: Index, pairs: DataFrame) -> DataFrame:
+    """``(query_id, doc_id, n_exact, n_loose)`` of documents that share a field value or a token with the query.
+
+    A query's tokens are the bits of a few numbers: which of them a document holds, and which it holds or matches. So postings
+    of tokens and of fields meet in one aggregation, and a document is a few numbers there however many tokens match.
+    ``keyword_hits`` lists the tokens of those documents that are shown.
+    """
+    longest = parsed.agg(F.max(F.size("keywords"))).first()[0] or 0
+    words = range(max(1, -(-longest // WORD_BITS)))
+    hits = _asked_tokens(parsed).join(pairs, "q_token").join(index.keywords, "token")
+    bit = F.expr(f"shiftleft(1L, qpos % {WORD_BITS})")
+
+    def word(k: int, also: Column) -> Column:
+        return F.when((F.floor(F.col("qpos") / WORD_BITS) == k) & also, bit).otherwise(0)
+
+    own = F.col("token") == F.col("q_token")
+    by_token = hits.select("query_id", "doc_id", *(word(k, own).alias(f"e{k}") for k in words), *(word(k, F.lit(True)).alias(f"a{k}") for k in words))
+    by_field = postings.fields_of(parsed, "query_id").join(index.fields, ["field", "value"]).select("query_id", "doc_id", *(F.lit(0).cast("long").alias(f"{x}{k}") for x in "ea" for k in words))
+    found = by_token.unionByName(by_field).groupBy("query_id", "doc_id").agg(*(F.bit_or(f"{x}{k}").alias(f"{x}{k}") for x in "ea" for k in words))
+
+    def bits(sets: list[Column]) -> Column:
+        total = F.lit(0)
+        for x in sets:
+            total = total + F.bit_count(x)
+        return total
+
+    exact = bits([F.col(f"e{k}") for k in words])
+    every = bits([F.col(f"a{k}").bitwiseOR(F.col(f"e{k}")) for k in words])
+    return found.select("query_id", "doc_id", exact.alias("n_exact"), (every - exact).alias("n_loose"))
+
+
+_last: list[DataFrame] = []
+_last_lock = threading.Lock()
+
+
+def _once(*frames: DataFrame) -> None:
+    """Compute ``frames`` once for all that a search asks of them: in memory, or on disk beyond that, until the next search.
+
+    A result that is read only after another search computes them again.
+    """
+    with _last_lock:
+        for df in _last:  # first, as the same search again makes the same plans
+            df.unpersist()
+        _last[:] = [df.persist() for df in frames]
 
 
 def field_match(query: Column, record: Column) -> Column:
@@ -144,14 +188,18 @@ def _kinds(asked: Sequence[str]) -> dict[str, Column]:
     return {f: F.when((F.col("q_year") == F.col("year")) & (F.col("year") != 0), "exact") if f == "year" else field_match(F.col(f"q_{f}"), F.col(f)) for f in asked}
 
 
-def scored(pairs: DataFrame, ranking: Ranking, asked: Sequence[str] = _ASKED) -> DataFrame:
-    """Add ``score`` to rows that hold a record and, as ``q_*``, a query's fields and hits; fields that are not ``asked`` count nothing."""
+def scored(pairs: DataFrame, ranking: Ranking, asked: Sequence[str] = _ASKED, exact: Column | None = None, loose: Column | None = None) -> DataFrame:
+    """Add ``score`` to rows that hold a record and, as ``q_*``, a query's fields and hits; fields that are not ``asked`` count nothing.
+
+    ``exact`` and ``loose`` are the numbers of hits; without them, they are counted from the lists.
+    """
     total = F.lit(0.0)
     for f, kind in _kinds(asked).items():
         w = float(ranking.weights.get(f, 0))
         total = total + F.when(kind == "exact", F.lit(w)).when(kind == "partial", F.lit(w * PARTIAL_FACTOR)).otherwise(F.lit(0.0))
     w = float(ranking.weights.get("keyword", 0))
-    exact, almost = (F.least(F.size(c), F.lit(ranking.max_keyword_hits)) * F.lit(w) for c in ("exact_hits", "loose_hits"))
+    numbers = (F.size("exact_hits") if exact is None else exact, F.size("loose_hits") if loose is None else loose)
+    exact, almost = (F.least(n, F.lit(ranking.max_keyword_hits)) * F.lit(w) for n in numbers)
     total = total + exact + almost * F.lit(PARTIAL_FACTOR)
     return pairs.withColumn("score", F.when(F.col("extraction_status") == STATUS_REVIEW, total * F.lit(REVIEW_FACTOR)).otherwise(total))
 
@@ -174,9 +222,15 @@ def explained(rows: DataFrame, asked: Sequence[str] = _ASKED) -> DataFrame:
     return rows.withColumns({"matched_fields": matched, "justification": F.coalesce(F.nullif(why, F.lit("")), F.lit(WEAK_MATCH))})
 
 
-def score_candidates(parsed: DataFrame, found: DataFrame, records: DataFrame, ranking: Ranking) -> DataFrame:
-    asked = parsed.select("query_id", *(F.col(f).alias(f"q_{f}") for f in _ASKED))
-    return scored(found.join(records, "doc_id").join(asked, "query_id"), ranking)
+def _fields_asked(parsed: DataFrame) -> DataFrame:
+    return parsed.select("query_id", *(F.col(f).alias(f"q_{f}") for f in _ASKED))
+
+
+def best_candidates(parsed: DataFrame, found: DataFrame, records: DataFrame, ranking: Ranking, most: int) -> DataFrame:
+    """``(query_id, doc_id, score, rank)`` of the ``most`` best of each query; all that is sorted are these few columns."""
+    rows = scored(found.join(records, "doc_id").join(_fields_asked(parsed), "query_id"), ranking, exact=F.col("n_exact"), loose=F.col("n_loose"))
+    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "file_path", "doc_id")
+    return rows.select("query_id", "doc_id", "file_path", "score").withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= most).drop("file_path")
 
 
 def is_indexed() -> Column:
@@ -187,21 +241,30 @@ def is_indexed() -> Column:
     return F.coalesce(held, F.lit(False))
 
 
-def best_of_all(missed: DataFrame, records: DataFrame, ranking: Ranking, most: int) -> DataFrame:
+def best_of_all(missed: DataFrame, index: Index, records: DataFrame, ranking: Ranking, most: int) -> DataFrame:
     """The ``most`` best of all indexed ``records`` for queries without any candidate, and their number as ``candidate_count``.
 
-    Such queries differ in their fields alone, so each distinct set of fields is scored once, in the scan of the
-    records; each task sends on no more than the best rows of each set.
+    Such queries share no field value and no token with any document, so only partial matches of fields can score. Those
+    are found on distinct values, asked and held, and lead through the postings to the documents that score at all. The places that
+    these leave go to the first documents by path, which are the same for every query. Weights are not negative.
     """
     none = F.array().cast("array<string>")
     same = F.to_json(F.struct(*(F.col(f"q_{f}") for f in _ASKED))).alias("_fields")
     asked = missed.select("query_id", *(F.col(f).alias(f"q_{f}") for f in _ASKED)).select("*", same)
+    sets = asked.drop("query_id").distinct()
     every = records.where(is_indexed())
-    pairs = every.join(asked.drop("query_id").distinct()).withColumns({"exact_hits": none, "loose_hits": none})
+    wanted = postings.fields_of(sets.select("_fields", *(F.col(f"q_{f}").alias(f) for f in _ASKED)), "_fields").where("field <> 'year'")
+    held = index.fields.where("field <> 'year'").select("field", "value").distinct()
+    near = held.withColumnRenamed("value", "v").join(wanted, "field").where(F.contains("v", "value") | F.contains("value", "v")).select("_fields", "field", F.col("v").alias("value")).distinct()
+    found = near.join(index.fields, ["field", "value"]).select("_fields", "doc_id").distinct().join(every, "doc_id")
+    shown = [c for c in records.columns if c != "keywords"]
+    by_path = every.select(*shown).orderBy("file_path", "doc_id").limit(most).agg(F.collect_list(F.struct(*shown)).alias("first"))
+    first = sets.select("_fields", F.explode(by_path.scalar()).alias("r")).select("_fields", "r.*")
+    rows = found.select("_fields", *shown).unionByName(first).dropDuplicates(["_fields", "doc_id"]).join(sets, "_fields").withColumns({"exact_hits": none, "loose_hits": none})
     best = Window.partitionBy("_fields").orderBy(F.desc("score"), "file_path", "doc_id")
-    ranked = scored(pairs, ranking).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= most)
-    counted = every.agg(F.count("*").alias("candidate_count"))
-    return ranked.join(asked.select("query_id", "_fields"), "_fields").join(counted)
+    ranked = scored(rows, ranking).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= most)
+    counted = every.agg(F.count("*").alias("candidate_count")).scalar()
+    return ranked.join(asked.select("query_id", "_fields"), "_fields").withColumn("candidate_count", counted)
 
 
 def in_scope(extensions: Sequence[str] | None = None, folders: Sequence[str] | None = None) -> Column:
@@ -233,6 +296,17 @@ def clamp_sort(raw: object) -> str:
     return raw if raw in SORTS else SORTS[0]
 
 
+def clamped_top(raw: Column) -> Column:
+    """``clamp_top`` of a text column."""
+    known = raw.rlike(r"^\s*[+-]?[0-9]+\s*$")
+    return F.when(known, F.greatest(F.lit(1), F.least(F.lit(MAX_TOP), F.trim(raw).try_cast("decimal(38,0)")))).otherwise(DEFAULT_TOP).cast("int")
+
+
+def clamped_sort(raw: Column) -> Column:
+    """``clamp_sort`` of a text column."""
+    return F.when(raw.isin(*SORTS), raw).otherwise(SORTS[0])
+
+
 _SHOWN = ("query_id", "rank", "display_rank", "doc_id", "file_path", "file_ext", "indexed_at", "score", "matched_fields", "justification", "candidate_count", "ambiguous", "reranked")
 _SCANNED = ("doc_id", "file_path", "file_ext", "indexed_at", *RECORD_FIELDS, "year", "extraction_status")
 
@@ -250,16 +324,25 @@ def search(queries: DataFrame, index: Index, rules: Rules, ranking: Ranking, top
     most = max(2, top, POOL if backend.enabled() else 0)
     parsed = parse_queries(queries, rules)
     records = index.records.where(in_scope(extensions, folders)).select(*_SCANNED, "keywords")
-    found = candidates(parsed, index)
-    rows = score_candidates(parsed, found, records.drop("keywords"), ranking)
+    pairs = loose_pairs(_asked_tokens(parsed), index.tokens)
+    found = candidates(parsed, index, pairs)
+    shown = best_candidates(parsed, found, records.drop("keywords"), ranking, most)
+    _once(found, shown)
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "file_path", "doc_id")
     # counted apart from ranking, so that ranking needs no more than the best rows of each task; every posting has a record
     kept_docs = found if extensions is None and folders is None else found.join(records.select("doc_id"), "doc_id", "left_semi")
     counts = kept_docs.groupBy("query_id").agg(F.count("*").alias("candidate_count"))
-    ranked = rows.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= most).join(counts, "query_id")
+    # tokens are listed for the documents shown, which are few for each query
+    listed = keyword_hits(parsed, index.keywords.join(shown.select("doc_id").distinct(), "doc_id", "left_semi"), pairs)
+    none = F.array().cast("array<string>")
+    ranked = shown.join(listed, ["query_id", "doc_id"], "left").withColumns({c: F.coalesce(c, none) for c in ("exact_hits", "loose_hits")})
+    ranked = ranked.join(records.drop("keywords"), "doc_id").join(_fields_asked(parsed), "query_id").join(counts, "query_id")
     missed = parsed.join(found.select("query_id").distinct(), "query_id", "left_anti")
     kept = ["query_id", *_SCANNED, *(f"q_{f}" for f in _ASKED), "exact_hits", "loose_hits", "score", "rank", "candidate_count"]
-    ranked = explained(ranked.select(kept).unionByName(best_of_all(missed, records, ranking, most).select(kept)))
+    ranked = ranked.select(kept)
+    if not missed.isEmpty():
+        ranked = ranked.unionByName(best_of_all(missed, index, records, ranking, most).select(kept))
+    ranked = explained(ranked)
     second = F.lead("score").over(best)
     weak = F.when(F.col("rank") == 1, (F.col("score") < ranking.weak_below) | F.coalesce(F.col("score") - second < ranking.close_within, F.lit(False)))
     ranked = ranked.withColumn("_weak", weak).withColumn("ambiguous", F.max("_weak").over(Window.partitionBy("query_id")))

@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from findery import cli, schema
+from findery import schema
 from findery.config import Config, load_config
 from findery.functions import text as T
 from findery.jobs import deep_scan
@@ -18,7 +18,7 @@ from findery.operators import feedback as fb
 from findery.plans.corpora import DEPARTMENTS, INDEXED_AT, PART_CTE, PART_RULES, PROJECT_NUMBERS, RANKING, TYPES, feedback, page_paths, part_files, part_records, table, text_files, tokens_sql
 from findery.sources import logs
 from findery.sources.store import Store, index_files
-from findery.streaming.ingest import feedback_precision, stream_index
+from findery.streaming.ingest import feedback_precision, read_field_stats, stream_field_stats, stream_index
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -158,12 +158,15 @@ def keyword_postings(spark, sf_dir):
     return postings.keyword_postings(part_records(spark, sf_dir))
 
 
-@query(f"WITH {PART_CTE} SELECT token, ceil(count(*) / 100.0)::BIGINT AS chunks, count(*) AS documents, min(doc_id) AS least, max(doc_id) AS most FROM ({_KW_SQL}) GROUP BY token HAVING count(*) <= 100 OR count(*) > 500")
+@query(f"WITH {PART_CTE} SELECT token, count(*) AS documents, min(doc_id) AS least, max(doc_id) AS most, true AS chunked, true AS ordered FROM ({_KW_SQL}) GROUP BY token")
 def compact_postings(spark, sf_dir):
-    """Chunked posting lists, seen through what does not depend on how ids are dealt to chunks."""
+    """Chunked posting lists of all tokens: their documents, and that chunks are as many as the size asks for at most, in order and apart."""
     lists = postings.compact(postings.keyword_postings(part_records(spark, sf_dir)), "token", size=100)
-    per = lists.groupBy("token").agg(F.count("*").alias("chunks"), F.sum(F.size("doc_ids")).alias("documents"), F.min(F.get("doc_ids", 0)).alias("least"), F.max(F.element_at("doc_ids", -1)).alias("most"))
-    return per.where("documents <= 100 or documents > 500")
+    ids = F.flatten(F.collect_list("doc_ids"))
+    sorted_ = F.bool_and(F.col("doc_ids") == F.array_sort("doc_ids"))
+    per = lists.groupBy("token").agg(F.count("*").alias("chunks"), F.sum(F.size("doc_ids")).alias("documents"), F.min(F.get("doc_ids", 0)).alias("least"), F.max(F.element_at("doc_ids", -1)).alias("most"), (F.size(F.array_distinct(ids)) == F.size(ids)).alias("apart"), sorted_.alias("sorted"))
+    chunked = F.col("chunks").between(F.lit(1), F.ceil(F.col("documents") / 100))
+    return per.select("token", "documents", "least", "most", chunked.alias("chunked"), (F.col("apart") & F.col("sorted")).alias("ordered"))
 
 
 @query(f"WITH {PART_CTE} SELECT token, count(*) AS documents FROM ({_KW_SQL}) GROUP BY token")
@@ -385,13 +388,16 @@ def results_json(spark, sf_dir):
     return back.select("query_id", "rank", F.col("p.rank").alias("json_rank"), "p.doc_id", "p.file_path", F.round("p.score", 6).alias("score"), "p.justification")
 
 
-_RAW = ("7", "0", "-3", "900", "x", "", "201", "12.5")
+_ORDERS_ASKED = ("newest", "x", "file_type", "Relevance", "relevance")
 
 
-@query(f"""WITH r AS (SELECT unnest({list(_RAW)}) AS raw)
-SELECT raw, CASE WHEN regexp_full_match(raw, '-?[0-9]+') THEN greatest(1, least(200, CAST(raw AS INTEGER))) ELSE 25 END AS top, CASE WHEN raw = 'newest' THEN raw ELSE 'relevance' END AS sort FROM r""")
+@query(f"""WITH r AS (SELECT event_id, CASE event_id % 4 WHEN 0 THEN CAST(value AS VARCHAR) WHEN 1 THEN event_type WHEN 2 THEN CAST(user_id - 40 AS VARCHAR) END AS top_raw, list_extract({list(_ORDERS_ASKED)}, CAST(event_id % 6 + 1 AS INTEGER)) AS sort_raw FROM events)
+SELECT event_id, CASE WHEN regexp_full_match(top_raw, '-?[0-9]+') THEN greatest(1, least(200, CAST(top_raw AS INTEGER))) ELSE 25 END AS top, CASE WHEN sort_raw IN ('newest', 'file_type', 'relevance') THEN sort_raw ELSE 'relevance' END AS sort FROM r""")
 def clamped_inputs(spark, sf_dir):
-    return spark.createDataFrame([(x, search.clamp_top(x), search.clamp_sort(x)) for x in _RAW], "raw string, top int, sort string")
+    """Numbers, words and nothing, from events, as a request's limit and order."""
+    number = F.expr("case event_id % 4 when 0 then cast(value as string) when 1 then event_type when 2 then cast(user_id - 40 as string) end")
+    order = F.get(F.array(*(F.lit(x) for x in _ORDERS_ASKED)), (F.col("event_id") % 6).cast("int"))
+    return table(spark, sf_dir, "events").select("event_id", search.clamped_top(number).alias("top"), search.clamped_sort(order).alias("sort"))
 
 
 # ---- feedback --------------------------------------------------------------------------------------
@@ -454,6 +460,17 @@ def feedback_by_hour(spark, sf_dir):
     return feedback_precision(feedback(spark, sf_dir)).withColumn("precision", F.round("precision", 6))
 
 
+@query(f"{_STATS} SELECT field_name, current_weight, correct, incorrect, samples, round(precision, 6) AS precision FROM st")
+def streamed_field_stats(spark, sf_dir):
+    """The same statistics kept as state by a stream that takes the entries in three runs, each from the checkpoint of the last."""
+    entries, drop, at, checkpoint = feedback(spark, sf_dir), scratch(spark, "drop"), scratch(spark, "stats"), scratch(spark, "stream")
+    for part in range(3):
+        entries.where(F.pmod(F.xxhash64("ts", "query"), F.lit(3)) == part).select("query", "chosen_doc_id", "correct").write.mode("append").parquet(drop)
+        stream = spark.readStream.schema("query string, chosen_doc_id string, correct boolean").parquet(drop)
+        stream_field_stats(stream, part_records(spark, sf_dir), PART_RULES, RANKING, at, checkpoint).awaitTermination()
+    return read_field_stats(spark, at).withColumn("precision", F.round("precision", 6))
+
+
 # ---- deep scan -------------------------------------------------------------------------------------
 
 
@@ -630,7 +647,7 @@ def rules_from_toml(spark, sf_dir):
 @query(r"""SELECT '"' || n_name || '" = ["' || replace(replace(n_name, '-', '\\-'), ' ', '\\s*') || '"]' AS line FROM nation""".replace("\\\\", "\\\\"))
 def project_toml(spark, sf_dir):
     """A rule line for each name, as suggested for projects."""
-    return spark.createDataFrame([(cli.project_rule(r.n_name),) for r in table(spark, sf_dir, "nation").select("n_name").collect()], "line string")
+    return table(spark, sf_dir, "nation").select(records.project_rule(F.col("n_name")).alias("line"))
 
 
 @query(f"WITH {PART_CTE} SELECT doc_id, file_path, CASE WHEN p_partkey % 3 = 0 THEN 2 ELSE 1 END AS mtime FROM rec")

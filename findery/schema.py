@@ -15,5 +15,6 @@ EXTRACTION_LOG = "timestamp string, file_path string, source string, confidence
 REVIEW_QUEUE = "timestamp string, file_path string, reason string, confidence double"
 INDEX_RUNS = "timestamp string, corpus_root string, total_files long, processed long, skipped_unchanged long, corpus_root_changed boolean"
 FEEDBACK = "timestamp string, query string, top_doc_ids array<string>, scores array<double>, ambiguous boolean, used_llm_rerank boolean, chosen_doc_id string, correct boolean"
+FIELD_STATS = "field_name string, current_weight double, correct long, incorrect long, samples long, precision double"
 
 STATUS_OK, STATUS_PENDING, STATUS_REVIEW = "ok", "pending_deep_scan", "needs_review"

@@ -1,12 +1,14 @@
-"""Continuous forms: upserting dropped files, and feedback precision over time."""
+"""Continuous forms: upserting dropped files, feedback statistics, and feedback precision over time."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from findery.config import Config
+from findery.config import Config, Ranking, Rules
+from findery.operators.feedback import field_counts, stats_of
+from findery.schema import FIELD_STATS
 from findery.sources.store import Store, index_files
 
 
@@ -29,6 +31,29 @@ def stream_index(files: DataFrame, store: Store, corpus_root: str, config: Confi
     return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 
+def stream_field_stats(feedback: DataFrame, records: DataFrame, rules: Rules, ranking: Ranking, path: str, checkpoint: str, available_now: bool = True) -> StreamingQuery:
+    """Keep the table ``field_stats`` at ``path`` up to date with a stream of log entries.
+
+    The sums of each weight are state of the query, a row per weight, so a batch costs what is new in it, an entry that comes late or
+    by itself counts like any other, and a restart goes on from the checkpoint. ``read_field_stats`` reads the table. A
+    record counts as it stands when the entry comes.
+    """
+
+    def keep(totals: DataFrame, batch: int) -> None:
+        rows = feedback.sparkSession.createDataFrame(totals.collect(), totals.schema)  # a row per weight
+        stats_of(rows, ranking).coalesce(1).write.mode("overwrite").parquet(f"{path}/batch-{batch:012d}")
+
+    writer = field_counts(feedback, records, rules).writeStream.outputMode("complete").foreachBatch(keep).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if available_now else writer).start()
+
+
+def read_field_stats(spark: SparkSession, path: str) -> DataFrame:
+    """The statistics after the last batch of ``stream_field_stats``; a batch that is being written does not count yet."""
+    names = spark.read.schema(FIELD_STATS).option("recursiveFileLookup", "true").parquet(path).select("*", F.col("_metadata.file_path").alias("_at"))
+    last = names.agg(F.max(F.regexp_extract("_at", "batch-([0-9]+)", 1))).scalar()
+    return names.where(F.regexp_extract("_at", "batch-([0-9]+)", 1) == last).drop("_at")
+
+
 def feedback_precision(feedback: DataFrame, width: str = "1 hour", late: str = "1 hour") -> DataFrame:
     """``(window_start, entries, correct, precision)`` per window of ``ts``; works on streams and tables."""
     kept = feedback.withWatermark("ts", late).where("chosen_doc_id is not null and chosen_doc_id <> ''")

@@ -1,11 +1,12 @@
 import os
+import re
 from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
 from findery.config import Config, Ranking, Rules
-from findery.operators import facets
+from findery.operators import facets, records
 from findery.operators import feedback as fb
 from findery.schema import FEEDBACK, INDEX_RUNS
 from findery.sources import corpus, logs
@@ -154,7 +155,10 @@ def test_command_line(spark, folder, capsys, monkeypatch):
     assert cli.main([*base, "search", "memo 2020"]) == 0 and "1. A/memo_2020.pdf" in capsys.readouterr().out
     assert cli.main([*base, "suggest-projects", "--corpus-root", f"{folder}/corpus"]) == 0
     assert '"A" = ["A"]' in capsys.readouterr().out
-    assert cli.project_rule("Big Plant") == '"Big Plant" = ["Big\\\\s*Plant"]'
+    assert spark.range(1).select(records.project_rule(F.lit("Big Plant"))).first()[0] == '"Big Plant" = ["Big\\\\s*Plant"]'
+    for name in ("a.b (c)", "x\\y-z", "1+1 & 2~3", "Ü [é]{2} ^$|*?#"):
+        line = spark.range(1).select(records.project_rule(F.lit(name))).first()[0]
+        assert re.fullmatch(line.split('["')[1].split('"]')[0].replace("\\\\", "\\"), name)
     for command in ("review-queue", "facets", "suggest-tuning"):
         assert cli.main([*base, command]) == 0
     assert "[ranking_weights]" in capsys.readouterr().out
