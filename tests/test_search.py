@@ -233,3 +233,35 @@ def test_text_output(spark, scanned):
     assert row.line.startswith("1. RiversidePlant/Isometric/HX-203_Isometric_Rev2.pdf  (score: ") and "equipment tag matches 'HX-203'" in row.why
     assert '"rank":1' in search.as_json(out).first().payload
     assert search.batches(out.withColumn("display_rank", F.lit(30)), 25).first().batch == 0
+
+
+def test_queries_of_many_tokens(spark):
+    """More tokens than one number has bits, repeated ones too: the numbers of hits are those of the lists."""
+    from findery.operators import search
+    from findery.operators.records import to_records
+    from findery.config import Config
+
+    config = Config()
+    paths = [(f"top/{' '.join(f'word{k}' for k in range(a, b))}.pdf",) for a, b in ((0, 3), (50, 75), (60, 64), (120, 150), (200, 210))]
+    index = search.Index.build(to_records(spark.createDataFrame(paths, "file_path string"), config.rules, "t"))
+    text = " ".join(f"word{k}" for k in [*range(150), 61, 61, 149])
+    asked = spark.createDataFrame([(1, text), (2, "word121")], "query_id int, raw_query string")
+    got = sorted((r.query_id, r.rank, r.file_path, r.score, r.justification, r.candidate_count) for r in search.search(asked, index, config.rules, config.ranking, top=5).collect())
+    want = sorted((q, r["rank"], r["file_path"], r["score"], r["justification"], r["candidate_count"]) for q, t in ((1, text), (2, "word121")) for r in search.search_one(t, index, config.rules, config.ranking, top=5).rows)
+    assert got == want and len(got) > 5
+
+
+def test_the_fallback_has_no_product(spark):
+    """Queries that find nothing: partial matches first, then documents by path, and no plan that pairs all records with all of them."""
+    from findery.config import Ranking
+    from findery.operators import search
+
+    names = "query_id int, raw_query string, project_name string, doc_type string, department string, equipment_tag string, year int, keywords array<string>"
+    missed = spark.createDataFrame([(1, "x", "Riverside", None, None, None, None, ["zz"]), (2, "y", None, None, None, None, 1900, []), (3, "z", "Riverside", None, None, None, None, ["qq"])], names)
+    made = [(f"d{k}", f"f/{9 - k}.pdf", ".pdf", "t", "Riverside Plant" if k == 2 else None, "memo", None, None, 2000, "ok", ["a"]) for k in range(6)]
+    records = spark.createDataFrame(made, "doc_id string, file_path string, file_ext string, indexed_at string, project_name string, doc_type string, department string, equipment_tag string, year int, extraction_status string, keywords array<string>")
+    index = search.Index.build(records)
+    out = search.best_of_all(missed, index, records, Ranking(), 3)
+    assert sorted((r.query_id, r.rank, r.doc_id, r.score, r.candidate_count) for r in out.collect()) == [(q, k + 1, d, s, 6) for q in (1, 2, 3) for k, (d, s) in enumerate([("d2", 15.0), ("d5", 0.0), ("d4", 0.0)] if q != 2 else [("d5", 0.0), ("d4", 0.0), ("d3", 0.0)])]
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
