@@ -199,7 +199,7 @@ class Store:
         return root.getFileSystem(self.spark._jsc.hadoopConfiguration()), jvm.org.apache.hadoop.fs.Path
 
     def _write_part(self, rows: DataFrame, manifest: DataFrame, gone: DataFrame | None) -> tuple[str, int]:
-        """A part's folder and number of records. Postings are sorted by their keys, so look-ups skip row groups by their statistics."""
+        """A part's folder and number of records. Postings are sorted by their keys, so look-ups skip row groups by their statistics; a key of very many documents is dealt by these."""
         part = f"part-{uuid.uuid4().hex}"
         at = f"{self.path}/{part}"
         rows.write.parquet(f"{at}/records")
@@ -207,8 +207,8 @@ class Store:
         manifest.write.parquet(f"{at}/manifest")
         ids = kept.select("doc_id")
         (ids if gone is None else ids.unionByName(gone.select("doc_id"))).distinct().write.parquet(f"{at}/changed")
-        postings.field_postings(kept).repartitionByRange("field", "value").sortWithinPartitions("field", "value").write.parquet(f"{at}/postings_field")
-        postings.keyword_postings(kept).repartitionByRange("token").sortWithinPartitions("token").write.parquet(f"{at}/postings_kw")
+        postings.field_postings(kept).repartitionByRange("field", "value", "doc_id").sortWithinPartitions("field", "value").write.parquet(f"{at}/postings_field")
+        postings.keyword_postings(kept).repartitionByRange("token", "doc_id").sortWithinPartitions("token").write.parquet(f"{at}/postings_kw")
         return part, kept.count()
 
     def _claim(self, version: int) -> None:
