@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from findery.config import PARTIAL_FACTOR, REVIEW_FACTOR, Ranking, Rules
 from findery.functions import text as T
-from findery.operators import postings
+from findery.operators import blocks, postings
 from findery.operators.rerank import POOL, Backend, NoBackend, rerank
 from findery.schema import INDEXED_FIELDS, QUERIES, RECORD_FIELDS, STATUS_REVIEW
 
@@ -33,12 +33,16 @@ NO_EXTENSION = "(no extension)"
 
 @dataclass(frozen=True)
 class Index:
-    """Records with their postings (``field, value, doc_id`` and ``token, doc_id, pos``) and the distinct tokens (``token``)."""
+    """Records with their postings (``field, value, doc_id`` and ``token, doc_id, pos``), the distinct tokens (``token``) and their kept block rows.
+
+    The tokens and block rows may hold tokens that no document has any more; these lead to no posting.
+    """
 
     records: DataFrame
     fields: DataFrame
     keywords: DataFrame
     vocabulary: DataFrame | None = None
+    blocks: DataFrame | None = None
 
     @classmethod
     def build(cls, records: DataFrame) -> Index:
@@ -46,12 +50,18 @@ class Index:
 
     @property
     def tokens(self) -> DataFrame:
-        return self.keywords.select("token").distinct() if self.vocabulary is None else self.vocabulary
+        if self.vocabulary is not None:
+            return self.vocabulary
+        return self.keywords.select("token").distinct() if self.blocks is None else self.blocks.where("kind = 'token'").select("token").distinct()
+
+    def loose_pairs(self, tokens: DataFrame) -> DataFrame:
+        """Distinct ``(q_token, token)`` that are equal or match loosely, through the kept block rows if there are any."""
+        return loose_pairs(tokens, self.tokens) if self.blocks is None else blocks.pairs(tokens, self.blocks, kept=True)
 
     def cache(self) -> Index:
-        """The same, kept in memory, with the distinct tokens."""
+        """The same, kept in memory, with the distinct tokens; block rows stay where they are."""
         keywords = self.keywords.cache()
-        return Index(self.records.cache(), self.fields.cache(), keywords, keywords.select("token").distinct().cache())
+        return Index(self.records.cache(), self.fields.cache(), keywords, keywords.select("token").distinct().cache(), self.blocks)
 
     def unpersist(self) -> None:
         for df in (self.records, self.fields, self.keywords, self.tokens):
@@ -63,45 +73,16 @@ def parse_queries(queries: DataFrame, rules: Rules) -> DataFrame:
     return queries.select("query_id", "raw_query", *(c.alias(k) for k, c in T.metadata(F.col("raw_query"), rules).items()))
 
 
-def _grams(token: str) -> Column:
-    """The distinct runs of two and of three characters of a column."""
-    x, n = F.col(token), F.length(token)
-
-    def of(size: int) -> Column:
-        starts = F.when(n >= size, F.sequence(F.lit(1), n - size + 1)).otherwise(F.array().cast("array<int>"))
-        return F.transform(starts, lambda i: F.substring(x, i, F.lit(size)))
-
-    return F.array_distinct(F.concat(of(2), of(3)))
-
-
-def _shorter(token: str) -> Column:
-    """A column with each of its characters left out, and as it is; shorter tokens have only themselves."""
-    x, n = F.col(token), F.length(token)
-    cut = F.transform(F.sequence(F.lit(1), n), lambda i: F.concat(F.substring(x, F.lit(1), i - 1), F.substring(x, i + 1, n)))
-    return F.array_distinct(F.when(n >= 4, F.concat(cut, F.array(x))).otherwise(F.array(x)))
-
-
 def loose_pairs(tokens: DataFrame, vocab: DataFrame, broadcast_up_to: int = BROADCAST_TOKENS) -> DataFrame:
     """Distinct ``(q_token, token)`` where the tokens, of two characters or more as ``T.tokens`` makes them, are equal or match loosely.
 
     A few query tokens (counted first) are broadcast and the vocabulary is scanned once. More are matched by
-    blocks and verified: a token that holds another holds its rarest run of characters, rare by the number of
-    vocabulary tokens that have it; tokens one edit apart agree once a character is left out of each.
+    ``blocks`` and verified.
     """
     q, v = tokens.select("q_token").distinct(), vocab.select("token").distinct()
-    match = T.loose(F.col("q_token"), F.col("token"))
     if q.limit(broadcast_up_to + 1).count() <= broadcast_up_to:
-        return v.join(F.broadcast(q), match).select("q_token", "token")
-    v_grams = v.select("token", F.explode(_grams("token")).alias("b"))
-    q_grams = q.select("q_token", F.explode(_grams("q_token")).alias("b"))
-    often = v_grams.groupBy("b").agg(F.count("*").alias("n"))
-    rarest = F.min_by("b", F.struct("n", -F.length("b"), "b")).alias("b")
-    # a run that no vocabulary token has belongs to no pair
-    q_key = q_grams.join(often, "b", "left").groupBy("q_token").agg(F.min_by("b", F.struct(F.coalesce("n", F.lit(0)), -F.length("b"), "b")).alias("b"))
-    v_key = v_grams.join(often, "b").groupBy("token").agg(rarest)
-    blocks = [(q_key, v_grams), (q_grams, v_key), (q.select("q_token", F.explode(_shorter("q_token")).alias("b")), v.select("token", F.explode(_shorter("token")).alias("b")))]
-    found = [a.join(b, "b").where(match).select("q_token", "token") for a, b in blocks]
-    return found[0].union(found[1]).union(found[2]).distinct()
+        return v.join(F.broadcast(q), T.loose(F.col("q_token"), F.col("token"))).select("q_token", "token")
+    return blocks.pairs(q, blocks.rows_of(v))
 
 
 def _asked_tokens(parsed: DataFrame) -> DataFrame:
@@ -324,7 +305,7 @@ def search(queries: DataFrame, index: Index, rules: Rules, ranking: Ranking, top
     most = max(2, top, POOL if backend.enabled() else 0)
     parsed = parse_queries(queries, rules)
     records = index.records.where(in_scope(extensions, folders)).select(*_SCANNED, "keywords")
-    pairs = loose_pairs(_asked_tokens(parsed), index.tokens)
+    pairs = index.loose_pairs(_asked_tokens(parsed))
     found = candidates(parsed, index, pairs)
     shown = best_candidates(parsed, found, records.drop("keywords"), ranking, most)
     _once(found, shown)
@@ -386,9 +367,13 @@ def search_one(text: str, index: Index, rules: Rules, ranking: Ranking, top: int
     most = max(2, top, POOL if backend.enabled() else 0)
     matched: dict[str, list[str]] = {q: [] for q in known}
     if known:
-        token = F.col("token")
-        near = F.array_compact(F.array(*(F.when(T.loose(F.lit(q), token), F.lit(q)) for q in known)))
-        hits = index.tokens.select("token", near.alias("q")).where(F.size("q") > 0).limit(LITERAL_TOKENS + 1).collect()
+        if index.vocabulary is None and index.blocks is not None:
+            near = index.loose_pairs(spark.createDataFrame([(q,) for q in known], "q_token string")).select("token", F.array("q_token").alias("q"))
+        else:
+            token = F.col("token")
+            of = F.array_compact(F.array(*(F.when(T.loose(F.lit(q), token), F.lit(q)) for q in known)))
+            near = index.tokens.select("token", of.alias("q")).where(F.size("q") > 0)
+        hits = near.limit(LITERAL_TOKENS + 1).collect()
         if len(hits) > LITERAL_TOKENS:
             found = [r.asDict(recursive=True) for r in search(spark.createDataFrame([(1, text)], QUERIES), index, rules, ranking, top, sort_by, extensions, folders, backend).orderBy("display_rank").collect()]
             return Answer(text, found, found[0]["ambiguous"], found[0]["candidate_count"], found[0]["reranked"]) if found else Answer(text)

@@ -307,6 +307,25 @@ def loose_vocab_pairs_blocked(spark, sf_dir):
     return search.loose_pairs(asked, vocab, broadcast_up_to=0)
 
 
+@query(f"WITH {PART_CTE}, v AS (SELECT DISTINCT unnest(keywords) AS token FROM rec r WHERE r.p_partkey % 7 <> 0), w AS (SELECT DISTINCT unnest(string_split(lower(p_name) || ' ' || 'rings brand1 economi smal 1977 widgett ri', ' ')) AS q_token FROM part) SELECT q_token, token FROM w JOIN v ON {LOOSE_SQL.format(a='q_token', b='token')}")
+def stored_loose_pairs(spark, sf_dir):
+    """The same pairs through the block rows that a store keeps, after files were added, changed and deleted."""
+    index = _versions(spark, sf_dir).index()
+    asked = table(spark, sf_dir, "part").select(F.explode(F.split(F.concat(F.lower("p_name"), F.lit(" rings brand1 economi smal 1977 widgett ri")), " ")).alias("q_token"))
+    return index.loose_pairs(asked).join(index.keywords.select("token").distinct(), "token", "left_semi").select("q_token", "token")
+
+
+@query(_search_sql(BATCH, 5).replace("CROSS JOIN rec r", "CROSS JOIN (SELECT * REPLACE (status AS extraction_status) FROM rec) r"))
+def search_batch_stored(spark, sf_dir):
+    """Many queries against a store of two parts, the second of which brings tokens of its own; matches come from its block rows."""
+    store, config = Store(spark, scratch(spark, "index")), Config(rules=PART_RULES)
+    files = part_files(spark, sf_dir).select("p_partkey", "file_path", F.lit(1.0).alias("mtime"), F.lit(1).cast("long").alias("size"))
+    for seen in (files.where("p_partkey % 6 <> 0"), files):
+        index_files(store, seen.drop("p_partkey"), "parts", config, INDEXED_AT)
+    out = search.search(queries_frame(spark, BATCH), store.index(), PART_RULES, RANKING, top=5)
+    return out.select("query_id", "rank", "display_rank", "doc_id", "file_path", F.round("score", 6).alias("score"), "justification", "candidate_count", "ambiguous")
+
+
 _LOOSE = ["anvill", "wigets", "bolt", "1977", "ri"]
 
 

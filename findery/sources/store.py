@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from findery import schema
 from findery.config import Config
-from findery.operators import postings, records
+from findery.operators import blocks, postings, records
 from findery.operators.search import Index
 
 RUN = "key: string, started: string, total_files: long, to_do: long, done: long, corpus_root_changed: boolean"
@@ -104,6 +104,18 @@ class Snapshot:
     def manifest(self) -> DataFrame:
         return self.table("manifest")
 
+    def blocks(self) -> DataFrame | None:
+        """Block rows of all tokens, each from the part that had it first; None without parts, or if a part was written without.
+
+        Tokens that no document has any more stay until the parts are merged.
+        """
+        root = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        fs = root.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        paths = [f"{self.path}/{part}/blocks" for part in self.parts]
+        if not paths or not all(fs.exists(self.spark._jvm.org.apache.hadoop.fs.Path(p)) for p in paths):
+            return None
+        return self.spark.read.schema(blocks.ROWS).parquet(*paths)
+
     def record(self, doc_id: str):
         """One record; ``KeyError`` if there is none."""
         found = self.records().where(F.col("doc_id") == doc_id).first()
@@ -112,7 +124,7 @@ class Snapshot:
         return found
 
     def index(self) -> Index:
-        return Index(self.records(), self.table("postings_field"), self.table("postings_kw"))
+        return Index(self.records(), self.table("postings_field"), self.table("postings_kw"), blocks=self.blocks())
 
 
 @dataclass
@@ -198,8 +210,11 @@ class Store:
         root = jvm.org.apache.hadoop.fs.Path(self.path)
         return root.getFileSystem(self.spark._jsc.hadoopConfiguration()), jvm.org.apache.hadoop.fs.Path
 
-    def _write_part(self, rows: DataFrame, manifest: DataFrame, gone: DataFrame | None) -> tuple[str, int]:
-        """A part's folder and number of records. Postings are sorted by their keys, so look-ups skip row groups by their statistics; a key of very many documents is dealt by these."""
+    def _write_part(self, rows: DataFrame, manifest: DataFrame, gone: DataFrame | None, known: DataFrame | None = None) -> tuple[str, int]:
+        """A part's folder and number of records. Postings and blocks are sorted by their keys, so look-ups skip row groups by their statistics; a key of very many documents is dealt by these.
+
+        Tokens in the block rows ``known`` of earlier parts get none here.
+        """
         part = f"part-{uuid.uuid4().hex}"
         at = f"{self.path}/{part}"
         rows.write.parquet(f"{at}/records")
@@ -209,6 +224,12 @@ class Store:
         (ids if gone is None else ids.unionByName(gone.select("doc_id"))).distinct().write.parquet(f"{at}/changed")
         postings.field_postings(kept).repartitionByRange("field", "value", "doc_id").sortWithinPartitions("field", "value").write.parquet(f"{at}/postings_field")
         postings.keyword_postings(kept).repartitionByRange("token", "doc_id").sortWithinPartitions("token").write.parquet(f"{at}/postings_kw")
+        tokens = self.spark.read.schema(TABLES["postings_kw"]).parquet(f"{at}/postings_kw").select("token").distinct()
+        if known is not None:
+            tokens = tokens.join(known.where("kind = 'token'").select("token"), "token", "left_anti")
+        tokens = tokens.persist()
+        blocks.rows_of(tokens).repartitionByRange("kind", "b", "token").sortWithinPartitions("kind", "b").write.parquet(f"{at}/blocks")
+        tokens.unpersist()
         return part, kept.count()
 
     def _claim(self, version: int) -> None:
@@ -234,8 +255,8 @@ class Store:
         With ``anew`` nothing of ``after`` stays. The version is current once this returns. Without ``merge`` parts may add
         up; the last of several versions should merge them.
         """
-        part, n = self._write_part(rows, manifest, gone)
         was = replace(after, parts=(), rows=()) if anew else after
+        part, n = self._write_part(rows, manifest, gone, was.blocks())
         now = replace(was, version=after.version + 1, corpus_root=corpus_root, built_at=built_at, parts=(*was.parts, part), rows=(*was.rows, n), run=run, log=log)
         self._point(after, now)
         return self.merged(now) if merge else now

@@ -1,0 +1,122 @@
+"""Block rows of a vocabulary: made for one search, or kept by a store in parts, they give the pairs of a plain comparison."""
+
+import random
+import shutil
+
+import pytest
+from pyspark.sql import functions as F
+
+from findery.config import Config, Ranking, Rules
+from findery.functions import text as T
+from findery.operators import blocks, search
+from findery.sources.store import Store, index_files
+
+
+def words(n, seed):
+    rng = random.Random(seed)
+    made = ["".join(rng.choice("abcé가1") for _ in range(rng.randint(2, 9))) for _ in range(n)]
+    return made + ["1234", "12345", "123", "ab", "aaaa", "aaaaa", "aaa"]
+
+
+def frame(spark, tokens, name):
+    return spark.createDataFrame([(t,) for t in tokens], f"{name} string")
+
+
+def plain(q, v):
+    return {(r.q_token, r.token) for r in q.crossJoin(v).where(T.loose(F.col("q_token"), F.col("token"))).collect()}
+
+
+def as_set(df):
+    rows = [tuple(r) for r in df.select("q_token", "token").collect()]
+    assert len(rows) == len(set(rows))
+    return set(rows)
+
+
+@pytest.mark.parametrize("asked", [5, 200])
+def test_pairs_are_those_of_a_plain_comparison(spark, tmp_path, asked):
+    """With literal keys and, for many tokens, without; the kept table comes in parts whose tokens overlap."""
+    vocabulary = words(400, 1)
+    q, v = frame(spark, [*words(asked, 2), *vocabulary[: asked // 5], "ab", "zzzz"], "q_token"), frame(spark, vocabulary, "token")
+    paths = [f"{tmp_path}/{k}" for k in range(3)]
+    for path, some in zip(paths, (vocabulary[:150], vocabulary[100:300], vocabulary[300:]), strict=True):
+        blocks.rows_of(frame(spark, some, "token")).sort("kind", "b").write.parquet(path)
+    kept = spark.read.schema(blocks.ROWS).parquet(*paths)
+    n = blocks.asked_keys(q, kept, kept=True).select("kind", "b").distinct().count()
+    assert (n > blocks.LITERAL_KEYS) == (asked == 200)
+    expected = plain(q, v)
+    assert as_set(blocks.pairs(q, kept, kept=True)) == expected == as_set(blocks.pairs(q, blocks.rows_of(v)))
+    assert as_set(search.loose_pairs(q, v)) == expected == as_set(search.loose_pairs(q, v, broadcast_up_to=0))
+
+
+def test_empty_sides(spark, tmp_path):
+    blocks.rows_of(frame(spark, [], "token")).write.parquet(f"{tmp_path}/e")
+    none = spark.read.schema(blocks.ROWS).parquet(f"{tmp_path}/e")
+    some = blocks.rows_of(frame(spark, ["memo"], "token"))
+    assert as_set(blocks.pairs(frame(spark, ["memo"], "q_token"), none, kept=True)) == set()
+    assert as_set(blocks.pairs(frame(spark, [], "q_token"), some)) == set() == as_set(blocks.pairs(frame(spark, [], "q_token"), none, kept=True))
+
+
+def test_work_goes_with_the_tokens_asked(spark, tmp_path):
+    """Keys reach the scan, and few rows of a large vocabulary are compared."""
+    rng = random.Random(3)
+    vocabulary = sorted({"".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(8)) for _ in range(20_000)})
+    blocks.rows_of(frame(spark, vocabulary, "token")).repartitionByRange(16, "kind", "b", "token").sortWithinPartitions("kind", "b").write.parquet(f"{tmp_path}/b")
+    kept = spark.read.schema(blocks.ROWS).parquet(f"{tmp_path}/b")
+    q = frame(spark, [vocabulary[77], vocabulary[5000][:-1]], "q_token")
+    held = blocks.of_keys(kept, blocks.asked_keys(q, kept, kept=True))
+    pushed = [x for x in held._jdf.queryExecution().executedPlan().toString().split("\n") if "PushedFilters" in x]
+    assert len(pushed) == 1 and "In(b" in pushed[0].replace("EqualTo(b", "In(b") and "Or(" in pushed[0]
+    assert held.count() < kept.count() / 100
+    assert {vocabulary[77], vocabulary[5000]} <= {t for _, t in as_set(blocks.pairs(q, kept, kept=True))}
+
+
+def files(spark, names):
+    return spark.createDataFrame([(n, 1.0, 1) for n in names], "file_path string, mtime double, size long")
+
+
+NAMES = [f"{a}/{b}_{c}_{k}.pdf" for k, (a, b, c) in enumerate([("Riverside Plant", "Memo", "motor"), ("Compressor", "Isometric", "HX-203"), ("Plant", "Datasheet", "TK-14"), ("Riverside Plant", "PID", "rotor")] * 12)]
+
+
+def test_a_store_keeps_block_rows(spark, tmp_path):
+    store = Store(spark, f"{tmp_path}/i")
+    assert store.snapshot().blocks() is None
+    index_files(store, files(spark, NAMES), "r", Config(), "t1")
+    index_files(store, files(spark, [*NAMES, "Riverside Plant/Memo_motors.pdf"]), "r", Config(), "t2")
+    now = store.snapshot()
+    kept = now.blocks().where("kind = 'token'").select("token")
+    assert len(now.parts) == 2 and kept.count() == kept.distinct().count()  # a part has the tokens that no earlier part has
+    index = store.index()
+    assert {r.token for r in kept.collect()} == {r.token for r in index.keywords.select("token").distinct().collect()} == {r.token for r in index.tokens.collect()}
+    built = search.Index.build(store.records())
+    queries = ["riverside plant memo moto", "isometric HX-203 compresor", "datashet", "zzzz", "motors rotor pid", "2019", ""]
+    asked = spark.createDataFrame(list(enumerate(queries)), "query_id int, raw_query string")
+    every = lambda i: sorted(map(str, search.search(asked, i, Rules(), Ranking(), top=60).collect()))
+    assert every(index) == every(built)
+    cached = index.cache()
+    for text in (queries[1], queries[3]):
+        one = [search.search_one(text, i, Rules(), Ranking(), top=5) for i in (built, index, cached)]
+        assert one[0] == one[1] == one[2]
+    cached.unpersist()
+
+
+def test_tokens_of_deleted_documents_lead_nowhere(spark, tmp_path):
+    store = Store(spark, f"{tmp_path}/i")
+    index_files(store, files(spark, [*NAMES, "Attic/xylophone.pdf"]), "r", Config(), "t1")
+    index_files(store, files(spark, NAMES), "r", Config(), "t2", drop_deleted=True)
+    index = store.index()
+    assert index.tokens.where("token = 'xylophone'").count() == 1 and index.keywords.where("token = 'xylophone'").count() == 0
+    asked = spark.createDataFrame([(1, "xylophone"), (2, "xylofone memo")], "query_id int, raw_query string")
+    every = lambda i: sorted(map(str, search.search(asked, i, Rules(), Ranking(), top=60).collect()))
+    assert every(index) == every(search.Index.build(store.records()))
+    index_files(store, files(spark, NAMES), "r", Config(), "t3", rebuild=True)
+    assert store.index().tokens.where("token = 'xylophone'").count() == 0  # merged, as all was written anew
+
+
+def test_a_part_without_block_rows(spark, tmp_path):
+    """An index written before there were any is searched through its postings, until it is merged."""
+    store = Store(spark, f"{tmp_path}/i")
+    index_files(store, files(spark, NAMES), "r", Config(), "t1")
+    shutil.rmtree(f"{tmp_path}/i/{store.snapshot().parts[0]}/blocks")
+    index_files(store, files(spark, [*NAMES, "Attic/xylophone.pdf"]), "r", Config(), "t2")
+    index = store.index()
+    assert index.blocks is None and search.search_one("xylophones", index, Rules(), Ranking()).rows[0]["file_path"] == "Attic/xylophone.pdf"
