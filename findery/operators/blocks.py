@@ -100,7 +100,8 @@ def asked_keys(tokens: DataFrame, rows: DataFrame, kept: bool = False) -> DataFr
 def pairs(tokens: DataFrame, rows: DataFrame, kept: bool = False) -> DataFrame:
     """Distinct ``(q_token, token)`` of the tokens in ``rows`` that are equal to a ``q_token`` or match it loosely.
 
-    ``kept`` rows are read from a sorted table: what is read and compared goes with the query's tokens, not with the vocabulary.
+    ``kept`` rows are read from a sorted table, and of it, for few keys, only what they lead to. What is compared goes with the
+    query's tokens, not with the vocabulary.
     """
     asked = asked_keys(tokens, rows, kept)
     held = rows.where(F.col("kind").isin("gram", "key", "cut"))
