@@ -185,8 +185,9 @@ def held(name: object, make: Callable[[], object]):
 
 
 def columns_of(df: DataFrame, *without: str) -> list[Column]:
-    """The columns of ``df`` whose names are not in ``without``, whatever signs the names hold."""
-    return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns if c not in without]
+    """The columns of ``df`` whose names are not in ``without``, whatever signs the names hold; as in Spark, case does not matter."""
+    gone = {c.lower() for c in without}
+    return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns if c.lower() not in gone]
 
 
 def unused(df: DataFrame, name: str) -> str:

@@ -1,7 +1,7 @@
 """Near-duplicate vectors by product quantisation.
 
 Unit vectors go to the nearest of a few coarse lists; what is left after the list's centroid is coded per
-subspace. A query visits every list whose border with its own list it could reach by ``REACH`` standard
+subspace. A query visits every list whose border with its own list it could reach by ``reach`` standard
 deviations of a shift of the linking distance across that border, sums table look-ups per coded vector,
 and keeps those whose coded distance is within the linking distance plus the vector's own coding error,
 which loses no true link inside a visited list. How shifts spread over directions is measured on the sample
@@ -34,7 +34,7 @@ SAMPLE, LIST_SAMPLE, MAX_LISTS, SUBSPACES, CODES = 16_000, 16, 8192, 8, 64
 SPREAD_SAMPLE = 16_000
 #: Fewest sampled links that their spread is taken from; fewest vectors, with fewer the probes are the widest.
 LEAST_LINKS, LEAST_VECTORS = 50, 1000
-#: Reach of the probes, in standard deviations.
+#: Reach of the probes, in standard deviations, unless a caller asks for another.
 REACH = 3.0
 #: Coded vectors in one group, queries that meet them in one group, and queries compared at a time.
 CHUNK, QUERY_CHUNK, BLOCK = 4096, 65_536, 256
@@ -70,9 +70,11 @@ class Index:
     cuts: list[int]
     #: For each kind of shift, the mean of its outer product with itself at unit length; None: nothing is known.
     spreads: list[np.ndarray] | None
+    #: Of the probes, in standard deviations; it travels with the index to the workers.
+    reach: float = REACH
 
     @classmethod
-    def fit(cls, units: np.ndarray, radius: float, lists: int | None = None) -> Index:
+    def fit(cls, units: np.ndarray, radius: float, lists: int | None = None, reach: float = REACH) -> Index:
         dim = units.shape[1]
         centroids = kmeans(units, lists or number_of_lists(len(units)))
         some = units[:SPREAD_SAMPLE]
@@ -80,7 +82,7 @@ class Index:
         left = some - centroids[of]
         spreads = _spreads([left, _shifts(some, of, radius)]) if len(some) >= LEAST_VECTORS else None
         cuts = np.linspace(0, dim, min(SUBSPACES, dim) + 1).astype(int).tolist()
-        return cls(centroids, [kmeans(left[:, a:b], CODES) for a, b in zip(cuts, cuts[1:], strict=False)], cuts, spreads)
+        return cls(centroids, [kmeans(left[:, a:b], CODES) for a, b in zip(cuts, cuts[1:], strict=False)], cuts, spreads, reach)
 
     @classmethod
     def trivial(cls, dim: int) -> Index:
@@ -108,7 +110,7 @@ class Index:
             apart, across = known[i]
             gap = (row - row[i]) / (2 * apart)
             gap[i] = 0
-            out.append(np.flatnonzero(gap <= radius * np.minimum(1, REACH * np.sqrt(across)) + 1e-9))
+            out.append(np.flatnonzero(gap <= radius * np.minimum(1, self.reach * np.sqrt(across)) + 1e-9))
         return out
 
     def _borders(self, i: int) -> tuple[np.ndarray, np.ndarray]:
@@ -179,7 +181,7 @@ def _bipartite(q: np.ndarray, d: np.ndarray, nq: int, nd: int) -> tuple[np.ndarr
     return np.concatenate((hit_d, hit_q + nd)), np.concatenate((label[hit_d], own[hit_q]))
 
 
-def near_duplicate_vectors(rows: DataFrame, min_cosine: float = 0.93, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
+def near_duplicate_vectors(rows: DataFrame, min_cosine: float = 0.93, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", reach: float = REACH) -> DataFrame:
     """``(vec_id, n_links, component_id, kept)`` per row; vectors link within a label from ``min_cosine`` on.
 
     Nothing links with a null label, nor with a vector that is null, empty, zero or holds a null or
@@ -187,10 +189,13 @@ def near_duplicate_vectors(rows: DataFrame, min_cosine: float = 0.93, id_col: st
     not kept). Equal vectors of a label (told by 128 bits of two hashes) are one class with its number of rows,
     so copies cost nothing. Rows that repeat an id are vectors of their own that share a component, the least
     one that any of them has. Arrays of floats are compared as they are, all others as doubles. An empty table
-    gives an empty result; other columns are ignored, whatever their names.
+    gives an empty result; other columns are ignored, whatever their names. ``reach`` is that of the probes in
+    standard deviations; ``math.inf`` visits every list that a link could lead to, which loses none.
     """
     if not 0 < min_cosine <= 1:
         raise ValueError("min_cosine must be in (0, 1]")
+    if not reach > 0:
+        raise ValueError("reach must be above 0")
     radius = math.sqrt(2 - 2 * min_cosine)
     v = F.col("v")
     exact = "float" if dict(rows.dtypes)[vector_col] == "array<float>" else "double"
@@ -200,7 +205,7 @@ def near_duplicate_vectors(rows: DataFrame, min_cosine: float = 0.93, id_col: st
     src = src.select("*", *(F.when(sound, F.xxhash64(F.lit(k), "label", "v")).alias(f"h{k}") for k in range(2)))
     grouped = src.where("h0 is not null").groupBy("h0", "h1").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n"), F.first("label").alias("label"), F.first("v").alias("v"))
     classes = materialize(grouped.select("*", F.size("v").alias("dim"), F.monotonically_increasing_id().alias("cid")), "vectors")
-    indexes = _fit(classes, radius, exact)
+    indexes = _fit(classes, radius, exact, reach)
     found = materialize(_search(classes, indexes, radius, min_cosine, exact), "links")
     links = found.where("cid is not null").groupBy("cid").agg(F.sum("links").alias("links"))
     parts = connected_components(found.where("u is not null").select("u", "v")).withColumnRenamed("node", "rep")
@@ -211,7 +216,7 @@ def near_duplicate_vectors(rows: DataFrame, min_cosine: float = 0.93, id_col: st
     return out.unionByName(alone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
 
 
-def _fit(classes: DataFrame, radius: float, kind: str) -> dict[int, Index]:
+def _fit(classes: DataFrame, radius: float, kind: str, reach: float) -> dict[int, Index]:
     """An index per dimension; vectors of a dimension that the sample does not hold share one list."""
     n = classes.count()
     lists = number_of_lists(n)
@@ -227,7 +232,7 @@ def _fit(classes: DataFrame, radius: float, kind: str) -> dict[int, Index]:
     for r in drawn.mapInArrow(pack, "dim int, raw binary").collect():
         by.setdefault(r.dim, []).append(r.raw)
     share = {dim: max(4, lists * len(vs) // max(1, sum(map(len, by.values())))) for dim, vs in by.items()}
-    return {dim: Index.fit(_unit(np.frombuffer(b"".join(vs), kind).reshape(-1, dim)), radius, share[dim]) for dim, vs in by.items()}
+    return {dim: Index.fit(_unit(np.frombuffer(b"".join(vs), kind).reshape(-1, dim)), radius, share[dim], reach) for dim, vs in by.items()}
 
 
 def _search(classes: DataFrame, indexes: dict[int, Index], radius: float, min_cosine: float, kind: str) -> DataFrame:

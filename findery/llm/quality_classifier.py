@@ -76,8 +76,11 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> np.nd
     """Weights learnt from ``docs`` (``doc_id, text``) where ``labels`` (``doc_id, quality``) has one verdict.
 
     At most ``max_rows`` ids are drawn, in a fixed hash order; ids that are null or labelled both ways are
-    left out. Without any label all weights are 0 and every score is 0.5.
+    left out. Ids and verdicts may be of any whole-number type. Without any label all weights are 0 and every
+    score is 0.5.
     """
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    labels = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"))
     said = labels.where("doc_id is not null and quality in (0, 1)").groupBy("doc_id").agg(F.min("quality").alias("q"), F.max("quality").alias("q2")).where("q = q2")
     drawn = said.join(docs.select("doc_id").where("doc_id is not null").distinct(), "doc_id").orderBy(hash_order(F.col("doc_id")), "doc_id").limit(max_rows).select("doc_id", "q")
     rows = docs.select("doc_id", "text").join(F.broadcast(materialize(drawn, "drawn")), "doc_id").select("doc_id", "q", F.col("text").cast("string").alias("text"))

@@ -5,7 +5,8 @@ cutoffs is laid out by the bad documents and a fixed fifth of the good ones: at
 is so many times commoner among the bad ones, and the factor falls from step to step. The other good documents
 certify the path: a step holds while the exact binomial test rejects "all rules together reject more than
 ``alpha`` of the good documents", at a level divided by the number of strata (Bonferroni); the fixed order
-along the path needs no further correction. So with probability ``1 - delta`` at least, no stratum loses more
+along the path needs no further correction. Trials are distinct texts of a stratum: copies of a text, under
+one id or many, count once, so the test's trials do not repeat each other (near copies count apart). So with probability ``1 - delta`` at least, no stratum loses more
 than ``alpha`` of its good documents to these rules. Of the certified steps the first one that catches nearly
 all the bad ones that the last catches is taken. A stratum with too few labels gets no cutoff.
 """
@@ -21,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import columns_of, text_column, unused
+from .common import broadcast_if_small, columns_of, materialize, text_column, unused
 
 SPACES, SYMBOLS = b"\x20\x09\x0a\x0b\x0c\x0d", b"#*$%&|<>"
 STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_marks")
@@ -104,10 +105,15 @@ def failed(n_words: Column, n_repeat_words: Column) -> Column:
 def with_stats(docs: DataFrame, keep_text: bool = True) -> DataFrame:
     """``docs`` with the columns of ``STATS`` (longs) and ``base_failed``; columns of those names are replaced.
 
+    Without ``keep_text``, ``text_md5`` stands for the text.
+
     Null and empty texts have counts of 0 and fail the base rules; repeated rows and null ids are rows like others.
     """
     name = unused(docs, "_stats")
-    own = columns_of(docs, *STATS, "base_failed", *(() if keep_text else ("text",)))
+    own = columns_of(docs, *STATS, "base_failed", *(() if keep_text else ("text", "text_md5")))
+    if not keep_text:
+        docs = docs.select(*columns_of(docs, "text_md5"), _digest(F.col("text")).alias("text_md5"))
+        own.append(F.col("text_md5"))
     got = docs.select(*own, stats_of(F.col("text")).alias(name)).select(*own, *(F.col(f"{name}.{s}").alias(s) for s in STATS))
     return got.withColumn("base_failed", failed(F.col("n_words"), F.col("n_repeat_words")))
 
@@ -146,24 +152,47 @@ def stratum_of(lang: Column) -> Column:
     return F.coalesce(lang.cast("string"), F.lit("und"))
 
 
-def design_fold(doc_id: Column) -> Column:
-    """True for the fixed fifth of the good documents that helps to lay out the path."""
-    return F.conv(F.substring(F.md5(doc_id.cast("string").cast("binary")), 1, 8), 16, 10).cast("long") % 5 == 0
+def _digest(text: Column) -> Column:
+    return F.md5(F.coalesce(text.cast("string"), F.lit("")).cast("binary"))
+
+
+def design_fold(text_md5: Column) -> Column:
+    """True for the fixed fifth of the good texts that helps to lay out the path."""
+    return F.conv(F.substring(text_md5, 1, 8), 16, 10).cast("long") % 5 == 0
+
+
+def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose ``doc_id`` has a label, with their own columns: all that ``calibrate`` needs."""
+    name = unused(docs, "_labelled")
+    ids = broadcast_if_small(labels.where("doc_id is not null and quality in (0, 1)").select(F.col("doc_id").alias(name)).distinct(), "labelled")
+    return docs.join(ids, F.col("doc_id") == F.col(name), "left_semi")
+
+
+def trials(stats: DataFrame, labels: DataFrame) -> DataFrame:
+    """``(stratum, role, ...)`` with the statistic of each rule: a row for each distinct labelled text of a stratum.
+
+    ``role`` is bad, or design or good. Ids that are null, labelled both ways or borne by several texts are left
+    out, and so are texts that the base rules reject or whose ids are labelled both ways.
+    """
+    digest = _digest(F.col("text")) if "text" in stats.columns else F.col("text_md5")
+    said = labels.where("doc_id is not null and quality in (0, 1)").groupBy("doc_id").agg(F.min("quality").alias("q"), F.max("quality").alias("q2")).where("q = q2")
+    rows = stats.select("doc_id", stratum_of(F.col("lang")).alias("stratum"), digest.alias("digest"), "base_failed", *(_ratio(r).alias(r) for r in RULES))
+    rows = rows.join(said.select("doc_id", "q"), "doc_id")
+    sure = rows.groupBy("doc_id").agg(F.min("digest").alias("a"), F.max("digest").alias("b")).where("a = b").select("doc_id")
+    once = rows.join(sure, "doc_id", "left_semi").where("not base_failed").groupBy("stratum", "digest")
+    once = once.agg(F.min("q").alias("q"), F.max("q").alias("q2"), *(F.first(r).alias(r) for r in RULES)).where("q = q2")
+    role = F.when(F.col("q") == 0, "bad").when(design_fold(F.col("digest")), "design").otherwise("good")
+    return once.select("stratum", role.alias("role"), *RULES)
 
 
 def calibrate(stats: DataFrame, labels: DataFrame, limits: Limits = Limits()) -> dict[str, dict[str, float]]:
     """Stratum to rule to cutoff, from ``stats`` (as ``with_stats`` gives them, with ``doc_id`` and ``lang``).
 
-    ``labels`` has ``doc_id`` and ``quality``; ids that are null or labelled both ways are ignored, and so are
-    documents that already fail the base rules. A repeated id counts once for each of its rows. Without labels
-    there are no cutoffs. Only counts per stratum, rule and cutoff reach the driver, and only for strata with
+    ``labels`` has ``doc_id`` and ``quality``. ``trials`` says what counts: each distinct text of a stratum once,
+    however often it or its id is repeated. Without labels there are no cutoffs. Only counts per stratum, rule and cutoff reach the driver, and only for strata with
     enough good labels to certify anything.
     """
-    spark = stats.sparkSession
-    said = labels.where("doc_id is not null and quality in (0, 1)").groupBy("doc_id").agg(F.min("quality").alias("q"), F.max("quality").alias("q2")).where("q = q2")
-    role = F.when(F.col("q") == 0, "bad").when(design_fold(F.col("doc_id")), "design").otherwise("good")
-    rows = stats.where("not base_failed").select("doc_id", stratum_of(F.col("lang")).alias("stratum"), *(_ratio(r).alias(r) for r in RULES))
-    held = rows.join(said.select("doc_id", "q"), "doc_id").select("stratum", role.alias("role"), *RULES)
+    held = materialize(trials(stats, labels), "trials")
     least = math.ceil(math.log(limits.delta) / math.log1p(-limits.alpha))
     strata = sorted(r.stratum for r in held.where("role = 'good'").groupBy("stratum").count().where(F.col("count") >= least).collect())
     if not strata:

@@ -167,6 +167,7 @@ def _op9_sql() -> str:
     steps, lifts = quality_rules.STEPS, ", ".join(f"{x}::DOUBLE" for x in quality_rules.LIFTS)
     grid = ", ".join(f"{c}::DOUBLE" for c in quality_rules.GRID)
     ratios = " UNION ALL ".join(f"SELECT doc_id, stratum, role, '{r}' AS rule, {a} / greatest({b}, 1)::DOUBLE AS x FROM held" for r, (a, b) in rules.items())
+    counts = ", ".join(f"any_value({c}) AS {c}" for c in quality_rules.STATS)
     return rf"""
 WITH RECURSIVE w AS (
   SELECT doc_id, coalesce(lang, 'und') AS stratum, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
@@ -175,14 +176,16 @@ g AS (SELECT doc_id, unnest(generate_series(1, len(w) - 2)) AS pos, unnest(list_
 twice AS (SELECT doc_id, pos, count(*) OVER (PARTITION BY doc_id, g) AS n FROM g),
 covered AS (SELECT doc_id, count(*) AS n FROM (SELECT DISTINCT doc_id, unnest([pos, pos + 1, pos + 2]) AS pos FROM twice WHERE n > 1) GROUP BY doc_id),
 s AS (
-  SELECT w.doc_id, stratum, len(w.w) AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g')) AS word_chars, length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols,
+  SELECT w.doc_id, stratum, md5(t) AS digest, len(w.w) AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g')) AS word_chars, length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols,
     len(l) - len(list_distinct(l)) AS n_dup_lines, coalesce(c.n, 0) AS n_repeat_words, len(l) AS n_lines, len(list_filter(w.w, lambda x: regexp_matches(x, '[!?][!?]'))) AS n_marks
   FROM w LEFT JOIN covered c ON c.doc_id = w.doc_id),
 b AS (SELECT *, n_words < {quality_rules.MIN_WORDS} OR 100 * n_repeat_words > {quality_rules.MAX_REPEAT_PERCENT} * n_words AS base_failed FROM s),
 said AS (SELECT doc_id, min(quality) AS q FROM labels WHERE quality IN (0, 1) GROUP BY doc_id HAVING min(quality) = max(quality)),
+labelled AS (SELECT b.*, q FROM b JOIN said ON said.doc_id = b.doc_id),
+sure AS (SELECT doc_id FROM labelled GROUP BY doc_id HAVING min(digest) = max(digest)),
 held AS (
-  SELECT b.*, CASE WHEN q = 0 THEN 'bad' WHEN ('0x' || substr(md5(CAST(b.doc_id AS VARCHAR)), 1, 8))::UBIGINT % 5 = 0 THEN 'design' ELSE 'good' END AS role
-  FROM b JOIN said ON said.doc_id = b.doc_id WHERE NOT base_failed),
+  SELECT digest AS doc_id, stratum, CASE WHEN min(q) = 0 THEN 'bad' WHEN ('0x' || substr(digest, 1, 8))::UBIGINT % 5 = 0 THEN 'design' ELSE 'good' END AS role, {counts}
+  FROM labelled SEMI JOIN sure USING (doc_id) WHERE NOT base_failed GROUP BY digest, stratum HAVING min(q) = max(q)),
 enough AS (SELECT stratum FROM held WHERE role = 'good' GROUP BY stratum HAVING count(*) >= {math.ceil(math.log(limits.delta) / math.log1p(-limits.alpha))}),
 x AS (SELECT r.* FROM ({ratios}) r SEMI JOIN enough USING (stratum)),
 cut AS (SELECT unnest(generate_series(1, {len(quality_rules.GRID)})) AS k, unnest([{grid}]) AS c),

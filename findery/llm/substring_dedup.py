@@ -106,13 +106,13 @@ def _as_before(*cols: np.ndarray) -> np.ndarray:
     return same
 
 
-def _chunks(rows: Iterator[tuple[np.ndarray, ...]]) -> Iterator[list[np.ndarray]]:
+def _chunks(rows: Iterator[tuple[np.ndarray, ...]], most: int) -> Iterator[list[np.ndarray]]:
     held: list[tuple[np.ndarray, ...]] = []
     n = 0
     for row in rows:
         held.append(row)
         n += len(row[0])
-        if n >= COMBINE_ROWS:
+        if n >= most:
             yield [np.concatenate(c) for c in zip(*held, strict=True)]
             held, n = [], 0
     if n:
@@ -124,7 +124,7 @@ def _batches(names: list[str], cols: list[np.ndarray], rows: int = 1 << 16) -> I
         yield pa.RecordBatch.from_arrays([pa.array(c[at : at + rows]) for c in cols], names)
 
 
-def _shared_minimizers(docs: DataFrame, size: int, gram: int) -> DataFrame:
+def _shared_minimizers(docs: DataFrame, size: int, gram: int, combine: int) -> DataFrame:
     """``(doc_id, mins)``: of each document the minimizers that another document has as well."""
 
     def emit(batches):
@@ -135,7 +135,7 @@ def _shared_minimizers(docs: DataFrame, size: int, gram: int) -> DataFrame:
                         m = np.unique(minimizers(h, size, gram))
                         yield m, np.full(len(m), doc, np.int64)
 
-        for m, d in _chunks(rows()):
+        for m, d in _chunks(rows(), combine):
             order = np.lexsort((d, m))
             m, d = m[order].view(np.int64), d[order]
             same = _as_before(m)
@@ -154,7 +154,7 @@ def _shared_minimizers(docs: DataFrame, size: int, gram: int) -> DataFrame:
     return spread.where("known or lo < hi").groupBy(F.col("doc").alias("doc_id")).agg(F.collect_set("m").alias("mins"))
 
 
-def _repeats(docs: DataFrame, mins: DataFrame, size: int, gram: int) -> DataFrame:
+def _repeats(docs: DataFrame, mins: DataFrame, size: int, gram: int, combine: int) -> DataFrame:
     """``(doc_id, places)``: starts of windows that an earlier document has too, tagged with 31 bits of the text's hash.
 
     Of places whose windows are equal one stands for all, with the bit ``ECHO``.
@@ -171,7 +171,7 @@ def _repeats(docs: DataFrame, mins: DataFrame, size: int, gram: int) -> DataFram
                     w, x = _two_hashes(h, size)
                     yield w[at], x[at], np.full(len(at), doc, np.int64), at + text_tag(text)
 
-        for w, x, d, p in _chunks(rows()):
+        for w, x, d, p in _chunks(rows(), combine):
             order = np.lexsort((d, w))
             w, x, d, p = w[order].view(np.int64), x[order], d[order], p[order]
             same = _as_before(w, x)
@@ -246,8 +246,11 @@ def _cut(text: Column, places: Column, size: int) -> Column:
     return cut.asNondeterministic()(text, places)
 
 
-def cut_repeats(docs: DataFrame, name: str, size: int = SIZE, gram: int = GRAM) -> DataFrame:
-    """``docs`` with a struct ``(n_words, removed, kept)`` as column ``name``; kept is null where no word goes."""
+def cut_repeats(docs: DataFrame, name: str, size: int = SIZE, gram: int = GRAM, combine: int = COMBINE_ROWS) -> DataFrame:
+    """``docs`` with a struct ``(n_words, removed, kept)`` as column ``name``; kept is null where no word goes.
+
+    A task settles ``combine`` windows together before it sends them on; that changes what is shuffled, not the result.
+    """
     if not 0 < gram <= size:
         raise ValueError("gram must be between 1 and size")
     kinds = dict(docs.dtypes)
@@ -256,14 +259,14 @@ def cut_repeats(docs: DataFrame, name: str, size: int = SIZE, gram: int = GRAM)
     src = docs.select(*keys, *columns_of(docs, "doc_id", "text"))
     places = unused(docs, "places")
     known = src.where("doc_id is not null")
-    found = _repeats(known, _shared_minimizers(known, size, gram), size, gram).withColumnRenamed("places", places)
+    found = _repeats(known, _shared_minimizers(known, size, gram, combine), size, gram, combine).withColumnRenamed("places", places)
     # rows without an id take nothing and stay where they are
     rest = src.where("doc_id is null").withColumn(places, F.lit(None).cast("array<bigint>"))
     joined = known.join(found, "doc_id", "left").unionByName(rest)
     return joined.select(*columns_of(src), _cut(F.col("text"), F.col(places), size).alias(name))
 
 
-def remove_repeats(docs: DataFrame, size: int = SIZE, gram: int = GRAM) -> DataFrame:
+def remove_repeats(docs: DataFrame, size: int = SIZE, gram: int = GRAM, combine: int = COMBINE_ROWS) -> DataFrame:
     """``docs`` with ``n_words``, ``n_removed``, ``removed`` (maximal word intervals) and ``kept_text``.
 
     Words are runs of anything but ASCII space characters. A word goes if a window of ``size`` words
@@ -275,9 +278,9 @@ def remove_repeats(docs: DataFrame, size: int = SIZE, gram: int = GRAM) -> DataF
     """
     own = docs.select(*columns_of(docs, "n_words", "n_removed", "removed", "kept_text"))
     name = unused(own, "_cut")
-    out = cut_repeats(own, name, size, gram)
+    out = cut_repeats(own, name, size, gram, combine)
     gone = F.aggregate(F.col(f"{name}.removed"), F.lit(0).cast("long"), lambda n, x: n + x.end - x.start)
-    return out.select(*(c for c in out.columns if c != name), f"{name}.n_words", gone.alias("n_removed"), f"{name}.removed", F.coalesce(f"{name}.kept", "text", F.lit("")).alias("kept_text"))
+    return out.select(*columns_of(out, name), f"{name}.n_words", gone.alias("n_removed"), f"{name}.removed", F.coalesce(f"{name}.kept", "text", F.lit("")).alias("kept_text"))
 
 
 def without_repeats(docs: DataFrame, length: str = "n_chars") -> DataFrame:

@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import columns_of, unused
+
 KINDS = ("domain", "prefix")
 ACTIONS = ("allow", "block", "drop")
 
@@ -66,14 +68,15 @@ def evaluate(captures: DataFrame, entries: DataFrame) -> DataFrame:
 
     A path prefix outranks a domain, a longer key a shorter one. Without an active entry, a host or a fetch
     time the verdict is ``allow`` and the matched columns are null. Repeated captures are decided once and
-    all returned; columns of ``captures`` with the name of a result are replaced.
+    all returned; columns of ``captures`` with the name of a result are replaced, all others stay, whatever
+    their names. An empty table gives an empty result.
     """
-    added = ("host", "verdict", "matched_kind", "matched_key", "active_from")
-    own = captures.select(*(c for c in captures.columns if c not in added))
-    asked = own.select(F.col("url").alias("_u"), F.col("fetched_at").alias("_t")).where("_u is not null and _t is not null").distinct()
-    keyed = asked.select("_u", "_t", F.explode(candidate_keys(host_of(F.col("_u")), path_of(F.col("_u")))).alias("k")).select("_u", "_t", "k.kind", "k.key", "k.depth")
-    active = (F.col("_t") >= F.col("valid_from")) & (F.col("valid_to").isNull() | (F.col("_t") < F.col("valid_to")))
+    own = captures.select(*columns_of(captures, "host", "verdict", "matched_kind", "matched_key", "active_from"))
+    u, t, m = (unused(own, x) for x in ("_u", "_t", "_m"))
+    asked = own.select(F.col("url").alias(u), F.col("fetched_at").alias(t)).where(F.col(u).isNotNull() & F.col(t).isNotNull()).distinct()
+    keyed = asked.select(u, t, F.explode(candidate_keys(host_of(F.col(u)), path_of(F.col(u)))).alias("k")).select(u, t, "k.kind", "k.key", "k.depth")
+    active = (F.col(t) >= F.col("valid_from")) & (F.col("valid_to").isNull() | (F.col(t) < F.col("valid_to")))
     hits = keyed.join(intervals(entries), ["kind", "key"]).where(active)
-    best = hits.groupBy("_u", "_t").agg(F.max_by(F.struct("action", "kind", "key", "valid_from"), "depth").alias("m"))
-    joined = own.join(best, (own["url"] == best["_u"]) & (own["fetched_at"] == best["_t"]), "left").drop("_u", "_t")
-    return joined.select(*own.columns, host_of(F.col("url")).alias("host"), F.coalesce("m.action", F.lit("allow")).alias("verdict"), F.col("m.kind").alias("matched_kind"), F.col("m.key").alias("matched_key"), F.col("m.valid_from").alias("active_from"))
+    best = hits.groupBy(u, t).agg(F.max_by(F.struct("action", "kind", "key", "valid_from"), "depth").alias(m))
+    joined = own.join(best, (F.col("url") == F.col(u)) & (F.col("fetched_at") == F.col(t)), "left")
+    return joined.select(*columns_of(own), host_of(F.col("url")).alias("host"), F.coalesce(f"{m}.action", F.lit("allow")).alias("verdict"), F.col(f"{m}.kind").alias("matched_kind"), F.col(f"{m}.key").alias("matched_key"), F.col(f"{m}.valid_from").alias("active_from"))

@@ -130,23 +130,21 @@ def brute_removal(rows, size):
     return out
 
 
-def test_echoes_of_a_passage(spark, monkeypatch):
+def test_echoes_of_a_passage(spark):
     """A text that repeats a passage sends one place; all of them go if an earlier text has the passage, none if not."""
-    monkeypatch.setattr(substring_dedup, "COMBINE_ROWS", 1)
     p = " ".join(f"p{k}" for k in range(60))
     rows = [(3, f"{p} x {p} y {p}"), (5, f"a {p} b {p}"), (2, "z " * 70), (9, "z " * 200), (9, f"other {p}"), (None, p), (11, p)]
-    got = substring_dedup.remove_repeats(spark.createDataFrame(rows, DOCS).repartition(6)).collect()
+    got = substring_dedup.remove_repeats(spark.createDataFrame(rows, DOCS).repartition(6), combine=1).collect()
     key = lambda r: tuple(str(x) for x in r)
     digest = lambda t: hashlib.sha256(" ".join(words_of(t)).encode()).hexdigest()
     assert sorted(((r.doc_id, r.n_words, r.n_removed, digest(r.kept_text)) for r in got), key=key) == sorted(brute_removal(rows, 50), key=key)
 
 
 @pytest.mark.parametrize(("size", "gram", "combine"), [(50, 12, 1 << 18), (4, 2, 64), (1, 1, 16)])
-def test_substring_dedup(spark, monkeypatch, size, gram, combine):
-    monkeypatch.setattr(substring_dedup, "COMBINE_ROWS", combine)
+def test_substring_dedup(spark, size, gram, combine):
     rows = make_texts(3)
     df = spark.createDataFrame([(*r, 7) for r in rows], DOCS + ", n_words int").repartition(5)
-    got = substring_dedup.remove_repeats(df, size, gram).collect()
+    got = substring_dedup.remove_repeats(df, size, gram, combine).collect()
     digest = lambda t: hashlib.sha256(" ".join(words_of(t)).encode()).hexdigest()
     key = lambda r: tuple(str(x) for x in r)
     assert sorted(((r.doc_id, r.n_words, r.n_removed, digest(r.kept_text)) for r in got), key=key) == sorted(brute_removal(rows, size), key=key)
@@ -199,3 +197,21 @@ def test_vectors_in_their_own_precision(spark, kind, big):
     clash = spark.createDataFrame([(*r, 1, 2) for r in rows], f"vec_id long, embedding array<{kind}>, label int, cid int, rep int")
     got = {r.vec_id: r.n_links for r in embedding_dedup.near_duplicate_vectors(clash).collect()}
     assert got == {1: 1, 2: 2, 3: 1, 4: big, 5: big, 6: 0}
+
+
+def test_reach_travels_to_the_workers(spark):
+    """More vectors than those that always get the widest probes: an infinite reach gives every link, a short one does not."""
+    rng = np.random.default_rng(8)
+    base = rng.normal(size=(1000, 24))
+    base /= np.linalg.norm(base, axis=1, keepdims=True)
+    shift = rng.normal(size=base.shape)
+    x = np.concatenate((base, base + 0.36 * shift / np.linalg.norm(shift, axis=1, keepdims=True))).astype(np.float32)
+    rows = spark.createDataFrame([(k, v.tolist(), 1) for k, v in enumerate(x)], "vec_id long, embedding array<float>, label int").repartition(4)
+    unit = embedding_dedup._unit(x)
+    near = unit @ unit.T >= 0.93
+    np.fill_diagonal(near, False)
+    got = {reach: {r.vec_id: r.n_links for r in embedding_dedup.near_duplicate_vectors(rows, reach=reach).collect()} for reach in (math.inf, 0.01)}
+    assert near.sum() > 1000 and got[math.inf] == dict(enumerate(near.sum(1).tolist()))
+    assert sum(got[0.01].values()) < near.sum()
+    with pytest.raises(ValueError):
+        embedding_dedup.near_duplicate_vectors(rows, reach=0)

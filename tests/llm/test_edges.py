@@ -13,7 +13,7 @@ rnd = random.Random(12)
 LONG = " ".join("".join(rnd.choices("abcdefgh", k=rnd.randint(1, 9))) for _ in range(200_000))
 ROWS = [(1, "the house and the tree", "en"), (1, "the house and the tree", "en"), (1, "another text of the same id", None), (2, None, "en"), (3, "", None), (4, " \n\t", "en"), (5, LONG, "en"), (None, "no id at all", "en"), (None, None, None), (6, "x́ 你好 😀 \x00", "zz"), (7, "-" * 300_000, None)]
 #: Columns that operators use themselves, with values of another type than theirs.
-CLASH = {c: "clash" for c in ("score", "lang_pred", "n_tokens", "ids", "decoded", "n_words", "base_failed", "kept", "removed", "kept_text", "fp", "cls", "key", "rank", "bucket", "length", "slots", "_stats", "_found", "_cut", "a.b")}
+CLASH = {c: "clash" for c in ("score", "lang_pred", "n_tokens", "ids", "decoded", "n_words", "base_failed", "kept", "removed", "kept_text", "fp", "cls", "key", "rank", "bucket", "length", "slots", "_stats", "_found", "_cut", "a.b", "N_REPEAT_WORDS", "_u", "_t", "_m")}
 
 
 def tables(spark):
@@ -35,8 +35,8 @@ OPERATORS = {
     "score": (lambda d: quality_classifier.score(d, np.full((1 << quality_classifier.BITS) + 1, 0.1)), ["score"]),
     "identify": (lambda d: language_id.identify(d, model()), ["lang_pred", "score"]),
     "with_stats": (lambda d: quality_rules.verdict(quality_rules.with_stats(d), {"en": {"symbols": 0.1}}), [*quality_rules.STATS, "base_failed", "kept"]),
-    "remove_repeats": (lambda d: substring_dedup.remove_repeats(d.drop("a.b")), ["n_words", "n_removed", "removed", "kept_text"]),
-    "encode_texts": (lambda d: byte_bpe.encode_texts(d.drop("a.b"), bpe()), ["n_tokens", "ids", "decoded"]),
+    "remove_repeats": (lambda d: substring_dedup.remove_repeats(d), ["n_words", "n_removed", "removed", "kept_text"]),
+    "encode_texts": (lambda d: byte_bpe.encode_texts(d, bpe()), ["n_tokens", "ids", "decoded"]),
     "near_duplicates": (simhash.near_duplicates, ["fingerprint", "component_id"]),
     "pieces": (lambda d: packing.pieces(d, tokenizer_path(WORD_BPE)), ["piece", "start", "length", "ids_crc32"]),
     "keep_one": (shingle_dedup.keep_one, []),

@@ -195,18 +195,23 @@ def test_op10(spark):
 
 
 def brute_cutoffs(stats, labels):
-    """Certified joint cutoffs in plain Python: stats by id as (stratum, counts)."""
+    """Certified joint cutoffs in plain Python, from ``(id, text, stratum, counts)``; each labelled text of a stratum counts once."""
     limits, names = quality_rules.Limits(), quality_rules.STATS
     said = {}
     for i, q in labels:
         if i is not None and q in (0, 1):
             said.setdefault(i, set()).add(q)
-    groups = {}
-    for i, (stratum, counts) in stats:
+    groups, borne, units = {}, {}, {}
+    for i, text, _, _ in stats:
+        borne.setdefault(i, set()).add(text or "")
+    for i, text, stratum, counts in stats:
+        if i is not None and len(said.get(i, ())) == 1 and len(borne[i]) == 1:
+            units.setdefault((stratum, text or ""), (counts, set()))[1].update(said[i])
+    for (stratum, text), (counts, verdicts) in units.items():
         s = dict(zip(names, counts, strict=True))
-        if i is None or len(said.get(i, ())) != 1 or s["n_words"] < 50 or 100 * s["n_repeat_words"] > 50 * s["n_words"]:
+        if len(verdicts) != 1 or s["n_words"] < 50 or 100 * s["n_repeat_words"] > 50 * s["n_words"]:
             continue
-        role = "bad" if 0 in said[i] else "design" if int(hashlib.md5(str(i).encode()).hexdigest()[:8], 16) % 5 == 0 else "good"
+        role = "bad" if 0 in verdicts else "design" if int(hashlib.md5(text.encode()).hexdigest()[:8], 16) % 5 == 0 else "good"
         groups.setdefault(stratum, {"bad": [], "design": [], "good": []})[role].append({r: s[a] / max(1, s[b]) for r, (a, b) in quality_rules.RULES.items()})
     groups = {k: g for k, g in groups.items() if (1 - limits.alpha) ** len(g["good"]) <= limits.delta}
     out = {}
@@ -234,10 +239,10 @@ def brute_pipeline(rows, labels, model_of):
     """The five stages in plain Python over ``(doc_id, text, lang)``: after each, the rows; at last the pieces."""
     marks = lambda t: sum(any(w[k : k + 2] in ("!!", "!?", "?!", "??") for k in range(len(w) - 1)) for w in words_of(t))
     lines = lambda t: sum(bool(words_of(x)) for x in (t or "").split("\n"))
-    stats = [(i, (lang or "und", (*slow_stats(t), lines(t), marks(t)))) for i, t, lang in rows]
+    stats = [(i, t, lang or "und", (*slow_stats(t), lines(t), marks(t))) for i, t, lang in rows]
     cutoffs = brute_cutoffs(stats, labels)
     kept = []
-    for row, (_, (stratum, counts)) in zip(rows, stats, strict=True):
+    for row, (_, _, stratum, counts) in zip(rows, stats, strict=True):
         s = dict(zip(quality_rules.STATS, counts, strict=True))
         over = any(s[a] / max(1, s[b]) > cutoffs.get(stratum, {}).get(r, math.inf) for r, (a, b) in quality_rules.RULES.items())
         if s["n_words"] >= 50 and 100 * s["n_repeat_words"] <= 50 * s["n_words"] and not over:

@@ -185,6 +185,32 @@ def test_certified_rules(spark):
     assert quality_rules.keep(docs.limit(0), cutoffs).count() == 0
 
 
+def test_copies_are_no_further_trials(spark):
+    """Eight good texts in 40 rows each, under one id or under 40, certify nothing; 200 distinct ones do."""
+    rnd = random.Random(9)
+    say = lambda k, end="": " ".join(f"w{rnd.randrange(5000)}{end}" for _ in range(60)) + f" {k}"
+    bad = [(1000 + k, say(k, "&&&"), "en") for k in range(50)]
+    good = [(k, say(k), "en") for k in range(8)]
+    many = {"rows": [r for r in good for _ in range(40)], "ids": [(5000 + 40 * k + j, t, "en") for k, t, _ in good for j in range(40)], "texts": [(k, say(k), "en") for k in range(260)]}
+    for name, rows in many.items():
+        docs = spark.createDataFrame(bad + rows, "doc_id long, text string, lang string")
+        labels = spark.createDataFrame([(i, int(i < 1000 or i >= 5000)) for i in {r[0] for r in bad + rows}], "doc_id long, quality int")
+        stats = quality_rules.with_stats(quality_rules.labelled(docs, labels))
+        assert bool(quality_rules.calibrate(stats, labels)) == (name == "texts")
+    docs = spark.createDataFrame(good[:2] + [(0, "another text", "en"), (9, good[2][1], "en"), (10, good[2][1], None), (11, good[3][1], "en"), (12, good[3][1], "en")], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(0, 1), (1, 1), (9, 1), (10, 1), (11, 0), (12, 1)], "doc_id int, quality long")
+    got = [r.stratum for r in quality_rules.trials(quality_rules.with_stats(docs), labels).collect()]
+    assert sorted(got) == ["en", "en", "und"]  # ids with two texts and texts labelled both ways do not count
+
+
+def test_training_takes_any_whole_numbers(spark):
+    docs = [(1, "a good text"), (2, "a bad !!! text"), (3, "good good words"), (4, "bad !!! words")]
+    labels = [(1, 1), (2, 0), (3, 1), (4, 0)]
+    plain = quality_classifier.train(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int"))
+    other = quality_classifier.train(spark.createDataFrame(docs, "doc_id int, text string"), spark.createDataFrame(labels, "doc_id short, quality long"))
+    assert plain.any() and np.array_equal(plain, other)
+
+
 def test_false_rejection_holds_on_fresh_labels():
     """Over many draws a certified step rejects more than alpha of the good documents no more often than delta."""
     rng, limits = np.random.default_rng(1), quality_rules.Limits()

@@ -30,3 +30,14 @@ def test_entry_spellings(spark):
     listed = spark.createDataFrame([(*e, day) for e in entries], "kind string, key string, action string, listed_at date")
     captures = spark.createDataFrame([(u, day) for u in asked], "url string, fetched_at date")
     assert {r.url: r.verdict for r in url_filters.evaluate(captures, listed).collect()} == asked
+
+
+def test_columns_of_captures_stay(spark):
+    day = dt.date(2024, 1, 1)
+    listed = spark.createDataFrame([("domain", "a.org", "block", day)], "kind string, key string, action string, listed_at date")
+    names = ["a.b", "_u", "_t", "_m", "kind", "depth"]
+    captures = spark.createDataFrame([("http://a.org/", day, *names, "old"), ("http://a.org/", day, *names, "old"), (None, day, *names, "old")], f"url string, fetched_at date, {', '.join(f'`{n}` string' for n in names)}, Verdict string")
+    got = url_filters.evaluate(captures, listed)
+    assert got.columns == ["url", "fetched_at", *names, "host", "verdict", "matched_kind", "matched_key", "active_from"]
+    assert sorted((r.verdict, tuple(r)[2:8]) for r in got.collect()) == [("allow", tuple(names)), *[("block", tuple(names))] * 2]
+    assert url_filters.evaluate(captures.limit(0), listed).count() == 0
