@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,7 +14,7 @@ from findery import schema
 from findery.config import Config, load_config
 from findery.functions import text as T
 from findery.jobs import deep_scan
-from findery.operators import extract, facets, postings, records, rerank, search
+from findery.operators import bitmaps, extract, facets, postings, records, rerank, search
 from findery.operators import feedback as fb
 from findery.plans.corpora import DEPARTMENTS, INDEXED_AT, PART_CTE, PART_RULES, PROJECT_NUMBERS, RANKING, TYPES, feedback, page_paths, part_files, part_records, table, text_files, tokens_sql
 from findery.sources import logs
@@ -287,6 +288,21 @@ def ambiguity_flags(spark, sf_dir):
     return search.envelope(out, asked).select("query_id", "ambiguous", "candidate_count")
 
 
+@query(f"""WITH {_search_cte(BATCH)}, scopes AS (SELECT * FROM (VALUES ('all'), ('extension'), ('folder'), ('both')) AS v(scope))
+SELECT scope, query_id, count(*) AS candidate_count FROM picked JOIN scopes ON (scope IN ('all', 'folder') OR {_EXT}) AND (scope IN ('all', 'extension') OR {_FOLDER})
+WHERE cand OR NOT any_cand GROUP BY scope, query_id""")
+def bitmap_candidate_counts(spark, sf_dir):
+    """Candidates of many queries, under each mix of filters, counted on bitmaps that are written once."""
+    index = search.Index.build(part_records(spark, sf_dir))
+    path = scratch(spark, "bitmaps")
+    bitmaps.document_sets(index).write.parquet(path)
+    sets, parsed = spark.read.parquet(path), search.parse_queries(queries_frame(spark, BATCH), PART_RULES)
+    pairs = index.loose_pairs(parsed.select(F.explode("keywords").alias("q_token")))
+    scopes = {"all": {}, "extension": {"extensions": _SCOPED["extensions"]}, "folder": {"folders": _SCOPED["folders"]}, "both": _SCOPED}
+    counts = [bitmaps.candidate_counts(parsed, sets, pairs, **kw).select(F.lit(name).alias("scope"), "query_id", "candidate_count") for name, kw in scopes.items()]
+    return reduce(DataFrame.unionByName, counts)
+
+
 @query(f"WITH {_search_cte(BATCH)} SELECT query_id, rank, justification FROM judged WHERE rank <= 10")
 def justifications(spark, sf_dir):
     return run_search(spark, sf_dir, BATCH, top=10).select("query_id", "rank", "justification")
