@@ -27,12 +27,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rows of a table that one task gets, about.
+TASK_ROWS = 20_000
+
+
+def spread(rows: DataFrame, key: str) -> DataFrame:
+    """``rows`` dealt by ``key`` over tasks of about ``TASK_ROWS`` rows.
+
+    A small file holds very many rows and is read by one task, which would parse them all and hold all their postings.
+    """
+    tasks = -(-rows.count() // TASK_ROWS)
+    return rows if tasks < 2 else rows.repartition(tasks, key)
+
+
 def part_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A file per part: brand and type folders, and a name with part, tag and year."""
     key = F.col("p_partkey")
     ext = F.element_at(F.array(*(F.lit(e) for e in (".pdf", ".docx", ".jpg", ""))), (key % 4 + 1).cast("int"))
     name = F.concat(F.replace("p_name", F.lit(" "), F.lit("_")), F.lit("_P-"), F.lpad((key % 10000).cast("string"), 4, "0"), F.lit("_"), (F.lit(1950) + F.col("p_size")).cast("string"), ext)
-    return table(spark, sf_dir, "part").select(key, F.concat_ws("/", F.replace("p_brand", F.lit("#"), F.lit("_")), "p_type", name).alias("file_path"))
+    return spread(table(spark, sf_dir, "part"), "p_partkey").select(key, F.concat_ws("/", F.replace("p_brand", F.lit("#"), F.lit("_")), "p_type", name).alias("file_path"))
 
 
 def part_records(spark: SparkSession, sf_dir: str) -> DataFrame:
