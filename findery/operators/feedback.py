@@ -59,12 +59,12 @@ def field_counts(feedback: DataFrame, records: DataFrame, rules: Rules) -> DataF
     """``(field_name, correct, incorrect)`` of weights that count at all; works on streams too, where Spark keeps the sums as state.
 
     Each query is parsed, and scored against the record chosen, once for all entries that agree on both; a
-    record with exact and loose keyword hits counts twice under ``keyword``. Entries whose record is gone are
+    record with exact and loose keyword hits counts twice under ``keyword``; one that is listed twice counts once. Entries whose record is gone are
     left out.
     """
     entries, meta = _judged(feedback), T.metadata(F.col("query"), rules)
     asked = entries.select("doc_id", "correct", "incorrect", *(c.alias(f"q_{k}") for k, c in meta.items()))
-    pairs = asked.join(records.select("doc_id", *RECORD_FIELDS, "year", "keywords", "extraction_status"), "doc_id")
+    pairs = asked.join(records.select("doc_id", *RECORD_FIELDS, "year", "keywords", "extraction_status").dropDuplicates(["doc_id"]), "doc_id")
     exact, almost = row_hits(F.col("q_keywords"), F.col("keywords"))
     kinds = matches(pairs.withColumns({"_exact": F.size(exact), "_loose": F.size(almost)}))
     fields = kinds.select("correct", "incorrect", F.explode("_fields").alias("field_name"))
