@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from findery.config import Rules
@@ -47,11 +47,25 @@ def fill_gaps(records: DataFrame, text: str, source: str, rules: Rules) -> DataF
     return rows.withColumns(changed).drop("_found")
 
 
+def _listed(of: Window | None = None) -> list[Column]:
+    """How often a path is listed, and with which dates and sizes: least, greatest and a sum of hashes."""
+    state = F.struct("mtime", "size")
+    found = [F.count("*"), F.min(state), F.max(state), F.sum(F.xxhash64("mtime", "size").cast("decimal(38,0)"))]
+    return found if of is None else [c.over(of) for c in found]
+
+
 def changed_files(files: DataFrame, manifest: DataFrame) -> DataFrame:
-    """``files`` with ``changed``: not in ``manifest``, or with another mtime or size there."""
-    known = manifest.select("file_path", F.col("mtime").alias("_m"), F.col("size").alias("_s"))
-    same = F.col("_s").isNotNull() & (F.col("mtime") == F.col("_m")) & (F.col("size") == F.col("_s"))
-    return files.join(known, "file_path", "left").select(*files.columns, (~F.coalesce(same, F.lit(False))).alias("changed"))
+    """``files`` with ``changed``: not in ``manifest``, or there with another mtime or size, or not as often.
+
+    A path that is listed several times is as many rows of ``files`` and of the result.
+    """
+    names = ("n", "least", "most", "sum")
+    known = manifest.groupBy("file_path").agg(*(c.alias(f"_m_{k}") for k, c in zip(names, _listed(), strict=True)))
+    marked = files.withColumns({f"_f_{k}": c for k, c in zip(names, _listed(Window.partitionBy("file_path")), strict=True)})
+    same = F.col("size").isNotNull() & F.col("mtime").isNotNull()
+    for k in names:
+        same = same & (F.col(f"_f_{k}") == F.col(f"_m_{k}"))
+    return marked.join(known, "file_path", "left").select(*files.columns, (~F.coalesce(same, F.lit(False))).alias("changed"))
 
 
 def upsert(old: DataFrame, fresh: DataFrame, key: str) -> DataFrame:

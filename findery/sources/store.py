@@ -6,13 +6,15 @@ is read is ever overwritten, a failed run leaves the last version current, and a
 writes one percent. Once parts are many or large they are written anew as one base; ``vacuum`` deletes what no
 version needs any more. Of two runs that follow the same version one is refused.
 
-A run over many files is cut into batches, each of which is published by itself, so a run that is stopped or
-dies keeps what it has done: the manifest of the last version is where the next run goes on. The pointer row says how
-far the run came.
+A run over many files is cut into batches, each of which is published by itself as a step of the run's version, so a
+run that is stopped or dies keeps what it has done: the manifest of the last step is where the next run goes on. The
+pointer row says how far the run came. Once all batches are published their parts are written anew as one. The number of
+batches grows with the root of the number of files, as each costs several small jobs.
 """
 
 from __future__ import annotations
 
+import math
 import threading
 import time
 import uuid
@@ -29,11 +31,13 @@ from findery.operators import blocks, postings, records
 from findery.operators.search import Index
 
 RUN = "key: string, started: string, total_files: long, to_do: long, done: long, corpus_root_changed: boolean"
-POINTER = f"version int, corpus_root string, built_at string, parts array<string>, rows array<long>, run struct<{RUN}>, log string"
+POINTER = f"version int, step int, corpus_root string, built_at string, parts array<string>, rows array<long>, run struct<{RUN}>, log string"
 #: Parts of a version at most, and share of the base that additions may reach.
 MAX_PARTS, MAX_SHARE = 8, 0.25
 #: Files of a batch at least, and batches of a run at most.
 BATCH_FILES, MAX_BATCHES = 25_000, 64
+#: Distinct tokens whose block rows one task makes, about.
+TASK_TOKENS = 50_000
 #: Seconds after which a claim on a version without a successor counts as left by a run that died.
 CLAIM_SECONDS = 600
 TABLES = {
@@ -78,6 +82,13 @@ class Snapshot:
     #: The index run that made it, if one did, and the key of the log entries that belong to it.
     run: Run | None = None
     log: str | None = None
+    #: Publications within the version: further batches of its run, and parts written anew.
+    step: int = 0
+
+    @property
+    def place(self) -> tuple[int, int]:
+        """Where it stands among all that was published."""
+        return self.version, self.step
 
     def _part(self, part: str, name: str, ddl: str) -> DataFrame:
         return self.spark.read.schema(ddl).parquet(f"{self.path}/{part}/{name}")
@@ -131,7 +142,7 @@ class Snapshot:
 class _Held:
     """A cached index and the number of its readers."""
 
-    version: int
+    place: tuple[int, int]
     index: Index
     readers: int = 0
 
@@ -151,8 +162,8 @@ class Store:
     def snapshot(self) -> Snapshot:
         """The published version, or an empty one (version 0) before the first run."""
         found = self._pointer()
-        row = None if found is None else found.orderBy(F.desc("version")).first()
-        return Snapshot(self.spark, self.path) if row is None else Snapshot(self.spark, self.path, row.version, row.corpus_root, row.built_at, tuple(row.parts), tuple(row.rows), Run(*row.run) if row.run else None, row.log)
+        row = None if found is None else found.orderBy(F.desc("version"), F.desc_nulls_last("step")).first()
+        return Snapshot(self.spark, self.path) if row is None else Snapshot(self.spark, self.path, row.version, row.corpus_root, row.built_at, tuple(row.parts), tuple(row.rows), Run(*row.run) if row.run else None, row.log, row.step or 0)
 
     def logged_keys(self, keys: list[str]) -> set[str]:
         """Those of ``keys`` that belong to a published version."""
@@ -187,8 +198,8 @@ class Store:
         """
         now = self.current()
         with self._lock:
-            if now is not None and (self._held is None or self._held.version < now.version):
-                old, self._held = self._held, _Held(now.version, now.index().cache())
+            if now is not None and (self._held is None or self._held.place < now.place):
+                old, self._held = self._held, _Held(now.place, now.index().cache())
                 if old is not None and not old.readers:
                     old.index.unpersist()
             mine = self._held
@@ -227,46 +238,55 @@ class Store:
         tokens = self.spark.read.schema(TABLES["postings_kw"]).parquet(f"{at}/postings_kw").select("token").distinct()
         if known is not None:
             tokens = tokens.join(known.where("kind = 'token'").select("token"), "token", "left_anti")
-        tokens = tokens.persist()
+        # kept in a few files: cached rows would stay in as many partitions as the shuffle has, once for each kind of block rows
+        tokens.write.parquet(f"{at}/tokens")
+        tokens = self.spark.read.schema("token string").parquet(f"{at}/tokens")
+        tokens = tokens.repartition(max(1, -(-tokens.count() // TASK_TOKENS)), "token")
         blocks.rows_of(tokens).repartitionByRange("kind", "b", "token").sortWithinPartitions("kind", "b").write.parquet(f"{at}/blocks")
-        tokens.unpersist()
         return part, kept.count()
 
-    def _claim(self, version: int) -> None:
-        """Be the one that writes the successor of ``version``, or raise. Atomic where creating a file is, as on HDFS."""
+    def _claim(self, after: Snapshot) -> None:
+        """Be the one that writes the successor of ``after``, or raise. Atomic where creating a file is, as on HDFS."""
         fs, path = self._fs()
-        turn = 0
-        while not fs.createNewFile(path(f"{self.path}/claims/after-{version}-{turn}")):
-            age = time.time() - fs.getFileStatus(path(f"{self.path}/claims/after-{version}-{turn}")).getModificationTime() / 1000
-            if age < CLAIM_SECONDS or self.snapshot().version > version:
-                raise Conflict(f"version {version} has a successor already, or another run is writing it")
+        name, turn = f"after-{after.version}" + f".{after.step}" * bool(after.step), 0
+        while not fs.createNewFile(path(f"{self.path}/claims/{name}-{turn}")):
+            age = time.time() - fs.getFileStatus(path(f"{self.path}/claims/{name}-{turn}")).getModificationTime() / 1000
+            if age < CLAIM_SECONDS or self.snapshot().place > after.place:
+                raise Conflict(f"version {name[6:]} has a successor already, or another run is writing it")
             turn += 1
 
     def _point(self, after: Snapshot, now: Snapshot) -> Snapshot:
-        self._claim(after.version)
+        self._claim(after)
         run = None if now.run is None else tuple(getattr(now.run, k) for k in Run.__dataclass_fields__)
-        row = (now.version, now.corpus_root, now.built_at, list(now.parts), list(now.rows), run, now.log)
+        row = (now.version, now.step, now.corpus_root, now.built_at, list(now.parts), list(now.rows), run, now.log)
         self.spark.createDataFrame([row], POINTER).coalesce(1).write.mode("append").parquet(f"{self.path}/pointer")
         return now
 
-    def publish(self, after: Snapshot, rows: DataFrame, manifest: DataFrame, corpus_root: str, built_at: str, gone: DataFrame | None = None, anew: bool = False, run: Run | None = None, log: str | None = None, merge: bool = True) -> Snapshot:
+    def publish(self, after: Snapshot, rows: DataFrame, manifest: DataFrame, corpus_root: str, built_at: str, gone: DataFrame | None = None, anew: bool = False, run: Run | None = None, log: str | None = None, merge: bool = True, step: bool = False) -> Snapshot:
         """A version that follows ``after``: ``rows`` and ``manifest`` replace what it has of the same documents, and ``gone`` (``doc_id``) leave.
 
         With ``anew`` nothing of ``after`` stays. The version is current once this returns. Without ``merge`` parts may add
-        up; the last of several versions should merge them.
+        up; the last of several versions should merge them. A ``step`` stays in the version of ``after``.
         """
         was = replace(after, parts=(), rows=()) if anew else after
         part, n = self._write_part(rows, manifest, gone, was.blocks())
-        now = replace(was, version=after.version + 1, corpus_root=corpus_root, built_at=built_at, parts=(*was.parts, part), rows=(*was.rows, n), run=run, log=log)
+        at = {"step": after.step + 1} if step else {"version": after.version + 1, "step": 0}
+        now = replace(was, **at, corpus_root=corpus_root, built_at=built_at, parts=(*was.parts, part), rows=(*was.rows, n), run=run, log=log)
         self._point(after, now)
         return self.merged(now) if merge else now
 
-    def merged(self, now: Snapshot) -> Snapshot:
-        """``now`` with its parts written as one base, if they are many or large."""
-        if len(now.parts) > MAX_PARTS or (len(now.parts) > 1 and sum(now.rows[1:]) > MAX_SHARE * now.rows[0]):
+    def merged(self, now: Snapshot, since: int | None = None) -> Snapshot:
+        """``now`` with its parts written as one base, if they are many or large, or else with those from place ``since`` on written as one."""
+        alone = len(now.parts) if since is None else since + 1
+        if alone > MAX_PARTS or (len(now.parts) > 1 and sum(now.rows[1:]) > MAX_SHARE * now.rows[0]):
             part, n = self._write_part(now.records(), now.manifest(), None)
-            now = self._point(now, replace(now, version=now.version + 1, parts=(part,), rows=(n,), log=None))
-        return now
+            return self._point(now, replace(now, step=now.step + 1, parts=(part,), rows=(n,), log=None))
+        if since is None or len(now.parts) - since < 2:
+            return now
+        kept, mine = replace(now, parts=now.parts[:since]), replace(now, parts=now.parts[since:])
+        gone = self.spark.read.schema("doc_id string").parquet(*(f"{self.path}/{part}/changed" for part in mine.parts)) if since else None
+        part, n = self._write_part(mine.records(), mine.manifest(), gone, kept.blocks())
+        return self._point(now, replace(now, step=now.step + 1, parts=(*kept.parts, part), rows=(*now.rows[:since], n), log=None))
 
     def vacuum(self, keep: int = 1) -> int:
         """Delete the parts that none of the last ``keep`` versions has, and leftovers of scans; the number of folders deleted.
@@ -274,14 +294,20 @@ class Store:
         No run may be under way, nor a reader of an older version.
         """
         pointer = self._pointer()
-        needed = set() if pointer is None else {p for r in pointer.orderBy(F.desc("version")).limit(keep).collect() for p in r.parts}
+        needed = set() if pointer is None else {p for r in pointer.orderBy(F.desc("version"), F.desc_nulls_last("step")).limit(keep).collect() for p in r.parts}
         fs, path = self._fs()
         names = [s.getPath().getName() for s in fs.listStatus(path(self.path))]
         old = [x for x in names if (x.startswith("part-") and x not in needed) or x == "scans"]
         return sum(bool(fs.delete(path(f"{self.path}/{x}"), True)) for x in old)
 
 
-def _scan(store: Store, marked: DataFrame, least: int, most: int) -> tuple[list[DataFrame], int, int]:
+def _batches(changed: int, batch: int | None) -> int:
+    """How many batches a run has: of about ``batch`` files, or else as many as the root of the number of batches of the least size."""
+    each = -(-changed // (batch or BATCH_FILES))
+    return min(MAX_BATCHES, each if batch else math.ceil(math.sqrt(each)))
+
+
+def _scan(store: Store, marked: DataFrame, batch: int | None) -> tuple[list[DataFrame], int, int]:
     """Batches of the changed files of ``marked``, written below the store, with the number of files seen and of those changed.
 
     One pass compares, counts and writes. Batches are cut by a hash of the path, so no task or sort sees all files.
@@ -291,7 +317,7 @@ def _scan(store: Store, marked: DataFrame, least: int, most: int) -> tuple[list[
     ddl = "file_path string, mtime double, size long"
     counted.where("changed").select("file_path", "mtime", "size").write.parquet(f"{at}/all")
     total, changed = seen.get["total"], seen.get["changed"]
-    new, n = store.spark.read.schema(ddl).parquet(f"{at}/all"), min(most, -(-changed // least))
+    new, n = store.spark.read.schema(ddl).parquet(f"{at}/all"), _batches(changed, batch)
     if n < 2:
         return [new] * n, total, changed
     dealt = new.withColumn("batch", F.pmod(F.xxhash64("file_path"), F.lit(n)).cast("int"))
@@ -305,7 +331,7 @@ def index_files(store: Store, files: DataFrame, corpus_root: str, config: Config
 
     Files that the manifest has with the same mtime and size are skipped; another root starts from nothing.
     Records of files that are gone stay unless ``drop_deleted``. A run that finds nothing new publishes nothing.
-    What is new is published in batches of about ``batch`` files. ``should_stop`` is asked before each; batches that are
+    What is new is published in batches of about ``batch`` files, which together make one version. ``should_stop`` is asked before each; batches that are
     published stay, and the next run skips just their files. A Spark job that is cancelled meanwhile costs its batch only.
     ``phase`` is told when scanning, indexing and building begin and may raise; ``progress`` hears of files
     looked at (unchanged ones included) out of all.
@@ -320,7 +346,7 @@ def index_files(store: Store, files: DataFrame, corpus_root: str, config: Config
         gone = was.manifest().join(files, "file_path", "left_anti").select("doc_id")
         gone = None if gone.isEmpty() else gone
     try:
-        batches, total, changed = _scan(store, records.changed_files(files, manifest), *((batch, max(1, MAX_BATCHES)) if batch else (BATCH_FILES, MAX_BATCHES)))
+        batches, total, changed = _scan(store, records.changed_files(files, manifest), batch)
         phase("indexing")
         run = Run(uuid.uuid4().hex, now, total, changed, 0, moved)
         progress(total - changed, total)
@@ -335,7 +361,7 @@ def index_files(store: Store, files: DataFrame, corpus_root: str, config: Config
             seen = new.select("file_path", "mtime", "size", records.T.doc_id(F.col("file_path")).alias("doc_id"))
             done = changed if k + 1 == len(batches) else run.done + new.count()
             try:
-                at = store.publish(at, fresh, seen, corpus_root, now, gone if k == 0 else None, anew=moved and k == 0, run=replace(run, done=done), merge=False)
+                at = store.publish(at, fresh, seen, corpus_root, now, gone if k == 0 else None, anew=moved and k == 0, run=replace(run, done=done), merge=False, step=k > 0)
             except Exception:
                 if not should_stop():
                     raise
@@ -345,7 +371,7 @@ def index_files(store: Store, files: DataFrame, corpus_root: str, config: Config
             progress(total - changed + done, total)
         if at is not was and not stopped:
             phase("building")
-            store.merged(at)
+            store.merged(at, 0 if moved else len(was.parts))
         return store.spark.createDataFrame([run.summary(corpus_root)[:-1] + (stopped,)], f"{schema.INDEX_RUNS}, cancelled boolean")
     finally:
         if drop_deleted and not moved:
