@@ -76,7 +76,8 @@ def deep_scan(store: Store, log_dir: str, reader: extract.Reader, ocr: extract.O
         was = store.snapshot()
         todo = extract.pending(was.records())
         if each is not None:
-            todo = todo.orderBy("doc_id").limit(each)
+            # with all records of an id, as these are merged together
+            todo = todo.join(todo.select("doc_id").orderBy("doc_id").limit(each).distinct(), "doc_id", "left_semi")
         at = f"{store.path}/scans/{uuid.uuid4().hex}"
         extract.extract(todo, reader, ocr, config.extraction).write.parquet(at)
         found = store.spark.read.parquet(at)
