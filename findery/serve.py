@@ -108,9 +108,11 @@ class Service:
         return 200, {k: [list(r) for r in facets.page(v, offset).collect()] for k, v in rows.items()} | {"pending": facets.pending(records).first().pending}
 
     def review_queue(self, f):
-        """A page of the entries, the oldest first; with ``offset`` every one of them can be reached."""
+        """The entries, the oldest first: all from ``offset`` on, or a page of at most ``limit``."""
         entries = logs.review_queue(self.spark, f"{self.log_dir}/review_queue").orderBy("timestamp", "file_path")
-        return 200, [r.asDict() for r in facets.page(entries, int(f.get("offset") or 0), int(f.get("limit") or 1000)).collect()]
+        offset = int(f.get("offset") or 0)
+        shown = facets.page(entries, offset, int(f["limit"])) if f.get("limit") else entries.offset(max(0, offset))
+        return 200, [r.asDict() for r in shown.collect()]
 
     def runs(self, _):
         return 200, [r.asDict() for r in facets.recent_runs(logs.index_runs(self.spark, f"{self.log_dir}/index_runs")).collect()]
