@@ -40,7 +40,8 @@ def language_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: five-word shingles, similarity 0.8 or more.
 
-    The operator's second form: fingerprints with pigeonhole blocks cannot find copies that far apart (see the README).
+    Fingerprints and pigeonhole blocks propose the close ones; bands of minima propose the others, which fingerprints cannot
+    find (see the README); exact shingle sets decide on both.
     """
     return simhash.keep_one(docs, similarity=MIN_SIMILARITY)
 

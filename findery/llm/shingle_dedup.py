@@ -1,15 +1,17 @@
-"""The near-duplicate operator for a similarity of 0.8: MinHash bands propose, exact shingle sets decide.
+"""What ``simhash`` needs for a similarity of 0.8: MinHash bands propose further pairs, exact shingle sets decide.
 
-It takes the place of ``simhash`` where copies are to be found from a similarity of 0.8 on: those differ in up to
-17 of 64 SimHash bits, too many for blocks of bits. So each
-distinct shingle set is filed under the hashes of ``BANDS`` bands of ``ROWS`` minima. Only sets that share a key
-are fetched and compared, exactly; each group of comparisons passes on a spanning forest of its links.
+Copies from a similarity of 0.8 on differ in up to 17 of 64 SimHash bits, too many for blocks of bits alone. So each
+distinct shingle set is also filed under the hashes of ``BANDS`` bands of ``ROWS`` minima. Only sets that share a key,
+or whose fingerprints are close, are fetched and compared, exactly; each group of comparisons passes on a spanning
+forest of its links.
 
 A pair at similarity ``s`` shares no key with probability ``(1 - s**ROWS) ** BANDS``: 7e-5 at 0.8, 1e-6 at 0.85.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -96,17 +98,21 @@ def _link(reps: np.ndarray, sets: list[np.ndarray], least: float) -> tuple[list[
     return us, vs
 
 
-def links(docs: DataFrame, classes: DataFrame, size: int = SIZE, least: float = MIN_SIMILARITY) -> DataFrame:
+def links(docs: DataFrame, classes: DataFrame, size: int = SIZE, least: float = MIN_SIMILARITY, proposed: DataFrame | None = None) -> DataFrame:
     """Edges ``(u, v)`` between representatives that connect what similarity ``least`` or more connects.
 
-    Of keys that just the same sets share (told by their number and two sums of hashes) one is taken. A key
+    Pairs ``proposed`` (``u, v``, of ``cls``) are compared besides those that share a key. Of keys that just the same sets share (told by their number and two sums of hashes) one is taken. A key
     with over ``CHUNK`` sets is dealt to chunks by hash, and every pair of chunks becomes a group.
     """
     filed = classes.select("cls", "rep", F.explode("keys").alias("key"))
     sums = [F.sum(F.xxhash64(F.lit(k), "cls").cast("decimal(20,0)")).alias(f"s{k}") for k in range(2)]
     shared = filed.groupBy("key").agg(F.count("*").alias("n"), *sums).where("n > 1")
     shared = shared.groupBy("n", "s0", "s1").agg(F.min("key").alias("key")).select("key", F.ceil(F.col("n") / CHUNK).cast("int").alias("chunks"))
-    met = materialize(filed.join(shared, "key"), "shingle-keys")
+    met = filed.join(shared, "key")
+    if proposed is not None:
+        pair = proposed.select(F.explode(F.array("u", "v")).alias("cls"), F.xxhash64(F.lit("close"), "u", "v").alias("key"), F.lit(1).alias("chunks"))
+        met = met.unionByName(pair.join(classes.select("cls", "rep"), "cls"))
+    met = materialize(met, "shingle-keys")
     wanted = broadcast_if_small(met.select("cls", "rep").distinct(), "shingle-classes-met")
     sets = materialize(_sets(docs, wanted, size), "shingle-sets")
     own = F.pmod(F.xxhash64("cls"), F.col("chunks")).cast("int")
@@ -134,16 +140,17 @@ def links(docs: DataFrame, classes: DataFrame, size: int = SIZE, least: float =
     return dealt.mapInArrow(run, "u long, v long")
 
 
-def keep_one(docs: DataFrame, size: int = SIZE, least: float = MIN_SIMILARITY) -> DataFrame:
+def keep_one(docs: DataFrame, size: int = SIZE, least: float = MIN_SIMILARITY, propose: Callable[[DataFrame, DataFrame, int], DataFrame] | None = None) -> DataFrame:
     """The rows of ``docs`` (``doc_id, text``, ...) without all but the least id of each group of near copies.
 
-    Texts without words are copies of each other. Rows with a null id stay and link nothing. Of rows that
+    ``propose`` gives pairs of classes to compare besides those of the bands, from texts, classes with words and ``size``. Texts without words are copies of each other. Rows with a null id stay and link nothing. Of rows that
     repeat the kept id, all stay. An empty table gives an empty result.
     """
     if not 0 < least <= 1:
         raise ValueError("least must be in (0, 1]")
     pair = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     prints, classes = _classes(pair, size)
-    found = connected_components(links(pair, classes, size, least)).withColumnRenamed("node", "rep")
+    close = None if propose is None else propose(pair, classes.where(F.size("keys") > 0), size)
+    found = connected_components(links(pair, classes, size, least, close)).withColumnRenamed("node", "rep")
     of = classes.select("cls", "rep").join(found, "rep", "left").select("cls", F.coalesce("component", "rep").alias("component_id"))
     return without_copies(docs, prints.join(of, "cls").select("doc_id", "component_id"))

@@ -54,11 +54,11 @@ def fingerprint(text: bytes | None, size: int = 3) -> int:
     return int(np.packbits(2 * counts > n, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(doc_id, fp)`` per row; fp is the fingerprint as a signed long."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3) -> DataFrame:
+    """``(doc_id, fp)`` per row; fp is the fingerprint of the ``size``-word shingles as a signed long."""
 
     def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-        fps = np.array([fingerprint(t) for t in utf8(batch, "text")], np.uint64).view(np.int64)
+        fps = np.array([fingerprint(t, size) for t in utf8(batch, "text")], np.uint64).view(np.int64)
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps)], ["doc_id", "fp"])
 
     pair = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
@@ -185,13 +185,25 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return fps.join(of, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def close_classes(docs: DataFrame, classes: DataFrame, size: int, most: int = 3) -> DataFrame:
+    """Pairs ``(u, v)`` of ``cls`` in ``classes`` (``cls, rep``), which connect what fingerprints that differ in ``most`` bits or less connect.
+
+    The fingerprint of a class is that of the ``size``-word shingles of its representative's text in ``docs`` (``doc_id, text``).
+    """
+    own = classes.select("cls", F.col("rep").alias("doc_id"))
+    fps = materialize(fingerprints(docs, size=size).join(own, "doc_id").select("fp", "cls"), "simhash")
+    distinct = materialize(fps.groupBy("fp").agg(F.min("cls").alias("rep")), "simhash-classes")
+    same = fps.join(distinct, "fp").where("cls <> rep").select(F.col("rep").alias("u"), F.col("cls").alias("v"))
+    return links(distinct, most).unionByName(same).distinct()
+
+
 def keep_one(docs: DataFrame, id_col: str = "doc_id", similarity: float | None = None) -> DataFrame:
     """The rows of ``docs`` that stand for their component: one document of each group stays.
 
     Groups are those of ``near_duplicates``; with ``similarity``, texts whose five-word shingle sets have that
-    Jaccard similarity or more, which fingerprints cannot find (see ``shingle_dedup``). Rows with a null id stay.
-    Of rows that repeat the kept id, all stay.
+    Jaccard similarity or more: fingerprints propose the close ones and ``shingle_dedup`` those that differ in more
+    bits, and exact sets decide on both. Rows with a null id stay. Of rows that repeat the kept id, all stay.
     """
     if similarity is not None:
-        return shingle_dedup.keep_one(docs, least=similarity)
+        return shingle_dedup.keep_one(docs, least=similarity, propose=close_classes)
     return without_copies(docs, near_duplicates(docs, id_col), id_col)

@@ -5,9 +5,10 @@ import sys
 from pathlib import Path
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from findery.llm import shingle_dedup
+from findery.llm import shingle_dedup, simhash
 
 sys.path.insert(0, str(Path(__file__).parent))
 from test_dedup import components, words_of  # noqa: E402
@@ -44,3 +45,21 @@ def test_stage_keeps_one_of_near_copies(spark, monkeypatch, chunk):
     assert got.columns == docs.columns
     assert {r.doc_id for r in got.collect()} == kept_by_hand(rows) | {None}
     assert corpus_pipeline.near_dedup(spark, docs.limit(0), "").count() == 0
+
+
+def test_fingerprints_propose_pairs_by_themselves(spark):
+    """With bands that no two texts share, near copies are found through fingerprints, and sets still decide."""
+    rnd = random.Random(3)
+    words = rnd.choices([f"w{k}" for k in range(400)], k=600)
+    near = [*words[:300], "other", *words[301:]]
+    rows = [(1, " ".join(words)), (2, " ".join(near)), (3, " ".join(words * 2)), (4, " ".join(rnd.choices(words, k=600))), (5, ""), (6, "a b")]
+    pair = spark.createDataFrame(rows, "doc_id long, text string")
+    _, classes = shingle_dedup._classes(pair, shingle_dedup.SIZE)
+    close = simhash.close_classes(pair, classes.where(F.size("keys") > 0), shingle_dedup.SIZE)
+    reps = {r.cls: r.rep for r in classes.collect()}
+    proposed = {tuple(sorted((reps[r.u], reps[r.v]))) for r in close.collect()}
+    assert proposed and proposed <= {(1, 2), (1, 3), (2, 3)}
+    alone = classes.withColumn("keys", F.array("cls"))
+    assert shingle_dedup.links(pair, alone).count() == 0
+    pairs = spark.createDataFrame([(c, d) for c in reps for d in reps if sorted((reps[c], reps[d])) in ([1, 2], [2, 4])], "u long, v long")
+    assert {tuple(sorted(r)) for r in shingle_dedup.links(pair, alone, proposed=pairs).collect()} == {(1, 2)}
