@@ -36,6 +36,8 @@ POINTER = f"version int, step int, corpus_root string, built_at string, parts ar
 MAX_PARTS, MAX_SHARE = 8, 0.25
 #: Files of a batch at least, and batches of a run at most.
 BATCH_FILES, MAX_BATCHES = 25_000, 64
+#: Files whose records one task makes, about.
+TASK_FILES = 10_000
 #: Distinct tokens whose block rows one task makes, about.
 TASK_TOKENS = 50_000
 #: Seconds after which a claim on a version without a successor counts as left by a run that died.
@@ -357,9 +359,11 @@ def index_files(store: Store, files: DataFrame, corpus_root: str, config: Config
             stopped = should_stop()
             if stopped:
                 break
-            fresh = records.to_records(new.select("file_path"), config.rules, now)
+            n = new.count()
+            # many paths fit in a small file, which one task would read and parse by itself
+            fresh = records.to_records(new.select("file_path").repartition(max(1, -(-n // TASK_FILES)), "file_path"), config.rules, now)
             seen = new.select("file_path", "mtime", "size", records.T.doc_id(F.col("file_path")).alias("doc_id"))
-            done = changed if k + 1 == len(batches) else run.done + new.count()
+            done = changed if k + 1 == len(batches) else run.done + n
             try:
                 at = store.publish(at, fresh, seen, corpus_root, now, gone if k == 0 else None, anew=moved and k == 0, run=replace(run, done=done), merge=False, step=k > 0)
             except Exception:
