@@ -1,37 +1,38 @@
 """Byte-level BPE with Spark higher-order functions.
 
-Bytes are held as ISO-8859-1 strings, one character a byte, so that arrays of pieces can be joined. The
-ranks are a literal in the plan: an array of small maps, indexed by a hash of the piece, because Spark
-searches a map from its start. A word is folded by merging its adjacent pair of lowest rank until none has
-a rank. Decoding looks up each id's bytes and joins them. ``encode`` and ``decode`` say all of this in
-column expressions.
-
-Over a large corpus they cost several times the Python form ``encode_texts``: there, the distinct words
-that are frequent in a sample are still folded by the expressions, once, and a table of fixed size
-carries them to the workers, which split texts, fold any other word by the same merges, remember it, and
-decode by joining pieces. Both forms give the same ids.
+A word is held as the ranks of its bytes, an array, and folded by merging its adjacent pair of lowest rank until none has
+a rank. The ranks are literals in the plan: an array of small maps, indexed by a hash of the piece or of the pair of ranks,
+because Spark searches a map from its start. Decoding looks up each id's bytes, kept as ISO-8859-1 strings, one character
+a byte, and joins them. ``encode`` and ``decode`` say all of this in column expressions.
+
+``encode`` folds every word where it stands. Over a corpus, ``encode_texts`` folds each distinct word of a task once: Python
+workers split the texts and number the words, the same expressions fold the words that are new, other workers put the
+texts' ids together, and ``decode`` turns them into bytes. All of it is one stage without a shuffle. Only words of
+``LONG_WORD`` bytes and more, for which the expressions take time with the square of the length, are merged by the workers,
+through a heap. Both forms give the same ids.
 """
 
 from __future__ import annotations
 
 import base64
 import json
-import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from heapq import heapify, heappop, heappush
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType, LongType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, BinaryType, BooleanType, LongType, StringType, StructField, StructType
 
-from .common import Memo, columns_of, hash_order, held, slices
+from .common import Memo, columns_of, slices, small_batches
 
-#: Words folded beforehand at most, texts that they are drawn from, and buckets of the rank literal.
-MEMO_WORDS, MEMO_TEXTS, RANK_BUCKETS = 1 << 16, 20_000, 1 << 14
-#: Bytes of words that a worker remembers.
+#: Buckets of the literals: ranks by piece, and ranks of merged pairs (a prime).
+RANK_BUCKETS, PAIR_BUCKETS = 1 << 14, 65_537
+#: Bytes of words that a task remembers.
 MEMO_BYTES = 72 << 20
 #: Bytes from which a word is merged through a heap.
 LONG_WORD = 128
@@ -52,12 +53,16 @@ def _latin(raw: bytes) -> str:
     return raw.decode("latin-1")
 
 
+def _literal(rows: list, kind: str) -> Column:
+    return F.from_json(F.lit(json.dumps(rows, ensure_ascii=False, separators=(",", ":"))), kind)
+
+
 def _bucketed(rows: dict[str, object], buckets: int, kind: str) -> Column:
     """A literal array of maps; the map for key ``k`` is at crc32(UTF-8 of ``k``) modulo ``buckets``."""
     cells: list[dict[str, object]] = [{} for _ in range(buckets)]
     for k, v in rows.items():
         cells[zlib.crc32(k.encode()) % buckets][k] = v
-    return F.from_json(F.lit(json.dumps(cells, ensure_ascii=False, separators=(",", ":"))), f"array<map<string,{kind}>>")
+    return _literal(cells, f"array<map<string,{kind}>>")
 
 
 def _found(table: Column, key: Column, buckets: int) -> Column:
@@ -76,8 +81,19 @@ class Coder:
         pieces: list[str | None] = [None] * size
         for piece, rank in self.ranks.items():
             pieces[rank] = _latin(piece)
+        self._size = size
         self._ranks = _bucketed({_latin(p): r for p, r in self.ranks.items()}, RANK_BUCKETS, "int")
-        self._pieces = F.from_json(F.lit(json.dumps(pieces, ensure_ascii=False)), "array<string>")
+        self._bytes = _literal([self.ranks.get(bytes([k])) for k in range(256)], "array<int>")
+        keys, ranks = [[] for _ in range(PAIR_BUCKETS)], [[] for _ in range(PAIR_BUCKETS)]
+        for piece, rank in self.ranks.items():
+            for k in range(1, len(piece)):
+                a, b = self.ranks.get(piece[:k]), self.ranks.get(piece[k:])
+                if a is not None and b is not None:
+                    at = (key := a * size + b) % PAIR_BUCKETS
+                    keys[at].append(key)
+                    ranks[at].append(rank)
+        self._pairs = F.struct(_literal(keys, "array<array<bigint>>").alias("keys"), _literal(ranks, "array<array<int>>").alias("ranks"))
+        self._pieces = _literal(pieces, "array<string>")
 
     def words(self, text: Column) -> Column:
         """The pattern's matches, in order."""
@@ -88,29 +104,34 @@ class Coder:
 
     def fold(self, word: Column) -> Column:
         """Ids of one word, given as ISO-8859-1 string: its own rank, or else its bytes after all merges."""
+        whole = self.rank(word)
+        return F.when(whole.isNotNull(), F.array(whole)).otherwise(_let(self._pairs, lambda pairs: self._merged(word, pairs)))
 
-        def pair(a: Column, b: Column) -> Column:
-            return F.when(a.isNotNull() & b.isNotNull(), self.rank(F.concat(a, b)))
+    def _merged(self, word: Column, pairs: Column) -> Column:
+        def rank(a: Column, b: Column) -> Column:
+            key = a.cast("long") * self._size + b
+            at = F.pmod(key, F.lit(PAIR_BUCKETS)).cast("int")
+            return F.get(F.get(pairs.ranks, at), F.array_position(F.get(pairs["keys"], at), key).cast("int") - 1)
 
-        def merge(acc: Column, at: Column) -> Column:
+        def merge(acc: Column, low: Column, at: Column) -> Column:
+            # ranks hold at place k, from 1, that of parts k - 1 and k; a merge changes two of them
             parts, ranks = acc.parts, acc.ranks
-            joined, n = F.concat(F.get(parts, at - 1), F.get(parts, at)), F.size(parts)
-            left = F.when(at > 1, pair(F.get(parts, at - 2), joined))
-            right = F.when(at + 1 < n, pair(joined, F.get(parts, at + 1)))
-            before = F.when(at > 1, F.concat(F.slice(ranks, F.lit(1), at - 2), F.array(left))).otherwise(F.array().cast("array<int>"))
-            after = F.when(at + 1 < n, F.concat(F.array(right), F.slice(ranks, at + 2, n))).otherwise(F.array().cast("array<int>"))
-            return F.struct(F.concat(F.slice(parts, F.lit(1), at - 1), F.array(joined), F.slice(parts, at + 2, n)).alias("parts"), F.concat(before, after).alias("ranks"))
+            changed = F.array(rank(F.get(parts, at - 3), low), rank(low, F.get(parts, at)))
+            return F.struct(
+                F.concat(F.slice(parts, F.lit(1), at - 2), F.array(low), F.slice(parts, at + 1, F.size(parts))).alias("parts"),
+                F.concat(F.slice(ranks, F.lit(1), at - 2), changed, F.slice(ranks, at + 2, F.size(ranks))).alias("ranks"),
+            )
 
         def step(acc: Column, _: Column) -> Column:
-            # ranks[k] belongs to parts k and k + 1; a merge changes two of them
-            at = F.coalesce(F.array_position(acc.ranks, F.array_min(acc.ranks)).cast("int"), F.lit(0))
-            return _let(at, lambda i: F.when(i == 0, acc).otherwise(merge(acc, i)))
+            found = lambda low: _let(F.array_position(acc.ranks, low).cast("int"), lambda at: merge(acc, low, at))
+            return _let(F.array_min(acc.ranks), lambda low: F.when(low.isNull(), acc).otherwise(found(low)))
+
+        def folded(parts: Column) -> Column:
+            ranks = F.concat(F.transform(parts, lambda b, k: rank(F.get(parts, k - 1), b)), F.array(F.lit(None).cast("int")))
+            start = F.struct(parts.alias("parts"), ranks.alias("ranks"))
+            return F.aggregate(F.sequence(F.lit(1), F.greatest(F.size(parts) - 1, F.lit(1))), start, step, lambda acc: acc.parts)
 
-        whole, n = self.rank(word), F.length(word)
-        pairs = F.transform(F.when(n > 1, F.sequence(F.lit(1), n - 1)).otherwise(F.array().cast("array<int>")), lambda i: self.rank(F.substring(word, i, F.lit(2))))
-        start = F.struct(F.split(word, "").alias("parts"), pairs.alias("ranks"))
-        merged = F.aggregate(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), start, step, lambda acc: acc.parts)
-        return F.when(whole.isNotNull(), F.array(whole)).otherwise(F.transform(merged, self.rank))
+        return _let(F.transform(F.split(word, ""), lambda c: F.get(self._bytes, F.ascii(c))), folded)
 
     def unfold(self, ids: Column) -> Column:
         """The bytes of ``ids`` as ISO-8859-1 string."""
@@ -127,20 +148,6 @@ def latin(word: Column) -> Column:
     return F.decode(F.encode(word, "UTF-8"), "ISO-8859-1")
 
 
-def frequent(docs: DataFrame, coder: Coder, words: int = MEMO_WORDS, texts: int = MEMO_TEXTS) -> dict[str, str]:
-    """Frequent words of about ``texts`` texts in hash order, ``words`` at most, with their ids joined by commas.
-
-    Which words these are only decides where work is saved, never a result.
-    """
-    order = hash_order(F.col("text"))
-    n = docs.count()
-    drawn = docs.where(F.col("text").isNotNull() & (F.pmod(order, F.lit(1 << 30)) < (1 << 30) * min(1.0, texts / max(n, 1))))
-    counted = drawn.select(F.explode(coder.words(F.col("text"))).alias("word")).groupBy("word").count()
-    top = counted.where("count > 1").orderBy(F.desc("count"), "word").limit(words)
-    folded = top.repartition(F.xxhash64("word")).select("word", F.array_join(coder.fold(latin(F.col("word"))).cast("array<string>"), ",").alias("ids"))
-    return {r.word: r.ids for r in folded.collect()}
-
-
 def encode(docs: DataFrame, coder: Coder) -> DataFrame:
     """``docs`` with ``ids`` (decimal ids joined by commas) and ``n_tokens``, in column expressions; null texts count as empty.
 
@@ -208,22 +215,58 @@ def _fold_long(word: bytes, ranks: dict[bytes, int]) -> Iterator[int]:
         k = end[k]
 
 
-class Worker:
-    """Ids, joined by commas, of the words of texts; words are folded once and remembered."""
-
-    def __init__(self, ranks: dict[bytes, int], pattern: str, known: dict[str, str]):
-        import regex
-
-        self.ranks, self.split = ranks, regex.compile(pattern).findall
-        self.pieces = {str(r): p for p, r in ranks.items()}
-        self.known = known
-        self.folded = Memo(lambda word: self.known.get(word) or ",".join(map(str, fold_bytes(word.encode(), self.ranks))), MEMO_BYTES)
-
-    def encode(self, text: str) -> str:
-        return ",".join(map(self.folded.__getitem__, self.split(text)))
-
-    def decode(self, ids: str) -> bytes:
-        return b"".join(map(self.pieces.__getitem__, ids.split(","))) if ids else b""
+class Numbers(dict):
+    """Words numbered in the order in which they are first asked for; ``new`` has those since it was last emptied."""
+
+    def __init__(self):
+        super().__init__()
+        self.new: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        number = self[word] = len(self)
+        self.new.append(word)
+        return number
+
+
+def _numbered(batches: Iterator[pa.RecordBatch], pattern: str, ranks: Callable[[], dict[bytes, int]], fields: list[str]) -> Iterator[pa.RecordBatch]:
+    """Instead of texts: whether numbers start anew, the words that are new with the ids of long ones, and each word's number."""
+    import regex
+
+    split, numbers, taken = regex.compile(pattern).findall, Numbers(), 0
+    for part in slices(batches, 128):
+        fresh, ends, codes, words, ids = [], [0], [], [], []
+        for text in part.column(part.num_columns - 1).to_pylist():
+            fresh.append(taken > MEMO_BYTES)
+            if fresh[-1]:
+                numbers.clear()
+                taken = 0
+            found = split(text or "")
+            codes.append(np.fromiter(map(numbers.__getitem__, found), np.int32, len(found)).tobytes())
+            for word in numbers.new:
+                taken += Memo.ENTRY_BYTES + len(word)
+                raw = word.encode() if 4 * len(word) >= LONG_WORD else b""
+                ids.append(",".join(map(str, fold_bytes(raw, ranks()))) if len(raw) >= LONG_WORD else None)
+            words += numbers.new
+            numbers.new.clear()
+            ends.append(len(words))
+        new = pa.StructArray.from_arrays([pa.array(words, pa.string()), pa.array(ids, pa.string())], ["word", "ids"])
+        yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(fresh), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), new), pa.array(codes, pa.binary())], fields)
+
+
+def _joined(batches: Iterator[pa.RecordBatch], fields: list[str]) -> Iterator[pa.RecordBatch]:
+    """Instead of the last three columns (the second one now the ids of the new words): number of ids and ids of each text."""
+    known: list[str] = []
+    for part in slices(batches, 128):
+        *own, fresh, new, codes = part.columns
+        flat, at, ids = new.flatten().to_pylist(), 0, []
+        for anew, size, code in zip(fresh.to_pylist(), pc.list_value_length(new).to_pylist(), codes.to_pylist(), strict=True):
+            if anew:
+                known.clear()
+            known += flat[at : at + size]
+            at += size
+            ids.append(",".join(map(known.__getitem__, np.frombuffer(code, np.int32).tolist())))
+        n = [x.count(",") + 1 if x else 0 for x in ids]
+        yield pa.RecordBatch.from_arrays([*own, pa.array(n, pa.int64()), pa.array(ids, pa.string())], fields)
 
 
 def encode_texts(docs: DataFrame, coder: Coder) -> DataFrame:
@@ -232,18 +275,15 @@ def encode_texts(docs: DataFrame, coder: Coder) -> DataFrame:
     Columns of those names are replaced; repeated rows and null ids are rows like others. A word of any length
     takes time in proportion to its length, but for a logarithm. An empty table gives an empty result.
     """
-    added = {"n_tokens": LongType(), "ids": StringType(), "decoded": BinaryType()}
-    src = docs.select(*columns_of(docs, *added, "text"), F.col("text").cast("string").alias("text"))
-    shared = docs.sparkSession.sparkContext.broadcast((coder.ranks, coder.pattern, frequent(src.select("text"), coder)))
-    name, own = uuid.uuid4().hex, src.columns[:-1]
+    src = docs.select(*columns_of(docs, "n_tokens", "ids", "decoded", "text"), F.col("text").cast("string").alias("text"))
+    small_batches(docs.sparkSession)
+    shared, pattern, own = docs.sparkSession.sparkContext.broadcast(coder.ranks), coder.pattern, src.columns[:-1]
     plain = [f"c{k}" for k in range(len(own))]  # names that mapInArrow takes
-
-    def run(batches):
-        worker = held(name, lambda: Worker(*shared.value))
-        for part in slices(batches, 128):
-            ids = [worker.encode(t or "") for t in part.column(part.num_columns - 1).to_pylist()]
-            n = [x.count(",") + 1 if x else 0 for x in ids]
-            yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array([worker.decode(x) for x in ids], pa.binary())], [*plain, *added])
-
-    fields = [*(StructField(c, f.dataType) for c, f in zip(plain, src.schema, strict=False)), *(StructField(c, kind) for c, kind in added.items())]
-    return src.toDF(*plain, "text").mapInArrow(run, StructType(fields)).toDF(*own, *added)
+    kept = [StructField(c, f.dataType) for c, f in zip(plain, src.schema, strict=False)]
+    word = StructType([StructField("word", StringType()), StructField("ids", StringType())])
+    split = StructType([*kept, StructField("fresh", BooleanType()), StructField("new", ArrayType(word)), StructField("codes", BinaryType())])
+    done = StructType([*kept, StructField("n_tokens", LongType()), StructField("ids", StringType())])
+    ids = F.transform("new", lambda w: F.coalesce(w.ids, F.array_join(coder.fold(latin(w.word)).cast("array<string>"), ",")))
+    numbered = src.toDF(*plain, "text").mapInArrow(lambda batches: _numbered(batches, pattern, lambda: shared.value, split.names), split)
+    encoded = numbered.withColumn("new", ids).mapInArrow(lambda batches: _joined(batches, done.names), done)
+    return decode(encoded, coder).toDF(*own, "n_tokens", "ids", "decoded")

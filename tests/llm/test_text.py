@@ -257,3 +257,16 @@ def test_quality_accuracy(spark):
 def test_folds(spark):
     got = spark.createDataFrame([(0,), (7,), (None,)], "doc_id long").select("doc_id", fold_of(F.col("doc_id"), 3).alias("f")).collect()
     assert [r.f for r in got] == [zlib.crc32(b"0") % 3, zlib.crc32(b"7") % 3, -1]
+
+
+def test_every_word_of_a_text_is_folded_by_the_expressions(spark):
+    P = public()
+
+    class Marked(byte_bpe.Coder):
+        def fold(self, word):
+            return F.array(F.lit(7), F.length(word))
+
+    coder = Marked(byte_bpe.read_ranks(tokenizer_path(BYTE_BPE)), P.PATTERN)
+    rows = [(1, "qzx the the"), (2, "the qzx é" + " zq" * 3), (3, None)]
+    got = {r.doc_id: (r.n_tokens, r.ids) for r in byte_bpe.encode_texts(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), coder).drop("decoded").collect()}
+    assert got == {1: (6, "7,3,7,4,7,4"), 2: (12, "7,3,7,4,7,3,7,3,7,3,7,3"), 3: (0, "")}
