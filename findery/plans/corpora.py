@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from findery.config import STOPWORDS, Ranking, Rules
+from findery.functions import text as T
 from findery.operators.records import to_records
 from findery.schema import STATUS_REVIEW
 
@@ -31,7 +32,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 TASK_ROWS = 20_000
 
 
-def spread(rows: DataFrame, key: str) -> DataFrame:
+def spread(rows: DataFrame, key: str | Column) -> DataFrame:
     """``rows`` dealt by ``key`` over tasks of about ``TASK_ROWS`` rows.
 
     A small file holds very many rows and is read by one task, which would parse them all and hold all their postings.
@@ -41,11 +42,15 @@ def spread(rows: DataFrame, key: str) -> DataFrame:
 
 
 def part_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A file per part: brand and type folders, and a name with part, tag and year."""
+    """A file per part: brand and type folders, and a name with part, tag and year.
+
+    They are dealt by the id of their record, so what is grouped by it stays in tasks of that size without another shuffle.
+    """
     key = F.col("p_partkey")
     ext = F.element_at(F.array(*(F.lit(e) for e in (".pdf", ".docx", ".jpg", ""))), (key % 4 + 1).cast("int"))
     name = F.concat(F.replace("p_name", F.lit(" "), F.lit("_")), F.lit("_P-"), F.lpad((key % 10000).cast("string"), 4, "0"), F.lit("_"), (F.lit(1950) + F.col("p_size")).cast("string"), ext)
-    return spread(table(spark, sf_dir, "part"), "p_partkey").select(key, F.concat_ws("/", F.replace("p_brand", F.lit("#"), F.lit("_")), "p_type", name).alias("file_path"))
+    files = table(spark, sf_dir, "part").select(key, F.concat_ws("/", F.replace("p_brand", F.lit("#"), F.lit("_")), "p_type", name).alias("file_path"))
+    return spread(files, T.doc_id(F.col("file_path")))
 
 
 def part_records(spark: SparkSession, sf_dir: str) -> DataFrame:
