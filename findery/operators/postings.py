@@ -22,7 +22,8 @@ def field_postings(records: DataFrame) -> DataFrame:
 
 def keyword_postings(records: DataFrame) -> DataFrame:
     """``(token, doc_id, pos)``; pos is the token's first place in the document."""
-    flat = records.select("doc_id", F.posexplode("keywords").alias("pos", "k")).select(T.normalize(F.col("k")).alias("token"), "doc_id", "pos")
+    # from an inner posexplode Spark infers a filter on keywords, which it moves below the dealing of the files: one task would parse them all
+    flat = records.select("doc_id", F.posexplode_outer("keywords").alias("pos", "k")).select(T.normalize(F.col("k")).alias("token"), "doc_id", "pos")
     return flat.where("token is not null").groupBy("token", "doc_id").agg(F.min("pos").alias("pos"))
 
 

@@ -1,5 +1,6 @@
 """What large tables need: work dealt over tasks, and no broadcast on an estimate."""
 
+import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
@@ -25,3 +26,15 @@ def test_postings_are_not_broadcast_on_an_estimate(spark):
     assert own.conf.get("spark.sql.autoBroadcastJoinThreshold") == "-1" and own.conf.get("spark.sql.adaptive.autoBroadcastJoinThreshold") == before
     assert own.conf.get("spark.sql.session.timeZone") == spark.conf.get("spark.sql.session.timeZone")
     assert spark.conf.get("spark.sql.autoBroadcastJoinThreshold") == before
+
+
+@pytest.mark.parametrize("name", ["keyword_postings", "field_postings"])
+def test_postings_are_grouped_where_the_files_were_dealt(spark, monkeypatch, name):
+    whole = registry.QUERIES[name](spark, entry.SMOKE_DIR).collect()
+    monkeypatch.setattr(corpora, "TASK_ROWS", 30)
+    dealt = registry.QUERIES[name](spark, entry.SMOKE_DIR)
+    plan = dealt._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1
+    below = plan[plan.index("Exchange") :]
+    assert "split(" not in below and "- Filter" not in below  # nothing is parsed before the files are dealt
+    assert sorted(whole) == sorted(dealt.collect()) and whole
