@@ -270,3 +270,29 @@ def test_every_word_of_a_text_is_folded_by_the_expressions(spark):
     rows = [(1, "qzx the the"), (2, "the qzx é" + " zq" * 3), (3, None)]
     got = {r.doc_id: (r.n_tokens, r.ids) for r in byte_bpe.encode_texts(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), coder).drop("decoded").collect()}
     assert got == {1: (6, "7,3,7,4,7,4"), 2: (12, "7,3,7,4,7,3,7,3,7,3,7,3"), 3: (0, "")}
+
+
+def test_pair_ranks_are_looked_up_at_displaced_rows():
+    rnd = random.Random(5)
+    rows = {x: {y: x * 1000 + y for y in rnd.sample(range(300), rnd.choice([1, 1, 1, 2, 5, 200]))} for x in rnd.sample(range(300), 250)}
+    offsets, owners, values = byte_bpe.displaced(rows, 300)
+    for x in range(300):
+        for y in range(300):
+            at = None if offsets[x] is None else offsets[x] + y
+            got = values[at] if at is not None and 0 <= at < len(owners) and owners[at] == x else None
+            assert got == rows.get(x, {}).get(y)
+    assert byte_bpe.displaced({}, 3) == ([None] * 3, [], [])
+
+
+def test_words_are_folded_without_positions_by_search_and_decoded_from_numbers(spark):
+    P = public()
+    ranks = byte_bpe.read_ranks(tokenizer_path(BYTE_BPE))
+    coder, rnd = byte_bpe.Coder(ranks, P.PATTERN), random.Random(8)
+    words = ["".join(rnd.choices(c, k=rnd.randint(1, 40))) for c in ("ab", "aé-", "etaoinshr") for _ in range(150)]
+    got = spark.createDataFrame([(w,) for w in words], "w string").select("w", coder.fold(byte_bpe.latin(F.col("w"))).alias("ids"))
+    plan = got._jdf.queryExecution().analyzed().toString()
+    assert "array_position" not in plan and "concat(" not in plan
+    for r in got.collect():
+        assert r.ids == byte_bpe.fold_bytes(r.w.encode(), ranks)
+    docs = spark.createDataFrame([(1, "some words")], "doc_id long, text string")
+    assert "split(" not in byte_bpe.encode_texts(docs, coder)._jdf.queryExecution().analyzed().toString().split("MapInArrow")[0]
