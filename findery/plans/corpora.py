@@ -30,14 +30,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 #: Rows of a table that one task gets, about.
 TASK_ROWS = 20_000
+#: Tasks to which a reader deals rows at most. To more than 200 (``spark.shuffle.sort.bypassMergeThreshold``) Spark deals by sorting, and a reader holds all its rows.
+READER_TASKS = 200
 
 
-def spread(rows: DataFrame, key: str | Column) -> DataFrame:
+def tasks_of(rows: DataFrame) -> int:
+    return -(-rows.count() // TASK_ROWS)
+
+
+def spread(rows: DataFrame, key: str | Column, tasks: int | None = None) -> DataFrame:
     """``rows`` dealt by ``key`` over tasks of about ``TASK_ROWS`` rows.
 
     A small file holds very many rows and is read by one task, which would parse them all and hold all their postings.
     """
-    tasks = -(-rows.count() // TASK_ROWS)
+    tasks = tasks or tasks_of(rows)
     return rows if tasks < 2 else rows.repartition(tasks, key)
 
 
@@ -49,8 +55,13 @@ def part_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.col("p_partkey")
     ext = F.element_at(F.array(*(F.lit(e) for e in (".pdf", ".docx", ".jpg", ""))), (key % 4 + 1).cast("int"))
     name = F.concat(F.replace("p_name", F.lit(" "), F.lit("_")), F.lit("_P-"), F.lpad((key % 10000).cast("string"), 4, "0"), F.lit("_"), (F.lit(1950) + F.col("p_size")).cast("string"), ext)
-    files = table(spark, sf_dir, "part").select(key, F.concat_ws("/", F.replace("p_brand", F.lit("#"), F.lit("_")), "p_type", name).alias("file_path"))
-    return spread(files, T.doc_id(F.col("file_path")))
+    parts = table(spark, sf_dir, "part")
+    tasks = tasks_of(parts)
+    if tasks > READER_TASKS:
+        # one file may have a single reader; its rows are dealt to few tasks first, which deal their shares on
+        parts = parts.repartition(READER_TASKS, key)
+    files = parts.select(key, F.concat_ws("/", F.replace("p_brand", F.lit("#"), F.lit("_")), "p_type", name).alias("file_path"))
+    return spread(files, T.doc_id(F.col("file_path")), tasks)
 
 
 def part_records(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -38,3 +38,15 @@ def test_postings_are_grouped_where_the_files_were_dealt(spark, monkeypatch, nam
     below = plan[plan.index("Exchange") :]
     assert "split(" not in below and "- Filter" not in below  # nothing is parsed before the files are dealt
     assert sorted(whole) == sorted(dealt.collect()) and whole
+
+
+def test_a_single_reader_deals_to_few_tasks_first(spark, monkeypatch):
+    whole = registry.QUERIES["vocabulary_df"](spark, entry.SMOKE_DIR).collect()
+    monkeypatch.setattr(corpora, "TASK_ROWS", 30)
+    monkeypatch.setattr(corpora, "READER_TASKS", 3)
+    dealt = registry.QUERIES["vocabulary_df"](spark, entry.SMOKE_DIR)
+    plan = dealt._jdf.queryExecution().executedPlan().toString()
+    last = plan[plan.rindex("Exchange") :]
+    assert "hashpartitioning(p_partkey" in last and ", 3), REPARTITION_BY_NUM" in last  # the reader's own dealing
+    assert plan.count("REPARTITION_BY_NUM") == 2
+    assert sorted(whole) == sorted(dealt.collect()) and whole
