@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from findery.config import Config
 from findery.operators import extract
-from findery.schema import INDEX_RUNS, MANIFEST
+from findery.schema import INDEX_RUNS
 from findery.sources import logs
 from findery.sources.store import Snapshot, Store, index_files
 
@@ -86,7 +86,7 @@ def deep_scan(store: Store, log_dir: str, reader: extract.Reader, ocr: extract.O
         if not seen:
             break
         scanned = was.records().join(found.select("doc_id"), "doc_id", "left_semi")
-        same = was.manifest().join(found.select("doc_id"), "doc_id", "left_semi").select(*store.spark.createDataFrame([], MANIFEST).columns)
+        same = was.entries().join(found.select("doc_id"), "doc_id", "left_semi")
         key = _log_key(was)
         logs.stage(extract.extraction_log(found, now), f"{log_dir}/extraction", key)
         logs.stage(extract.review_entries(found, now), f"{log_dir}/review_queue", key)

@@ -87,9 +87,9 @@ def extract(pending: DataFrame, reader: Reader, ocr: OcrBackend, config: Extract
 
 
 def merge(records: DataFrame, found: DataFrame, rules: Rules) -> DataFrame:
-    """``records`` with the results of ``extract``: usable text fills gaps, anything else asks for review."""
-    got = found.select("doc_id", F.when(F.col("reason").isNull(), F.col("text")).alias("_text"), F.col("source").alias("_source"), F.col("confidence").alias("_conf"), F.col("reason").alias("_reason"), F.lit(True).alias("_seen")).dropDuplicates(["doc_id"])
-    joined = fill_gaps(records.join(got, "doc_id", "left"), "_text", "_source", rules)
+    """``records`` with the results of ``extract`` in those that are pending: usable text fills gaps, anything else asks for review."""
+    got = found.select("doc_id", F.when(F.col("reason").isNull(), F.col("text")).alias("_text"), F.col("source").alias("_source"), F.col("confidence").alias("_conf"), F.col("reason").alias("_reason"), F.lit(True).alias("_seen"), F.lit(STATUS_PENDING).alias("extraction_status")).dropDuplicates(["doc_id"])
+    joined = fill_gaps(records.join(got, ["doc_id", "extraction_status"], "left"), "_text", "_source", rules)
     status = F.when(F.col("_seen"), F.when(F.col("_reason").isNull(), STATUS_OK).otherwise(STATUS_REVIEW)).otherwise(F.col("extraction_status"))
     conf = F.when(F.col("_source") == "ocr", F.col("_conf")).otherwise(F.col("ocr_confidence"))
     return joined.withColumns({"extraction_status": status, "ocr_confidence": conf}).select(records.columns)

@@ -22,7 +22,7 @@ from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from dataclasses import dataclass, field, replace
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from findery import schema
@@ -44,7 +44,8 @@ TASK_TOKENS = 50_000
 CLAIM_SECONDS = 600
 TABLES = {
     "records": schema.RECORDS,
-    "manifest": schema.MANIFEST,
+    # with when the record of the file was made; parts of earlier code have null
+    "manifest": f"{schema.MANIFEST}, indexed_at string",
     "postings_field": "field string, value string, doc_id string",
     "postings_kw": "token string, doc_id string, pos int",
 }
@@ -115,8 +116,20 @@ class Snapshot:
         return self.table("records")
 
     def manifest(self) -> DataFrame:
+        return self.entries().drop("indexed_at")
+
+    def entries(self) -> DataFrame:
+        """The manifest with ``indexed_at`` of the record of each file."""
         return self.table("manifest")
 
+    def records_of(self, entries: DataFrame) -> DataFrame:
+        """As many records as ``entries`` (``doc_id, indexed_at``) has of each id and date; those that one run made of an id are alike."""
+        key = ["doc_id", "indexed_at"]
+        asked = entries.withColumn("_k", F.row_number().over(Window.partitionBy(*key).orderBy("doc_id")))
+        held = self.records().join(entries.select(*key), key, "left_semi")
+        held = held.withColumn("_k", F.row_number().over(Window.partitionBy(*key).orderBy("extraction_status")))
+        return held.join(asked, [*key, "_k"], "left_semi").drop("_k")
+
     def blocks(self) -> DataFrame | None:
         """Block rows of all tokens, each from the part that had it first; None without parts, or if a part was written without.
 
@@ -281,13 +294,13 @@ class Store:
         """``now`` with its parts written as one base, if they are many or large, or else with those from place ``since`` on written as one."""
         alone = len(now.parts) if since is None else since + 1
         if alone > MAX_PARTS or (len(now.parts) > 1 and sum(now.rows[1:]) > MAX_SHARE * now.rows[0]):
-            part, n = self._write_part(now.records(), now.manifest(), None)
+            part, n = self._write_part(now.records(), now.entries(), None)
             return self._point(now, replace(now, step=now.step + 1, parts=(part,), rows=(n,), log=None))
         if since is None or len(now.parts) - since < 2:
             return now
         kept, mine = replace(now, parts=now.parts[:since]), replace(now, parts=now.parts[since:])
         gone = self.spark.read.schema("doc_id string").parquet(*(f"{self.path}/{part}/changed" for part in mine.parts)) if since else None
-        part, n = self._write_part(mine.records(), mine.manifest(), gone, kept.blocks())
+        part, n = self._write_part(mine.records(), mine.entries(), gone, kept.blocks())
         return self._point(now, replace(now, step=now.step + 1, parts=(*kept.parts, part), rows=(*now.rows[:since], n), log=None))
 
     def vacuum(self, keep: int = 1) -> int:
@@ -309,29 +322,43 @@ def _batches(changed: int, batch: int | None) -> int:
     return min(MAX_BATCHES, each if batch else math.ceil(math.sqrt(each)))
 
 
-def _scan(store: Store, marked: DataFrame, batch: int | None) -> tuple[list[DataFrame], int, int]:
-    """Batches of the changed files of ``marked``, written below the store, with the number of files seen and of those changed.
+def _since(new: DataFrame, entries: DataFrame) -> DataFrame:
+    """``new`` with ``since``: when a file was indexed that ``entries`` hold as it is, while others of its path have changed."""
+    same = ["file_path", "mtime", "size"]
+    number = F.row_number().over(Window.partitionBy(*same).orderBy("indexed_at"))
+    held = entries.where("indexed_at is not null").join(new.select("file_path"), "file_path", "left_semi").withColumn("_k", number)
+    new = new.withColumn("_k", F.row_number().over(Window.partitionBy(*same).orderBy("file_path")))
+    return new.join(held.select(*same, "_k", F.col("indexed_at").alias("since")), [*same, "_k"], "left").drop("_k")
+
+
+def _scan(store: Store, marked: DataFrame, entries: DataFrame | None, batch: int | None) -> tuple[list[DataFrame], int, int, bool]:
+    """Batches of the changed files of ``marked``, written below the store, with the number of files seen and of those changed, and whether any has a ``since``.
 
-    One pass compares, counts and writes. Batches are cut by a hash of the path, so no task or sort sees all files.
+    One pass compares, counts and writes; with ``entries`` to compare to, another looks for files that have not changed themselves. Batches are cut by a hash of the path, so no task or sort sees all files.
     """
     seen, at = Observation(), f"{store.path}/scans/{uuid.uuid4().hex}"
     counted = marked.observe(seen, F.count("*").alias("total"), F.count_if("changed").alias("changed"))
-    ddl = "file_path string, mtime double, size long"
     counted.where("changed").select("file_path", "mtime", "size").write.parquet(f"{at}/all")
     total, changed = seen.get["total"], seen.get["changed"]
-    new, n = store.spark.read.schema(ddl).parquet(f"{at}/all"), _batches(changed, batch)
+    ddl = f"{schema.FILES}, since string"
+    new, n, kept = store.spark.read.schema(ddl).parquet(f"{at}/all"), _batches(changed, batch), False
+    if changed and entries is not None:
+        found = Observation()
+        _since(new.drop("since"), entries).observe(found, F.count("since").alias("kept")).write.parquet(f"{at}/since")
+        new, kept = store.spark.read.schema(ddl).parquet(f"{at}/since"), found.get["kept"] > 0
     if n < 2:
-        return [new] * n, total, changed
+        return [new] * n, total, changed, kept
     dealt = new.withColumn("batch", F.pmod(F.xxhash64("file_path"), F.lit(n)).cast("int"))
     dealt.repartition("batch", F.pmod(F.xxhash64("file_path", F.lit(1)), F.lit(8))).write.partitionBy("batch").parquet(f"{at}/dealt")
     parts = store.spark.read.schema(f"{ddl}, batch int").parquet(f"{at}/dealt")
-    return [parts.where(F.col("batch") == k).drop("batch") for k in range(n)], total, changed
+    return [parts.where(F.col("batch") == k).drop("batch") for k in range(n)], total, changed, kept
 
 
 def index_files(store: Store, files: DataFrame, corpus_root: str, config: Config, now: str, rebuild: bool = False, drop_deleted: bool = False, phase: Callable[[str], None] = lambda name: None, progress: Callable[[int, int], None] = lambda done, total: None, should_stop: Callable[[], bool] = lambda: False, batch: int | None = None) -> DataFrame:
     """Bring the index up to date with ``files`` (``file_path, mtime, size``); one row of counters, as in the run log, with ``cancelled``.
 
-    Files that the manifest has with the same mtime and size are skipped; another root starts from nothing.
+    Files that the manifest has with the same mtime and size are skipped; another root starts from nothing. Of a path that is listed
+    several times, files that are as they were keep their records when others change or go.
     Records of files that are gone stay unless ``drop_deleted``. A run that finds nothing new publishes nothing.
     What is new is published in batches of about ``batch`` files, which together make one version. ``should_stop`` is asked before each; batches that are
     published stay, and the next run skips just their files. A Spark job that is cancelled meanwhile costs its batch only.
@@ -348,12 +375,13 @@ def index_files(store: Store, files: DataFrame, corpus_root: str, config: Config
         gone = was.manifest().join(files, "file_path", "left_anti").select("doc_id")
         gone = None if gone.isEmpty() else gone
     try:
-        batches, total, changed = _scan(store, records.changed_files(files, manifest), batch)
+        entries = was.entries() if was.version and not rebuild and not moved else None
+        batches, total, changed, kept = _scan(store, records.changed_files(files, manifest), entries, batch)
         phase("indexing")
         run = Run(uuid.uuid4().hex, now, total, changed, 0, moved)
         progress(total - changed, total)
         if not batches and (gone is not None or not was.version or moved):
-            batches = [store.spark.createDataFrame([], schema.FILES)]
+            batches = [store.spark.createDataFrame([], f"{schema.FILES}, since string")]
         at, stopped = was, False
         for k, new in enumerate(batches):
             stopped = should_stop()
@@ -361,8 +389,10 @@ def index_files(store: Store, files: DataFrame, corpus_root: str, config: Config
                 break
             n = new.count()
             # many paths fit in a small file, which one task would read and parse by itself
-            fresh = records.to_records(new.select("file_path").repartition(max(1, -(-n // TASK_FILES)), "file_path"), config.rules, now)
-            seen = new.select("file_path", "mtime", "size", records.T.doc_id(F.col("file_path")).alias("doc_id"))
+            fresh = records.to_records(new.where("since is null").select("file_path").repartition(max(1, -(-n // TASK_FILES)), "file_path"), config.rules, now)
+            seen = new.select("file_path", "mtime", "size", records.T.doc_id(F.col("file_path")).alias("doc_id"), F.coalesce("since", F.lit(now)).alias("indexed_at"))
+            if kept:
+                fresh = fresh.unionByName(was.records_of(new.where("since is not null").select(records.T.doc_id(F.col("file_path")).alias("doc_id"), F.col("since").alias("indexed_at"))))
             done = changed if k + 1 == len(batches) else run.done + n
             try:
                 at = store.publish(at, fresh, seen, corpus_root, now, gone if k == 0 else None, anew=moved and k == 0, run=replace(run, done=done), merge=False, step=k > 0)

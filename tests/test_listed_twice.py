@@ -8,6 +8,7 @@ import pytest
 
 import __spark_entry__ as entry
 from findery.config import Config
+from findery.jobs import deep_scan
 from findery.plans import registry
 from findery.sources import store as S
 from findery.sources.store import Store, index_files
@@ -51,6 +52,32 @@ def test_scans_of_paths_of_two_parts(spark, twice, name):
     test_paths_of_two_parts(spark, twice, name)
 
 
+@pytest.mark.parametrize("name", ["stored_records"])
+def test_files_of_paths_of_two_parts(spark, twice, name):
+    test_paths_of_two_parts(spark, twice, name)
+
+
+@pytest.mark.parametrize("batch", [None, 2])
+def test_files_of_a_path_that_stay_keep_their_records(spark, tmp_path, batch):
+    store, config = Store(spark, f"{tmp_path}/i"), Config()
+
+    def run(now, files, **kw):
+        rows = [(f"a/{name}.xyz", 1.0, size) for name, size in files]
+        index_files(store, spark.createDataFrame(rows, "file_path string, mtime double, size long"), "r", config, now, batch=batch, **kw)
+        assert store.manifest().columns == ["file_path", "mtime", "size", "doc_id"] and store.manifest().count() == len(rows)
+        return sorted((r.file_name[0], r.indexed_at, r.extraction_status) for r in store.records().collect())
+
+    pending, review = "pending_deep_scan", "needs_review"
+    assert run("t1", [("f", 1), ("f", 2), ("f", 2), ("g", 1)]) == [("f", "t1", pending)] * 3 + [("g", "t1", pending)]
+    deep_scan(store, f"{tmp_path}/logs", registry._TableReader(), registry._NumberOcr(), config, "t1")
+    # one copy changes, one goes, one comes
+    assert run("t2", [("f", 3), ("f", 2), ("g", 1), ("g", 1)]) == [("f", "t1", review), ("f", "t2", pending), ("g", "t1", review), ("g", "t2", pending)]
+    deep_scan(store, f"{tmp_path}/logs", registry._TableReader(), registry._NumberOcr(), config, "t2")
+    assert {r.source_of_metadata for r in store.records().collect()} == {"filename"}
+    assert run("t3", [("f", 3), ("g", 1)], drop_deleted=True) == [("f", "t2", review), ("g", "t1", review)]
+    assert store.index().fields.count() == store.index().fields.distinct().count()
+
+
 def test_a_run_of_batches_is_one_version(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(S, "BATCH_FILES", 10)
     assert [S._batches(n, None) for n in (0, 1, 10, 11, 90, 91)] == [0, 1, 1, 2, 3, 4] and S._batches(91, 10) == 10
