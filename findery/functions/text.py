@@ -96,11 +96,15 @@ def within_one_edit(a: Column, b: Column) -> Column:
     return F.levenshtein(a, b, 1) >= 0
 
 
+def digits(token: Column) -> Column:
+    return token.rlike("^[0-9]+$")
+
+
 def loose(a: Column, b: Column) -> Column:
     """Equal; or, unless either is all digits, one holds the other, or both have 4 characters or more and are one edit apart."""
-    digits = a.rlike("^[0-9]+$") | b.rlike("^[0-9]+$")
+    number = digits(a) | digits(b)
     sizes = (F.least(F.length(a), F.length(b)) >= 4) & (F.abs(F.length(a) - F.length(b)) <= 1)
-    return (a == b) | (~digits & (F.contains(a, b) | F.contains(b, a) | (sizes & within_one_edit(a, b))))
+    return (a == b) | (~number & (F.contains(a, b) | F.contains(b, a) | (sizes & within_one_edit(a, b))))
 
 
 def local_minute(stamp: Column) -> Column:

@@ -3,7 +3,8 @@
 A token that holds another holds its rarest run of characters, and tokens one edit apart agree once a
 character is left out of each. So the tokens are filed under all their runs (``gram``), under their rarest one
 (``key``) and under what is left without each character (``cut``), with the number of tokens of each run
-(``count``) and each token by itself (``token``). All of these are rows of one table, ``ROWS``, which may be made
+(``count``) and each token by itself (``token``). A token of digits alone matches none but itself, so of it there are only the token and
+what is left without no character. All of these are rows of one table, ``ROWS``, which may be made
 for one search or kept, sorted, beside an index. A kept table may come in parts, each with the tokens that no earlier part
 has: which run of a token is its rarest is then judged by its own part, and the counts of the parts add up. Neither
 changes which pairs are found, as any run of the shorter token would do.
@@ -22,21 +23,21 @@ LITERAL_KEYS, PUSHED = 400, 10
 
 
 def _grams(token: str) -> Column:
-    """The distinct runs of two and of three characters of a column."""
+    """The distinct runs of two and of three characters of a column; none of digits alone."""
     x, n = F.col(token), F.length(token)
 
     def of(size: int) -> Column:
         starts = F.when(n >= size, F.sequence(F.lit(1), n - size + 1)).otherwise(F.array().cast("array<int>"))
         return F.transform(starts, lambda i: F.substring(x, i, F.lit(size)))
 
-    return F.array_distinct(F.concat(of(2), of(3)))
+    return F.when(~T.digits(x), F.array_distinct(F.concat(of(2), of(3))))
 
 
 def _shorter(token: str) -> Column:
-    """A column with each of its characters left out, and as it is; shorter tokens have only themselves."""
+    """A column with each of its characters left out, and as it is; shorter tokens, and digits alone, have only themselves."""
     x, n = F.col(token), F.length(token)
     cut = F.transform(F.sequence(F.lit(1), n), lambda i: F.concat(F.substring(x, F.lit(1), i - 1), F.substring(x, i + 1, n)))
-    return F.array_distinct(F.when(n >= 4, F.concat(cut, F.array(x))).otherwise(F.array(x)))
+    return F.array_distinct(F.when((n >= 4) & ~T.digits(x), F.concat(cut, F.array(x))).otherwise(F.array(x)))
 
 
 def _rarest() -> Column:

@@ -49,6 +49,13 @@ TABLES = {
     "postings_field": "field string, value string, doc_id string",
     "postings_kw": "token string, doc_id string, pos int",
 }
+#: Tables that lie in order: columns by which they are dealt, and how many of these they are sorted by.
+SORTED = {"postings_field": (("field", "value", "doc_id"), 2), "postings_kw": (("token", "doc_id"), 1), "blocks": (("kind", "b", "token"), 2)}
+
+
+def _write_sorted(rows: DataFrame, at: str, name: str) -> None:
+    keys, n = SORTED[name]
+    rows.repartitionByRange(*keys).sortWithinPartitions(*keys[:n]).write.parquet(f"{at}/{name}")
 
 
 class Conflict(RuntimeError):
@@ -248,8 +255,8 @@ class Store:
         manifest.write.parquet(f"{at}/manifest")
         ids = kept.select("doc_id")
         (ids if gone is None else ids.unionByName(gone.select("doc_id"))).distinct().write.parquet(f"{at}/changed")
-        postings.field_postings(kept).repartitionByRange("field", "value", "doc_id").sortWithinPartitions("field", "value").write.parquet(f"{at}/postings_field")
-        postings.keyword_postings(kept).repartitionByRange("token", "doc_id").sortWithinPartitions("token").write.parquet(f"{at}/postings_kw")
+        _write_sorted(postings.field_postings(kept), at, "postings_field")
+        _write_sorted(postings.keyword_postings(kept), at, "postings_kw")
         tokens = self.spark.read.schema(TABLES["postings_kw"]).parquet(f"{at}/postings_kw").select("token").distinct()
         if known is not None:
             tokens = tokens.join(known.where("kind = 'token'").select("token"), "token", "left_anti")
@@ -257,9 +264,21 @@ class Store:
         tokens.write.parquet(f"{at}/tokens")
         tokens = self.spark.read.schema("token string").parquet(f"{at}/tokens")
         tokens = tokens.repartition(max(1, -(-tokens.count() // TASK_TOKENS)), "token")
-        blocks.rows_of(tokens).repartitionByRange("kind", "b", "token").sortWithinPartitions("kind", "b").write.parquet(f"{at}/blocks")
+        _write_sorted(blocks.rows_of(tokens), at, "blocks")
         return part, kept.count()
 
+    def _join_parts(self, parts: tuple[str, ...]) -> str:
+        """A part of the rows of ``parts``, as they are: these have no document in common, and each only the block rows of tokens that no earlier one has."""
+        part = f"part-{uuid.uuid4().hex}"
+        at = f"{self.path}/{part}"
+        for name, ddl in {**TABLES, "changed": "doc_id string", "blocks": blocks.ROWS}.items():
+            rows = self.spark.read.schema(ddl).parquet(*(f"{self.path}/{p}/{name}" for p in parts))
+            if name in SORTED:
+                _write_sorted(rows, at, name)
+            else:
+                rows.write.parquet(f"{at}/{name}")
+        return part
+
     def _claim(self, after: Snapshot) -> None:
         """Be the one that writes the successor of ``after``, or raise. Atomic where creating a file is, as on HDFS."""
         fs, path = self._fs()
@@ -291,17 +310,17 @@ class Store:
         return self.merged(now) if merge else now
 
     def merged(self, now: Snapshot, since: int | None = None) -> Snapshot:
-        """``now`` with its parts written as one base, if they are many or large, or else with those from place ``since`` on written as one."""
+        """``now`` with its parts written as one base, if they are many or large, or else with those from place ``since`` on, the batches of one run, written as one."""
         alone = len(now.parts) if since is None else since + 1
+        if since == 0 and len(now.parts) > 1:
+            return self._point(now, replace(now, step=now.step + 1, parts=(self._join_parts(now.parts),), rows=(sum(now.rows),), log=None))
         if alone > MAX_PARTS or (len(now.parts) > 1 and sum(now.rows[1:]) > MAX_SHARE * now.rows[0]):
             part, n = self._write_part(now.records(), now.entries(), None)
             return self._point(now, replace(now, step=now.step + 1, parts=(part,), rows=(n,), log=None))
         if since is None or len(now.parts) - since < 2:
             return now
-        kept, mine = replace(now, parts=now.parts[:since]), replace(now, parts=now.parts[since:])
-        gone = self.spark.read.schema("doc_id string").parquet(*(f"{self.path}/{part}/changed" for part in mine.parts)) if since else None
-        part, n = self._write_part(mine.records(), mine.entries(), gone, kept.blocks())
-        return self._point(now, replace(now, step=now.step + 1, parts=(*kept.parts, part), rows=(*now.rows[:since], n), log=None))
+        part = self._join_parts(now.parts[since:])
+        return self._point(now, replace(now, step=now.step + 1, parts=(*now.parts[:since], part), rows=(*now.rows[:since], sum(now.rows[since:])), log=None))
 
     def vacuum(self, keep: int = 1) -> int:
         """Delete the parts that none of the last ``keep`` versions has, and leftovers of scans; the number of folders deleted.
@@ -367,7 +386,7 @@ def index_files(store: Store, files: DataFrame, corpus_root: str, config: Config
     """
     was = store.snapshot()
     moved = was.version > 0 and was.corpus_root != corpus_root
-    manifest = store.spark.createDataFrame([], schema.MANIFEST) if rebuild or moved else was.manifest()
+    anew = rebuild or moved or not was.version
     phase("scanning")
     gone = None
     if drop_deleted and not moved:
@@ -375,8 +394,8 @@ def index_files(store: Store, files: DataFrame, corpus_root: str, config: Config
         gone = was.manifest().join(files, "file_path", "left_anti").select("doc_id")
         gone = None if gone.isEmpty() else gone
     try:
-        entries = was.entries() if was.version and not rebuild and not moved else None
-        batches, total, changed, kept = _scan(store, records.changed_files(files, manifest), entries, batch)
+        marked = files.withColumn("changed", F.lit(True)) if anew else records.changed_files(files, was.manifest())
+        batches, total, changed, kept = _scan(store, marked, None if anew else was.entries(), batch)
         phase("indexing")
         run = Run(uuid.uuid4().hex, now, total, changed, 0, moved)
         progress(total - changed, total)

@@ -120,3 +120,29 @@ def test_a_part_without_block_rows(spark, tmp_path):
     index_files(store, files(spark, [*NAMES, "Attic/xylophone.pdf"]), "r", Config(), "t2")
     index = store.index()
     assert index.blocks is None and search.search_one("xylophones", index, Rules(), Ranking()).rows[0]["file_path"] == "Attic/xylophone.pdf"
+
+
+def test_numbers_are_filed_under_themselves_alone(spark):
+    rows = blocks.rows_of(frame(spark, ["123456", "12345", "bolt12"], "token")).cache()
+    assert {(r.kind, r.b) for r in rows.where("token = '123456'").collect()} == {("token", "123456"), ("cut", "123456")}
+    found = blocks.pairs(frame(spark, ["123456", "34", "bolt", "12"], "q_token"), rows)
+    assert sorted(map(tuple, found.collect())) == [("123456", "123456"), ("bolt", "bolt12")]
+
+
+def test_batches_of_a_first_run_are_joined_as_they_are(spark, tmp_path, monkeypatch):
+    from findery.sources import store as S
+
+    monkeypatch.setattr(S, "BATCH_FILES", 10)
+    made, compared = [], []
+    real, changed = S.postings.keyword_postings, S.records.changed_files
+    monkeypatch.setattr(S.postings, "keyword_postings", lambda kept: made.append(0) or real(kept))
+    monkeypatch.setattr(S.records, "changed_files", lambda *a: compared.append(0) or changed(*a))
+    store = S.Store(spark, f"{tmp_path}/i")
+    files = spark.range(40).selectExpr("concat('a/bolt', id % 30, '_', id % 7, '0.pdf') AS file_path", "1.0D AS mtime", "id AS size")
+    S.index_files(store, files, "r", Config(), "t1")
+    index, now = store.index(), store.snapshot()
+    assert (len(made), compared, len(now.parts), now.rows) == (2, [], 1, (40,)) and index.records.count() == 40 == store.manifest().count()
+    assert sorted(index.keywords.collect()) == sorted(real(index.records).collect())
+    assert sorted(index.fields.collect()) == sorted(S.postings.field_postings(index.records).collect())
+    asked = frame(spark, ["bolt1", "olt2", "20"], "q_token")
+    assert sorted(index.loose_pairs(asked).collect()) == sorted(search.loose_pairs(asked, index.keywords).select("q_token", "token").collect())
